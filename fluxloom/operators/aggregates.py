@@ -144,7 +144,8 @@ def box_summary(df: DataFrame, by: Sequence[str], column: str, **percentile_opti
     fence = (F.col("upper") - F.col("lower")) * 1.5
     inside = F.col(column).between(F.col("lower") - fence, F.col("upper") + fence)
     return (
-        df.join(q, list(by))
+        df.select(*by, column)
+        .join(q, list(by))
         .where(inside)
         .groupBy(*by, "lower", "middle", "upper", "n")
         .agg(F.min(column).alias("ymin"), F.max(column).alias("ymax"))

@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from workload import ingest_queries, series_queries  # noqa: F401
+from workload import ingest_queries, model_queries, series_queries, skill_queries  # noqa: F401

@@ -524,13 +524,16 @@ def _(v):
     "colwell",
     with_views(
         f"""SELECT site_id, P, C, M, C / nullif(P, 0) AS "CP", M / nullif(P, 0) AS "MP" FROM (
+              WITH counts AS (SELECT site_id, month, class, count(*)::DOUBLE AS n FROM ({CLASS_SQL}) GROUP BY ALL),
+                   total AS (SELECT site_id, sum(n) AS z FROM counts GROUP BY 1),
+                   h AS (SELECT site_id, -sum(n / z * log2(n / z)) AS hxy FROM counts JOIN total USING (site_id) GROUP BY 1),
+                   hx AS (SELECT site_id, -sum(n / z * log2(n / z)) AS hx FROM
+                     (SELECT site_id, month, sum(n) AS n FROM counts GROUP BY 1, 2) JOIN total USING (site_id) GROUP BY 1),
+                   hy AS (SELECT site_id, -sum(n / z * log2(n / z)) AS hy FROM
+                     (SELECT site_id, class, sum(n) AS n FROM counts GROUP BY 1, 2) JOIN total USING (site_id) GROUP BY 1)
               SELECT site_id, round_even(1 - (hxy - hx) / log2(11), 2) AS P, round_even(1 - hy / log2(11), 2) AS C,
-                     round_even((hx + hy - hxy) / log2(11), 2) AS M FROM
-               (SELECT site_id, -sum(n / z * log2(n / z)) AS hxy FROM cells GROUP BY 1)
-               JOIN (SELECT site_id, -sum(n / z * log2(n / z)) AS hx FROM (SELECT site_id, month, sum(n) AS n, any_value(z) AS z FROM cells GROUP BY 1, 2) GROUP BY 1) USING (site_id)
-               JOIN (SELECT site_id, -sum(n / z * log2(n / z)) AS hy FROM (SELECT site_id, class, sum(n) AS n, any_value(z) AS z FROM cells GROUP BY 1, 2) GROUP BY 1) USING (site_id))""".replace(
-            "cells", f"(SELECT site_id, month, class, count(*)::DOUBLE AS n, (sum(count(*)) OVER (PARTITION BY site_id))::DOUBLE AS z FROM ({CLASS_SQL}) GROUP BY ALL)"
-        ),
+                     round_even((hx + hy - hxy) / log2(11), 2) AS M
+              FROM h JOIN hx USING (site_id) JOIN hy USING (site_id))""",
         "fixed_complete",
     ),
 )
