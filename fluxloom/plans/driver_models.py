@@ -224,13 +224,17 @@ def _feature_fit(monthly, drivers, issues, stages: Sequence[Callable], solver: C
     return fits.join(_scales(rows), list(FITS))
 
 
+def _each(stage: Callable[[Column], Column]) -> Column:
+    return F.transform("x", lambda member: stage(member))
+
+
 def _feature_forecast(fits, drivers, issues, stages, model_id) -> DataFrame:
     future = member_arrays(drivers, issues)
     rows = fits.join(future, "issue").withColumn("_f", F.explode("future"))
     x = F.transform("_f.members", lambda m: _scaled(m.x))
     rows = rows.withColumn("x", x)
     for stage in stages:
-        rows = rows.withColumn("x", F.transform("x", stage))
+        rows = rows.withColumn("x", _each(stage))
     rows = rows.select(
         *FITS, "residual_sd", F.col("_f.datetime").alias("datetime"),
         F.transform("x", lambda v: dot(F.col("coef"), with_intercept(v))).alias("members"),

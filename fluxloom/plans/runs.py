@@ -98,4 +98,9 @@ def backfill(
                     run([date])
                 except Exception as error:
                     errors.append((date, str(error).splitlines()[0]))
+    failed = {date for date, _ in errors}
+    left = missing_issues(required_issues(spark, model, variant, start, end), stored_catalog(spark, path), cut)
+    for row in left.select("reference_datetime").toLocalIterator():
+        if row.reference_datetime not in failed:
+            errors.append((row.reference_datetime, "no forecast generated"))
     return spark.createDataFrame(errors, "issue date, message string")

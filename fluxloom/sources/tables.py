@@ -71,8 +71,9 @@ def write_forecast(df: DataFrame, path: str) -> None:
 
 
 def forecast_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """What the forecast store holds: keys and the last modification of each directory."""
-    stored = spark.read.parquet(path)
-    return stored.groupBy(*CATALOG_KEYS).agg(
-        F.max(F.col("_metadata.file_modification_time")).alias("modified_at")
-    )
+    """What the forecast store holds: keys and the last modification of each directory.
+
+    A file listing with its partition columns; no file is opened.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return files.groupBy(*CATALOG_KEYS).agg(F.max("modificationTime").alias("modified_at"))

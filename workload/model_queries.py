@@ -231,9 +231,19 @@ def _(v):
     return shaped(MODELS["auto.arima"](v.monthly, None, v.issues))
 
 
+ARIMA_ROWS = """(SELECT site_id, count(*) AS n FROM (
+    SELECT *, list_aggregate([lag(w, 1) OVER s, lag(w, 2) OVER s, lag(w, 3) OVER s, lag(w, 4) OVER s, lag(w, 5) OVER s, lag(w, 12) OVER s,
+                              lag(e, 1) OVER s, lag(e, 2) OVER s, lag(e, 12) OVER s], 'count') AS present FROM (
+      SELECT *, CASE WHEN list_aggregate([w, lag(w, 1) OVER s, lag(w, 2) OVER s, lag(w, 3) OVER s, lag(w, 4) OVER s, lag(w, 5) OVER s,
+                                          lag(w, 6) OVER s], 'count') = 7 THEN 1 END AS e FROM (
+        SELECT site_id, datetime, observation - lag(observation, 12) OVER s AS w FROM train_complete
+        WINDOW s AS (PARTITION BY site_id ORDER BY datetime)) WINDOW s AS (PARTITION BY site_id ORDER BY datetime))
+    WINDOW s AS (PARTITION BY site_id ORDER BY datetime)) WHERE w IS NOT NULL AND present = 9 GROUP BY site_id HAVING count(*) >= 4)"""
+
+
 @query(
     "arima_orders",
-    with_views("SELECT site_id, TRUE AS aicc_recomputed, TRUE AS within_limits FROM train_ok GROUP BY site_id HAVING count(*) >= 60", "train_ok"),
+    with_views(f"SELECT site_id, n::DOUBLE AS n, TRUE AS aicc_recomputed, TRUE AS within_limits FROM {ARIMA_ROWS}", "train_complete"),
 )
 def _(v):
     """The reported criterion follows from the reported fit, and the order from the limits."""
@@ -243,17 +253,17 @@ def _(v):
     aicc = n * F.log(F.col("rss") / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
     limits = F.col("p").between(0, 5) & F.col("q").between(0, 2) & F.col("sp").between(0, 1) & F.col("sq").between(0, 1)
     return fits.where(F.col("p").isNotNull()).select(
-        "site_id", (F.abs(aicc - F.col("aicc")) < 1e-6).alias("aicc_recomputed"), limits.alias("within_limits")
+        "site_id", "n", (F.abs(aicc - F.col("aicc")) < 1e-6).alias("aicc_recomputed"), limits.alias("within_limits")
     )
 
 
 @query(
     "arima_coefficients",
     with_views(
-        """SELECT site_id, name, Type, count(*) AS n FROM train_ok JOIN (SELECT unnest(['drift', 'ar1', 'ar2', 'ar3', 'ar4', 'ar5', 'ar1', 'ma1', 'ma2', 'ma1']) AS name,
-             unnest(['Non-seasonal', 'Non-seasonal', 'Non-seasonal', 'Non-seasonal', 'Non-seasonal', 'Non-seasonal', 'Seasonal', 'Non-seasonal', 'Non-seasonal', 'Seasonal']) AS Type) c ON TRUE
-           WHERE site_id IN (SELECT site_id FROM train_ok GROUP BY 1 HAVING count(*) >= 60) GROUP BY ALL""".replace("count(*) AS n", "1::BIGINT AS n"),
-        "train_ok",
+        f"""SELECT site_id, name, Type, 1::BIGINT AS n FROM {ARIMA_ROWS} CROSS JOIN (
+              SELECT unnest(['drift', 'ar1', 'ar2', 'ar3', 'ar4', 'ar5', 'ma1', 'ma2', 'ar1', 'ma1']) AS name,
+                     unnest(list_concat(list_transform(range(0, 8), lambda i: 'Non-seasonal'), ['Seasonal', 'Seasonal'])) AS Type)""",
+        "train_complete",
     ),
 )
 def _(v):
