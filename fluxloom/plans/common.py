@@ -14,6 +14,8 @@ from fluxloom.operators.calendar import filled_series
 #: A series: site and variable, with the project tag carried along.
 SERIES = ("project_id", "site_id", "variable")
 FITS = (*SERIES, "issue")
+#: Rows are placed by these alone: a project tag is often a constant, which Catalyst drops from keys.
+PLACEMENT = ("site_id", "variable")
 HORIZON = 6
 #: Fixed value: upper 84 % point of the standard normal, the half width of a 68 % band.
 BAND_68 = 0.994457883209753
@@ -35,7 +37,7 @@ def training_window(monthly: DataFrame, issues: DataFrame, inclusive: bool = Fal
     Rows are placed by series first; every window and aggregate of a model is keyed by series and
     issue date and reuses that placement.
     """
-    placed = monthly.repartition(*SERIES).withColumn("_issues", issue_array(issues))
+    placed = monthly.repartition(*PLACEMENT).withColumn("_issues", issue_array(issues))
     d = F.col("datetime")
     use = F.filter("_issues", lambda i: (i >= d) if inclusive else (i > d))
     return placed.withColumn("issue", F.explode(use)).drop("_issues")

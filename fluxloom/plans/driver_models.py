@@ -22,7 +22,7 @@ from fluxloom.operators.joins import join_drivers
 from fluxloom.operators.linalg import (
     FIT_COLUMNS, dot, elastic_net_path, evidence_ridge, fit_row, gram, ridge_solve, solve_rows, unpack, with_intercept,
 )
-from fluxloom.plans.common import FITS, SERIES, finish_forecast, issue_array, register_model, training_window
+from fluxloom.plans.common import FITS, PLACEMENT, SERIES, finish_forecast, issue_array, register_model, training_window
 
 LEAST_ROWS = 10
 SEED = 7
@@ -135,7 +135,7 @@ def choose_elastic_net(parts) -> tuple:
 def enough_rows(rows: DataFrame, issues: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """Series and issue dates with at least ``least`` rows before the date, from a running count."""
     w = Window.partitionBy(*SERIES).orderBy("datetime")
-    counted = rows.repartition(*SERIES).withColumns(
+    counted = rows.repartition(*PLACEMENT).withColumns(
         {"_n": F.row_number().over(w), "_next": F.lead("datetime").over(w), "_issues": issue_array(issues)}
     )
     d, following = F.col("datetime"), F.col("_next")
@@ -145,7 +145,7 @@ def enough_rows(rows: DataFrame, issues: DataFrame, least: int = LEAST_ROWS) ->
 
 def elastic_net_fit(monthly, drivers, issues, folds: int = 5, repeats: int = 5) -> DataFrame:
     rows = complete_rows(monthly, drivers)
-    folded = cv_folds(rows, ["site_id", "variable", "datetime"], folds, repeats).repartition(*SERIES)
+    folded = cv_folds(rows, ["site_id", "variable", "datetime"], folds, repeats).repartition(*PLACEMENT)
     keys = [*SERIES, "repeat", "fold"]
     parts = gram(folded, keys, predictors(), F.col("observation"), issue_array(issues))
     packed = parts.groupBy(*FITS).agg(

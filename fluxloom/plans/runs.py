@@ -13,6 +13,7 @@ from fluxloom.operators.aggregates import monthly_targets, rep_mean_targets
 from fluxloom.operators.calendar import issue_calendar
 from fluxloom.operators.joins import missing_issues
 from fluxloom.plans.common import MODELS
+from fluxloom.session import staged
 from fluxloom.sources.tables import CATALOG_KEYS, forecast_catalog, write_forecast
 
 SEPARATE, REPLICATES = "separate", "comb_reps"
@@ -24,7 +25,7 @@ def replicate_mode(monthly: DataFrame) -> DataFrame:
 
 
 def issue_dates(spark: SparkSession, dates: Sequence[dt.date]) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in dates], "issue date")
+    return spark.range(1).select(F.explode(F.array(*[F.lit(d) for d in dates])).alias("issue"))
 
 
 def select_sites(monthly: DataFrame, sites: Sequence[str] | None) -> DataFrame:
@@ -32,6 +33,11 @@ def select_sites(monthly: DataFrame, sites: Sequence[str] | None) -> DataFrame:
     return monthly if sites is None else monthly.where(F.col("site_id").isin(*sites))
 
 
+def variant_series(daily: DataFrame, variant: str) -> DataFrame:
+    monthly = monthly_targets(daily)
+    return replicate_mode(monthly) if variant == REPLICATES else monthly
+
+
 def issue_forecast(
     model: str,
     daily: DataFrame,
@@ -41,11 +47,8 @@ def issue_forecast(
     sites: Sequence[str] | None = None,
 ) -> DataFrame:
     """Forecasts of one model at all given issue dates as one lazy plan, tagged with the variant."""
-    monthly = monthly_targets(daily)
-    if variant == REPLICATES:
-        monthly = replicate_mode(monthly)
-    forecast = MODELS[model](select_sites(monthly, sites), drivers, issues)
-    return forecast.withColumn("variant", F.lit(variant))
+    monthly = select_sites(variant_series(daily, variant), sites)
+    return MODELS[model](monthly, drivers, issues).withColumn("variant", F.lit(variant))
 
 
 def required_issues(spark, model: str, variant: str, start: dt.date, end: dt.date) -> DataFrame:
@@ -86,10 +89,11 @@ def backfill(
     errors: list[tuple[dt.date, str]] = []
 
     def run(some):
-        forecast = issue_forecast(model, daily, drivers, issue_dates(spark, some), variant)
-        write_forecast(forecast, path)
+        forecast = MODELS[model](monthly, drivers, issue_dates(spark, some))
+        write_forecast(forecast.withColumn("variant", F.lit(variant)), path)
 
     if dates:
+        monthly = staged(variant_series(daily, variant), "monthly")
         try:
             run(dates)
         except Exception:

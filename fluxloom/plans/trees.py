@@ -18,6 +18,7 @@ from fluxloom.operators.joins import join_treatments
 from fluxloom.functions.labels import DRIVER_LABELS, VEGETATION_LABELS, recode, temperature_label
 from fluxloom.functions.values import fold_transect
 from fluxloom.operators.reshape import stack
+from fluxloom.session import staged
 from fluxloom.plans.common import FITS, finish_forecast, register_model
 from fluxloom.plans.driver_models import (
     SEED, complete_rows, cv_folds, driver_training, ensemble_to_normal, fit_residual_sd,
@@ -69,7 +70,7 @@ def fc_random_forest(monthly, drivers, issues, trees: int = 500, depth: int = 8,
     """Random forest; residual spread per site from held-out folds."""
 
     def run(one):
-        train = _features(driver_training(monthly, drivers, one)).cache()
+        train = _features(staged(driver_training(monthly, drivers, one), "train"))
         residuals = fit_residual_sd(_held_out(train, folds, _forest(trees, depth)), FITS)
         return _member_forecast(_forest(trees, depth).fit(train), train, residuals, drivers, one, "randomForest")
 
@@ -102,7 +103,7 @@ def fc_gbt(monthly, drivers, issues, rounds: int = 100, folds: int = 10, patienc
     """Gradient-boosted trees; rounds by cross-validation with early stopping, in-sample residuals."""
 
     def run(one):
-        train = _features(driver_training(monthly, drivers, one)).cache()
+        train = _features(staged(driver_training(monthly, drivers, one), "train"))
         chosen = boosting_rounds(train, folds, rounds, patience, depth)
         model = _boosting(chosen, depth).fit(train)
         residuals = fit_residual_sd(model.transform(train), FITS)
@@ -115,7 +116,7 @@ def pooled_fit(monthly, drivers, issues) -> DataFrame:
     """One linear fit across all sites per issue date: prediction for every training row."""
 
     def run(one):
-        train = _features(driver_training(monthly, drivers, one))
+        train = _features(staged(driver_training(monthly, drivers, one), "train"))
         model = LinearRegression(labelCol="observation", standardization=True, regParam=1e-6).fit(train)
         return model.transform(train).select(*FITS, "datetime", "observation", "prediction")
 
@@ -131,7 +132,7 @@ def driver_importance(
     partitioning; a site's rows are one bounded series.
     """
     keys = ["project_id", "site_id", "variable"]
-    rows = complete_rows(monthly, drivers)
+    rows = staged(complete_rows(monthly, drivers), "complete")
     model = _forest(trees, depth).fit(_features(rows))
     by_date = Window.partitionBy(*keys).orderBy("datetime")
     numbered = rows.withColumn("_r", F.row_number().over(by_date))

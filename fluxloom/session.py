@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +48,24 @@ def fits(df: DataFrame, limit: int) -> bool:
 def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
     """Hint a broadcast only when the input size is checked; beyond it the join shuffles."""
     return F.broadcast(df) if fits(df, limit) else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for intermediate tables; a temporary one only where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="fluxloom-")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/fluxloom-{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` once and read it back, where several branches of a plan would recompute it.
+
+    The table survives lost executors, cuts the lineage, and gives Catalyst true sizes, so joins
+    downstream choose their strategy by fact.
+    """
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from fluxloom import schemas
@@ -13,6 +10,7 @@ from fluxloom.operators import aggregates as agg
 from fluxloom.operators import cleaning, reshape
 from fluxloom.operators.joins import join_drivers, load_treatments
 from fluxloom.operators.reshape import unpivot_long
+from fluxloom.session import fresh_path
 from fluxloom.sources import grid, tables
 from workload.registry import query, rounded, sql_rounded as R
 from workload.views import ISSUE
@@ -20,13 +18,8 @@ from workload.views_sql import with_views
 
 
 def scratch(views, name: str) -> str:
-    """A fresh folder for a query that reads files back: under the shared folder the session names."""
-    root = views.spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        import uuid
-
-        return f"{root.rstrip('/')}/fluxloom-{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="fluxloom-"), name)
+    """A fresh folder, in the shared folder the session names, for a query that reads files back."""
+    return fresh_path(views.spark, name)
 
 
 # ---- sources ----------------------------------------------------------------------------------

@@ -19,7 +19,7 @@ from fluxloom.operators import cleaning
 from fluxloom.operators.aggregates import DRIVER_VARIABLES
 from fluxloom.operators.joins import load_treatments
 from fluxloom.operators.reshape import unpivot_long
-from fluxloom.session import broadcast_if_small
+from fluxloom.session import broadcast_if_small, staged
 
 YEARS = (1995, 2001)
 ISSUE = dt.date(2000, 7, 1)
@@ -137,7 +137,8 @@ class Views:
 
     @cached_property
     def monthly(self) -> DataFrame:
-        return agg.monthly_targets(self.daily)
+        """Written once per query, as the target table is in use: the raw tables are scanned once."""
+        return staged(agg.monthly_targets(self.daily), "monthly")
 
     @cached_property
     def all_monthly(self) -> DataFrame:
@@ -161,7 +162,7 @@ class Views:
             (F.col("l_partkey") % 100).cast("double").alias("WindSpeed_ms"),
         )
         keys = ["horizon", "reference_datetime", "parameter", "datetime"]
-        return rows.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in DRIVER_VARIABLES])
+        return staged(rows.groupBy(*keys).agg(*[F.avg(v).alias(v) for v in DRIVER_VARIABLES]), "drivers")
 
     @cached_property
     def drivers(self) -> DataFrame:
