@@ -7,9 +7,14 @@ from pyspark.sql import functions as F
 
 
 def parse_mixed_date(c: Column) -> Column:
-    """Month-day-year first, then year-month-day, any separator; null when neither fits."""
-    text = F.regexp_replace(F.trim(c), "[^0-9]+", "-")
-    return F.coalesce(F.try_to_date(text, "M-d-yyyy"), F.try_to_date(text, "yyyy-M-d"))
+    """Month-day-year or year-month-day with ``-``, ``/``, ``.`` or blank between; else null.
+
+    Rewritten to ISO text for the plain cast: a date format that fails on every other row would
+    raise and catch an exception per row.
+    """
+    text = F.translate(F.trim(c), "/. ", "---")
+    iso = F.regexp_replace(text, "^([0-9]{1,2})-([0-9]{1,2})-([0-9]{4})$", "$3-$1-$2")
+    return F.when(iso.rlike("^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), iso.try_cast("date"))
 
 
 def epoch_to_date(seconds: Column) -> Column:

@@ -82,9 +82,19 @@ def clean_porewater(vintages: Sequence[DataFrame], depth: int = 20, co2: int = 0
     )
 
 
+def parse_flux(raw: DataFrame) -> DataFrame:
+    """Text columns ``Date`` and ``flux`` to date and double.
+
+    The values pass through a one-element array: filters on them stay above it, so that the texts
+    are parsed once per row and not again for each filter pushed towards the scan.
+    """
+    parsed = F.struct(
+        parse_mixed_date(F.col("Date")).alias("Date"), to_double_or_null(F.col("flux")).alias("flux")
+    )
+    others = [c for c in raw.columns if c not in ("Date", "flux")]
+    return raw.select(*others, F.inline(F.array(parsed)))
+
+
 def clean_flux(raw: DataFrame, rules: DataFrame) -> DataFrame:
     """Parse text measurements, apply the quality rules and keep dark chambers."""
-    parsed = raw.withColumn("Date", parse_mixed_date(F.col("Date"))).withColumn(
-        "flux", to_double_or_null(F.col("flux"))
-    )
-    return filter_dark(apply_exclusions(parsed, rules)).select("Date", "Plot", "flux")
+    return filter_dark(apply_exclusions(parse_flux(raw), rules)).select("Date", "Plot", "flux")

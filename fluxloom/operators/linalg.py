@@ -16,47 +16,74 @@ from pyspark.sql import functions as F
 FIT_COLUMNS = "n double, coef array<double>, rss double, residual_sd double, gap double"
 
 
+#: Most regressors summed as separate aggregate columns; more than these go one cell per row.
+WIDE_LIMIT = 12
+
+
 def gram(
     df: DataFrame,
     keys: Sequence[str],
-    x: Column,
+    x: Sequence[Column] | Column,
     y: Column,
     issues: Column | None = None,
     date: str = "datetime",
 ) -> DataFrame:
     """Packed upper triangle of Z'Z per key, with Z = (1, x, y), in column ``gram``.
 
+    A short list ``x`` becomes one generated-code aggregate with a sum per product. An array column
+    ``x``, of any length and not the same length for all keys, unfolds to one row per product.
+
     With ``issues`` (an array of dates) the key gains an ``issue`` column and each matrix covers the
     rows dated before it. These are running sums over months, looked up at each issue date, so the
     rows are not multiplied by the number of issue dates.
     """
-    dated = [F.col(date)] if issues is not None else []
-    z = F.concat(F.array(F.lit(1.0)), x, F.array(y.cast("double")))
-    rows = df.select(*keys, *dated, z.alias("_z"))
+    if not isinstance(x, Column) and len(x) > WIDE_LIMIT:
+        x = F.array(*x)
+    make = _tall_gram if isinstance(x, Column) else _wide_gram
+    return make(df, list(keys), x, y.cast("double"), issues, date)
+
+
+def _running(sums: DataFrame, keys, columns, issues, date) -> DataFrame:
+    """Sums per month to sums of all months before each issue date."""
+    w = Window.partitionBy(*keys).orderBy(date)
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    state = sums.select(
+        *keys, date, F.lead(date).over(w).alias("_next"), issues.alias("_issues"),
+        *[F.sum(c).over(so_far).alias(c) for c in columns],
+    )
+    holds = F.filter("_issues", lambda i: (i > F.col(date)) & (F.col("_next").isNull() | (i <= F.col("_next"))))
+    return state.select(*keys, *columns, F.explode(holds).alias("issue"))
+
+
+def _wide_gram(df, keys, x, y, issues, date):
+    names = ["_1", *[f"_x{i}" for i in range(len(x))], "_y"]
+    rows = df.select(
+        *keys, *([date] if issues is not None else []),
+        F.lit(1.0).alias("_1"), *[c.cast("double").alias(n) for c, n in zip(x, names[1:])], y.alias("_y"),
+    )
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    columns = [f"_s{i}" for i in range(len(pairs))]
+    sums = [F.sum(F.col(a) * F.col(b)).alias(c) for (a, b), c in zip(pairs, columns)]
+    if issues is None:
+        out = rows.groupBy(*keys).agg(*sums)
+        return out.select(*keys, F.array(*columns).alias("gram"))
+    out = _running(rows.groupBy(*keys, date).agg(*sums), keys, columns, issues, date)
+    return out.select(*keys, "issue", F.array(*columns).alias("gram"))
+
+
+def _tall_gram(df, keys, x, y, issues, date):
+    dated = [date] if issues is not None else []
+    rows = df.select(*keys, *dated, F.concat(F.array(F.lit(1.0)), x, F.array(y)).alias("_z"))
     products = F.flatten(
         F.transform("_z", lambda a, i: F.transform(F.slice("_z", i + 1, F.size("_z") - i), lambda b: a * b))
     )
-    cells = rows.select(*keys, *dated, F.posexplode(products).alias("_pos", "_v"))
-    if issues is None:
-        out_keys = list(keys)
-        sums = cells.groupBy(*keys, "_pos").agg(F.sum("_v").alias("_s"))
-    else:
-        out_keys = [*keys, "issue"]
-        w = Window.partitionBy(*keys, "_pos").orderBy(date)
-        monthly = cells.groupBy(*keys, "_pos", date).agg(F.sum("_v").alias("_v"))
-        state = monthly.withColumns(
-            {
-                "_s": F.sum("_v").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-                "_next": F.lead(date).over(w),
-                "_issues": issues,
-            }
-        )
-        holds = F.filter(
-            "_issues", lambda i: (i > F.col(date)) & (F.col("_next").isNull() | (i <= F.col("_next")))
-        )
-        sums = state.select(*keys, "_pos", "_s", F.explode(holds).alias("issue"))
+    cells = rows.select(*keys, *dated, F.posexplode(products).alias("_pos", "_s"))
+    sums = cells.groupBy(*keys, "_pos", *dated).agg(F.sum("_s").alias("_s"))
+    if issues is not None:
+        sums = _running(sums, [*keys, "_pos"], ["_s"], issues, date)
+        keys = [*keys, "issue"]
     packed = F.sort_array(F.collect_list(F.struct("_pos", "_s")))
-    return sums.groupBy(*out_keys).agg(F.transform(packed, lambda c: c["_s"]).alias("gram"))
+    return sums.groupBy(*keys).agg(F.transform(packed, lambda c: c["_s"]).alias("gram"))
 
 
 def unpack(packed) -> np.ndarray:
@@ -116,13 +143,13 @@ def solve_rows(grams: DataFrame, keys: Sequence[str], solver: Callable, columns:
 def gram_fit(
     df: DataFrame,
     keys: Sequence[str],
-    x: Column,
+    x: Sequence[Column] | Column,
     y: Column,
     ridge: float = 0.0,
     issues: Column | None = None,
     date: str = "datetime",
 ) -> DataFrame:
-    """Keyed ridge regression of ``y`` on the array ``x`` and an intercept."""
+    """Keyed ridge regression of ``y`` on ``x`` and an intercept; ``x`` as in ``gram``."""
     grams = gram(df, keys, x, y, issues, date)
     out_keys = [c for c in grams.columns if c != "gram"]
     return solve_rows(grams, out_keys, lambda g: fit_row(g, ridge_solve(g, ridge), ridge), FIT_COLUMNS)

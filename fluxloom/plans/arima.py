@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -52,6 +54,10 @@ def choose_order(g: np.ndarray):
     return (n, coef.tolist(), rss, float(aicc), noise, *order)
 
 
+def _present(*columns: str):
+    return reduce(and_, [F.col(c).isNotNull() for c in columns])
+
+
 def arima_rows(monthly: DataFrame, issues: DataFrame, least: int = 5) -> DataFrame:
     """Calendar-complete rows with the seasonal difference ``w`` and its long-autoregression residual ``e``."""
     rows = min_rows_per_key(training_window(monthly, issues), FITS, "observation", least)
@@ -60,27 +66,26 @@ def arima_rows(monthly: DataFrame, issues: DataFrame, least: int = 5) -> DataFra
     full = interpolate_linear(full, FITS, "datetime", "filled")
     w = Window.partitionBy(*FITS).orderBy("datetime")
     diff = full.withColumn("w", F.col("observation") - F.lag("observation", SEASON).over(w))
-    lags = F.array(*[F.lag("w", i).over(w) for i in range(1, LONG_AR + 1)])
-    lagged = diff.withColumn("lags", lags)
-    whole = F.col("w").isNotNull() & ~F.exists("lags", lambda v: v.isNull())
-    first = gram_fit(lagged.where(whole), FITS, F.col("lags"), F.col("w")).select(*FITS, F.col("coef").alias("long_ar"))
+    names = [f"lag{i}" for i in range(1, LONG_AR + 1)]
+    lagged = diff.withColumns({n: F.lag("w", i).over(w) for i, n in enumerate(names, start=1)})
+    whole = _present("w", *names)
+    fit = gram_fit(lagged.where(whole), FITS, [F.col(n) for n in names], F.col("w"))
+    first = fit.select(*FITS, F.col("coef").alias("long_ar"))
     return (
         lagged.join(first, list(FITS), "left")
-        .withColumn("e", F.when(whole, F.col("w") - dot(F.col("long_ar"), with_intercept(F.col("lags")))))
-        .drop("lags", "long_ar")
+        .withColumn("e", F.when(whole, F.col("w") - dot(F.col("long_ar"), with_intercept(F.array(*names)))))
+        .drop(*names, "long_ar")
     )
 
 
 def arima_orders(rows: DataFrame) -> DataFrame:
     """Chosen order and coefficients per fit, from rows that have every lag; ``n`` counts them."""
     w = Window.partitionBy(*FITS).orderBy("datetime")
-    lag = lambda c, k: F.lag(c, k).over(w)
-    x = F.array(
-        *[lag("w", i) for i in range(1, MAX_AR + 1)], lag("w", SEASON),
-        *[lag("e", i) for i in range(1, MAX_MA + 1)], lag("e", SEASON),
-    )
-    samples = rows.withColumn("x", x).where(F.col("w").isNotNull() & ~F.exists("x", lambda v: v.isNull()))
-    return solve_rows(gram(samples, FITS, F.col("x"), F.col("w")), FITS, choose_order, ORDER_COLUMNS)
+    terms = [("w", i) for i in (*range(1, MAX_AR + 1), SEASON)] + [("e", i) for i in (*range(1, MAX_MA + 1), SEASON)]
+    names = [f"{c}{k}" for c, k in terms]
+    samples = rows.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in zip(names, terms)}).where(_present("w", *names))
+    g = gram(samples, FITS, [F.col(n) for n in names], F.col("w"))
+    return solve_rows(g, FITS, choose_order, ORDER_COLUMNS)
 
 
 def arima_fits(monthly: DataFrame, issues: DataFrame) -> DataFrame:

@@ -147,7 +147,7 @@ def elastic_net_fit(monthly, drivers, issues, folds: int = 5, repeats: int = 5)
     rows = complete_rows(monthly, drivers)
     folded = cv_folds(rows, ["site_id", "variable", "datetime"], folds, repeats).repartition(*PLACEMENT)
     keys = [*SERIES, "repeat", "fold"]
-    parts = gram(folded, keys, predictors(), F.col("observation"), issue_array(issues))
+    parts = gram(folded, keys, [F.col(p) for p in PREDICTORS], F.col("observation"), issue_array(issues))
     packed = parts.groupBy(*FITS).agg(
         F.sort_array(F.collect_list(F.struct("repeat", "fold", F.col("gram").alias("g")))).alias("parts")
     )
@@ -185,6 +185,9 @@ def fc_elastic_net(monthly, drivers, issues) -> DataFrame:
 # ---- models on fixed random features ----------------------------------------------------------
 
 
+KERNEL_FEATURES, NET_FEATURES = 24, 8
+
+
 def interactions(x: Column) -> Column:
     """All products of one to five drivers: 31 columns."""
     n = len(PREDICTORS)
@@ -202,25 +205,26 @@ def _weights(rows: int, columns: int, spread: float, seed: int) -> Column:
     return F.array(*[row(i) for i in range(rows)])
 
 
-def fourier_features(x: Column, size: int = 24, seed: int = SEED) -> Column:
+def fourier_features(x: Column, size: int = KERNEL_FEATURES, seed: int = SEED) -> Column:
     """Random Fourier features of a radial kernel of width one over the columns (Rahimi and Recht 2007)."""
     columns = 2 ** len(PREDICTORS) - 1
     weights = _weights(size, columns, float(np.sqrt(2 / columns)), seed)
     return F.transform(weights, lambda r: F.cos(dot(r.w, x) + r.b) * float(np.sqrt(2 / size)))
 
 
-def hidden_features(x: Column, size: int = 8, seed: int = SEED) -> Column:
+def hidden_features(x: Column, size: int = NET_FEATURES, seed: int = SEED) -> Column:
     """Outputs of a fixed tanh layer."""
     weights = _weights(size, len(PREDICTORS), 1.0, seed)
     return F.transform(weights, lambda r: F.tanh(dot(r.w, x) + r.b - float(np.pi)))
 
 
-def _feature_fit(monthly, drivers, issues, stages: Sequence[Callable], solver: Callable) -> DataFrame:
+def _feature_fit(monthly, drivers, issues, stages: Sequence[Callable], size: int, solver: Callable) -> DataFrame:
     rows = driver_training(monthly, drivers, issues)
     samples = standardize(rows, FITS, PREDICTORS).withColumn("x", predictors())
     for stage in stages:
         samples = samples.withColumn("x", stage(F.col("x")))
-    fits = solve_rows(gram(samples, FITS, F.col("x"), F.col("observation")), FITS, solver, FIT_COLUMNS)
+    x = [F.get("x", F.lit(i)) for i in range(size)]
+    fits = solve_rows(gram(samples, FITS, x, F.col("observation")), FITS, solver, FIT_COLUMNS)
     return fits.join(_scales(rows), list(FITS))
 
 
@@ -248,7 +252,7 @@ NET_STAGES = (hidden_features,)
 
 def kernel_ridge_fit(monthly, drivers, issues, ridge: float = 1.0) -> DataFrame:
     solver = lambda g: fit_row(g, ridge_solve(g, ridge), ridge)
-    return _feature_fit(monthly, drivers, issues, KERNEL_STAGES, solver)
+    return _feature_fit(monthly, drivers, issues, KERNEL_STAGES, KERNEL_FEATURES, solver)
 
 
 @register_model("svm")
@@ -263,7 +267,7 @@ def bayes_net_fit(monthly, drivers, issues) -> DataFrame:
         coef, penalty = evidence_ridge(g)
         return fit_row(g, coef, penalty)
 
-    return _feature_fit(monthly, drivers, issues, NET_STAGES, solver)
+    return _feature_fit(monthly, drivers, issues, NET_STAGES, NET_FEATURES, solver)
 
 
 @register_model("brnn")

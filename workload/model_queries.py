@@ -291,7 +291,7 @@ def _(v):
           {R('regr_intercept(l_extendedprice, l_quantity)', 3)} AS intercept, TRUE AS normal_equations FROM lineitem GROUP BY l_returnflag""",
 )
 def _(v):
-    fit = linalg.gram_fit(v.table("lineitem"), ["l_returnflag"], F.array("l_quantity"), F.col("l_extendedprice"))
+    fit = linalg.gram_fit(v.table("lineitem"), ["l_returnflag"], [F.col("l_quantity")], F.col("l_extendedprice"))
     return fit.select(
         "l_returnflag", "n", rounded(F.col("coef")[1], 3).alias("slope"), rounded(F.col("coef")[0], 3).alias("intercept"),
         (F.col("gap") < GAP).alias("normal_equations"),
@@ -311,7 +311,7 @@ def _(v):
 def _(v):
     """Running Gram sums looked up at the issue date equal sums over its training rows."""
     rows = driver_models.complete_rows(v.monthly, v.drivers)
-    g = linalg.gram(rows, common.SERIES, F.array("Temp_K", "WindSpeed_ms"), F.col("observation"), common.issue_array(v.issues))
+    g = linalg.gram(rows, common.SERIES, [F.col("Temp_K"), F.col("WindSpeed_ms")], F.col("observation"), common.issue_array(v.issues))
     cells = g.select("site_id", F.posexplode("gram").alias("pos", "value")).where(F.col("pos") < 9)
     return rounds(cells, "value", digits=2)
 
@@ -354,7 +354,7 @@ MEMBER_MODEL = """(SELECT site_id, regr_slope(observation, Temp_K) AS b, regr_in
 
 def _simple_fit(v):
     rows = driver_models.driver_training(v.monthly, v.drivers, v.issues)
-    return linalg.gram_fit(rows, common.FITS, F.array("Temp_K"), F.col("observation"))
+    return linalg.gram_fit(rows, common.FITS, [F.col("Temp_K")], F.col("observation"))
 
 
 def _members(v):
