@@ -29,3 +29,19 @@ def rep_group_code(site: Column) -> Column:
 def ratio(a: Column, b: Column) -> Column:
     """Division that gives null, not an error, on a zero divisor."""
     return F.try_divide(a, b)
+
+
+def constant(value) -> Column:
+    """A nested Python constant as one literal: lists to arrays, dicts to structs.
+
+    Written as one SQL text, since building thousands of literal columns one by one is slow.
+    """
+
+    def text(v) -> str:
+        if isinstance(v, dict):
+            return "named_struct(" + ", ".join(f"'{k}', {text(x)}" for k, x in v.items()) + ")"
+        if isinstance(v, (list, tuple)):
+            return "array(" + ", ".join(text(x) for x in v) + ")"
+        return f"{float(v)!r}D" if isinstance(v, float) else str(int(v))
+
+    return F.expr(text(value))

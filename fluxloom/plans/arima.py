@@ -97,7 +97,7 @@ def arima_fits(monthly: DataFrame, issues: DataFrame) -> DataFrame:
     newest = F.reverse(F.sort_array(F.collect_list(F.struct("datetime", "filled", "w", "e"))))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     tails = rows.groupBy(*FITS).agg(
-        newest.alias("_t"), F.max("datetime").alias("last"), F.var_samp("w").alias("w_var")
+        newest.alias("_t"), F.max("datetime").alias("last"), F.coalesce(F.var_samp("w"), F.var_samp("filled")).alias("w_var"),
     )
     pad = F.array_repeat(F.lit(0.0), SEASON)
     tails = tails.select(

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxloom.functions.values import constant
 from fluxloom.operators.aggregates import PREDICTORS, future_drivers, past_driver_mean
 from fluxloom.operators.cleaning import drop_incomplete, min_rows_per_key
 from fluxloom.operators.joins import join_drivers
@@ -199,10 +200,7 @@ def _weights(rows: int, columns: int, spread: float, seed: int) -> Column:
     """Seeded normal weights with a uniform phase, as a constant."""
     rng = np.random.default_rng(seed)
     w, phase = rng.normal(0, spread, (rows, columns)), rng.uniform(0, 2 * np.pi, rows)
-    row = lambda i: F.struct(
-        F.array(*[F.lit(float(v)) for v in w[i]]).alias("w"), F.lit(float(phase[i])).alias("b")
-    )
-    return F.array(*[row(i) for i in range(rows)])
+    return constant([{"w": [float(v) for v in w[i]], "b": float(phase[i])} for i in range(rows)])
 
 
 def fourier_features(x: Column, size: int = KERNEL_FEATURES, seed: int = SEED) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.dates import steps_to_issue
+from fluxloom.functions.values import constant
 from fluxloom.plans.common import (
     BAND_68, FITS, HORIZON, finish_forecast, register_model, series_arrays, training_series,
 )
@@ -27,11 +28,7 @@ def parameter_grid() -> list[tuple[float, float, float, float, int]]:
 
 
 def _grid_literal(grid) -> Column:
-    point = lambda p: F.struct(
-        F.lit(p[0]).alias("a"), F.lit(p[1]).alias("b"), F.lit(p[2]).alias("phi"), F.lit(p[3]).alias("g"),
-        F.lit(p[4]).alias("np"),
-    )
-    return F.array(*[point(p) for p in grid])
+    return constant([dict(zip(("a", "b", "phi", "g", "np"), point)) for point in grid])
 
 
 def ets_states(fits: DataFrame, grid=None) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fluxloom.operators.aggregates import monthly_targets, rep_mean_targets
 from fluxloom.operators.calendar import issue_calendar
 from fluxloom.operators.joins import missing_issues
-from fluxloom.plans.common import MODELS
+from fluxloom.plans.library import MODELS
 from fluxloom.session import staged
 from fluxloom.sources.tables import CATALOG_KEYS, forecast_catalog, write_forecast
 
@@ -38,6 +38,12 @@ def variant_series(daily: DataFrame, variant: str) -> DataFrame:
     return replicate_mode(monthly) if variant == REPLICATES else monthly
 
 
+def _tagged(model: str, monthly, drivers, issues, variant: str) -> DataFrame:
+    """A model's forecast under its registered name."""
+    forecast = MODELS[model](monthly, drivers, issues)
+    return forecast.withColumns({"model_id": F.lit(model), "variant": F.lit(variant)})
+
+
 def issue_forecast(
     model: str,
     daily: DataFrame,
@@ -48,7 +54,7 @@ def issue_forecast(
 ) -> DataFrame:
     """Forecasts of one model at all given issue dates as one lazy plan, tagged with the variant."""
     monthly = select_sites(variant_series(daily, variant), sites)
-    return MODELS[model](monthly, drivers, issues).withColumn("variant", F.lit(variant))
+    return _tagged(model, monthly, drivers, issues, variant)
 
 
 def required_issues(spark, model: str, variant: str, start: dt.date, end: dt.date) -> DataFrame:
@@ -89,8 +95,7 @@ def backfill(
     errors: list[tuple[dt.date, str]] = []
 
     def run(some):
-        forecast = MODELS[model](monthly, drivers, issue_dates(spark, some))
-        write_forecast(forecast.withColumn("variant", F.lit(variant)), path)
+        write_forecast(_tagged(model, monthly, drivers, issue_dates(spark, some), variant), path)
 
     if dates:
         monthly = staged(variant_series(daily, variant), "monthly")

@@ -168,7 +168,7 @@ median_rmse("median_rmse_by_treatment_c3", "C3")
 median_rmse("median_rmse_by_treatment_c4", "C4")
 
 CHANGE = """
-    SELECT horizon, model_id, Temp, CO2Treat, Veg, Type, n, (rep - rmse) / rmse * 100 AS rmse FROM (
+    SELECT horizon, model_id, Temp, CO2Treat, Veg, Type, n, (rep - rmse) / nullif(rmse, 0) * 100 AS rmse FROM (
       SELECT *, max(CASE WHEN Type = 'Rep_comb' THEN rmse END) OVER (PARTITION BY horizon, model_id, Temp, CO2Treat, Veg) AS rep FROM (
         SELECT horizon, model_id, Temp, CO2Treat, Veg, Type, sqrt(avg((observation - mean) ** 2)) AS rmse, count(*) AS n
         FROM formatted WHERE horizon = 6 AND CO2Treat = 'Amb' GROUP BY ALL)) WHERE Type <> 'Rep_comb'
