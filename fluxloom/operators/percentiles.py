@@ -1,22 +1,27 @@
 """Exact grouped percentiles (linear interpolation between order statistics, type 7).
 
-The built-in ``percentile`` is exact but keeps every distinct value of a group in one task. That
-is right for small inputs. For large ones a bounded sketch first brackets each wanted rank; all
-rows outside the brackets collapse to a count per bracket edge before the shuffle, and the
-built-in runs on what is left. Both ways give the same values.
+The built-in ``percentile`` is exact but keeps every distinct value of a group in one task, which
+is right while groups are small. For a large input the rows are staged once and counted per group.
+Groups beyond ``hot_rows`` are taken apart: a bounded sketch brackets each wanted rank, rows outside
+the brackets collapse to a count per bracket edge before the shuffle, and the built-in runs on what
+is left. All ways give the same values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.session import fits
+from fluxloom.session import fits, staged
 
 #: Scanned bytes up to which the built-in is used directly.
 SMALL_INPUT = 1 << 30
+#: Rows of one group up to which the built-in is used.
+HOT_ROWS = 1_000_000
 #: Rank error of the bracketing sketch is at most rows / ACCURACY.
 ACCURACY = 10_000
 
@@ -28,23 +33,45 @@ def exact_percentiles(
     probs: Mapping[str, float],
     extra: Sequence[Column] = (),
     small_input: int = SMALL_INPUT,
+    hot_rows: int = HOT_ROWS,
     accuracy: int = ACCURACY,
 ) -> DataFrame:
-    """One row per key with a column per named percentile, plus the ``extra`` aggregates."""
-    names, ps = list(probs), [float(p) for p in probs.values()]
+    """One row per key with a column per named percentile, plus the ``extra`` aggregates.
+
+    ``extra`` may use the keys and ``column`` only.
+    """
+    keys, names, ps = list(keys), list(probs), [float(p) for p in probs.values()]
+    plain = lambda rows: rows.groupBy(*keys).agg(*extra, F.percentile(column, ps).alias("_q"))
     if fits(df, small_input):
-        out = df.groupBy(*keys).agg(F.percentile(column, ps).alias("_q"), *extra)
+        out = plain(df)
     else:
-        out = _bracketed(df, list(keys), column, ps, list(extra), accuracy)
+        rows = staged(df.select(*keys, column), "percentiles")
+        out = plain(rows) if fits(rows, small_input) else _by_size(rows, keys, column, ps, extra, hot_rows, accuracy, plain)
     taken = [F.col("_q")[i].alias(n) for i, n in enumerate(names)]
     return out.select(*[c for c in out.columns if c != "_q"], *taken)
 
 
+def _same_key(keys: Sequence[str]) -> Column:
+    return reduce(and_, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+
+
+def _by_size(rows, keys, column, ps, extra, hot_rows, accuracy, plain):
+    """Small groups by the built-in, hot groups by brackets. There are at most rows / hot_rows hot groups."""
+    counts = rows.groupBy(*keys).agg(F.count(column).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = staged(counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys]), "hot-keys")
+    if hot.isEmpty():
+        return plain(rows)
+    cold = plain(rows.join(hot, _same_key(keys), "left_anti"))
+    taken_apart = _bracketed(rows.join(hot, _same_key(keys), "left_semi"), keys, column, ps, list(extra), accuracy)
+    return cold.unionByName(taken_apart)
+
+
 def _bracketed(df, keys, column, ps, extra, accuracy):
     v = F.col(column)
     order = sorted(set(ps))
     margin = 2.0 / accuracy
     marks = [min(max(p + d, 0.0), 1.0) for p in order for d in (-margin, margin)]
+    # One row per hot group: staged, so that the join below knows it is small and broadcasts it.
     brackets = df.groupBy(*keys).agg(
         F.percentile_approx(column, marks, accuracy).alias("_marks"),
         F.count(v).alias("_n"),
@@ -52,13 +79,14 @@ def _bracketed(df, keys, column, ps, extra, accuracy):
         F.max(v).alias("_max"),
         *extra,
     )
+    brackets = staged(brackets, "brackets")
     # Below a few times the accuracy the margin is less than one rank: keep such groups whole.
     whole = F.col("_n") <= 4 * accuracy
     edges = F.when(whole, F.array(*[x for _ in order for x in ("_min", "_max")])).otherwise(
         F.col("_marks").cast("array<double>")
     )
     renamed = brackets.select(*[F.col(k).alias(f"_k_{k}") for k in keys], edges.alias("_edges"), "_min")
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
+    on = _same_key(keys)
     joined = df.select(*keys, v.cast("double").alias("_v")).where(v.isNotNull()).join(renamed, on)
     # A value inside a bracket stays; one between brackets becomes the edge below it.
     snapped = F.col("_min")

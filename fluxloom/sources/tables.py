@@ -63,11 +63,8 @@ CATALOG_KEYS = ("model_id", "reference_datetime", "variant")
 
 def write_forecast(df: DataFrame, path: str) -> None:
     """Store forecasts; writing an issue date again replaces only that issue date's directory."""
-    write_table(
-        df.repartition(*CATALOG_KEYS, F.pmod(F.xxhash64("site_id"), F.lit(64))),
-        path,
-        partition_by=CATALOG_KEYS,
-    )
+    # Rebalancing gathers a directory into few files and still splits one too large for a task.
+    write_table(df.hint("rebalance", *CATALOG_KEYS), path, partition_by=CATALOG_KEYS)
 
 
 def forecast_catalog(spark: SparkSession, path: str) -> DataFrame:

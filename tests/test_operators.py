@@ -47,7 +47,8 @@ def test_bracketed_percentiles_equal_numpy_under_skew(spark, spread):
     table = [(k, float(v)) for k, xs in data.items() for v in xs] + [("hot", None), ("none", None)]
     df = spark.createDataFrame(table, "k string, v double").repartition(6)
     probs = {"a": 0.25, "b": 0.5, "c": 0.9}
-    for options in ({"small_input": 1 << 40}, {"small_input": 0, "accuracy": 200}):
+    large = {"small_input": 0, "accuracy": 200}
+    for options in ({"small_input": 1 << 40}, large, {**large, "hot_rows": 100}, {**large, "hot_rows": 0}):
         got = {r.k: r for r in exact_percentiles(df, ["k"], "v", probs, [F.count("*").alias("n")], **options).collect()}
         assert got["none"].a is None and got["hot"].n == 60_001
         for k, xs in data.items():
