@@ -63,7 +63,7 @@ def _wide_gram(df, keys, x, y, issues, date):
     )
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     columns = [f"_s{i}" for i in range(len(pairs))]
-    sums = [F.sum(F.col(a) * F.col(b)).alias(c) for (a, b), c in zip(pairs, columns)]
+    sums = [F.expr(f"sum({a} * {b}) AS {c}") for (a, b), c in zip(pairs, columns)]
     if issues is None:
         out = rows.groupBy(*keys).agg(*sums)
         return out.select(*keys, F.array(*columns).alias("gram"))
