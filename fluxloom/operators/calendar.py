@@ -96,11 +96,16 @@ def future_months(df: DataFrame, keys: Sequence[str], h: Column | int, date="dat
     return steps.select(*keys, "step", F.add_months("_last", F.col("step")).alias(date))
 
 
+def month_starts_ahead(last: Column, issue: Column, horizon: int = 6) -> Column:
+    """Firsts of month among the days after ``last`` up to ``horizon`` months past the issue date."""
+    days = F.sequence(F.date_add(last, 1), F.add_months(issue, horizon), F.expr("interval 1 day"))
+    return F.filter(days, lambda d: F.dayofmonth(d) == 1)
+
+
 def future_days_month_starts(df: DataFrame, keys: Sequence[str], issue: Column, horizon: int = 6, date="datetime"):
-    """Days after each series' last up to ``horizon`` months past the issue date, first of month only."""
+    """The month starts ahead of each series, one row each."""
     last = df.groupBy(*keys).agg(F.max(date).alias("_last"))
-    days = F.sequence(F.date_add("_last", 1), F.add_months(issue, horizon), F.expr("interval 1 day"))
-    return last.select(*keys, F.explode(days).alias(date)).where(F.dayofmonth(date) == 1)
+    return last.select(*keys, F.explode(month_starts_ahead(F.col("_last"), issue, horizon)).alias(date))
 
 
 def issue_calendar(spark: SparkSession, start: dt.date, end: dt.date) -> DataFrame:

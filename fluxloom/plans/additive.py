@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxloom.operators.calendar import future_days_month_starts
+from fluxloom.operators.calendar import month_starts_ahead
 from fluxloom.operators.cleaning import min_rows_per_key
 from fluxloom.operators.linalg import dot, gram_fit, with_intercept
 from fluxloom.plans.common import FITS, HORIZON, finish_forecast, register_model, training_window
@@ -47,8 +47,8 @@ def fc_additive(monthly: DataFrame, drivers, issues: DataFrame, horizon: int = H
     samples = additive_samples(monthly, issues)
     fits = gram_fit(samples, FITS, F.col("x"), F.col("observation"), ridge)
     spans = samples.groupBy(*FITS).agg(F.min("datetime").alias("first"), F.max("datetime").alias("last"))
-    days = future_days_month_starts(samples, FITS, F.col("issue"), horizon)
-    rows = days.join(fits, list(FITS)).join(spans, list(FITS))
+    ahead = month_starts_ahead(F.col("last"), F.col("issue"), horizon)
+    rows = spans.join(fits, list(FITS)).withColumn("datetime", F.explode(ahead))
     x = additive_design(F.col("datetime"), F.col("first"), F.col("last"))
     return finish_forecast(
         rows.select(

@@ -15,6 +15,7 @@ from fluxloom.functions.labels import coefficient_base, coefficient_type
 from fluxloom.operators.calendar import complete_site_months, fill_month_mean, interpolate_linear
 from fluxloom.operators.cleaning import min_rows_per_key
 from fluxloom.operators.linalg import dot, gram, gram_fit, ridge_solve, solve_rows, with_intercept
+from fluxloom.session import staged
 from fluxloom.plans.common import BAND_68, FITS, HORIZON, finish_forecast, register_model, training_window
 
 SEASON = 12
@@ -93,7 +94,8 @@ def arima_fits(monthly: DataFrame, issues: DataFrame) -> DataFrame:
 
     A series too short for any order keeps zero coefficients: the seasonal naive forecast.
     """
-    rows = arima_rows(monthly, issues)
+    # Read by the order search and for the newest values: written once, so the first stage fits once.
+    rows = staged(arima_rows(monthly, issues), "arima-rows")
     newest = F.reverse(F.sort_array(F.collect_list(F.struct("datetime", "filled", "w", "e"))))
     zero = lambda c: F.coalesce(c, F.lit(0.0))
     tails = rows.groupBy(*FITS).agg(

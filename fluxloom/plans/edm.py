@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from fluxloom.functions.dates import steps_to_issue
 from fluxloom.operators.linalg import dot, gram_fit, with_intercept
 from fluxloom.operators.series import argmax_by
+from fluxloom.session import staged
 from fluxloom.plans.common import FITS, HORIZON, finish_forecast, register_model, series_arrays, training_series
 
 MAX_E = 12
@@ -67,8 +68,7 @@ def edm_select_dimension(monthly: DataFrame, issues: DataFrame) -> DataFrame:
 
 def smap_fit(monthly: DataFrame, issues: DataFrame) -> DataFrame:
     """Global linear map from the chosen number of lags to the next month."""
-    rows = training_series(monthly, issues)
-    arrays = series_arrays(rows)
+    arrays = staged(series_arrays(training_series(monthly, issues)), "series")
     chosen = argmax_by(simplex_skill(arrays), FITS, "E", "rho").drop("rho")
     fits = arrays.join(chosen, list(FITS))
     ends = F.when(F.col("size") > F.col("E"), F.sequence("E", F.col("size") - 1)).otherwise(
