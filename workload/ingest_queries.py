@@ -103,7 +103,8 @@ def _(v):
 
 @query("epoch_to_date", "SELECT event_id, ts::DATE AS day FROM events")
 def _(v):
-    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1_000_000
+    ts = F.col("ts")
+    seconds = F.unix_date(F.to_date(ts)) * 86400 + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
     return v.table("events").select("event_id", dates.epoch_to_date(seconds).alias("day"))
 
 

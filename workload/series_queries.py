@@ -110,7 +110,7 @@ def _(v):
 def _(v):
     """Missing issue dates with the number of orders placed in their month."""
     required = required_issues(v.spark, "climatology", "separate", *BACKFILL)
-    todo = joins.missing_issues(required, v.catalog, F.lit(CATALOG_CUTOFF))
+    todo = joins.missing_issues(required, v.catalog, F.lit(str(CATALOG_CUTOFF)).cast("timestamp"))
     placed = v.table("orders").groupBy(F.trunc("o_orderdate", "MM").alias("reference_datetime")).agg(F.count("*").alias("orders"))
     return todo.join(placed, "reference_datetime")
 
