@@ -80,10 +80,11 @@ def _(v):
 @query(
     "flatten_grid",
     with_views(
-        f"""SELECT DATE '2000-07-01' AS reference_datetime, h::INTEGER AS horizon, p::INTEGER AS parameter,
+        f"""SELECT r.reference_datetime, h::INTEGER AS horizon, p::INTEGER AS parameter,
                {R('g.Temp_K')} AS Temp_K, {R('g.SolarRad_Wm2')} AS SolarRad_Wm2
-            FROM (SELECT unnest(range(1, 7)) AS h) CROSS JOIN (SELECT unnest(range(0, 10)) AS p)
-            LEFT JOIN driver_cells g ON g.reference_datetime = DATE '2000-07-01' AND g.horizon = h AND g.parameter = p""",
+            FROM (SELECT DISTINCT reference_datetime FROM driver_cells) r CROSS JOIN (SELECT unnest(range(1, 7)) AS h)
+            CROSS JOIN (SELECT unnest(range(0, 10)) AS p) LEFT JOIN driver_cells g
+              ON g.reference_datetime = r.reference_datetime AND g.horizon = h AND g.parameter = p""",
         "driver_cells",
     ),
 )
@@ -126,9 +127,19 @@ def _(v):
     return v.driver_cells.groupBy("reference_datetime", "horizon", valid.alias("valid")).agg(F.count("*").alias("n"))
 
 
-@query("load_treatments", with_views("SELECT * FROM treatments", "treatments"))
+@query(
+    "load_treatments",
+    with_views(
+        """SELECT t.*, n AS orders FROM treatments t JOIN (
+             SELECT unnest([Plot, substr(Plot, 1, 1) || substr(Plot, 3, 1)]) AS Plot, count(*) AS n FROM measured GROUP BY 1) m USING (Plot)""",
+        "treatments", "measured",
+    ),
+)
 def _(v):
-    return load_treatments(v.plots)
+    """Both levels of the treatment table with the number of orders behind each row."""
+    levels = F.explode(F.array(F.col("Plot"), values.rep_group_code(F.col("Plot")))).alias("Plot")
+    counts = v.measured.select(levels).groupBy("Plot").agg(F.count("*").alias("orders"))
+    return load_treatments(v.plots).join(counts, "Plot")
 
 
 # ---- cleaning ---------------------------------------------------------------------------------
@@ -303,9 +314,9 @@ def _(v):
     return last.withColumn("h", dates.steps_to_issue(F.col("last"), F.lit(ISSUE)))
 
 
-@query("rep_group_code", with_views("SELECT Plot, substr(Plot, 1, 1) || substr(Plot, 3, 1) AS code FROM site_dim", "site_dim"))
+@query("rep_group_code", with_views("SELECT o_orderkey, substr(Plot, 1, 1) || substr(Plot, 3, 1) AS code FROM measured", "measured"))
 def _(v):
-    return v.plots.select("Plot", values.rep_group_code(F.col("Plot")).alias("code"))
+    return v.measured.select("o_orderkey", values.rep_group_code(F.col("Plot")).alias("code"))
 
 
 @query(
@@ -350,25 +361,25 @@ def _(v):
     return v.fixture_dist.select("model_id").distinct().withColumn("model_type", labels.model_type(F.col("model_id")))
 
 
-@query("fold_transect", with_views("SELECT Plot, CASE WHEN Transect > 3 THEN Transect - 3 ELSE Transect END AS folded FROM site_dim", "site_dim"))
+@query("fold_transect", with_views("SELECT c_custkey, CASE WHEN Transect > 3 THEN Transect - 3 ELSE Transect END AS folded FROM sited_customers", "sited_customers"))
 def _(v):
-    return v.plots.select("Plot", values.fold_transect(F.col("Transect")).alias("folded"))
+    return v.sited_customers.select("c_custkey", values.fold_transect(F.col("Transect")).alias("folded"))
 
 
 @query(
     "labels",
     with_views(
-        """SELECT Plot, '''''+' || CASE WHEN Temp = floor(Temp) THEN CAST(floor(Temp)::INTEGER AS VARCHAR) ELSE CAST(Temp AS VARCHAR) END || '~degree~C' AS temp_label,
-             COALESCE(CAST(Transect AS VARCHAR), 'NA') || ' ' || Plot AS line, CASE Veg WHEN 'C3' THEN 'C[3]' WHEN 'C4' THEN 'C[4]' END AS veg_label,
-             CASE Veg WHEN 'C3' THEN 1 WHEN 'C4' THEN 2 END AS veg_rank FROM treatments""",
-        "treatments",
+        """SELECT c_custkey, '''''+' || CASE WHEN Temp = floor(Temp) THEN CAST(floor(Temp)::INTEGER AS VARCHAR) ELSE CAST(Temp AS VARCHAR) END || '~degree~C' AS temp_label,
+             COALESCE(CAST(nullif(Transect, 5) AS VARCHAR), 'NA') || ' ' || Plot AS line, CASE Veg WHEN 'C3' THEN 'C[3]' WHEN 'C4' THEN 'C[4]' END AS veg_label,
+             CASE Veg WHEN 'C3' THEN 1 WHEN 'C4' THEN 2 END AS veg_rank FROM sited_customers""",
+        "sited_customers",
     ),
 )
 def _(v):
-    return v.treatments.select(
-        "Plot",
+    return v.sited_customers.select(
+        "c_custkey",
         labels.temperature_label(F.col("Temp")).alias("temp_label"),
-        labels.paste(F.col("Transect"), F.col("Plot"), sep=" ").alias("line"),
+        labels.paste(F.nullif(F.col("Transect"), F.lit(5)), F.col("Plot"), sep=" ").alias("line"),
         labels.recode(F.col("Veg"), labels.VEGETATION_LABELS).alias("veg_label"),
         labels.ordinal(F.col("Veg"), labels.VEGETATION_LABELS).alias("veg_rank"),
     )

@@ -171,29 +171,26 @@ class Views:
 
     @cached_property
     def grid(self) -> DataFrame:
-        """One reference date packed as dense arrays: lead varies fastest, then member."""
-        cells = self.driver_cells.where(F.col("reference_datetime") == F.lit(ISSUE))
-        means = cells.groupBy("parameter", "horizon").agg(
-            F.max("Temp_K").alias("Temp_K"), F.max("SolarRad_Wm2").alias("SolarRad_Wm2")
-        )
-        ordered = F.sort_array(F.collect_list(F.struct("parameter", "horizon", "Temp_K", "SolarRad_Wm2")))
-        at = F.map_from_entries(
-            F.transform(
-                F.col("cells"),
-                lambda c: F.struct((c.parameter * 6 + c.horizon - 1).cast("int").alias("k"), c.alias("v")),
-            )
-        )
+        """Each reference date packed as dense arrays of 6 leads x 10 members: lead varies fastest."""
+        index = (F.col("parameter") * 6 + F.col("horizon") - 1).cast("int")
+        cell = F.struct(index.alias("k"), F.struct("Temp_K", "SolarRad_Wm2").alias("v"))
+        packed = self.driver_cells.groupBy("reference_datetime").agg(F.map_from_entries(F.collect_list(cell)).alias("at"))
         positions = F.sequence(F.lit(0), F.lit(59))
         pick = lambda f: F.transform(positions, lambda i: F.try_element_at("at", i).getField(f))
-        packed = means.agg(ordered.alias("cells")).withColumn("at", at)
         return packed.select(
-            F.lit(ISSUE).alias("reference_datetime"),
+            "reference_datetime",
             F.sequence(F.lit(1), F.lit(6)).alias("horizon"),
             F.sequence(F.lit(0), F.lit(9)).alias("parameter"),
             pick("Temp_K").alias("Temp_K"),
             pick("SolarRad_Wm2").alias("SolarRad_Wm2"),
         )
 
+    @cached_property
+    def sited_customers(self) -> DataFrame:
+        """Customers with the plot of their nation."""
+        plots = broadcast_if_small(self.site_dim)
+        return self.table("customer").join(plots, F.col("c_nationkey") == F.col("n_nationkey"))
+
     @cached_property
     def porewater(self) -> DataFrame:
         # Depth of each event type.

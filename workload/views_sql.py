@@ -42,6 +42,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                NULL::INTEGER, 'Rep_comb' FROM site_dim
         """,
     ),
+    "sited_customers": (
+        ("site_dim",),
+        "SELECT c.*, s.* FROM customer c JOIN site_dim s ON c.c_nationkey = s.n_nationkey",
+    ),
     "measured": (
         ("site_dim",),
         """SELECT o.*, s.Plot FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
