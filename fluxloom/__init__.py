@@ -1,3 +1,10 @@
 """Forecasting and verification of many keyed monthly series, written as Spark DataFrame operators."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Functions of this package travel to Python workers by value, so workers need no copy of it on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

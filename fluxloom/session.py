@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -53,9 +55,21 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names for intermediate tables; a temporary one only where none is named."""
+    """The folder the cluster names for intermediate tables.
+
+    Only a session in one process may do without: it gets a temporary folder. Elsewhere a folder of
+    the driver's machine would not be seen by the executors, so a missing setting is an error.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/") if named else tempfile.mkdtemp(prefix="fluxloom-")
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="fluxloom-")
+    atexit.register(shutil.rmtree, folder, True)
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -71,3 +85,12 @@ def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove every table that ``staged`` wrote in this session's folder; call it when a run is over."""
+    jvm, folder = spark._jvm, shared_folder(spark)
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(root, "fluxloom-*")) or []:
+        fs.delete(found.getPath(), True)
