@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fluxloom.llm import mixing
+from fluxloom.llm import mixing, packing
 from fluxloom.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": lambda spark, sf_dir: mixing.mix_report(documents(spark, sf_dir)),
+    "op9_pack_documents": lambda spark, sf_dir: packing.pack_documents(documents(spark, sf_dir)),
 }
 ORACLES: dict[str, str] = {
     "op2_mix_sources": mixing.MIX_SQL,
