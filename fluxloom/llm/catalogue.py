@@ -5,14 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fluxloom.llm import mixing, packing
+from fluxloom.llm import mixing, packing, vectors
 from fluxloom.llm.common import documents
 
+
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_vector_top_k": lambda spark, sf_dir: vectors.top_k(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0),
     "op2_mix_sources": lambda spark, sf_dir: mixing.mix_report(documents(spark, sf_dir)),
+    "op3_embedding_near_duplicates": lambda spark, sf_dir: vectors.near_duplicates(embeddings(spark, sf_dir)),
     "op9_pack_documents": lambda spark, sf_dir: packing.pack_documents(documents(spark, sf_dir)),
 }
 ORACLES: dict[str, str] = {
+    "op1_vector_top_k": vectors.TOP_K_SQL,
     "op2_mix_sources": mixing.MIX_SQL,
+    "op3_embedding_near_duplicates": vectors.NEAR_SQL,
 }
