@@ -94,6 +94,7 @@ def _mixed(docs: DataFrame, kept: list[str], seed: int, cycle: int, max_repeats:
         )
         .join(size_starts, F.col("s1").eqNullSafe(F.col("s2")) & (F.col("z1") == F.col("z2")))
         .select("s2", "z2", "i2", (F.col("size_start") + F.col("slice_start")).alias("start"), "source_size", "target")
+        .repartition("s2", "z2", "i2")  # else the join would deal all documents by source and size alone
     )
     ranked = sized.withColumn(
         "within", F.row_number().over(Window.partitionBy("source", "size", "slice").orderBy("doc_id"))

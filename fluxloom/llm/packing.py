@@ -224,7 +224,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         F.coalesce(
             F.sum("n").over(Window.partitionBy("length").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
         ).alias("before"),
-    )
+    ).repartition("l", "i")  # else the join would deal all pieces by length alone, as the window is dealt
     ranked = (
         keyed.withColumn("within", F.row_number().over(Window.partitionBy("length", "slice").orderBy("doc_id", "piece")))
         .join(starts, (F.col("l") == F.col("length")) & (F.col("i") == F.col("slice")))
