@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import language, mixing, packing, vectors
+from fluxloom.llm import language, mixing, packing, toxicity, vectors
 from fluxloom.llm.common import documents
 
 
@@ -21,6 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_near_duplicates": lambda spark, sf_dir: vectors.near_duplicates(embeddings(spark, sf_dir)),
     "op6_language": lambda spark, sf_dir: language.language_report(documents(spark, sf_dir)),
     "op9_pack_documents": lambda spark, sf_dir: packing.pack_documents(documents(spark, sf_dir)),
+    "op10_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(
+        documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    ),
 }
 ORACLES: dict[str, str] = {
     "op1_vector_top_k": vectors.TOP_K_SQL,
