@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import language, mixing, packing, toxicity, vectors
+from fluxloom.llm import language, licences, mixing, packing, preferences, toxicity, vectors
 from fluxloom.llm.common import documents
 
 
@@ -20,6 +20,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": lambda spark, sf_dir: mixing.mix_report(documents(spark, sf_dir)),
     "op3_embedding_near_duplicates": lambda spark, sf_dir: vectors.near_duplicates(embeddings(spark, sf_dir)),
     "op6_language": lambda spark, sf_dir: language.language_report(documents(spark, sf_dir)),
+    "op7_preferences": lambda spark, sf_dir: preferences.preference_report(spark.read.parquet(f"{sf_dir}/conversations.parquet")),
+    "op8_licences": lambda spark, sf_dir: licences.scan(documents(spark, sf_dir)),
     "op9_pack_documents": lambda spark, sf_dir: packing.pack_documents(documents(spark, sf_dir)),
     "op10_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(
         documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -29,4 +31,6 @@ ORACLES: dict[str, str] = {
     "op1_vector_top_k": vectors.TOP_K_SQL,
     "op2_mix_sources": mixing.MIX_SQL,
     "op3_embedding_near_duplicates": vectors.NEAR_SQL,
+    "op7_preferences": preferences.PREFERENCE_SQL,
+    "op8_licences": licences.licence_sql(),
 }
