@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -101,3 +102,36 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buffer = column.buffers()[2]
     data = np.frombuffer(buffer, np.uint8) if buffer is not None and buffer.size else np.zeros(0, np.uint8)
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words; words do not cross rows."""
+    space = (data == 32) | ((data >= 9) & (data <= 13))
+    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
+    before[1:], after[:-1] = space[:-1], space[1:]
+    edges = offsets[(offsets > 0) & (offsets < len(data))]
+    before[edges], after[edges - 1] = True, True
+    return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
+
+
+def regrouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Whole groups of batches sorted by ``keys``: each table holds the rows of one group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        mark = np.stack([batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys])
+        cuts = np.flatnonzero((mark[:, 1:] != mark[:, :-1]).any(axis=0)) + 1
+        bounds = np.concatenate([[0], cuts, [batch.num_rows]])
+        if held and (mark[:, 0] != last).any():
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            if a and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+        last = mark[:, -1]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import mix64, rolling, slices, staged, text_bytes
+from fluxloom.llm.common import mix64, rolling, slices, staged, text_bytes, word_spans
 
 ORDER = 3
 DECAY = 0.6
@@ -73,16 +73,6 @@ def letters(word: str) -> str:
     return word
 
 
-def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words; words do not cross rows."""
-    space = (data == 32) | ((data >= 9) & (data <= 13))
-    before, after = np.ones(len(data), bool), np.ones(len(data), bool)
-    before[1:], after[:-1] = space[:-1], space[1:]
-    edges = offsets[(offsets > 0) & (offsets < len(data))]
-    before[edges], after[edges - 1] = True, True
-    return np.flatnonzero(~space & before), np.flatnonzero(~space & after) + 1
-
-
 def sentences(column: pa.Array):
     """Distinct words (as text), which word each occurrence is, the row of each, and (row, sentence) of spelled runs."""
     data, offsets = text_bytes(column)
