@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import jaccard, language, licences, mixing, packing, preferences, toxicity, vectors
+from fluxloom.llm import jaccard, language, licences, mixing, packing, preferences, suffixes, toxicity, vectors
 from fluxloom.llm.common import documents
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_vector_top_k": lambda spark, sf_dir: vectors.top_k(embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0),
     "op2_mix_sources": lambda spark, sf_dir: mixing.mix_report(documents(spark, sf_dir)),
     "op3_embedding_near_duplicates": lambda spark, sf_dir: vectors.near_duplicates(embeddings(spark, sf_dir)),
+    "op4_suffix_dedup": lambda spark, sf_dir: suffixes.repeat_report(documents(spark, sf_dir)),
     "op5_jaccard_join": lambda spark, sf_dir: jaccard.near_copies(documents(spark, sf_dir)),
     "op6_language": lambda spark, sf_dir: language.language_report(documents(spark, sf_dir)),
     "op7_preferences": lambda spark, sf_dir: preferences.preference_report(spark.read.parquet(f"{sf_dir}/conversations.parquet")),

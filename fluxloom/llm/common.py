@@ -57,7 +57,7 @@ class rolling:
     def __init__(self, data: np.ndarray):
         n = len(data)
         if not rolling._tables or len(rolling._tables[1]) <= n:
-            size = max(n + 1, CHUNK + (1 << 16))
+            size = 1 << max(16, n.bit_length())
             base = 0x9E3779B97F4A7C15
             up = np.full(size, base, np.uint64)
             down = np.full(size, pow(base, -1, 2**64), np.uint64)
