@@ -401,24 +401,42 @@ def _nearest(clean: DataFrame, positive: list[str]) -> list[str]:
     return [r[0] for r in found.orderBy(F.desc("near"), "sentence").limit(NEGATIVES).collect()]
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """All columns of ``docs`` but text, with score and predicted. Texts without a sentence score as the curve has it for none."""
-    kept = [c for c in docs.columns if c != "text"]
-    prepared = docs.select("text", F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
-
+def _scored(docs: DataFrame, model: dict, harmless_only: bool) -> DataFrame:
+    names = docs.columns
+    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)])
+    text = f"c{names.index('text')}"
+    kept = [f for f in plain.schema if harmless_only or f.name != text]
     machine, curve = model["machine"], model["curve"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = unseen()
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, text):
                 p = np.zeros(part.num_rows)
                 if machine is not None:
-                    p = probability(features(part.column(0), machine, known), curve)
-                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=["row", "score", "predicted"])
+                    p = probability(features(part.column(part.schema.get_field_index(text)), machine, known), curve)
+                out = part.select([f.name for f in kept])
+                if harmless_only:
+                    yield out.filter(pa.array(p < 0.5))
+                else:
+                    yield pa.RecordBatch.from_arrays(
+                        [*out.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], names=[*out.schema.names, "score", "predicted"]
+                    )
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    done = plain.mapInArrow(run, fields if harmless_only else f"{fields}, score double, predicted int")
+    back = [F.col(f.name).alias(names[int(f.name[1:])]) for f in kept]
+    return done.select(*back) if harmless_only else done.select(*back, "score", "predicted")
+
+
+def score(docs: DataFrame, model: dict) -> DataFrame:
+    """All columns of ``docs`` but text, with score and predicted. Texts without a sentence score as the curve has it for none."""
+    return _scored(docs, model, False)
+
 
-    schema = f"row {prepared.schema['row'].dataType.simpleString()}, score double, predicted int"
-    return prepared.mapInArrow(run, schema).select("row.*", "score", "predicted")
+def harmless(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that score below one half, as they are."""
+    return _scored(docs, model, True)
 
 
 def held_out(doc_id: Column) -> Column:
