@@ -135,3 +135,11 @@ def regrouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa
         last = mark[:, -1]
     if held:
         yield pa.Table.from_batches(held)
+
+
+def runs(x: np.ndarray) -> list[tuple[int, int]]:
+    """(start, end) of each run of equal neighbours."""
+    if not len(x):
+        return []
+    cuts = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+    return list(zip(cuts.tolist(), np.append(cuts[1:], len(x)).tolist(), strict=True))

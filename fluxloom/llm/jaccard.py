@@ -11,10 +11,13 @@ share at least t times the larger one, so if both are put in one global order an
    final order, then the rarer ones. Each class now picks its own l: from prefix length to prefix length
    it weighs the postings to read against the pairs to be verified, which fall with l.
 4. Classes with a prefix element in common are candidates if they share l of them, the smaller l of both;
-   candidates are verified on their whole sets. As only reachability is asked for, every list of postings
-   first meets one leader; pairs inside a component need no test after that. When the pairs that remain
-   open are few, or leaders bring nothing more, all of them are tested. So groups of thousands of near
-   copies cost a few tests per member, and no pair that could connect two components is left out.
+   candidates are verified on their whole sets. As only reachability is asked for, a pair already connected
+   needs no test. First every list of postings is tied to its first class, which parts the classes into
+   neighbourhoods that no candidate pair crosses. A neighbourhood that fits a task is searched there, from
+   each class to all classes not yet reached. In a larger one every list meets one leader at a time, all
+   over the cluster, until the open pairs are few or leaders bring nothing more; then those are tested. So
+   a group of thousands of near copies costs a few tests per member, and no pair that could connect two
+   components is left out.
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of fewer words than a
 shingle is one shingle; rows with a null id link with nothing and have no component; repeated rows are copies
@@ -31,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import mix64, regrouped, rolling, slices, staged, text_bytes, word_spans
+from fluxloom.llm.common import mix64, regrouped, rolling, runs, slices, staged, text_bytes, word_spans
 from fluxloom.llm.components import components
 from fluxloom.session import broadcast_if_small
 
@@ -46,7 +49,9 @@ CHOICES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
 ELEMENT_COST = 0.125
 #: Elements of one hash range that a task holds at once, about.
 RANGE = 1 << 20
-#: All open pairs are tested when they are at most so many times the postings, or after so many rounds of leaders
+#: Elements of a neighbourhood that one task searches; larger ones are searched all over the cluster.
+NEIGHBOURHOOD = 1 << 22
+#: There all open pairs are tested when they are at most so many times the postings, or after so many rounds of leaders
 #: without a new link.
 OPEN_PAIRS = 2
 VAIN_ROUNDS = 2
@@ -95,9 +100,8 @@ def _packed(elements: list[np.ndarray], owners: np.ndarray, bits: int) -> dict[s
     part = (flat >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(flat), np.int64)
     order = np.argsort(part, kind="stable")
     part, flat, owner = part[order], flat[order], owner[order]
-    cuts = np.flatnonzero(np.diff(part, prepend=-1))
     rows: dict[str, list] = {"part": [], "elements": [], "owners": []}
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(part)).tolist(), strict=True):
+    for a, b in runs(part):
         used, place = np.unique(owner[a:b], return_inverse=True)
         rows["part"].append(int(part[a]))
         rows["elements"].append(flat[a:b].tobytes())
@@ -197,11 +201,11 @@ def _shared_sets(sets: DataFrame, similarity: int) -> DataFrame:
             element, owner, often = element[often > 1], owner[often > 1], often[often > 1]
             order = np.argsort(owner, kind="stable")
             element, owner, often = element[order], owner[order], often[order].astype(np.int64)
-            cuts = np.flatnonzero(np.diff(owner, prepend=owner[0] - 1 if len(owner) else 0))
-            ends = np.append(cuts[1:], len(owner))
-            spans = list(zip(cuts.tolist(), ends.tolist(), strict=True))
+            spans = runs(owner)
             rows = dict(
-                id=owner[cuts], elements=[element[a:b].tobytes() for a, b in spans], often=[often[a:b].tobytes() for a, b in spans]
+                id=[int(owner[a]) for a, _ in spans],
+                elements=[element[a:b].tobytes() for a, b in spans],
+                often=[often[a:b].tobytes() for a, b in spans]
             )
             yield _columns(rows, dict(id=pa.int64(), elements=pa.binary(), often=pa.binary()))
 
@@ -266,8 +270,75 @@ def _enough(found: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("l").alias("l")).where("matches >= l").select("a", "b")
 
 
+def _searched(table: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
+    """(node, component) within one neighbourhood (id, n, l, prefix, shared), for classes that link with another."""
+    order = np.argsort(table.column("id").to_numpy())
+    table = table.take(pa.array(order))
+    ids, size, asked = (table.column(c).to_numpy() for c in ("id", "n", "l"))
+    prefix = [x.values.to_numpy() for x in table.column("prefix")]
+    shared = [x.values.to_numpy() for x in table.column("shared")]
+    own = np.repeat(np.arange(len(ids)), [len(p) for p in prefix])
+    _, code = np.unique(np.concatenate(prefix), return_inverse=True)
+    codes = np.split(code, np.cumsum([len(p) for p in prefix])[:-1])
+    waiting, listed = np.ones(len(ids), bool), 0
+
+    def lists():
+        """Postings of the classes still waiting."""
+        some = waiting[own]
+        element, holder = code[some], own[some]
+        rank = np.argsort(element, kind="stable")
+        return holder[rank], np.searchsorted(element[rank], np.arange(code.max() + 2)), int(waiting.sum())
+
+    holders, begin, listed = lists()
+    for seed in range(len(ids)):
+        if not waiting[seed]:
+            continue
+        waiting[seed] = False
+        stack, found = [seed], []
+        while stack:
+            x = stack.pop()
+            if 2 * waiting.sum() < listed:
+                holders, begin, listed = lists()
+            if not listed:
+                break
+            met = [holders[begin[c] : begin[c + 1]] for c in codes[x].tolist()]
+            matches = np.bincount(np.concatenate(met), minlength=len(ids))
+            near = waiting & (matches >= np.minimum(asked[x], asked)) & (100 * size >= similarity * size[x]) & (100 * size[x] >= similarity * size)
+            for y in np.flatnonzero(near).tolist():
+                both = len(np.intersect1d(shared[x], shared[y], assume_unique=True))
+                if 100 * both >= similarity * (size[x] + size[y] - both):
+                    waiting[y] = False
+                    stack.append(y)
+                    found.append(y)
+        for y in [seed, *found] if found else ():
+            yield int(ids[y]), int(ids[seed])
+
+
 def link_components(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     """Step 4: (node, component) of the classes (id, n, l, prefix, shared) that link with another."""
+    postings = sets.select(F.explode("prefix").alias("element"), "id")
+    heads = postings.groupBy("element").agg(F.min("id").alias("a"))
+    ties = postings.join(heads, "element").where("a <> id").select("a", F.col("id").alias("b")).distinct()
+    area = components(ties).select(F.col("node").alias("id"), F.col("component").alias("area"))
+    placed = staged(sets.join(area, "id"), "areas")
+    sizes = placed.groupBy("area").agg(F.sum(F.size("shared")).alias("elements"))
+    large = staged(sizes.where(F.col("elements") > NEIGHBOURHOOD).select("area"), "large")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in regrouped(batches, ["area"]):
+            if table.num_rows > 1:
+                got = list(_searched(table, similarity))
+                yield _columns({"node": [a for a, _ in got], "component": [b for _, b in got]}, dict(node=pa.int64(), component=pa.int64()))
+
+    small = placed.join(large, "area", "left_anti").repartition("area").sortWithinPartitions("area")
+    groups = small.mapInArrow(search, "node long, component long")
+    if large.isEmpty():
+        return groups
+    return groups.union(_by_rounds(placed.join(large, "area", "left_semi").drop("area"), similarity))
+
+
+def _by_rounds(sets: DataFrame, similarity: int) -> DataFrame:
+    """(node, component) of neighbourhoods too large for one task."""
     postings = staged(sets.select(F.explode("prefix").alias("element"), "id", "n", "l"), "postings")
     links, groups, vain, turn = None, None, 0, 0
     while True:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import rolling, slices, staged, text_bytes
+from fluxloom.llm.common import rolling, runs, slices, staged, text_bytes
 
 CAPACITY = 4096
 CLOSING_ID = 1
@@ -241,8 +241,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             row = np.zeros(len(rank), np.int64)
             group = np.searchsorted(firsts, length)
             order = np.argsort(group, kind="stable")
-            bounds = np.flatnonzero(np.diff(group[order], prepend=-1))
-            for a, b in zip(bounds, np.append(bounds[1:], len(order)), strict=True):
+            for a, b in runs(group[order]):
                 own, g = order[a:b], group[order[a]]
                 row[own] = where[g] + np.searchsorted(table["rank"][where[g] : ends[g]], rank[own], side="right") - 1
             nth = rank - table["rank"][row]

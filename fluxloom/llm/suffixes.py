@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import mix64, partitions, regrouped, rolling, slices, staged, text_bytes
+from fluxloom.llm.common import mix64, partitions, regrouped, rolling, runs, slices, staged, text_bytes
 from fluxloom.llm.jaccard import _columns, _packed
 
 SPAN = 200
@@ -136,12 +136,12 @@ def agreement(a: bytes, b: bytes, h: int) -> int:
     return end
 
 
-def merged(runs: list[run]) -> Iterator[tuple[bytes, int, object]]:
+def merged(readers: list[run]) -> Iterator[tuple[bytes, int, object]]:
     """Suffixes of sorted runs in order, with what each shares with the one before it, and its payload."""
     size = 1
-    while size < len(runs):
+    while size < len(readers):
         size *= 2
-    agree = [r.advance() for r in runs] + [-1] * (size - len(runs))
+    agree = [r.advance() for r in readers] + [-1] * (size - len(readers))
     loser = [0] * size
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -151,7 +151,7 @@ def merged(runs: list[run]) -> Iterator[tuple[bytes, int, object]]:
             return (a, b) if ha > hb else (b, a)
         if ha < 0:
             return a, b
-        x, y = runs[a].text, runs[b].text
+        x, y = readers[a].text, readers[b].text
         h = agreement(x, y, ha)
         if x[h : h + 1] <= y[h : h + 1]:
             agree[b] = h
@@ -167,7 +167,7 @@ def merged(runs: list[run]) -> Iterator[tuple[bytes, int, object]]:
 
     winner = build(1)
     while agree[winner] >= 0:
-        r = runs[winner]
+        r = readers[winner]
         yield r.text, agree[winner], r.payload[r.i]
         agree[winner] = r.advance()
         node = (winner + size) >> 1
@@ -264,10 +264,9 @@ def _suffix_rows(parts: np.ndarray, data: np.ndarray, first, last, grams, anchor
     """One front-coded run per range of grams."""
     rows: dict[str, list] = {k: [] for k in _RUN}
     order = np.argsort(parts, kind="stable")
-    cuts = np.flatnonzero(np.diff(parts[order], prepend=-1))
     width = int((last - first).max()) + span if len(first) else 0
     padded = np.concatenate([data, np.zeros(width, np.uint8)])
-    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(order)).tolist(), strict=True):
+    for a, b in runs(parts[order]):
         own = order[a:b]
         lengths = last[own] - first[own] + span
         text = padded[first[own][:, None] + np.arange(width)]
@@ -308,8 +307,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 route = part.column(1).to_numpy().astype(np.int64)
                 for first, _, grams, _, _ in anchored(data, offsets, span, gram):
                     row = np.searchsorted(offsets, first, side="right") - 1
-                    cuts = np.flatnonzero(np.diff(row, prepend=-1))
-                    rows = _packed(np.split(grams, cuts[1:]), route[row[cuts]], bits) if len(cuts) else {}
+                    own = runs(row)
+                    rows = _packed([grams[a:b] for a, b in own], route[row[[a for a, _ in own]]], bits)
                     yield _columns(rows, dict(part=pa.int32(), elements=pa.binary(), owners=pa.binary()))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,8 +326,8 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
             element, route = element[often], route[often]
             order = np.lexsort((element, route))
             element, route = element[order], route[order]
-            cuts = np.flatnonzero(np.diff(route, prepend=-1))
-            rows = dict(route=route[cuts], grams=[np.unique(g).tobytes() for g in np.split(element, cuts[1:])] if len(cuts) else [])
+            own = runs(route)
+            rows = dict(route=[int(route[a]) for a, _ in own], grams=[np.unique(element[a:b]).tobytes() for a, b in own])
             yield _columns(rows, dict(route=pa.int32(), grams=pa.binary()))
 
     met = long_ones.select("text", "route").mapInArrow(sketch, "part int, elements binary, owners binary")
@@ -342,8 +341,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
         sent, certain = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for batch in batches:
             routes_, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            cuts = np.flatnonzero(np.concatenate([[True], (routes_[1:] != routes_[:-1]) | (kinds[1:] != kinds[:-1])]))
-            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(routes_)).tolist(), strict=True):
+            for a, b in runs(2 * routes_.astype(np.int64) + kinds):
                 if routes_[a] != route:
                     known, route = np.zeros(0, np.uint64), routes_[a]
                 if kinds[a] == 0:
@@ -362,7 +360,6 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
                         _, once, which, many = np.unique(whole, return_index=True, return_inverse=True, return_counts=True)
                         before = np.isin(whole[once], sent)
                         double = (many > 1) | before
-                        rows = dict(kind=np.zeros(int(double[which].sum()), np.int32), owner=None)
                         hit = double[which]
                         rows = dict(
                             part=[int(key[0] & ((1 << bits) - 1))], kind=[0], owner=[owner[hit].tobytes()], start=[start[hit].tobytes()],
@@ -388,16 +385,16 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 zero = np.zeros(len(k), np.int32)
                 yield _columns(dict(kind=zero, h=zero.astype(np.int64), k=k, lo=lo, hi=lo + read("data")), _SPANS)
                 continue
-            runs = []
+            readers = []
             for r in table.select(["shared", "rest", "data", "distance", "times", "owner", "start"]).to_pylist():
                 payload = [np.frombuffer(r[c], t).tolist() for c, t in (("distance", np.int32), ("times", np.int32), ("owner", np.int64), ("start", np.int64))]
-                runs.append(run(r["shared"], r["rest"], r["data"], list(zip(*payload, strict=True))))
-            yield from _groups(runs, span)
+                readers.append(run(r["shared"], r["rest"], r["data"], list(zip(*payload, strict=True))))
+            yield from _groups(readers, span)
 
-    runs = both.repartition("route").sortWithinPartitions("route", "kind").mapInArrow(
+    sorted_runs = both.repartition("route").sortWithinPartitions("route", "kind").mapInArrow(
         cut, "part int, kind int, shared binary, rest binary, data binary, distance binary, times binary, owner binary, start binary"
     )
-    spans = runs.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(merge, "kind int, h long, k long, lo long, hi long")
+    spans = sorted_runs.repartition("part").sortWithinPartitions("part", "kind").mapInArrow(merge, "kind int, h long, k long, lo long, hi long")
     spans = staged(spans, "spans")
     # Strings of grams with too many suffixes: kind counts how often each row's string was met.
     loose = spans.where("kind > 0")
@@ -405,7 +402,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     return spans.where("kind = 0").select("k", "lo", "hi").union(loose.where("kind = 1").join(twice, "h").select("k", "lo", "hi"))
 
 
-def _groups(runs: list[run], span: int) -> Iterator[pa.RecordBatch]:
+def _groups(readers: list[run], span: int) -> Iterator[pa.RecordBatch]:
     """Merge runs and find what is repeated in each group of one gram."""
     few, many = matcher(span), matcher(span)
     whole: dict[str, list] = {"kind": [], "h": [], "k": [], "lo": [], "hi": []}
@@ -427,7 +424,7 @@ def _groups(runs: list[run], span: int) -> Iterator[pa.RecordBatch]:
                 yield _columns(few.solve(), _SPANS)
 
     last = b""
-    for text, shared, (distance, times, owner, start) in merged(runs):
+    for text, shared, (distance, times, owner, start) in merged(readers):
         if shared < 8:
             if last:
                 yield from close(last[:8])
