@@ -46,8 +46,8 @@ PIECE = 1 << 20
 ROUTE = 4 << 20
 #: Different suffixes of one gram that are matched in one task.
 VARIANTS = 4096
-#: Strings whose hashes are matched at once.
-STRINGS = 1 << 18
+#: Bytes of suffixes whose strings are matched at once.
+MATCHED = 1 << 20
 
 
 # ---------------------------------------------------------------- anchors
@@ -193,7 +193,7 @@ class matcher:
 
     def clear(self):
         self.texts, self.group, self.distance, self.times, self.owner, self.start = [], [], [], [], [], []
-        self.strings = 0
+        self.bytes = 0
 
     def add(self, group: int, variants: list) -> None:
         for text, distance, times, owner, start in variants:
@@ -203,7 +203,7 @@ class matcher:
             self.times.append(times)
             self.owner.append(owner)
             self.start.append(start)
-            self.strings += len(text) - self.span + 1
+            self.bytes += len(text)
 
     def _hashes(self):
         """Per string: a hash of gram, distance and bytes; its suffix; its place in it."""
@@ -420,7 +420,7 @@ def _groups(readers: list[run], span: int) -> Iterator[pa.RecordBatch]:
             yield _columns(many.scatter(), _SPANS)
         elif len(variants) > 1:
             few.add(number, variants)
-            if few.strings >= STRINGS:
+            if few.bytes >= MATCHED:
                 yield _columns(few.solve(), _SPANS)
 
     last = b""
