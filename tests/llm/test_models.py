@@ -87,7 +87,7 @@ def test_toxicity_of_awkward_tables(spark):
     docs = cases.edge_docs(spark)
     bad = [(3000 + i, f"wort{i} du schurkenbold{'' if i % 2 else ' und'} ende{i}", None, None, None) for i in range(60)]
     good = [(4000 + i, f"wort{i} du lieber mensch ende{i}", None, None, None) for i in range(60)]
-    extra = ["s-c-h-u-r-k-e-n-b-o-l-d", "s c h u r k e n b o l d", "schurkenxbold", "lieber mensch und wort"]
+    extra = ["s-c-h-u-r-k-e-n-b-o-l-d", "s c h u r k e n b o l d", "schurkenxbold", "lieber mensch wort ende"]
     hidden = [(5000 + i, t, None, None, None) for i, t in enumerate(extra)]
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     docs = docs.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(bad + good + hidden, schema))
