@@ -15,7 +15,7 @@ from fluxloom.session import shared_folder, staged
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one step of a numpy kernel takes at once.
-CHUNK = 4 << 20
+CHUNK = 2 << 20
 
 __all__ = ["WORD", "documents", "staged", "shared_folder", "n_words", "mix64", "rolling", "slices", "partitions", "hex_unit"]
 

@@ -84,7 +84,8 @@ def anchored(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, gram: int
         first, last = sound[cuts], sound[np.append(cuts[1:], len(sound)) - 1]
         anchor = own[cuts]
         whole = roll.of(first, last + span) ^ mix64((anchor - first).astype(np.uint64))
-        yield first + at, last + at, grams[anchor], anchor + at, whole
+        # Chosen grams have small hashes: hashed once more they spread evenly over the ranges.
+        yield first + at, last + at, mix64(grams[anchor]), anchor + at, whole
 
 
 # ---------------------------------------------------------------- front-coded runs
