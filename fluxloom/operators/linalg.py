@@ -87,45 +87,53 @@ def _tall_gram(df, keys, x, y, issues, date):
 
 
 def unpack(packed) -> np.ndarray:
-    """Symmetric matrix from its packed upper triangle."""
+    """Symmetric matrix from its packed upper triangle; a stack of matrices from a stack of triangles."""
     values = np.asarray(packed, dtype=float)
-    k = int((np.sqrt(8 * len(values) + 1) - 1) / 2)
-    full = np.zeros((k, k))
-    upper = np.triu_indices(k)
-    full[upper] = values
-    full.T[upper] = values
+    k = int((np.sqrt(8 * values.shape[-1] + 1) - 1) / 2)
+    full = np.zeros((*values.shape[:-1], k, k))
+    row, column = np.triu_indices(k)
+    full[..., row, column] = values
+    full[..., column, row] = values
     return full
 
 
-def ridge_solve(g: np.ndarray, ridge: float = 0.0) -> np.ndarray:
-    """Coefficients (intercept first) minimising squared error plus ``ridge`` times their squares.
+def ridge_solve(g: np.ndarray, ridge: float | np.ndarray = 0.0) -> np.ndarray:
+    """Coefficients (intercept first) minimising squared error plus ``ridge`` times their squares, for a stack.
 
-    The intercept is not penalised. Regressors are scaled for the solve only.
+    The intercept is not penalised. Regressors are scaled for the solve only; directions without
+    variation get the smallest coefficients.
+    """
+    a, b = g[..., :-1, :-1].copy(), g[..., :-1, -1]
+    k = a.shape[-1]
+    scale = np.sqrt(np.maximum(np.diagonal(a, axis1=-2, axis2=-1), 1e-300))
+    a[..., range(1, k), range(1, k)] += np.asarray(ridge, float)[..., None]
+    values, vectors = np.linalg.eigh(a / (scale[..., :, None] * scale[..., None, :]))
+    known = np.abs(values) > 1e-12 * np.abs(values).max(axis=-1, keepdims=True)
+    inverse = np.where(known, 1 / np.where(known, values, 1.0), 0.0)
+    turned = np.einsum("...ji,...j->...i", vectors, b / scale)
+    return np.einsum("...ij,...j->...i", vectors, inverse * turned) / scale
+
+
+def fit_rows(g: np.ndarray, coef: np.ndarray, ridge: float | np.ndarray = 0.0) -> tuple:
+    """Fit summaries of a stack, from the matrices alone: n, coef, rss, residual sd, normal-equation gap."""
+    n = g[:, 0, 0]
+    v = np.concatenate([coef, -np.ones((len(g), 1))], axis=1)
+    moments = np.einsum("mij,mj->mi", g, v)
+    rss = np.maximum(np.einsum("mi,mi->m", v, moments), 0.0)
+    mean = moments[:, 0] / n
+    sd = np.sqrt(np.maximum(rss - n * mean * mean, 0.0) / np.maximum(n - 1, 1))
+    gaps = moments[:, :-1].copy()
+    gaps[:, 1:] += np.asarray(ridge, float).reshape(-1, 1) * coef[:, 1:]
+    size = np.sqrt(np.diagonal(g, axis1=1, axis2=2)[:, :-1] * g[:, -1, -1][:, None])
+    gap = (np.abs(gaps) / np.maximum(size, 1e-300)).max(axis=1)
+    return n, coef.tolist(), rss, [x if k > 1 else None for x, k in zip(sd.tolist(), n)], gap
+
+
+def solve_rows(grams: DataFrame, keys: Sequence[str], solver: Callable, columns: str) -> DataFrame:
+    """Apply ``solver`` to the matrices of an Arrow batch, all of one size at once.
+
+    ``solver`` takes a stack (m, k, k) and returns one sequence of m values per column.
     """
-    a, b = g[:-1, :-1].copy(), g[:-1, -1]
-    scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
-    penalty = np.full(len(a), float(ridge))
-    penalty[0] = 0.0
-    a[np.diag_indices_from(a)] += penalty
-    return np.linalg.lstsq(a / np.outer(scale, scale), b / scale, rcond=1e-12)[0] / scale
-
-
-def fit_row(g: np.ndarray, coef: np.ndarray, ridge: float = 0.0):
-    """Fit summary from the matrix alone: rss, residual sd and the largest normal-equation gap."""
-    n = g[0, 0]
-    v = np.append(coef, -1.0)
-    rss = max(float(v @ g @ v), 0.0)
-    mean = float(g[0] @ v) / n
-    sd = np.sqrt(max(rss - n * mean * mean, 0.0) / (n - 1)) if n > 1 else None
-    moments = g[:-1] @ v
-    moments[1:] += ridge * coef[1:]
-    size = np.sqrt(np.diag(g)[:-1] * g[-1, -1])
-    gap = float(np.max(np.abs(moments) / np.maximum(size, 1e-300)))
-    return n, coef.tolist(), rss, sd, gap
-
-
-def solve_rows(grams: DataFrame, keys: Sequence[str], solver: Callable, columns: str, extra: Sequence[str] = ()):
-    """Apply ``solver(matrix, *extra values) -> tuple`` to each row's matrix, in Arrow batches."""
     carried = list(keys)
     types = dict(grams.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in carried) + ", " + columns
@@ -133,11 +141,12 @@ def solve_rows(grams: DataFrame, keys: Sequence[str], solver: Callable, columns:
 
     def run(batches):
         for pdf in batches:
-            solved = [solver(unpack(r[0]), *r[1:]) for r in zip(pdf["gram"], *[pdf[e] for e in extra])]
-            result = pd.DataFrame(solved, columns=names, dtype=object)
-            yield pd.concat([pdf[carried].reset_index(drop=True), result], axis=1)
+            for _, some in pdf.groupby(pdf["gram"].map(len), sort=False):
+                solved = solver(unpack(np.stack(some["gram"].to_list())))
+                result = pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in zip(names, solved)})
+                yield pd.concat([some[carried].reset_index(drop=True), result], axis=1)
 
-    return grams.select(*carried, "gram", *[e for e in extra if e not in carried]).mapInPandas(run, schema)
+    return grams.select(*carried, "gram").mapInPandas(run, schema)
 
 
 def gram_fit(
@@ -152,7 +161,7 @@ def gram_fit(
     """Keyed ridge regression of ``y`` on ``x`` and an intercept; ``x`` as in ``gram``."""
     grams = gram(df, keys, x, y, issues, date)
     out_keys = [c for c in grams.columns if c != "gram"]
-    return solve_rows(grams, out_keys, lambda g: fit_row(g, ridge_solve(g, ridge), ridge), FIT_COLUMNS)
+    return solve_rows(grams, out_keys, lambda g: fit_rows(g, ridge_solve(g, np.full(len(g), ridge)), ridge), FIT_COLUMNS)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -164,43 +173,71 @@ def with_intercept(x: Column) -> Column:
     return F.concat(F.array(F.lit(1.0)), x)
 
 
-def elastic_net_path(g: np.ndarray, lambdas: np.ndarray, alphas: np.ndarray, sweeps: int = 60) -> np.ndarray:
-    """Coordinate descent for a stack of matrices and a list of penalties, all at once.
+def elastic_net_path(
+    g: np.ndarray, lambdas: np.ndarray, alphas: np.ndarray, tolerance: float = 1e-9, sweeps: int = 10_000
+) -> np.ndarray:
+    """Coordinate descent for a stack of matrices and a list of penalties, all at once, until nothing moves.
 
     ``g`` has shape (m, k, k); the result (m, penalties, k - 1) holds raw coefficients, intercept first.
+    ``elastic_net_gap`` tells how far a result is from the optimum.
     """
-    n = g[:, 0, 0][:, None]
-    mean = g[:, 0, 1:] / n
-    cov = g[:, 1:, 1:] / n[:, :, None] - mean[:, :, None] * mean[:, None, :]
-    sd = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 1e-300))
-    r = cov / (sd[:, :, None] * sd[:, None, :])
-    rxx, rxy = r[:, :-1, :-1], r[:, :-1, -1]
+    mean, sd, rxx, rxy = _standardized(g)
     b = np.zeros((len(g), len(lambdas), rxx.shape[1]))
     soft, hard = lambdas * alphas, 1 + lambdas * (1 - alphas)
     for _ in range(sweeps):
+        moved = 0.0
         for j in range(b.shape[2]):
             partial = rxy[:, j, None] - np.einsum("mk,mlk->ml", rxx[:, j], b) + b[:, :, j]
-            b[:, :, j] = np.sign(partial) * np.maximum(np.abs(partial) - soft, 0) / hard
+            new = np.sign(partial) * np.maximum(np.abs(partial) - soft, 0) / hard
+            moved = max(moved, float(np.abs(new - b[:, :, j]).max(initial=0.0)))
+            b[:, :, j] = new
+        if moved <= tolerance:
+            break
     raw = b * (sd[:, None, -1:] / sd[:, None, :-1])
     intercept = mean[:, None, -1] - np.einsum("mlk,mk->ml", raw, mean[:, :-1])
     return np.concatenate([intercept[:, :, None], raw], axis=2)
 
 
-def evidence_ridge(g: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Ridge coefficients with the penalty chosen by evidence maximisation (MacKay 1992)."""
-    n, k = g[0, 0], len(g) - 1
-    a, b = g[:-1, :-1], g[:-1, -1]
-    eig = np.clip(np.linalg.eigvalsh(a[1:, 1:] - np.outer(a[1:, 0], a[0, 1:]) / n), 0, None)
-    penalty = 1.0
+def _standardized(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Means and spreads, correlations among regressors and with the target."""
+    n = g[:, 0, 0][:, None]
+    mean = g[:, 0, 1:] / n
+    cov = g[:, 1:, 1:] / n[:, :, None] - mean[:, :, None] * mean[:, None, :]
+    sd = np.sqrt(np.maximum(np.diagonal(cov, axis1=1, axis2=2), 1e-300))
+    r = cov / (sd[:, :, None] * sd[:, None, :])
+    return mean, sd, r[:, :-1, :-1], r[:, :-1, -1]
+
+
+def elastic_net_gap(g: np.ndarray, coef: np.ndarray, lambdas: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Largest violation of the optimality conditions, on the scale of correlations; one penalty per matrix."""
+    _, sd, rxx, rxy = _standardized(g)
+    b = coef[:, 1:] * sd[:, :-1] / sd[:, -1:]
+    slope = rxy - np.einsum("mij,mj->mi", rxx, b) - (lambdas * (1 - alphas))[:, None] * b
+    bound = (lambdas * alphas)[:, None]
+    active = np.abs(slope - bound * np.sign(b))
+    return np.where(b != 0, active, np.maximum(np.abs(slope) - bound, 0)).max(axis=1)
+
+
+def evidence_ridge(g: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Ridge coefficients of a stack with penalties chosen by evidence maximisation (MacKay 1992).
+
+    Every matrix is iterated until its own penalty no longer moves.
+    """
+    n = g[:, 0, 0]
+    centred = g[:, 1:-1, 1:-1] - g[:, 1:-1, 0, None] * g[:, None, 0, 1:-1] / n[:, None, None]
+    eig = np.clip(np.linalg.eigvalsh(centred), 0, None)
+    penalty, moving = np.ones(len(g)), np.ones(len(g), bool)
     for _ in range(rounds):
-        coef = ridge_solve(g, penalty)
-        v = np.append(coef, -1.0)
-        rss = max(float(v @ g @ v), 1e-300)
-        effective = float(np.sum(eig / (eig + penalty)))
-        noise = rss / max(n - effective - 1, 1.0)
-        weights = max(float(coef[1:] @ coef[1:]), 1e-300)
-        updated = float(np.clip(effective * noise / weights, 1e-8, 1e8))
-        if abs(updated - penalty) <= 1e-6 * penalty:
+        at = np.flatnonzero(moving)
+        if not len(at):
             break
-        penalty = updated
+        coef = ridge_solve(g[at], penalty[at])
+        v = np.concatenate([coef, -np.ones((len(at), 1))], axis=1)
+        rss = np.maximum(np.einsum("mi,mij,mj->m", v, g[at], v), 1e-300)
+        effective = (eig[at] / (eig[at] + penalty[at, None])).sum(axis=1)
+        noise = rss / np.maximum(n[at] - effective - 1, 1.0)
+        weights = np.maximum((coef[:, 1:] ** 2).sum(axis=1), 1e-300)
+        updated = np.clip(effective * noise / weights, 1e-8, 1e8)
+        moving[at] = np.abs(updated - penalty[at]) > 1e-6 * penalty[at]
+        penalty[at] = updated
     return ridge_solve(g, penalty), penalty

@@ -31,28 +31,33 @@ def _terms(p: int, q: int, sp: int, sq: int) -> list[int]:
     return [0, *range(1, 1 + p), *range(6, 6 + sp), *range(7, 7 + q), *range(9, 9 + sq)]
 
 
-def choose_order(g: np.ndarray):
-    """Order of lowest AICc. Every candidate is a sub-matrix of the same Gram matrix, so all use the same rows."""
-    n, last = g[0, 0], len(g) - 1
-    best = None
-    for order in ORDERS:
+def choose_orders(g: np.ndarray) -> tuple:
+    """Order of lowest AICc for each matrix of a stack. Every candidate is a sub-matrix, so all use the same rows."""
+    n, last = g[:, 0, 0], g.shape[1] - 1
+    best = np.full(len(g), np.inf)
+    coef, rss, noise = np.zeros((len(g), len(TERMS))), np.zeros(len(g)), np.zeros(len(g))
+    chosen = np.full(len(g), -1)
+    for i, order in enumerate(ORDERS):
         used = _terms(*order)
         k = len(used) + 1
-        if n - k - 1 <= 0:
+        at = np.flatnonzero(n - k - 1 > 0)
+        if not len(at):
             continue
-        sub = g[np.ix_([*used, last], [*used, last])]
-        b = ridge_solve(sub)
-        v = np.append(b, -1.0)
-        rss = max(float(v @ sub @ v), 1e-12)
-        aicc = n * np.log(rss / n) + 2 * k + 2 * k * (k + 1) / (n - k - 1)
-        if best is None or aicc < best[0] - 1e-9:
-            coef = np.zeros(len(TERMS))
-            coef[used] = b
-            best = (aicc, coef, rss, rss / max(n - len(used), 1), order)
-    if best is None:
-        return (n, None, None, None, None, None, None, None, None)
-    aicc, coef, rss, noise, order = best
-    return (n, coef.tolist(), rss, float(aicc), noise, *order)
+        sub = g[at][:, [*used, last]][:, :, [*used, last]]
+        b = ridge_solve(sub, np.zeros(len(at)))
+        v = np.concatenate([b, -np.ones((len(at), 1))], axis=1)
+        left = np.maximum(np.einsum("mi,mij,mj->m", v, sub, v), 1e-12)
+        aicc = n[at] * np.log(left / n[at]) + 2 * k + 2 * k * (k + 1) / (n[at] - k - 1)
+        better = aicc < best[at] - 1e-9
+        at = at[better]
+        best[at], rss[at], chosen[at] = aicc[better], left[better], i
+        noise[at] = left[better] / np.maximum(n[at] - len(used), 1)
+        coef[at] = 0.0
+        coef[np.ix_(at, used)] = b[better]
+    found = chosen >= 0
+    show = lambda values: [x if ok else None for x, ok in zip(values, found)]
+    orders = [show([ORDERS[i][j] for i in chosen]) for j in range(4)]
+    return (n, show(coef.tolist()), show(rss.tolist()), show(best.tolist()), show(noise.tolist()), *orders)
 
 
 def _present(*columns: str):
@@ -86,7 +91,7 @@ def arima_orders(rows: DataFrame) -> DataFrame:
     names = [f"{c}{k}" for c, k in terms]
     samples = rows.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in zip(names, terms)}).where(_present("w", *names))
     g = gram(samples, FITS, [F.col(n) for n in names], F.col("w"))
-    return solve_rows(g, FITS, choose_order, ORDER_COLUMNS)
+    return solve_rows(g, FITS, choose_orders, ORDER_COLUMNS)
 
 
 def arima_fits(monthly: DataFrame, issues: DataFrame) -> DataFrame:

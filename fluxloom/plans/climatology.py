@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.functions.dates import steps_to_issue
 from fluxloom.operators.calendar import interpolate_linear
-from fluxloom.plans.common import FITS, HORIZON, PLACEMENT, SERIES, finish_forecast, issue_array, register_model
+from fluxloom.plans.common import FITS, HORIZON, SERIES, finish_forecast, issue_array, placed, register_model
 
 
 @register_model("climatology")
@@ -29,7 +29,7 @@ def fc_climatology(
     by_month = Window.partitionBy(*SERIES, month).orderBy("datetime")
     so_far = by_month.rowsBetween(Window.unboundedPreceding, 0)
     y = F.col("observation")
-    moments = monthly.repartition(*PLACEMENT).withColumns(
+    moments = placed(monthly).withColumns(
         {
             "month": month,
             "n": F.count(y).over(so_far),

@@ -31,16 +31,34 @@ def issue_array(issues: DataFrame) -> Column:
     return issues.agg(F.sort_array(F.collect_set("issue"))).scalar()
 
 
+def placed(df: DataFrame) -> DataFrame:
+    """Rows dealt by series over a stated number of partitions.
+
+    Fits cost time, not bytes: without the number, adaptive execution would put small series into one task.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *PLACEMENT)
+
+
+def issue_lookup(table: DataFrame, value: str) -> Column:
+    """A column of a table with one row per issue date, looked up by the row's own ``issue``; null where absent.
+
+    Such tables are bounded by the calendar, so they travel as one map; a join would have the issue date as its
+    only key, which Catalyst folds away for a single date.
+    """
+    entries = table.agg(F.map_from_entries(F.collect_list(F.struct("issue", value)))).scalar()
+    return F.try_element_at(entries, F.col("issue"))
+
+
 def training_window(monthly: DataFrame, issues: DataFrame, inclusive: bool = False) -> DataFrame:
     """For each issue date the rows before it (or up to it), with the date in ``issue``.
 
     Rows are placed by series first; every window and aggregate of a model is keyed by series and
     issue date and reuses that placement.
     """
-    placed = monthly.repartition(*PLACEMENT).withColumn("_issues", issue_array(issues))
+    rows = placed(monthly).withColumn("_issues", issue_array(issues))
     d = F.col("datetime")
     use = F.filter("_issues", lambda i: (i >= d) if inclusive else (i > d))
-    return placed.withColumn("issue", F.explode(use)).drop("_issues")
+    return rows.withColumn("issue", F.explode(use)).drop("_issues")
 
 
 def fan_out_keys(monthly: DataFrame) -> DataFrame:

@@ -21,9 +21,12 @@ from fluxloom.operators.aggregates import PREDICTORS, future_drivers, past_drive
 from fluxloom.operators.cleaning import drop_incomplete, min_rows_per_key
 from fluxloom.operators.joins import join_drivers
 from fluxloom.operators.linalg import (
-    FIT_COLUMNS, dot, elastic_net_path, evidence_ridge, fit_row, gram, ridge_solve, solve_rows, unpack, with_intercept,
+    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, evidence_ridge, fit_rows, gram, ridge_solve, solve_rows, unpack,
+    with_intercept,
+)
+from fluxloom.plans.common import (
+    FITS, SERIES, finish_forecast, issue_array, issue_lookup, placed, register_model, training_window,
 )
-from fluxloom.plans.common import FITS, PLACEMENT, SERIES, finish_forecast, issue_array, register_model, training_window
 
 LEAST_ROWS = 10
 SEED = 7
@@ -58,7 +61,7 @@ def member_arrays(drivers: DataFrame, issues: DataFrame) -> DataFrame:
 
 def apply_to_members(fits: DataFrame, future: DataFrame, predict: Callable[[Column], Column]) -> DataFrame:
     """The same fit over every member and lead month: FITS, datetime, ``members`` (predictions)."""
-    rows = fits.join(future, "issue").withColumn("_f", F.explode("future"))
+    rows = fits.withColumn("_f", F.explode(issue_lookup(future, "future")))
     return rows.select(
         *FITS, "residual_sd", F.col("_f.datetime").alias("datetime"),
         F.transform("_f.members", lambda m: predict(m.x)).alias("members"),
@@ -119,7 +122,7 @@ def choose_elastic_net(parts) -> tuple:
     ``parts`` are (repeat, fold, packed matrix); the rows of a repeat sum to the whole.
     """
     repeats = np.array([p[0] for p in parts])
-    g = np.stack([unpack(p[2]) for p in parts])
+    g = unpack(np.stack([p[2] for p in parts]))
     whole = g[repeats == repeats.min()].sum(axis=0)
     alphas, lambdas = (a.ravel() for a in np.meshgrid(MIXING, PENALTIES))
     held_in = whole[None] - g
@@ -128,15 +131,17 @@ def choose_elastic_net(parts) -> tuple:
     v = np.concatenate([b, -np.ones((*b.shape[:2], 1))], axis=2)
     error = np.einsum("mlj,mjk,mlk->l", v, g[usable], v)
     best = int(np.argmin(error))
-    coef = elastic_net_path(whole[None], lambdas[best : best + 1], alphas[best : best + 1])[0, 0]
-    n, coef, rss, sd, _ = fit_row(whole, coef)
-    return n, coef, rss, sd, float(alphas[best]), float(lambdas[best])
+    chosen = slice(best, best + 1)
+    coef = elastic_net_path(whole[None], lambdas[chosen], alphas[chosen])[:, 0]
+    gap = elastic_net_gap(whole[None], coef, lambdas[chosen], alphas[chosen])
+    n, coef, rss, sd, _ = (x[0] for x in fit_rows(whole[None], coef))
+    return n, coef, rss, sd, float(alphas[best]), float(lambdas[best]), float(gap[0])
 
 
 def enough_rows(rows: DataFrame, issues: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
     """Series and issue dates with at least ``least`` rows before the date, from a running count."""
     w = Window.partitionBy(*SERIES).orderBy("datetime")
-    counted = rows.repartition(*PLACEMENT).withColumns(
+    counted = placed(rows).withColumns(
         {"_n": F.row_number().over(w), "_next": F.lead("datetime").over(w), "_issues": issue_array(issues)}
     )
     d, following = F.col("datetime"), F.col("_next")
@@ -146,7 +151,7 @@ def enough_rows(rows: DataFrame, issues: DataFrame, least: int = LEAST_ROWS) ->
 
 def elastic_net_fit(monthly, drivers, issues, folds: int = 5, repeats: int = 5) -> DataFrame:
     rows = complete_rows(monthly, drivers)
-    folded = cv_folds(rows, ["site_id", "variable", "datetime"], folds, repeats).repartition(*PLACEMENT)
+    folded = placed(cv_folds(rows, ["site_id", "variable", "datetime"], folds, repeats))
     keys = [*SERIES, "repeat", "fold"]
     parts = gram(folded, keys, [F.col(p) for p in PREDICTORS], F.col("observation"), issue_array(issues))
     packed = parts.groupBy(*FITS).agg(
@@ -157,9 +162,9 @@ def elastic_net_fit(monthly, drivers, issues, folds: int = 5, repeats: int = 5)
 
 def _solve_parts(packed: DataFrame) -> DataFrame:
     types = dict(packed.dtypes)
-    names = ["n", "coef", "rss", "residual_sd", "alpha", "lambda"]
+    names = ["n", "coef", "rss", "residual_sd", "alpha", "lambda", "gap"]
     schema = ", ".join(f"`{k}` {types[k]}" for k in FITS) + (
-        ", n double, coef array<double>, rss double, residual_sd double, alpha double, lambda double"
+        ", n double, coef array<double>, rss double, residual_sd double, alpha double, lambda double, gap double"
     )
 
     def run(batches):
@@ -232,7 +237,7 @@ def _each(stage: Callable[[Column], Column]) -> Column:
 
 def _feature_forecast(fits, drivers, issues, stages, model_id) -> DataFrame:
     future = member_arrays(drivers, issues)
-    rows = fits.join(future, "issue").withColumn("_f", F.explode("future"))
+    rows = fits.withColumn("_f", F.explode(issue_lookup(future, "future")))
     x = F.transform("_f.members", lambda m: _scaled(m.x))
     rows = rows.withColumn("x", x)
     for stage in stages:
@@ -249,7 +254,7 @@ NET_STAGES = (hidden_features,)
 
 
 def kernel_ridge_fit(monthly, drivers, issues, ridge: float = 1.0) -> DataFrame:
-    solver = lambda g: fit_row(g, ridge_solve(g, ridge), ridge)
+    solver = lambda g: fit_rows(g, ridge_solve(g, np.full(len(g), ridge)), ridge)
     return _feature_fit(monthly, drivers, issues, KERNEL_STAGES, KERNEL_FEATURES, solver)
 
 
@@ -263,7 +268,7 @@ def fc_kernel_ridge(monthly, drivers, issues, ridge: float = 1.0) -> DataFrame:
 def bayes_net_fit(monthly, drivers, issues) -> DataFrame:
     def solver(g):
         coef, penalty = evidence_ridge(g)
-        return fit_row(g, coef, penalty)
+        return fit_rows(g, coef, penalty)
 
     return _feature_fit(monthly, drivers, issues, NET_STAGES, NET_FEATURES, solver)
 

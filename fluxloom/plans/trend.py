@@ -38,7 +38,11 @@ def _slope(g: np.ndarray):
     return n, float(coef[1]), se, float(coef[1] / se) if se > 0 else None, gap
 
 
+def _slopes(g: np.ndarray) -> tuple:
+    return tuple(zip(*map(_slope, g)))
+
+
 def fixed_effect_trend(scores: DataFrame) -> DataFrame:
     """Slope of log RMSE on warming per vegetation, models and transects held fixed."""
     grams = gram(trend_samples(scores), ["Veg"], F.col("x"), F.col("y"))
-    return solve_rows(grams, ["Veg"], _slope, "n double, slope double, se double, t double, gap double")
+    return solve_rows(grams, ["Veg"], _slopes, "n double, slope double, se double, t double, gap double")
