@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.dates import steps_to_issue
-from fluxloom.operators.linalg import dot, gram_fit, with_intercept
+from fluxloom.operators.linalg import FIT_COLUMNS, dot, fit_designs, with_intercept
 from fluxloom.operators.series import argmax_by
 from fluxloom.session import staged
 from fluxloom.plans.common import FITS, HORIZON, finish_forecast, register_model, series_arrays, training_series
@@ -16,48 +20,50 @@ STEPS_AHEAD = 6
 LIBRARY_SHARE = 0.8
 
 
+def _skill(y: np.ndarray, lib: int, max_e: int, tp: int) -> list[tuple[int, float | None, int]]:
+    """(E, correlation, points) of one series. Distances grow by one squared term per dimension."""
+    out = []
+    targets, pool = np.arange(lib + 1, len(y) - tp + 1), np.arange(1, lib - tp + 1)
+    squares = np.zeros((len(targets), len(pool)))
+    for e in range(1, max_e + 1):
+        targets_in, pool_in = targets >= e, pool >= e
+        targets, pool, squares = targets[targets_in], pool[pool_in], squares[targets_in][:, pool_in]
+        if not len(targets) or not len(pool):
+            break
+        squares = squares + (y[targets - e][:, None] - y[pool - e]) ** 2
+        d = np.sqrt(squares)
+        near = np.argsort(d, axis=1, kind="stable")[:, : e + 1]
+        d = np.take_along_axis(d, near, axis=1)
+        first = d[:, :1]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = np.where(first > 0, np.maximum(np.exp(-d / first), 1e-6), np.where(d > 0, 1e-6, 1.0))
+        predicted = (weight * y[pool[near] + tp - 1]).sum(axis=1) / weight.sum(axis=1)
+        truth = y[targets + tp - 1]
+        a, b = predicted - predicted.mean(), truth - truth.mean()
+        scale = math.sqrt(float(a @ a) * float(b @ b))
+        out.append((e, float(a @ b) / scale if scale > 0 else None, len(targets)))
+    return out
+
+
 def simplex_skill(arrays: DataFrame, max_e: int = MAX_E, tp: int = STEPS_AHEAD) -> DataFrame:
     """Correlation of simplex predictions with the truth per series and embedding dimension.
 
     The first 80 % of a series is the library. A point of the rest is predicted from its E + 1
     nearest library points (earlier date on a tie), weighted by exp(-d / nearest d), at least 1e-6.
-    Neighbours are ranked inside the array of one point, so no pairs of rows are ever formed.
+    Only one bounded series is in memory at a time.
     """
     lib = F.bround(F.col("size") * LIBRARY_SHARE, 0).cast("int")
-    targets = F.when(
-        F.col("size") - tp >= lib + 1, F.sequence(lib + 1, F.col("size") - tp)
-    ).otherwise(F.array().cast("array<int>"))
-    points = arrays.withColumn("lib", lib).select(*FITS, "y", "lib", F.explode(targets).alias("t"))
-    at = lambda i: F.get("y", i - 1)
-
-    def predict(e):
-        last = F.col("lib") - tp
-        usable = (last >= e) & (F.col("t") >= e)
-        pool = F.when(usable, F.sequence(e, last)).otherwise(F.array().cast("array<int>"))
-        square = lambda i, s: F.pow(at(F.col("t") - i) - at(s - i), F.lit(2.0))
-        distance = lambda s: F.sqrt(
-            F.aggregate(F.sequence(F.lit(0), e - 1), F.lit(0.0), lambda acc, i: acc + square(i, s))
-        )
-        near = F.slice(
-            F.array_sort(F.transform(pool, lambda s: F.struct(distance(s).alias("d"), s.alias("s")))), 1, e + 1
-        )
-        return F.struct(e.alias("E"), near.alias("near"))
-
-    near = points.withColumn(
-        "r", F.explode(F.transform(F.sequence(F.lit(1), F.lit(max_e)), predict))
-    ).select(*FITS, "y", "t", "r.E", "r.near").where(F.size("near") > 0)
-    first = F.col("near")[0].d
-    weight = lambda c: F.when(first > 0, F.greatest(F.exp(-c.d / first), F.lit(1e-6))).otherwise(
-        F.when(c.d > 0, F.lit(1e-6)).otherwise(F.lit(1.0))
-    )
-    pairs = near.withColumn(
-        "wt", F.transform("near", lambda c: F.struct(weight(c).alias("w"), at(c.s + tp).alias("v")))
-    )
-    total = lambda f: F.aggregate("wt", F.lit(0.0), lambda acc, c: acc + f(c))
-    predicted = pairs.withColumns(
-        {"pred": total(lambda c: c.w * c.v) / total(lambda c: c.w), "obs": at(F.col("t") + tp)}
-    )
-    return predicted.groupBy(*FITS, "E").agg(F.corr("pred", "obs").alias("rho"), F.count("*").alias("points"))
+    series = arrays.select(*FITS, "y", lib.alias("lib"))
+    types = dict(series.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            found = [_skill(np.asarray(y, float), lib, max_e, tp) for y, lib in zip(pdf["y"], pdf["lib"])]
+            keys = pdf.loc[pdf.index.repeat([len(f) for f in found]), list(FITS)].reset_index(drop=True)
+            rows = pd.DataFrame([r for f in found for r in f], columns=["E", "rho", "points"], dtype=object)
+            yield pd.concat([keys, rows], axis=1)
+
+    return series.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in FITS) + ", E int, rho double, points long")
 
 
 def edm_select_dimension(monthly: DataFrame, issues: DataFrame) -> DataFrame:
@@ -70,14 +76,19 @@ def smap_fit(monthly: DataFrame, issues: DataFrame) -> DataFrame:
     """Global linear map from the chosen number of lags to the next month."""
     arrays = staged(series_arrays(training_series(monthly, issues)), "series")
     chosen = argmax_by(simplex_skill(arrays), FITS, "E", "rho").drop("rho")
-    fits = arrays.join(chosen, list(FITS))
-    ends = F.when(F.col("size") > F.col("E"), F.sequence("E", F.col("size") - 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    lagged = lambda t: F.reverse(F.slice("y", t - F.col("E") + 1, F.col("E")))
-    samples = fits.select(*FITS, "y", "E", F.explode(ends).alias("t"))
-    fitted = gram_fit(samples.select(*FITS, lagged(F.col("t")).alias("x"), F.get("y", F.col("t")).alias("v")), FITS, F.col("x"), F.col("v"))
-    return fits.join(fitted, list(FITS))
+    fits = arrays.join(chosen, list(FITS)).where(F.col("size") > F.col("E"))
+    types = dict(fits.dtypes)
+
+    def lags(y: np.ndarray, e: int) -> np.ndarray:
+        """Rows (1, newest to oldest of e values, next value)."""
+        return np.column_stack([np.ones(len(y) - e), *[y[e - i : len(y) - i] for i in range(1, e + 1)], y[e:]])
+
+    def run(batches):
+        for pdf in batches:
+            designs = [lags(np.asarray(y, float), e) for y, e in zip(pdf["y"], pdf["E"])]
+            yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(fit_designs(designs), dtype=object)], axis=1)
+
+    return fits.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in fits.columns) + ", " + FIT_COLUMNS)
 
 
 @register_model("rEDM")

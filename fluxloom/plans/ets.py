@@ -1,14 +1,15 @@
-"""Exponential smoothing by grid search, folded over each series inside the JVM."""
+"""Exponential smoothing by grid search: all series of a batch and all grid points are folded month by month at once."""
 
 from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.dates import steps_to_issue
-from fluxloom.functions.values import constant
 from fluxloom.plans.common import (
     BAND_68, FITS, HORIZON, finish_forecast, register_model, series_arrays, training_series,
 )
@@ -27,64 +28,77 @@ def parameter_grid() -> list[tuple[float, float, float, float, int]]:
     return grid
 
 
-def _grid_literal(grid) -> Column:
-    return constant([dict(zip(("a", "b", "phi", "g", "np"), point)) for point in grid])
+#: Series folded at once: the states of one take some kilobytes.
+STEP = 2000
+STATES = (
+    "aicc double, p struct<a:double,b:double,phi:double,g:double,np:int>, "
+    "end struct<l:double,t:double,s:array<double>,sse:double>"
+)
+
+
+def fold_grid(series: list[np.ndarray], grid) -> list[tuple[float, dict, dict] | None]:
+    """Best grid point of each series by AICc and its final state: one pass over months for all series and points."""
+    a, b, phi, g, count = (np.array(x, float) for x in zip(*grid))
+    n = np.array([len(y) for y in series])
+    y = np.zeros((len(series), int(n.max(initial=0))))
+    for i, values in enumerate(series):
+        y[i, : len(values)] = values
+    long = n >= 2 * SEASON
+    m1 = np.array([np.mean(v[:SEASON]) for v in series])
+    m2 = np.array([np.mean(v[SEASON : 2 * SEASON]) if k else np.nan for v, k in zip(series, long)])
+    slope = np.where(long, (m2 - m1) / SEASON, 0.0)
+    trend = np.where(phi > 0, slope[:, None], 0.0)
+    level = m1[:, None] - 6.5 * trend
+    season = np.zeros((len(series), len(grid), SEASON))
+    for i in np.flatnonzero(long):
+        season[i, g > 0] = (series[i][:SEASON] - m1[i] + series[i][SEASON : 2 * SEASON] - m2[i]) / 2
+    sse = np.zeros_like(level)
+    for t in range(y.shape[1]):
+        on = (t < n)[:, None]
+        now = season[:, :, t % SEASON]
+        base = level + phi * trend
+        e = y[:, t, None] - base - now
+        level = np.where(on, base + a * e, level)
+        trend = np.where(on, phi * trend + b * e, trend)
+        season[:, :, t % SEASON] = np.where(on, now + g * e, now)
+        sse = np.where(on, sse + e * e, sse)
+    k = count + 1
+    spare = n[:, None] - k - 1
+    usable = (spare > 0) & ((g == 0) | long[:, None]) & (sse > 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        aicc = np.where(usable, n[:, None] * np.log(sse) + 2 * k + 2 * k * (k + 1) / spare, np.inf)
+    out = []
+    for i, best in enumerate(aicc.argmin(axis=1)):
+        if not np.isfinite(aicc[i, best]):
+            out.append(None)
+            continue
+        point = dict(zip(("a", "b", "phi", "g"), map(float, grid[best][:4])), np=int(grid[best][4]))
+        state = np.roll(season[i, best], -(n[i] % SEASON)).tolist()
+        end = {"l": float(level[i, best]), "t": float(trend[i, best]), "s": state, "sse": float(sse[i, best])}
+        out.append((float(aicc[i, best]), point, end))
+    return out
 
 
 def ets_states(fits: DataFrame, grid=None) -> DataFrame:
     """The best parameter point of each series by AICc, with its final level, trend and season.
 
-    Start values come from the first one or two years. Seasonal forms need two years.
+    Start values come from the first one or two years. Seasonal forms need two years. Series without a
+    usable point give no row.
     """
-    year = lambda k: F.slice("y", 1 + SEASON * k, SEASON)
-    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, v: s + v) / F.size(xs)
-    long = F.col("size") >= 2 * SEASON
-    starts = fits.withColumns({"m1": mean(year(0)), "m2": F.when(long, mean(year(1)))})
-    pattern = F.zip_with(year(0), year(1), lambda u, v: (u - F.col("m1") + v - F.col("m2")) / 2)
-    starts = starts.withColumns(
-        {
-            "slope": F.when(long, (F.col("m2") - F.col("m1")) / SEASON).otherwise(F.lit(0.0)),
-            "pattern": F.when(long, pattern),
-            "flat": F.array_repeat(F.lit(0.0), SEASON),
-            "grid": _grid_literal(grid or parameter_grid()),
-        }
-    )
-
-    def run(p: Column) -> Column:
-        trended, seasonal = p.phi > 0, p.g > 0
-        b0 = F.when(trended, F.col("slope")).otherwise(F.lit(0.0))
-        start = F.struct(
-            (F.col("m1") - b0 * 6.5).alias("l"),
-            b0.alias("t"),
-            F.when(seasonal, F.col("pattern")).otherwise(F.col("flat")).alias("s"),
-            F.lit(0.0).alias("sse"),
-        )
-
-        def step(state: Column, v: Column) -> Column:
-            base = state.l + p.phi * state.t
-            e = v - base - F.get(state.s, F.lit(0))
-            return F.struct(
-                (base + p.a * e).alias("l"),
-                (p.phi * state.t + p.b * e).alias("t"),
-                F.concat(F.slice(state.s, 2, SEASON - 1), F.array(F.get(state.s, F.lit(0)) + p.g * e)).alias("s"),
-                (state.sse + e * e).alias("sse"),
-            )
-
-        end = F.aggregate("y", start, step)
-        n, k = F.col("size"), p.np + 1
-        spare = n - k - 1
-        usable = (spare > 0) & (~seasonal | long)
-        return F.struct(usable.alias("ok"), n.alias("n"), k.alias("k"), spare.alias("spare"), p.alias("p"), end.alias("end"))
-
-    def rated(c: Column) -> Column:
-        aicc = c.n * F.log(c.end.sse) + 2 * c.k + F.try_divide(2 * c.k * (c.k + 1), c.spare)
-        return F.struct(F.when(c.ok, aicc).alias("aicc"), c.p.alias("p"), c.end.alias("end"))
-
-    tried = starts.withColumn("runs", F.transform("grid", run))
-    ranked = F.filter(F.transform("runs", rated), lambda c: c.aicc.isNotNull())
-    return tried.withColumn("best", F.array_min(ranked)).where(F.col("best").isNotNull()).select(
-        *[c for c in fits.columns if c != "y"], "best.aicc", "best.p", "best.end"
-    )
+    grid = grid or parameter_grid()
+    carried = [c for c in fits.columns if c != "y"]
+    types = dict(fits.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            for at in range(0, len(pdf), STEP):
+                part = pdf.iloc[at : at + STEP].reset_index(drop=True)
+                found = pd.Series(fold_grid([np.asarray(v, float) for v in part["y"]], grid), dtype=object)
+                some = found.notna()
+                best = pd.DataFrame(found[some].tolist(), columns=["aicc", "p", "end"], dtype=object)
+                yield pd.concat([part.loc[some, carried].reset_index(drop=True), best], axis=1)
+
+    return fits.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in carried) + ", " + STATES)
 
 
 @register_model("ets")
