@@ -8,6 +8,8 @@ calendar, however many measurements there were.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -144,8 +146,12 @@ def box_summary(df: DataFrame, by: Sequence[str], column: str, **percentile_opti
     fence = (F.col("upper") - F.col("lower")) * 1.5
     inside = F.col(column).between(F.col("lower") - fence, F.col("upper") + fence)
     return (
+        # A null key is a group of its own, as in the percentiles.
         df.select(*by, column)
-        .join(q, list(by))
+        .join(
+            q.withColumnsRenamed({k: f"_{k}" for k in by}),
+            reduce(and_, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in by], F.lit(True)),
+        )
         .where(inside)
         .groupBy(*by, "lower", "middle", "upper", "n")
         .agg(F.min(column).alias("ymin"), F.max(column).alias("ymax"))

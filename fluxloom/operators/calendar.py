@@ -40,10 +40,9 @@ def complete_site_months(df: DataFrame, keys: Sequence[str], columns=("observati
 
 def complete_global_months(df: DataFrame, keys: Sequence[str], columns=("observation",), date="datetime") -> DataFrame:
     """Every month between the first and last of the whole table, for every series."""
-    lo = df.agg(F.min(date)).scalar()
-    hi = df.agg(F.max(date)).scalar()
-    bounded = df.withColumns({"_lo": lo, "_hi": hi})
-    return _complete(bounded, keys, columns, date, F.col("_lo"), F.col("_hi"))
+    ends = df.agg(F.struct(F.min(date).alias("lo"), F.max(date).alias("hi"))).scalar()
+    bounded = df.withColumn("_ends", ends)
+    return _complete(bounded, keys, columns, date, F.col("_ends.lo"), F.col("_ends.hi"))
 
 
 def complete_fixed_months(

@@ -45,7 +45,9 @@ def filter_years(df: DataFrame, lo: int, hi: int, date="datetime") -> DataFrame:
 
 
 def exclude_year(df: DataFrame, year: int, date="datetime") -> DataFrame:
-    return df.where(F.year(date) != year)
+    """All but one year, as plain date ranges, so that file statistics can prune."""
+    first, after = F.lit(f"{year}-01-01").cast("date"), F.lit(f"{year + 1}-01-01").cast("date")
+    return df.where((F.col(date) < first) | (F.col(date) >= after))
 
 
 def drop_incomplete(df: DataFrame) -> DataFrame:

@@ -66,7 +66,10 @@ def stored_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue of the store, empty before its first write."""
     try:
         return forecast_catalog(spark, path)
-    except AnalysisException:
+    except AnalysisException as error:
+        # Only a store that is not there yet is empty; anything else must not lead to forecasting all again.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame(
             [], "model_id string, reference_datetime date, variant string, modified_at timestamp"
         )

@@ -38,8 +38,11 @@ def scan_csv(spark: SparkSession, path, schema: str) -> DataFrame:
 
 
 def scan_forecasts(spark: SparkSession, path: str, min_bytes: int = EMPTY_GZIP_BYTES) -> DataFrame:
-    """All forecast files of the output folder except empty ones, judged by size before reading."""
-    files = spark.read.schema(schemas.FORECASTS).csv(path, header=True, nullValue="NA")
+    """All forecast files of the output folder except empty ones, judged by size before reading.
+
+    A file whose header does not name the expected columns in their order is an error, not misread.
+    """
+    files = spark.read.schema(schemas.FORECASTS).csv(path, header=True, nullValue="NA", enforceSchema=False)
     return files.where(F.col("_metadata.file_size") > min_bytes)
 
 

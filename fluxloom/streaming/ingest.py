@@ -23,6 +23,7 @@ def ingest_new_files(
         spark.readStream.schema(RAW_SCHEMA)
         .option("header", True)
         .option("nullValue", "NA")
+        .option("enforceSchema", False)
         .option("recursiveFileLookup", True)
         .csv(raw_path)
     )

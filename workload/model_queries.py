@@ -429,12 +429,12 @@ def _(v):
 
 @query("fc_random_forest", member_sql("randomForest"))
 def _(v):
-    return shaped(trees.fc_random_forest(v.monthly, v.drivers, v.issues, trees=40, folds=3))
+    return shaped(trees.fc_random_forest(v.monthly, v.drivers, v.issues))
 
 
 @query("fc_gbt", member_sql("XGBoost"))
 def _(v):
-    return shaped(trees.fc_gbt(v.monthly, v.drivers, v.issues, rounds=8, folds=2, depth=4))
+    return shaped(trees.fc_gbt(v.monthly, v.drivers, v.issues))
 
 
 @query("pooled_fit", with_views(f"SELECT site_id, datetime, {R('observation')} AS observation, TRUE AS predicted FROM driver_train", "driver_train"))
@@ -452,7 +452,7 @@ def _(v):
     ),
 )
 def _(v):
-    rows = trees.driver_importance(v.monthly, v.drivers, v.treatments, trees=40)
+    rows = trees.driver_importance(v.monthly, v.drivers, v.treatments)
     return rows.select("site_id", "name", F.col("IncMSE").isNotNull().alias("ranked"))
 
 

@@ -99,20 +99,20 @@ def _(v):
 @query(
     "missing_issues",
     with_views(
-        """SELECT 'climatology' AS model_id, d AS reference_datetime, 'separate' AS variant, count(*) AS orders FROM
+        """SELECT 'climatology' AS model_id, d AS reference_datetime, 'separate' AS variant, count(o.d) AS orders FROM
              (SELECT unnest(generate_series(DATE '1999-01-01', DATE '2001-01-01', INTERVAL 1 MONTH))::DATE AS d) r
-             JOIN (SELECT date_trunc('month', o_orderdate)::DATE AS d FROM orders) o USING (d)
+             LEFT JOIN (SELECT date_trunc('month', o_orderdate)::DATE AS d FROM orders) o USING (d)
            WHERE NOT EXISTS (SELECT 1 FROM catalog c WHERE c.model_id = 'climatology' AND c.variant = 'separate'
-                             AND c.reference_datetime = d AND c.modified_at >= TIMESTAMP '2001-02-01') GROUP BY d""",
+                             AND c.reference_datetime = r.d AND c.modified_at >= TIMESTAMP '2001-02-01') GROUP BY d""",
         "catalog",
     ),
 )
 def _(v):
-    """Missing issue dates with the number of orders placed in their month."""
+    """Missing issue dates with the number of orders placed in their month, which may be none."""
     required = required_issues(v.spark, "climatology", "separate", *BACKFILL)
     todo = joins.missing_issues(required, v.catalog, F.lit(str(CATALOG_CUTOFF)).cast("timestamp"))
     placed = v.table("orders").groupBy(F.trunc("o_orderdate", "MM").alias("reference_datetime")).agg(F.count("*").alias("orders"))
-    return todo.join(placed, "reference_datetime")
+    return todo.join(placed, "reference_datetime", "left").withColumn("orders", F.coalesce("orders", F.lit(0)))
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxloom.functions.dates import month_floor
-from fluxloom.functions.labels import TEMPERATURE_LEVELS, recode
+from fluxloom.functions.labels import MODEL_NAMES, OBSOLETE_MODELS, TEMPERATURE_LEVELS, recode
 from fluxloom.operators import aggregates as agg
 from fluxloom.operators import cleaning
 from fluxloom.operators.aggregates import DRIVER_VARIABLES
@@ -28,11 +28,13 @@ SCORE_YEAR = 2000
 CALENDAR = (1995, 2000)
 PROJECT = "project"
 
+#: Two whole days and three days of single plots, made up for the tests.
 EXCLUSIONS = [
-    (dt.date(1998, 6, 12), None),
-    (dt.date(1996, 3, 15), "313"),
-    (dt.date(1996, 3, 15), "333"),
-    (dt.date(1999, 12, 19), "321"),
+    (dt.date(1997, 2, 4), None),
+    (dt.date(1999, 8, 21), None),
+    (dt.date(1996, 10, 3), "322"),
+    (dt.date(1998, 1, 17), "442"),
+    (dt.date(1998, 1, 18), "610"),
 ]
 CATALOG_CUTOFF = dt.datetime(2001, 2, 1)
 CATALOG = [
@@ -43,10 +45,7 @@ CATALOG = [
     ("ets", dt.date(1999, 4, 1), "separate", dt.datetime(2001, 3, 1)),
 ]
 #: Model of a fixture forecast, by customer number: the ten display-named models and an obsolete one.
-FIXTURE_MODELS = [
-    "climatology", "auto.arima", "ets", "prophet", "rEDM", "elasticNet", "randomForest", "brnn", "XGBoost", "svm",
-    "persistence",
-]
+FIXTURE_MODELS = [*MODEL_NAMES, OBSOLETE_MODELS[0]]
 
 
 class Views:
