@@ -15,7 +15,7 @@ from workload.ingest_queries import scratch
 from workload.registry import query, rounded, sql_rounded as R
 from workload.series_queries import rounds
 from workload.views import BACKFILL, ISSUE, SCORE_YEAR
-from workload.views_sql import with_views
+from workload.views_sql import SUPPLIER_MONTHLY, with_views
 
 OUT = ("model_id", "site_id", "datetime", "reference_datetime", "mu", "sigma")
 
@@ -49,10 +49,10 @@ ONE_ISSUE = "SELECT DATE '2000-07-01' AS issue"
 ALL_ISSUES = "SELECT unnest(generate_series(DATE '1999-01-01', DATE '2001-01-01', INTERVAL 1 MONTH))::DATE AS issue"
 
 
-def climatology_query(source: str, issues: str) -> str:
+def climatology_query(source: str, issues: str, **others) -> str:
     return with_views(
         f"SELECT 'climatology' AS model_id, site_id, datetime, issue AS reference_datetime, {R('mu')} AS mu, {R('sigma')} AS sigma FROM ({climatology_sql(source, issues)})",
-        source,
+        source, **others,
     )
 
 
@@ -136,7 +136,7 @@ def _(v):
 
 
 ETS_GRID = ets.parameter_grid()
-ETS_SQL = with_views(
+ETS_BODY = (
     """, points AS (SELECT * FROM (VALUES """
     + ", ".join(f"({i}, {a}e0, {b}e0, {phi}e0, {g}e0, {k})" for i, (a, b, phi, g, k) in enumerate(ETS_GRID))
     + f""") AS t(pid, a, b, phi, g, np)),
@@ -161,9 +161,9 @@ ETS_SQL = with_views(
     cum AS (SELECT *, 1 + COALESCE(sum(c * c) OVER (PARTITION BY site_id ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spread FROM resp)
     SELECT 'ets' AS model_id, site_id, (last + to_months(j::INTEGER))::DATE AS datetime, DATE '2000-07-01' AS reference_datetime,
            {R('l + dj * tr + s[((j - 1) % 12 + 1)]')} AS mu, {R('0.994457883209753e0 * sqrt(sse / (n - np) * spread)')} AS sigma
-    FROM cum WHERE (last + to_months(j::INTEGER))::DATE >= DATE '2000-07-01'""",
-    "train_filled", recursive=True,
+    FROM cum WHERE (last + to_months(j::INTEGER))::DATE >= DATE '2000-07-01'"""
 )
+ETS_SQL = with_views(ETS_BODY, "train_filled", recursive=True)
 
 
 @query("fc_ets", ETS_SQL)
@@ -171,7 +171,7 @@ def _(v):
     return forecast_rows(MODELS["ets"](v.monthly, None, v.issues))
 
 
-EDM_SQL = with_views(
+EDM_BODY = (
     """, sized AS (SELECT *, max(k) OVER (PARTITION BY site_id) AS n FROM train_filled),
     libs AS (SELECT *, round_even(n * 0.8e0, 0)::BIGINT AS lib FROM sized),
     dims AS (SELECT unnest(range(1, 13)) AS E),
@@ -187,9 +187,9 @@ EDM_SQL = with_views(
     skill AS (SELECT site_id, E, corr(pred, obs) AS rho FROM preds GROUP BY ALL)
     """
     + f"""SELECT site_id, DATE '2000-07-01' AS issue, E::INTEGER AS "E", {R('rho', 6)} AS rho FROM skill WHERE rho IS NOT NULL
-    QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY rho DESC, E) = 1""",
-    "train_filled",
+    QUALIFY row_number() OVER (PARTITION BY site_id ORDER BY rho DESC, E) = 1"""
 )
+EDM_SQL = with_views(EDM_BODY, "train_filled")
 
 
 @query("edm_select_dimension", EDM_SQL)
@@ -198,21 +198,56 @@ def _(v):
     return rounds(chosen.select("site_id", "issue", "E", "rho"), "rho", digits=6)
 
 
+# ---- series that grow with the data: one per supplier -------------------------------------------
+
+
+@query("fc_ets_suppliers", with_views(ETS_BODY, "train_filled", recursive=True, monthly=SUPPLIER_MONTHLY))
+def _(v):
+    return forecast_rows(MODELS["ets"](v.supplier_monthly, None, v.issues))
+
+
+@query("edm_select_dimension_suppliers", with_views(EDM_BODY, "train_filled", monthly=SUPPLIER_MONTHLY))
+def _(v):
+    chosen = edm.edm_select_dimension(v.supplier_monthly, v.issues)
+    return rounds(chosen.select("site_id", "issue", "E", "rho"), "rho", digits=6)
+
+
+@query("fc_climatology_suppliers", climatology_query("monthly", ALL_ISSUES, monthly=SUPPLIER_MONTHLY))
+def _(v):
+    return forecast_rows(fc_climatology(v.supplier_monthly, None, v.backfill_issues))
+
+
 GAP = 1e-6
 
 
+def balanced(df, x, y, coef, keys, ridge=0.0):
+    """Largest normal-equation gap of emitted coefficients over the raw rows, per key: sum of x times residual less the penalty."""
+    z = F.concat(F.array(F.lit(1.0)), x)
+    rows = df.select(*keys, z.alias("_z"), coef.alias("_c"), (y - linalg.dot(coef, z)).alias("_e"), y.alias("_y"))
+    cells = rows.select(*keys, "_e", "_y", "_c", F.posexplode("_z").alias("_j", "_v"))
+    sums = cells.groupBy(*keys, "_j").agg(
+        (F.sum(F.col("_v") * F.col("_e")) - F.when(F.col("_j") > 0, ridge * F.first(F.get("_c", F.col("_j")))).otherwise(0.0)).alias("left"),
+        F.sqrt(F.sum(F.col("_v") * F.col("_v")) * F.sum(F.col("_y") * F.col("_y"))).alias("size"),
+    )
+    return sums.groupBy(*keys).agg((F.max(F.abs(F.col("left")) / F.greatest("size", F.lit(1e-300))) < GAP).alias("normal_equations"))
+
+
 @query("smap_fit", with_views("SELECT site_id, TRUE AS normal_equations, TRUE AS dimension_in_range FROM train_ok GROUP BY site_id", "train_ok"))
 def _(v):
+    """The map's residuals are recomputed from the series and balance against every lag."""
     fit = edm.smap_fit(v.monthly, v.issues)
-    return fit.select("site_id", (F.col("gap") < GAP).alias("normal_equations"), F.col("E").between(1, 12).alias("dimension_in_range"))
+    rows = fit.select("site_id", "E", "y", "coef", F.explode(F.sequence("E", F.col("size") - 1)).alias("t"))
+    lags = F.reverse(F.slice("y", F.col("t") - F.col("E") + 1, F.col("E")))
+    checked = balanced(rows, lags, F.get("y", F.col("t")), F.col("coef"), ["site_id", "E"])
+    return checked.select("site_id", "normal_equations", F.col("E").between(1, 12).alias("dimension_in_range"))
 
 
-def shape_sql(model: str, source: str) -> str:
+def shape_sql(model: str, source: str, **others) -> str:
     """Months from the issue date to six after it, per site, with finite positive spread."""
     return with_views(
         f"""SELECT '{model}' AS model_id, site_id, d::DATE AS datetime, DATE '2000-07-01' AS reference_datetime, TRUE AS usable FROM
               (SELECT DISTINCT site_id FROM {source}), (SELECT unnest(generate_series(DATE '2000-07-01', DATE '2001-01-01', INTERVAL 1 MONTH)) AS d)""",
-        source,
+        source, **others,
     )
 
 
@@ -231,6 +266,21 @@ def _(v):
     return shaped(MODELS["auto.arima"](v.monthly, None, v.issues))
 
 
+@query("fc_arima_suppliers", shape_sql("auto.arima", "train_ok", monthly=SUPPLIER_MONTHLY))
+def _(v):
+    return shaped(MODELS["auto.arima"](v.supplier_monthly, None, v.issues))
+
+
+@query("fc_additive_suppliers", shape_sql("prophet", "train_ok", monthly=SUPPLIER_MONTHLY))
+def _(v):
+    return shaped(MODELS["prophet"](v.supplier_monthly, None, v.issues))
+
+
+@query("fc_smap_suppliers", shape_sql("rEDM", "train_ok", monthly=SUPPLIER_MONTHLY))
+def _(v):
+    return shaped(MODELS["rEDM"](v.supplier_monthly, None, v.issues))
+
+
 ARIMA_ROWS = """(SELECT site_id, count(*) AS n FROM (
     SELECT *, list_aggregate([lag(w, 1) OVER s, lag(w, 2) OVER s, lag(w, 3) OVER s, lag(w, 4) OVER s, lag(w, 5) OVER s, lag(w, 12) OVER s,
                               lag(e, 1) OVER s, lag(e, 2) OVER s, lag(e, 12) OVER s], 'count') AS present FROM (
@@ -273,8 +323,11 @@ def _(v):
 
 @query("additive_fit", with_views("SELECT site_id, count(*)::DOUBLE AS n, TRUE AS normal_equations, 47::BIGINT AS terms FROM train_ok GROUP BY site_id", "train_ok"))
 def _(v):
+    """The residuals are recomputed from the rows with the design as columns, not as the fit builds it."""
     fit = additive.additive_fit(v.monthly, v.issues)
-    return fit.select("site_id", "n", (F.col("gap") < GAP).alias("normal_equations"), F.size("coef").cast("long").alias("terms"))
+    rows = additive.additive_samples(v.monthly, v.issues).join(fit.select(*common.FITS, "n", "coef"), list(common.FITS))
+    checked = balanced(rows, F.col("x"), F.col("observation"), F.col("coef"), ["site_id", "n"], ridge=1.0)
+    return checked.select("site_id", "n", "normal_equations", F.lit(47).cast("long").alias("terms"))
 
 
 @query("fc_additive", shape_sql("prophet", "train_ok"))

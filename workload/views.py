@@ -139,6 +139,18 @@ class Views:
         """Written once per query, as the target table is in use: the raw tables are scanned once."""
         return staged(agg.monthly_targets(self.daily), "monthly")
 
+    @cached_property
+    def supplier_monthly(self) -> DataFrame:
+        """Monthly quantity of each supplier in the form of the targets: series that grow with the data."""
+        sums = self.table("lineitem").groupBy("l_suppkey", month_floor(F.col("l_shipdate")).alias("datetime")).agg(
+            F.sum("l_quantity").cast("double").alias("observation")
+        )
+        rows = sums.select(
+            F.lit(PROJECT).alias("project_id"), F.col("l_suppkey").cast("string").alias("site_id"), "datetime",
+            F.lit("P1M").alias("duration"), F.lit("quantity").alias("variable"), "observation",
+        )
+        return staged(rows, "suppliers")
+
     @cached_property
     def all_monthly(self) -> DataFrame:
         return agg.all_targets(self.monthly)

@@ -292,18 +292,29 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
-def with_views(body: str, *names: str, recursive: bool = False) -> str:
-    """``body`` preceded by the named views and all they build on."""
+#: Monthly quantity of each supplier, in the form of the monthly targets: series that grow with the data.
+SUPPLIER_MONTHLY = (
+    (),
+    """
+    SELECT 'project' AS project_id, l_suppkey::VARCHAR AS site_id, date_trunc('month', l_shipdate)::DATE AS datetime,
+           'P1M' AS duration, 'quantity' AS variable, sum(l_quantity)::DOUBLE AS observation FROM lineitem GROUP BY ALL
+    """,
+)
+
+
+def with_views(body: str, *names: str, recursive: bool = False, **others: tuple) -> str:
+    """``body`` preceded by the named views and all they build on; ``others`` take the place of views of that name."""
     ordered: list[str] = []
+    views = {**VIEWS, **others}
 
     def visit(name: str) -> None:
         if name in ordered:
             return
-        for dependency in VIEWS[name][0]:
+        for dependency in views[name][0]:
             visit(dependency)
         ordered.append(name)
 
     for name in names:
         visit(name)
-    ctes = ",\n".join(f"{n} AS ({VIEWS[n][1]})" for n in ordered)
+    ctes = ",\n".join(f"{n} AS ({views[n][1]})" for n in ordered)
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}\n{body}"
