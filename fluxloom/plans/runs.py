@@ -14,7 +14,7 @@ from fluxloom.operators.calendar import issue_calendar
 from fluxloom.operators.joins import missing_issues
 from fluxloom.plans.library import MODELS
 from fluxloom.session import staged
-from fluxloom.sources.tables import CATALOG_KEYS, forecast_catalog, write_forecast
+from fluxloom.sources.tables import CATALOG_KEYS, CATALOG_SCHEMA, forecast_catalog, write_forecast
 
 SEPARATE, REPLICATES = "separate", "comb_reps"
 
@@ -70,9 +70,7 @@ def stored_catalog(spark: SparkSession, path: str) -> DataFrame:
         # Only a store that is not there yet is empty; anything else must not lead to forecasting all again.
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame(
-            [], "model_id string, reference_datetime date, variant string, modified_at timestamp"
-        )
+        return spark.createDataFrame([], CATALOG_SCHEMA)
 
 
 def backfill(

@@ -62,6 +62,7 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=(),
 
 #: Partition columns of the forecast store: one directory per model, issue date and variant.
 CATALOG_KEYS = ("model_id", "reference_datetime", "variant")
+CATALOG_SCHEMA = "model_id string, reference_datetime date, variant string, modified_at timestamp"
 
 
 def write_forecast(df: DataFrame, path: str) -> None:
@@ -76,4 +77,6 @@ def forecast_catalog(spark: SparkSession, path: str) -> DataFrame:
     A file listing with its partition columns; no file is opened.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    if not set(CATALOG_KEYS) <= set(files.columns):  # a folder without any stored forecast has no partitions
+        return spark.createDataFrame([], CATALOG_SCHEMA)
     return files.groupBy(*CATALOG_KEYS).agg(F.max("modificationTime").alias("modified_at"))

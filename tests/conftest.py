@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -13,6 +14,7 @@ def spark():
     session = build_session(
         "tests", "local[8]", **{
             "spark.sql.shuffle.partitions": "4",
+            "spark.checkpoint.dir": "file://" + tempfile.mkdtemp(prefix="fluxloom-tests-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         }

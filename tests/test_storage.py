@@ -1,11 +1,16 @@
 import datetime as dt
 import gzip
+import os
+import subprocess
+import sys
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from fluxloom import schemas
 from fluxloom.plans import common, runs
+from fluxloom.session import clear_staged, shared_folder, staged
 from fluxloom.sources import grid, tables
 from fluxloom.streaming.ingest import ingest_new_files
 from tests.helpers import month, seasonal
@@ -111,3 +116,45 @@ def test_incremental_ingest_takes_new_files_once(spark, tmp_path):
     ingest_new_files(spark, str(raw), rules, store, check)
     out = spark.read.parquet(store).select("site_id", "datetime", "observation").collect()
     assert sorted(map(tuple, out)) == [("313", dt.date(2020, 1, 1), 1.5), ("321", dt.date(2020, 1, 3), 3.5)]
+
+
+class _Session:
+    """A session as far as ``shared_folder`` looks at it."""
+
+    def __init__(self, master, folder=None):
+        self.conf = {"spark.checkpoint.dir": folder} if folder else {}
+        self.sparkContext = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    assert shared_folder(_Session("spark://host:7077", "hdfs://x/y/")) == "hdfs://x/y"
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(ValueError):
+            shared_folder(_Session(master))
+
+
+def test_functions_reach_workers_started_elsewhere(tmp_path):
+    """Workers need no copy of the package: the session starts in another folder, without PYTHONPATH."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from fluxloom.session import build_session\n"
+        "from fluxloom.operators import linalg\n"
+        "from pyspark.sql import functions as F\n"
+        "s = build_session('x', 'local[2]', **{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '2'})\n"
+        "df = s.range(9).select((F.col('id') % 2).alias('k'), F.col('id').cast('double').alias('x'))\n"
+        "print('FITS', linalg.gram_fit(df, ['k'], [F.col('x')], F.col('x')).count())\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert "FITS 2" in done.stdout, done.stderr[-2000:]
+
+
+def test_staged_tables_can_be_cleared(spark, tmp_path):
+    import glob
+
+    staged(spark.range(3), "clearing").count()
+    folder = shared_folder(spark).removeprefix("file:")
+    assert glob.glob(f"{folder}/fluxloom-clearing-*")
+    clear_staged(spark)
+    assert not glob.glob(f"{folder}/fluxloom-clearing-*")
