@@ -149,15 +149,20 @@ def solve_rows(grams: DataFrame, keys: Sequence[str], solver: Callable, columns:
     return grams.select(*carried, "gram").mapInPandas(run, schema)
 
 
-def fit_designs(designs: Sequence[np.ndarray], ridge: float = 0.0) -> dict[str, list]:
-    """FIT_COLUMNS of ridge fits on designs (1, x, y), one row per observation; designs of one width are solved at once."""
+def ridge_rows(ridge: float) -> Callable:
+    """Solver of a stack of matrices with one penalty."""
+    return lambda g: fit_rows(g, ridge_solve(g, np.full(len(g), ridge)), ridge)
+
+
+def fit_designs(designs: Sequence[np.ndarray], solver: Callable = ridge_rows(0.0)) -> dict[str, list]:
+    """FIT_COLUMNS of fits on designs (1, x, y), one row per observation; designs of one width are solved at once."""
     out = {c.split()[0]: [None] * len(designs) for c in FIT_COLUMNS.replace("array<double>", "a").split(", ")}
     by_width: dict[int, list[int]] = {}
     for i, z in enumerate(designs):
         by_width.setdefault(z.shape[1], []).append(i)
     for at in by_width.values():
         g = np.stack([designs[i].T @ designs[i] for i in at])
-        for column, values in zip(out.values(), fit_rows(g, ridge_solve(g, np.full(len(g), ridge)), ridge)):
+        for column, values in zip(out.values(), solver(g)):
             for i, v in zip(at, values):
                 column[i] = v
     return out
@@ -175,7 +180,7 @@ def gram_fit(
     """Keyed ridge regression of ``y`` on ``x`` and an intercept; ``x`` as in ``gram``."""
     grams = gram(df, keys, x, y, issues, date)
     out_keys = [c for c in grams.columns if c != "gram"]
-    return solve_rows(grams, out_keys, lambda g: fit_rows(g, ridge_solve(g, np.full(len(g), ridge)), ridge), FIT_COLUMNS)
+    return solve_rows(grams, out_keys, ridge_rows(ridge), FIT_COLUMNS)
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators.calendar import month_starts_ahead
 from fluxloom.operators.cleaning import min_rows_per_key
-from fluxloom.operators.linalg import FIT_COLUMNS, dot, fit_designs, with_intercept
+from fluxloom.operators.linalg import FIT_COLUMNS, dot, fit_designs, ridge_rows, with_intercept
 from fluxloom.plans.common import FITS, HORIZON, finish_forecast, register_model, training_window
 
 CHANGE_POINTS = 25
@@ -62,7 +62,7 @@ def additive_fit(monthly: DataFrame, issues: DataFrame, ridge: float = 1.0) -> D
     def run(batches):
         for pdf in batches:
             designs = [_design(np.asarray(d, float), np.asarray(y, float)) for d, y in zip(pdf["d"], pdf["y"])]
-            yield pd.concat([pdf[carried].reset_index(drop=True), pd.DataFrame(fit_designs(designs, ridge), dtype=object)], axis=1)
+            yield pd.concat([pdf[carried].reset_index(drop=True), pd.DataFrame(fit_designs(designs, ridge_rows(ridge)), dtype=object)], axis=1)
 
     return packed.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in carried) + ", " + FIT_COLUMNS)
 

@@ -21,7 +21,7 @@ from fluxloom.operators.aggregates import PREDICTORS, future_drivers, past_drive
 from fluxloom.operators.cleaning import drop_incomplete, min_rows_per_key
 from fluxloom.operators.joins import join_drivers
 from fluxloom.operators.linalg import (
-    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, evidence_ridge, fit_rows, gram, ridge_solve, solve_rows, unpack,
+    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, evidence_ridge, fit_designs, fit_rows, gram, ridge_rows, unpack,
     with_intercept,
 )
 from fluxloom.plans.common import (
@@ -191,7 +191,8 @@ def fc_elastic_net(monthly, drivers, issues) -> DataFrame:
 # ---- models on fixed random features ----------------------------------------------------------
 
 
-KERNEL_FEATURES, NET_FEATURES = 24, 8
+#: Default number of random features of the kernel and of the hidden layer; parameters of the fits.
+KERNEL_FEATURES, NET_FEATURES = 64, 16
 
 
 def interactions(x: Column) -> Column:
@@ -221,13 +222,22 @@ def hidden_features(x: Column, size: int = NET_FEATURES, seed: int = SEED) -> Co
     return F.transform(weights, lambda r: F.tanh(dot(r.w, x) + r.b - float(np.pi)))
 
 
-def _feature_fit(monthly, drivers, issues, stages: Sequence[Callable], size: int, solver: Callable) -> DataFrame:
+def _feature_fit(monthly, drivers, issues, stages: Sequence[Callable], solver: Callable) -> DataFrame:
+    """Fits on features of the standardised drivers. A series is bounded, so its rows travel packed to one solve."""
     rows = driver_training(monthly, drivers, issues)
     samples = standardize(rows, FITS, PREDICTORS).withColumn("x", predictors())
     for stage in stages:
         samples = samples.withColumn("x", stage(F.col("x")))
-    x = [F.get("x", F.lit(i)) for i in range(size)]
-    fits = solve_rows(gram(samples, FITS, x, F.col("observation")), FITS, solver, FIT_COLUMNS)
+    packed = samples.groupBy(*FITS).agg(F.collect_list(F.struct("x", "observation")).alias("rows"))
+    packed = packed.select(*FITS, F.col("rows.x").alias("x"), F.col("rows.observation").alias("y"))
+    types = dict(packed.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            designs = [np.column_stack([np.ones(len(y)), np.stack(list(x)), y]) for x, y in zip(pdf["x"], pdf["y"])]
+            yield pd.concat([pdf[list(FITS)].reset_index(drop=True), pd.DataFrame(fit_designs(designs, solver), dtype=object)], axis=1)
+
+    fits = packed.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in FITS) + ", " + FIT_COLUMNS)
     return fits.join(_scales(rows), list(FITS))
 
 
@@ -249,32 +259,35 @@ def _feature_forecast(fits, drivers, issues, stages, model_id) -> DataFrame:
     return finish_forecast(ensemble_to_normal(rows), model_id)
 
 
-KERNEL_STAGES = (interactions, fourier_features)
-NET_STAGES = (hidden_features,)
+def kernel_stages(features: int = KERNEL_FEATURES) -> tuple[Callable, ...]:
+    return interactions, lambda x: fourier_features(x, features)
+
+
+def net_stages(features: int = NET_FEATURES) -> tuple[Callable, ...]:
+    return (lambda x: hidden_features(x, features),)
 
 
-def kernel_ridge_fit(monthly, drivers, issues, ridge: float = 1.0) -> DataFrame:
-    solver = lambda g: fit_rows(g, ridge_solve(g, np.full(len(g), ridge)), ridge)
-    return _feature_fit(monthly, drivers, issues, KERNEL_STAGES, KERNEL_FEATURES, solver)
+def kernel_ridge_fit(monthly, drivers, issues, ridge: float = 1.0, features: int = KERNEL_FEATURES) -> DataFrame:
+    return _feature_fit(monthly, drivers, issues, kernel_stages(features), ridge_rows(ridge))
 
 
 @register_model("svm")
-def fc_kernel_ridge(monthly, drivers, issues, ridge: float = 1.0) -> DataFrame:
+def fc_kernel_ridge(monthly, drivers, issues, ridge: float = 1.0, features: int = KERNEL_FEATURES) -> DataFrame:
     """Kernel ridge on the full interaction design: squared loss, approximate radial kernel."""
-    fits = kernel_ridge_fit(monthly, drivers, issues, ridge)
-    return _feature_forecast(fits, drivers, issues, KERNEL_STAGES, "svm")
+    fits = kernel_ridge_fit(monthly, drivers, issues, ridge, features)
+    return _feature_forecast(fits, drivers, issues, kernel_stages(features), "svm")
 
 
-def bayes_net_fit(monthly, drivers, issues) -> DataFrame:
+def bayes_net_fit(monthly, drivers, issues, features: int = NET_FEATURES) -> DataFrame:
     def solver(g):
         coef, penalty = evidence_ridge(g)
         return fit_rows(g, coef, penalty)
 
-    return _feature_fit(monthly, drivers, issues, NET_STAGES, NET_FEATURES, solver)
+    return _feature_fit(monthly, drivers, issues, net_stages(features), solver)
 
 
 @register_model("brnn")
-def fc_bayes_net(monthly, drivers, issues) -> DataFrame:
+def fc_bayes_net(monthly, drivers, issues, features: int = NET_FEATURES) -> DataFrame:
     """Fixed hidden layer with output weights regularised by evidence maximisation."""
-    fits = bayes_net_fit(monthly, drivers, issues)
-    return _feature_forecast(fits, drivers, issues, NET_STAGES, "brnn")
+    fits = bayes_net_fit(monthly, drivers, issues, features)
+    return _feature_forecast(fits, drivers, issues, net_stages(features), "brnn")

@@ -209,3 +209,12 @@ def test_folds_do_not_depend_on_partitioning(spark):
     once = rows(driver_models.cv_folds(df, ["k"], 5, 2), "k", "repeat", "fold")
     again = rows(driver_models.cv_folds(df.repartition(9), ["k"], 5, 2), "k", "repeat", "fold")
     assert once == again and {f for *_, f in once} == {0, 1, 2, 3, 4}
+
+
+def test_fourier_features_approach_the_radial_kernel(spark):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(12, 31))
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "i int, x array<double>")
+    z = np.array([r.z for r in df.select("i", driver_models.fourier_features(F.col("x"), 600).alias("z")).orderBy("i").collect()])
+    exact = np.exp(-((points[:, None] - points[None]) ** 2).sum(axis=2) / 31)
+    assert np.abs(z @ z.T - exact).max() < 0.2
