@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxloom.session import shared_folder, staged
@@ -34,6 +34,23 @@ def hex_unit(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def smallest_digests(df: DataFrame, group: str, n: int) -> DataFrame:
+    """Of each group the n rows (group, doc_id) whose ids have the smallest digests, as a bounded sample.
+
+    A share of twice n rows of the group is taken by digest first, so that ranking sees some 2 n rows per group
+    however large the table is. There must be few groups: their sizes come to the driver.
+    """
+    ids = df.select(group, "doc_id")
+    sizes = ids.groupBy(group).count().collect()
+    if not sizes:
+        return ids
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r[0], 2.0 * n / r[1])]), F.col(group))
+    digest = F.md5(F.col("doc_id").cast("string"))
+    some = ids.where(hex_unit(F.col("doc_id").cast("string")) < share)
+    nth = F.row_number().over(Window.partitionBy(group).orderBy(digest, "doc_id"))
+    return some.withColumn("_nth", nth).where(F.col("_nth") <= n).drop("_nth")
+
+
 def partitions(n_bytes: int, each: int = 4 << 20, least: int = 32) -> int:
     """Number of partitions so that each gets about ``each`` bytes."""
     return max(least, math.ceil(n_bytes / each))

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import slices, staged, text_bytes
+from fluxloom.llm.common import slices, smallest_digests, staged, text_bytes
 
 #: Cells that n-grams are hashed to.
 CELLS = 4096
@@ -88,11 +88,7 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
     known = docs.where(rows & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.col("doc_id")
     )
-    # The sample: the texts whose ids have the smallest digests. Only ids are ranked.
-    ranked = known.select("lang", "doc_id").withColumn(
-        "nth", F.row_number().over(Window.partitionBy("lang").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id"))
-    )
-    chosen = staged(ranked.where(F.col("nth") <= SAMPLE).select("lang", "doc_id").distinct(), "sample")
+    chosen = staged(smallest_digests(known.where("doc_id is not null"), "lang", SAMPLE).distinct(), "sample")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(CELLS, np.int64), 0

@@ -25,10 +25,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.llm.common import mix64, rolling, slices, staged, text_bytes, word_spans
+from fluxloom.llm.common import mix64, rolling, slices, smallest_digests, staged, text_bytes, word_spans
 
 ORDER = 3
 DECAY = 0.6
@@ -315,10 +315,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column) -> dict:
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.where(rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    ranked = known.withColumn(
-        "nth", F.row_number().over(Window.partitionBy("toxic").orderBy(F.md5(F.col("doc_id").cast("string"))))
-    )
-    chosen = staged(ranked.where(F.col("nth") <= SAMPLE).select("doc_id", "toxic"), "sample")
+    chosen = staged(smallest_digests(known, "toxic", SAMPLE), "sample")
 
     def unique(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
