@@ -47,6 +47,8 @@ FIRST_MATCH = 10
 CHOICES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24, 32])
 #: Postings that cost as much as comparing one element of a candidate's set.
 ELEMENT_COST = 0.125
+#: Owners of postings that stand for several classes of one step.
+STAND_INS = np.array([-1, -2])
 #: Elements of one hash range that a task holds at once, about.
 RANGE = 1 << 20
 #: Elements of a neighbourhood that one task searches; larger ones are searched all over the cluster.
@@ -163,15 +165,27 @@ def _sketches(docs: DataFrame, similarity: int) -> DataFrame:
                 _, once = np.unique(key, return_index=True)
                 once = once[known[once] & ~np.isin(key[once], seen)]
                 seen = np.concatenate([seen, key[once]])
-                cut = sizes - needed(sizes, similarity) + first_match(sizes)
-                rows = _packed([sets[i][: cut[i]] for i in once], key[once], bits)
+                cut = (sizes - needed(sizes, similarity) + first_match(sizes))[once]
+                flat = np.concatenate([sets[i][:c] for i, c in zip(once, cut, strict=True)] or [np.zeros(0, np.uint64)])
+                owner = np.repeat(key[once], cut)
+                distinct, which, times = np.unique(flat, return_inverse=True, return_counts=True)
+                # What several classes share already here counts here, and goes out for two stand-ins only: a
+                # shingle that very many documents have costs two postings per step, not one per document.
+                double = times[which] > 1
+                local, found = np.unique(owner[double], return_counts=True)
+                yield _columns(dict(part=local & ((1 << bits) - 1), kind=[2] * len(local), n=found, key=local), types)
+                alone = np.split(flat[~double], np.cumsum(np.bincount(np.repeat(np.arange(len(cut)), cut)[~double], minlength=len(cut)))[:-1])
+                common = distinct[times > 1]
+                rows = _packed([*(alone if len(cut) else []), common, common], np.append(key[once], STAND_INS), bits)
                 yield _columns(rows | {"kind": [1] * len(rows["part"])}, types)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = {k: types[k] for k in ("kind", "doc_id", "n", "key", "key2")}
         for table in regrouped(batches, ["part", "kind"]):
-            if table.column("kind")[0].as_py() == 0:
-                yield from table.select(list(out)).to_batches()
+            kind = table.column("kind")[0].as_py()
+            if kind != 1:
+                passed = table.select(list(out))
+                yield from passed.set_column(0, "kind", pa.array([min(kind, 1)] * len(table), pa.int32())).to_batches()
                 continue
             element, owner = _unpacked(table)
             owner, found = np.unique(owner[_frequency(element) > 1], return_counts=True)
