@@ -101,7 +101,8 @@ def top_k(
             fields = [block.column(0).to_numpy().astype("<i8").tobytes(), _matrix(block.column(1), width).tobytes()]
             yield pa.RecordBatch.from_arrays([pa.array([f], pa.binary()) for f in fields], names=["query_ids", "queries"])
 
-    queries = ready.where("is_query").select("vec_id", "v").repartition(4).mapInArrow(pack, "query_ids binary, queries binary")
+    asked = ready.where("is_query").select("vec_id", "v")
+    queries = asked.repartition(-(-asked.count() // QUERY_BLOCK) or 1).mapInArrow(pack, "query_ids binary, queries binary")
     queries = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     cells = staged(approximation_file(rows, width), "cells").withColumn(
         "lane", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")
@@ -141,7 +142,7 @@ def top_k(
     kth_lower = kth_lower.select("query_id", F.when(F.col("n") >= k, F.col("need")).otherwise(float("-inf")).alias("need"))
     candidates = staged(found.join(kth_lower, "query_id").where("upper >= need").select("query_id", "vec_id", "upper"), "candidates")
     exact = rows
-    asked = ready.where("is_query").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    asked = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
     product = F.aggregate(F.zip_with("q", "v", lambda a, b: F.coalesce(a * b, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
     read = lambda pairs: pairs.join(exact, "vec_id").join(asked, "query_id").select("query_id", "vec_id", product.alias("score"))
     first = staged(read(candidates.withColumn("nth", best(F.desc("upper"), "vec_id")).where(F.col("nth") <= k)), "scores")
