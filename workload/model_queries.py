@@ -281,6 +281,35 @@ def _(v):
     return shaped(MODELS["rEDM"](v.supplier_monthly, None, v.issues))
 
 
+def backfill_shape(model: str, source: str = "monthly") -> str:
+    """Months from each issue date to six after it, for every site with five values before the date."""
+    return with_views(
+        f"""SELECT '{model}' AS model_id, site_id, unnest(generate_series(issue, issue + INTERVAL 6 MONTH, INTERVAL 1 MONTH))::DATE AS datetime,
+              issue AS reference_datetime, TRUE AS usable FROM (
+                SELECT site_id, issue FROM {source} JOIN ({ALL_ISSUES}) ON datetime < issue GROUP BY ALL HAVING count(observation) >= 5)""",
+        source,
+    )
+
+
+def backfill_model(model: str):
+    @query(f"backfill_{model}", backfill_shape(model))
+    def _(v):
+        """All issue dates of one model, forecast and stored in one run."""
+        path = scratch(v, f"backfill-{model}")
+        errors = runs.backfill(v.spark, model, v.daily, None, path, *BACKFILL)
+        assert errors.isEmpty()
+        return shaped(v.spark.read.parquet(path))
+
+
+for _model in ("ets", "auto.arima", "prophet", "rEDM"):
+    backfill_model(_model)
+
+
+@query("replicate_mode_ets", backfill_shape("ets", "rep_monthly"))
+def _(v):
+    return shaped(runs.issue_forecast("ets", v.daily, None, v.backfill_issues, runs.REPLICATES))
+
+
 ARIMA_ROWS = """(SELECT site_id, count(*) AS n FROM (
     SELECT *, list_aggregate([lag(w, 1) OVER s, lag(w, 2) OVER s, lag(w, 3) OVER s, lag(w, 4) OVER s, lag(w, 5) OVER s, lag(w, 12) OVER s,
                               lag(e, 1) OVER s, lag(e, 2) OVER s, lag(e, 12) OVER s], 'count') AS present FROM (
