@@ -10,7 +10,8 @@ Labels mark documents, not sentences. Offending sentences are those that occur i
 more often than in clean ones that chance would not do so for any of all sentences. Documents that have a
 sentence between the same neighbours count once, so that copies of a document prove nothing. They, and
 variants with a letter put in or taken out, are the positive
-sentences; the commonest sentences of clean documents and those nearest to a positive one are negative.
+sentences, however many there are; the commonest sentences of clean documents and those nearest to a positive
+one are negative, but for sentences that are commoner in toxic documents than in clean ones.
 
 All sentences of whole texts are judged, each distinct one once per task. A text's score is a logistic
 function of its worst sentence, the sum and the number of the sentences on the wrong side, and its length,
@@ -37,8 +38,7 @@ STRETCH = 24
 OVERLAP = 12
 #: Bound of the fit: labelled documents per label that sentences are learned from.
 SAMPLE = 4000
-#: Bounds of the fit: positive sentences, negatives of either kind, landmarks.
-POSITIVES = 200
+#: Bounds of the fit: negatives of either kind, landmarks.
 NEGATIVES = 1500
 LANDMARKS = 100
 #: Chance of any offending sentence by accident, by the Chernoff bound over all sentences.
@@ -47,6 +47,8 @@ ACCIDENT = 1e-3
 MOST_CLEAN = 0.1
 #: Sentences whose kernels are computed at once.
 STEP = 2048
+#: Sentences that others are compared with at once.
+BLOCK = 200
 #: A task forgets its scored sentences beyond so many, to bound its memory.
 CACHED = 1 << 20
 
@@ -171,6 +173,14 @@ def kernel(texts: list[str], others: list[str]) -> np.ndarray:
     return space.sums(texts, space.weights / norm)
 
 
+def nearest(texts: list[str], others: list[str]) -> np.ndarray:
+    """The largest kernel value of each text with any of the others, a block of them at a time."""
+    near = np.zeros(len(texts))
+    for at in range(0, len(others), BLOCK):
+        near = np.maximum(near, kernel(texts, others[at : at + BLOCK]).max(axis=1))
+    return near
+
+
 # ---------------------------------------------------------------- machine
 
 
@@ -217,9 +227,9 @@ def fit(positive: list[str], negative: list[str]) -> dict | None:
     positive, negative = ([t for t in some if len(t) >= ORDER] for some in (positive, negative))
     if not positive or not negative:
         return None
-    hard = kernel(negative, positive).max(axis=1)
-    nearest = [negative[i] for i in np.argsort(-hard, kind="stable")[: 10 * LANDMARKS]]
-    landmarks = sorted({*spread_out(positive, LANDMARKS // 2), *spread_out(nearest, LANDMARKS // 2)})
+    hard = nearest(negative, positive)
+    hardest = [negative[i] for i in np.argsort(-hard, kind="stable")[: 10 * LANDMARKS]]
+    landmarks = sorted({*spread_out(positive, LANDMARKS // 2), *spread_out(hardest, LANDMARKS // 2)})
     values, vectors = np.linalg.eigh(kernel(landmarks, landmarks))
     keep = values > 1e-4 * values[-1]
     whiten = vectors[:, keep] / np.sqrt(values[keep])
@@ -360,9 +370,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column) -> dict:
         .withColumn("surprise", n * relative)
         .where(F.col("surprise") > math.log(max(counts.count(), 1) / ACCIDENT))
     )
-    positive = [r[0] for r in offending.orderBy(F.desc("surprise"), "sentence").limit(POSITIVES).collect()]
-    common = [r[0] for r in counts.where("good > 0").orderBy(F.desc("good"), "sentence").limit(NEGATIVES).collect()]
-    near = _nearest(counts.where("good > 0").select("sentence"), positive)
+    # The vocabulary of the sample bounds them. What is commoner in toxic documents is no example of the harmless.
+    positive = [r[0] for r in offending.orderBy(F.desc("surprise"), "sentence").collect()]
+    fair = counts.where((F.col("good") > 0) & (F.col("good") / clean >= F.col("bad") / toxic))
+    common = [r[0] for r in fair.orderBy(F.desc("good"), "sentence").limit(NEGATIVES).collect()]
+    near = _nearest(fair.select("sentence"), positive)
     machine = fit(positive, sorted(set(common + near) - set(positive)))
     if machine is None:
         return {"machine": None, "curve": None}
@@ -390,7 +402,7 @@ def _nearest(clean: DataFrame, positive: list[str]) -> list[str]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kernel(texts, positive).max(axis=1).astype(float))], names=["sentence", "near"]
+                [batch.column(0), pa.array(nearest(texts, positive))], names=["sentence", "near"]
             )
 
     spread = clean.repartition(int(clean.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sentence")

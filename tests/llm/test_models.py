@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from fluxloom.llm import language, toxicity
 from tests.llm import cases
@@ -100,3 +101,24 @@ def test_toxicity_of_awkward_tables(spark):
     none = toxicity.toxicity_report(docs, labels.limit(0)).collect()
     assert len(none) == docs.count() and {r.predicted for r in none} == {0}
     assert toxicity.toxicity_report(docs.limit(0), labels).count() == 0
+
+
+def test_every_offending_word_is_learned(spark):
+    rng = np.random.default_rng(3)
+    endings = ["".join(rng.choice(list("aeioulnr"), 3)) for _ in range(40)]
+    endings = sorted(set(endings))[:20]
+    many = [stem + e for stem in ("schurk", "halunk", "trott", "gaunkl", "lumpf", "flegz", "wichtb", "strolchk", "banausg", "ganovd") for e in endings]
+    rarer = [stem + e for stem in ("quaxzyp", "jokwyvq", "pyxqumb") for e in endings]
+    assert len(many) == 200 and len(rarer) == 60
+    filler = sorted({"".join(rng.choice(list("abdeghilmnorstu"), rng.integers(4, 9))) for _ in range(300)})
+    size = 400
+    texts = [[str(w) for w in rng.choice(filler, 30)] for _ in range(2 * size)]
+    for word, times in [(w, 40) for w in many] + [(w, 30) for w in rarer]:
+        # The first half is toxic; each word stands in one clean text, too.
+        for i in [*rng.choice(size, times, replace=False), size + rng.integers(size)]:
+            texts[i].insert(int(rng.integers(len(texts[i]))), word)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < size)) for i in range(2 * size)], "doc_id long, toxic int")
+    machine = toxicity.train(docs, labels, F.lit(True))["machine"]
+    assert np.mean(toxicity.margins(many, machine) > 0) > 0.95 and np.mean(toxicity.margins(rarer, machine) > 0) > 0.95
+    assert np.mean(toxicity.margins(filler, machine) < 0) > 0.95
