@@ -6,6 +6,11 @@ word bigrams is compared with each licence template's, and a unit matches a temp
 set, only templates whose size lies within threshold / (2 - threshold) of the unit's size and the inverse
 are compared at all.
 
+A notice may also be wrapped over several lines of a longer text, or stand inside a long line. A template that
+neither the whole text nor a line matches is therefore looked for in runs of consecutive words, of up to the
+same bound times the template's words. Only texts that have the least common part of a template are searched, and only
+runs that begin and end with a bigram of it, as others score no more. A notice found only so counts as one unit.
+
 Null and empty texts and units of one word have no bigrams and match nothing; a line that a text repeats
 counts once; results of rows that share an id are taken together, also for a null id; an empty table gives
 no rows; extra columns are not looked at.
@@ -66,44 +71,94 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, _UPPER, _LOWER), "[^a-z0-9]+", " ")
 
 
+def pairs(words: Column) -> Column:
+    return F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
+
+
 def bigrams(words: Column) -> Column:
-    return F.array_distinct(
-        F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    )
+    return F.array_distinct(pairs(words))
+
+
+def normalised_words(text: str) -> list[str]:
+    return "".join(c if c in _LOWER + "0123456789" else " " for c in text.translate(str.maketrans(_UPPER, _LOWER))).split()
 
 
 def template_bigrams(text: str) -> list[str]:
-    words = "".join(c if c in _LOWER + "0123456789" else " " for c in text.translate(str.maketrans(_UPPER, _LOWER))).split()
+    words = normalised_words(text)
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def _once(name: str, column: Column) -> Column:
+    """A column that later steps read more than once, worked out a single time."""
+    return F.explode(F.array(column)).alias(name)
+
+
+def _best_run(ordered: Column, at: Column, t: Column, low: float) -> Column:
+    """The largest coefficient of a run of bigrams that begins and ends at one of the places ``at``; null if there is none."""
+    least = F.ceil(t["size"] * low).cast("int")
+
+    def dice(i: Column, j: Column) -> Column:
+        run = F.slice(ordered, i, j - i + 1)
+        return 2.0 * F.size(F.array_intersect(run, t["bigrams"])) / (F.size(F.array_distinct(run)) + t["size"])
+
+    def from_place(i: Column, k: Column) -> Column:
+        # Each place is one bigram more, so ends before the least-th place are too near and beyond the most-th too far.
+        ends = F.filter(F.slice(at, k + least, t["most"]), lambda j: j - i < t["most"])
+        return F.array_max(F.transform(ends, lambda j: dice(i, j)))
+
+    return F.array_max(F.transform(at, from_place))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, licence, dice, units) for each licence that some unit of a document matches."""
     sets = {name: template_bigrams(text) for name, text in (templates or TEMPLATES).items()}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [len(s) for s in sets.values()]
+    most = {name: int(high * (len(normalised_words(text)) - 1)) for name, text in (templates or TEMPLATES).items()}
     known = F.array(
         *[
-            F.struct(F.lit(name).alias("licence"), F.lit(len(s)).alias("size"), F.array(*map(F.lit, s)).alias("bigrams"))
+            F.struct(
+                F.lit(name).alias("licence"), F.lit(len(s)).alias("size"), F.lit(most[name]).alias("most"), F.array(*map(F.lit, s)).alias("bigrams")
+            )
             for name, s in sets.items()
         ]
     )
+    anything = F.array(*map(F.lit, sorted(set().union(*sets.values()))))
     # A bigram set has at most one element less than the unit has words, and a word one letter at least, so
     # short units are out before anything is split.
     least = int(low * min(sizes))
     units = docs.select(
-        "doc_id", F.explode(F.array_distinct(F.concat(F.array("text"), F.split("text", "\n")))).alias("unit")
+        "doc_id", F.posexplode(F.array_distinct(F.concat(F.array("text"), F.split("text", "\n")))).alias("place", "unit")
     ).where(F.length("unit") >= 2 * least + 1)
-    # Repeats make sets smaller than texts, so a long unit can only be ruled out by its set.
-    words = units.select("doc_id", F.split(F.trim(normalised(F.col("unit"))), " ").alias("words"))
-    grams = words.select("doc_id", F.explode(F.array(bigrams(F.col("words")))).alias("grams")).where(
-        F.size("grams").between(int(low * min(sizes)), int(high * max(sizes)) + 1)
+    # Repeats make sets smaller than texts, so a long unit can only be ruled out by its set. The whole text comes first.
+    words = units.select("doc_id", "place", F.split(F.trim(normalised(F.col("unit"))), " ").alias("words"))
+    grams = words.select("doc_id", "place", "words", _once("grams", bigrams(F.col("words")))).where(
+        (F.col("place") == 0) | F.size("grams").between(int(low * min(sizes)), int(high * max(sizes)) + 1)
     )
+    hits = F.when(F.col("place") == 0, F.array_intersect(F.col("grams"), anything)).otherwise(F.array().cast("array<string>"))
+    met = grams.select("doc_id", "words", "grams", _once("hits", hits))
     fits = lambda t: (F.size("grams") >= t["size"] * low) & (F.size("grams") <= t["size"] * high)
-    compared = grams.select("doc_id", "grams", F.explode(F.filter(known, fits)).alias("t"))
+    within = lambda t: F.size(F.array_intersect(F.col("hits"), t["bigrams"])) >= t["size"] * low
+    kinds = F.concat(
+        F.transform(F.filter(known, fits), lambda t: F.struct(F.lit(False).alias("inside"), t.alias("t"))),
+        F.transform(F.filter(known, within), lambda t: F.struct(F.lit(True).alias("inside"), t.alias("t"))),
+    )
+    compared = met.select("doc_id", "words", "grams", F.explode(kinds).alias("u")).select("doc_id", "words", "grams", "u.inside", "u.t")
+    none = F.array().cast("array<string>")
+    ordered = compared.select("doc_id", "grams", "inside", "t", _once("ordered", F.when(F.col("inside"), pairs(F.col("words"))).otherwise(none)))
+    places = F.filter(
+        F.transform("ordered", lambda g, i: F.when(F.array_contains(F.col("t.bigrams"), g), i + 1)), lambda i: i.isNotNull()
+    )
+    placed = ordered.select("doc_id", "grams", "inside", "t", "ordered", _once("at", places))
     common = F.size(F.array_intersect(F.col("grams"), F.col("t.bigrams")))
-    scored = compared.select("doc_id", F.col("t.licence").alias("licence"), (2.0 * common / (F.size("grams") + F.col("t.size"))).alias("dice"))
-    return scored.where(F.col("dice") >= threshold).groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.count("*").alias("units"))
+    dice = F.when(F.col("inside"), _best_run(F.col("ordered"), F.col("at"), F.col("t"), low)).otherwise(
+        2.0 * common / (F.size("grams") + F.col("t.size"))
+    )
+    scored = placed.select("doc_id", F.col("t.licence").alias("licence"), "inside", dice.alias("dice")).where(F.col("dice") >= threshold)
+    unit = F.when(~F.col("inside"), F.col("dice"))
+    return scored.groupBy("doc_id", "licence").agg(
+        F.coalesce(F.max(unit), F.max("dice")).alias("dice"), F.greatest(F.count(unit), F.lit(1).cast("long")).alias("units")
+    )
 
 
 def licence_sql(threshold: float = THRESHOLD) -> str:

@@ -1,5 +1,7 @@
 """Preferences, licences, the pipeline, and every query with SQL against its SQL."""
 
+import textwrap
+
 import pytest
 
 import __spark_entry__ as entry
@@ -80,6 +82,21 @@ def test_licences(spark):
     assert licences.scan(docs.limit(0)).count() == 0
 
 
+def test_wrapped_licences_in_longer_texts(spark):
+    names = ["MIT", "ISC", "BSD (grant)", "GPL-3.0-or-later", "MPL-2.0", "Apache-2.0"]
+    code = "\n".join(f"value{i} = compute(value{i - 1}, {i})" for i in range(300))
+    rows = []
+    for i, name in enumerate(names):
+        head = "\n".join(f"# {line}" for line in textwrap.wrap(licences.TEMPLATES[name], 60))
+        rows += [(i, f"#!/usr/bin/env python\n# Copyright 2020 someone\n#\n{head}\n{code}")]
+        rows += [(100 + i, f"{code} {licences.TEMPLATES[name]} {code}".replace("\n", " "))]
+        rows += [(200 + i, f"{head[: len(head) // 3]}\n{code}")]
+    got = {(r.doc_id, r.licence): (r.dice, r.units) for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, name in enumerate(names):
+        assert got[(i, name)] == (1.0, 1) and got[(100 + i, name)] == (1.0, 1)
+        assert (200 + i, name) not in got
+
+
 def test_stages_keep_the_columns(spark):
     docs = cases.edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
     names = [name for name, _ in corpus_pipeline.STAGES]
