@@ -16,8 +16,9 @@ positions would move hundreds of bytes per byte of text. The sort here takes a s
 4. Groups. Suffixes of one gram come out together. A suffix that comes out twice is repeated as a whole; if
    different suffixes share a gram, their single strings are matched by distance from the gram and a hash.
 
-A suffix that a task has met twice is known to be repeated and is sent no more; a gram with more different
-suffixes than a task should hold sends its strings' hashes into one further exchange. So neither a passage
+A suffix that a task has met twice is known to be repeated and is sent no more; a gram that occurs more often
+than one task should hold sends no suffixes but its strings' hashes, dealt by text, into one further exchange, and so does
+a gram with many different suffixes. So neither a passage
 in a third of all texts nor one with ever new surroundings gathers in one task. "Equal" means equal bytes or
 equal 64-bit hashes behind equal 64-bit gram hashes.
 
@@ -46,6 +47,8 @@ PIECE = 1 << 20
 ROUTE = 4 << 20
 #: Different suffixes of one gram that are matched in one task.
 VARIANTS = 4096
+#: Occurrences of one gram whose suffixes are gathered in one task.
+HOT = 1 << 16
 #: Bytes of suffixes whose strings are matched at once.
 MATCHED = 1 << 20
 
@@ -288,6 +291,22 @@ def _suffix_rows(parts: np.ndarray, data: np.ndarray, first, last, grams, anchor
     return rows
 
 
+def _hot_rows(data: np.ndarray, first, last, grams, anchors, times, owner, start, span: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Every string of the suffixes as a hash with its place, in pieces that go to any part."""
+    loose = matcher(span)
+    for i in range(len(first)):
+        text = data[first[i] : last[i] + span].tobytes()
+        loose.add(int(grams[i]), [[text, int(anchors[i] - first[i]), int(times[i]), int(owner[i]), int(start[i])]])
+        if loose.bytes >= MATCHED // 16 or i == len(first) - 1:
+            part = int(owner[i]) & ((1 << bits) - 1)
+            found = loose.scatter()
+            rows = dict(
+                part=[part], kind=[2], data=[found["h"].tobytes()], times=[found["kind"].tobytes()], owner=[found["k"].tobytes()],
+                start=[found["lo"].astype(np.int64).tobytes()],
+            )
+            yield _columns(rows, _RUN)
+
+
 def _texts(docs: DataFrame, routes: int) -> DataFrame:
     k = F.xxhash64("doc_id", "text")
     return docs.select("doc_id", "text", k.alias("k"), F.pmod(k, F.lit(routes)).cast("int").alias("route"))
@@ -299,6 +318,7 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
     routes = partitions(n_bytes, ROUTE)
     bits = max(5, (n_bytes // (2 * ROUTE)).bit_length())
     gram = min(GRAM, span)
+    hot_from = HOT
     long_ones = _texts(docs, routes).where(F.octet_length("text") >= span)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -325,29 +345,36 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
             same = element[1:] == element[:-1]
             often = np.concatenate([[False], same]) | np.concatenate([same, [False]])
             element, route = element[often], route[often]
-            order = np.lexsort((element, route))
-            element, route = element[order], route[order]
-            own = runs(route)
-            rows = dict(route=[int(route[a]) for a, _ in own], grams=[np.unique(element[a:b]).tobytes() for a, b in own])
-            yield _columns(rows, dict(route=pa.int32(), grams=pa.binary()))
+            _, which, many = np.unique(element, return_inverse=True, return_counts=True)
+            hot = many[which] > hot_from
+            rows: dict[str, list] = {"route": [], "hot": [], "grams": []}
+            for some, is_hot in ((~hot, 0), (hot, 1)):
+                order = np.lexsort((element[some], route[some]))
+                elements, routes_ = element[some][order], route[some][order]
+                for a, b in runs(routes_):
+                    for c, v in zip(rows, (int(routes_[a]), is_hot, np.unique(elements[a:b]).tobytes()), strict=True):
+                        rows[c].append(v)
+            yield _columns(rows, dict(route=pa.int32(), hot=pa.int64(), grams=pa.binary()))
 
     met = long_ones.select("text", "route").mapInArrow(sketch, "part int, elements binary, owners binary")
-    met = met.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "route int, grams binary")
+    met = met.repartition("part").sortWithinPartitions("part").mapInArrow(meet, "route int, hot long, grams binary")
     texts = long_ones.select("route", F.lit(1).alias("kind"), "k", "text", F.lit(None).cast("binary").alias("grams"))
     none = lambda t: F.lit(None).cast(t)
-    both = texts.union(met.select("route", F.lit(0), none("long"), none("string"), "grams"))
+    both = texts.union(met.select("route", F.lit(0), "hot", none("string"), "grams"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, route = np.zeros(0, np.uint64), -1
+        known, hot, route = np.zeros(0, np.uint64), np.zeros(0, np.uint64), -1
         sent, certain = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         for batch in batches:
             routes_, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for a, b in runs(2 * routes_.astype(np.int64) + kinds):
                 if routes_[a] != route:
-                    known, route = np.zeros(0, np.uint64), routes_[a]
+                    known, hot, route = np.zeros(0, np.uint64), np.zeros(0, np.uint64), routes_[a]
                 if kinds[a] == 0:
                     new = [np.frombuffer(g, np.uint64) for g in batch.column(4).slice(a, b - a).to_pylist()]
                     known = np.unique(np.concatenate([known, *new]))
+                    is_hot = batch.column(2).slice(a, b - a).to_pylist()
+                    hot = np.unique(np.concatenate([hot, *[g for g, h in zip(new, is_hot, strict=True) if h]]))
                     continue
                 for part in slices(batch.slice(a, b - a), limit=PIECE) if len(known) else ():
                     data, offsets = text_bytes(part.column(3))
@@ -372,6 +399,10 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
                         times = np.where(double[which[go]], 2, 1)
                         certain = np.concatenate([certain, whole[go][times > 1]])
                         sent = np.concatenate([sent, whole[once[~before]]])
+                        loose = np.isin(grams[go], hot)
+                        at = go[loose]
+                        yield from _hot_rows(data, first[at], last[at], grams[at], anchors[at], times[loose], owner[at], start[at], span, bits)
+                        go, times = go[~loose], times[~loose]
                         if len(go):
                             parts = (grams[go] >> np.uint64(64 - bits)).astype(np.int64)
                             yield _columns(
@@ -386,6 +417,14 @@ def repeated_spans(docs: DataFrame, span: int = SPAN) -> DataFrame:
                 zero = np.zeros(len(k), np.int32)
                 yield _columns(dict(kind=zero, h=zero.astype(np.int64), k=k, lo=lo, hi=lo + read("data")), _SPANS)
                 continue
+            if table.column("kind")[0].as_py() == 2:
+                for r in table.select(["data", "times", "owner", "start"]).to_batches():
+                    for h, t, k, lo in zip(*(c.to_pylist() for c in r.columns), strict=True):
+                        lo = np.frombuffer(lo, np.int64)
+                        yield _columns(
+                            dict(kind=np.frombuffer(t, np.int32), h=np.frombuffer(h, np.int64), k=np.frombuffer(k, np.int64), lo=lo, hi=lo + span), _SPANS
+                        )
+                continue
             readers = []
             for r in table.select(["shared", "rest", "data", "distance", "times", "owner", "start"]).to_pylist():
                 payload = [np.frombuffer(r[c], t).tolist() for c, t in (("distance", np.int32), ("times", np.int32), ("owner", np.int64), ("start", np.int64))]

@@ -101,6 +101,22 @@ def test_repeats_of_awkward_texts(spark, monkeypatch, span, variants):
     assert got == Counter((d, *x) for (d, _), x in zip(rows, cases.without_repeats([t for _, t in rows], span), strict=True))
 
 
+def test_suffixes_of_hot_grams_are_not_gathered(spark, monkeypatch):
+    rng = random.Random(8)
+    some = lambda n: "".join(rng.choices("abcdefghijklmnop ", k=n))
+    passage, whole = some(260), some(450)
+    texts = [some(150) + passage + some(150) for _ in range(300)] + [whole, whole, some(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    expected = dict(enumerate(cases.without_repeats(texts, 200)))
+    kept, staged = [], suffixes.staged
+    monkeypatch.setattr(suffixes, "staged", lambda df, name: kept.append(staged(df, name)) or kept[-1])
+    for hot, scattered in ((50, True), (1 << 16, False)):
+        monkeypatch.setattr(suffixes, "HOT", hot, raising=False)
+        got = {r.doc_id: tuple(r)[1:] for r in suffixes.repeat_report(docs).collect()}
+        assert got == expected
+        assert (kept[-1].where("kind > 0").count() > 300) == scattered
+
+
 def test_repeats_of_the_given_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(60)
     rows = docs.collect()
