@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fluxloom.llm import jaccard, language, licences, mixing, packing, preferences, suffixes, toxicity, vectors
+from fluxloom.llm import exact, jaccard, language, licences, mixing, packing, preferences, spelling, suffixes, toxicity, vectors, whitening
 from fluxloom.llm.common import documents
 
 
@@ -28,6 +28,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": lambda spark, sf_dir: toxicity.toxicity_report(
         documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     ),
+    "op11_exact_dedup": lambda spark, sf_dir: exact.duplicate_report(documents(spark, sf_dir)),
+    "op12_spelling_variants": lambda spark, sf_dir: spelling.spelling_report(documents(spark, sf_dir)),
+    "op13_whitening": lambda spark, sf_dir: whitening.whiten(embeddings(spark, sf_dir)),
 }
 ORACLES: dict[str, str] = {
     "op1_vector_top_k": vectors.TOP_K_SQL,
@@ -35,4 +38,6 @@ ORACLES: dict[str, str] = {
     "op3_embedding_near_duplicates": vectors.NEAR_SQL,
     "op7_preferences": preferences.PREFERENCE_SQL,
     "op8_licences": licences.licence_sql(),
+    "op11_exact_dedup": exact.DUPLICATE_SQL,
+    "op12_spelling_variants": spelling.SPELLING_SQL,
 }
