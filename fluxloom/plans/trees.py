@@ -1,185 +1,201 @@
-"""Tree models pooled over sites with Spark ML, and permutation importance.
+"""Tree models: a random forest and boosted trees per series and issue date, driver importance, a pooled fit.
 
-A pooled fit is one distributed job per issue date, so issue dates are the one loop on the driver
-here. Sites enter by the mean and spread of their training window.
+A series is bounded by the calendar, so each fit's rows travel packed in one row of an Arrow batch, dealt over
+the cluster by series; all trees of a batch grow together (``operators.treegrow``). Nothing loops over series or
+issue dates on the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.operators.aggregates import PREDICTORS, future_drivers
-from fluxloom.operators.joins import join_treatments
 from fluxloom.functions.labels import DRIVER_LABELS, VEGETATION_LABELS, recode, temperature_label
 from fluxloom.functions.values import fold_transect
-from fluxloom.operators.reshape import stack
-from fluxloom.session import staged
-from fluxloom.plans.common import FITS, finish_forecast, issue_lookup, register_model
+from fluxloom.operators import linalg, treegrow
+from fluxloom.operators.aggregates import PREDICTORS
+from fluxloom.operators.joins import join_treatments
+from fluxloom.plans.common import FITS, SERIES, finish_forecast, issue_lookup, placed, register_model
 from fluxloom.plans.driver_models import (
-    SEED, complete_rows, cv_folds, driver_training, ensemble_to_normal, fit_residual_sd,
+    SEED, complete_rows, driver_training, ensemble_to_normal, member_arrays, predictors,
 )
 
-#: Settings of library, queries and benchmark alike. More trees and rounds cost time in proportion.
-TREES, DEPTH, FOLDS = 60, 8, 3
-ROUNDS, BOOST_FOLDS, BOOST_DEPTH, PATIENCE = 12, 2, 5, 2
+#: Trees, predictors tried per cut, and rows that a node needs more of to be cut.
+TREES, TRIED, LEAST = 500, max(1, len(PREDICTORS) // 3), 5
+#: Boosting rounds at most, folds, rounds without a better one, learning rate, depth, ridge on leaves.
+ROUNDS, FOLDS, PATIENCE, RATE, BOOST_DEPTH, RIDGE = 100, 10, 2, 0.3, 6, 1.0
+#: A forest's trees grow until nodes are small; this only bounds odd cases.
+FULL_DEPTH = 60
 SITE_COLUMNS = ("site_mean", "site_sd")
 
+Solver = Callable[[list, list, list, list], list[treegrow.Fitted]]
 
-def site_profile(train: DataFrame) -> DataFrame:
-    """Level and spread of each series within its training window: what a pooled fit knows of a site.
 
-    Unlike codes hashed to a fixed width, profiles of different sites never fall together.
-    """
-    return train.groupBy(*FITS).agg(
-        F.avg("observation").alias("site_mean"), F.coalesce(F.stddev_samp("observation"), F.lit(0.0)).alias("site_sd")
+def packed_fits(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per fit: dates, observations and predictors (row by row) in date order, and a seed of the key."""
+    row = F.struct("datetime", "observation", predictors().alias("x"))
+    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    return packed.select(
+        *keys,
+        F.col("rows.datetime").alias("at"),
+        F.col("rows.observation").alias("y"),
+        F.flatten(F.col("rows.x")).alias("x"),
+        F.xxhash64(*[F.col(k).cast("string") for k in keys], F.lit(SEED)).alias("seed"),
     )
 
 
-def _features(df: DataFrame) -> DataFrame:
-    """Predictors and the site's profile as one vector column."""
-    return VectorAssembler(inputCols=[*PREDICTORS, *SITE_COLUMNS], outputCol="features").transform(df)
-
-
-def _training(monthly, drivers, issues) -> DataFrame:
-    rows = staged(driver_training(monthly, drivers, issues), "train")
-    return _features(rows.join(site_profile(rows), list(FITS)))
-
-
-def _forest(trees: int, depth: int) -> RandomForestRegressor:
-    return RandomForestRegressor(
-        labelCol="observation", numTrees=trees, maxDepth=depth, minInstancesPerNode=5,
-        featureSubsetStrategy="onethird", seed=SEED,
+def _doubles(column: pa.Array) -> list[np.ndarray]:
+    """Rows of a list column as arrays."""
+    column = pa.concat_arrays([column]) if not isinstance(column, pa.ChunkedArray) else column.combine_chunks()
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
+    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.list_value_length(column), 0)))
+    return np.split(flat, ends[:-1])
+
+
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum([len(v) for v in values])])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0), pa.float64()))
+
+
+RESULTS = "fitted array<double>, members array<double>, residual_sd double, rounds int, base double, rise array<double>, spread array<double>"
+
+
+def solved(packed: DataFrame, keys: Sequence[str], solver: Solver) -> DataFrame:
+    """``packed`` with each fit's results: its rows predicted, its members (column ``future``) predicted, spread."""
+    types = dict(packed.dtypes)
+    kept = [*keys, "at", "y"]
+    schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", " + RESULTS
+    width = len(PREDICTORS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
+            targets = _doubles(column("y"))
+            designs, new = ([x.reshape(-1, width) for x in _doubles(column(c))] for c in ("x", "future"))
+            found = solver(designs, targets, new, column("seed").to_pylist())
+            gaps = [f.rows - y for f, y in zip(found, targets, strict=True)]
+            gaps = [g[~np.isnan(g)] for g in gaps]
+            none = np.zeros(0)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[column(k) for k in kept],
+                    _lists([f.rows for f in found]),
+                    _lists([f.new for f in found]),
+                    pa.array([float(g.std(ddof=1)) if len(g) > 1 else None for g in gaps], pa.float64()),
+                    pa.array([f.rounds for f in found], pa.int32()),
+                    pa.array([f.base for f in found], pa.float64()),
+                    _lists([f.rise if f.rise is not None else none for f in found]),
+                    _lists([f.spread if f.spread is not None else none for f in found]),
+                ],
+                names=[*kept, *[c.split()[0] for c in RESULTS.split(", ")]],
+            )
+
+    needed = packed if "future" in packed.columns else packed.withColumn("future", F.array().cast("array<double>"))
+    return needed.select(*kept, "x", "seed", "future").mapInArrow(run, schema)
+
+
+def forest_solver(trees: int = TREES, tried: int = TRIED, least: int = LEAST, importance: bool = False) -> Solver:
+    return lambda x, y, new, seeds: treegrow.forests(x, y, new, seeds, trees, tried, least, FULL_DEPTH, importance)
+
+
+def boosting_solver(rounds: int = ROUNDS, folds: int = FOLDS, patience: int = PATIENCE) -> Solver:
+    return lambda x, y, new, seeds: treegrow.boosted(x, y, new, seeds, rounds, folds, patience, RATE, BOOST_DEPTH, RIDGE)
+
+
+def fitted_rows(monthly, drivers, issues, solver: Solver | None = None) -> DataFrame:
+    """Training rows of every fit with its prediction: out of bag for a forest (null where no tree left the row
+    out), in sample for boosting."""
+    fits = solved(packed_fits(driver_training(monthly, drivers, issues), FITS), FITS, solver or forest_solver())
+    rows = fits.select(*FITS, "rounds", F.explode(F.arrays_zip("at", "y", "fitted")).alias("r"))
+    return rows.select(
+        *FITS, "rounds", F.col("r.at").alias("datetime"), F.col("r.y").alias("observation"), F.nanvl("r.fitted", F.lit(None)).alias("prediction")
     )
 
 
-def _held_out(train: DataFrame, folds: int, estimator) -> DataFrame:
-    """Each row predicted by the fit that did not see it."""
-    tagged = cv_folds(train, ["site_id", "variable", "datetime"], folds)
-    parts = []
-    for f in range(folds):
-        model = estimator.fit(tagged.where(F.col("fold") != f))
-        parts.append(model.transform(tagged.where(F.col("fold") == f)))
-    return stack(parts)
-
-
-def _member_forecast(model, train, residuals, drivers, issues, model_id) -> DataFrame:
-    """Predict every member of the latest ensemble for every trained site of the issue date."""
-    members = future_drivers(drivers, issues).dropna(subset=list(PREDICTORS))
-    ensemble = members.groupBy("issue").agg(F.collect_list(F.struct("datetime", *PREDICTORS)).alias("ensemble"))
-    sites = train.select(*FITS, *SITE_COLUMNS).distinct().withColumn("m", F.explode(issue_lookup(ensemble, "ensemble")))
-    predicted = model.transform(_features(sites.select(*FITS, *SITE_COLUMNS, "m.*")))
-    grouped = predicted.groupBy(*FITS, "datetime").agg(F.collect_list("prediction").alias("members"))
-    return finish_forecast(ensemble_to_normal(grouped.join(residuals, list(FITS))), model_id)
-
-
-def _each_issue(issues: DataFrame, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    dates = issues.select("issue").distinct().orderBy("issue")
-    return stack([run(issues.where(F.col("issue") == F.lit(row.issue))) for row in dates.toLocalIterator()])
+def _forecast(monthly, drivers, issues, solver: Solver, model_id: str) -> DataFrame:
+    """Every member of the latest ensemble predicted by each fit; spread adds members and residuals."""
+    future = member_arrays(drivers, issues)
+    sizes = F.transform("future", lambda m: F.size(m.members))
+    flat = future.select(
+        "issue",
+        F.struct(
+            F.flatten(F.flatten(F.transform("future", lambda m: F.transform(m.members, lambda q: q.x)))).alias("x"),
+            F.zip_with("future", sizes, lambda m, n: F.struct(m.datetime.alias("datetime"), n.alias("n"))).alias("months"),
+        ).alias("ahead"),
+    )
+    packed = packed_fits(driver_training(monthly, drivers, issues), FITS)
+    fits = solved(packed.withColumn("future", issue_lookup(flat, "ahead").x), FITS, solver)
+    months = fits.select(*FITS, "members", "residual_sd", issue_lookup(flat, "ahead").months.alias("months"))
+    each = months.select(*FITS, "members", "residual_sd", "months", F.posexplode("months").alias("k", "m"))
+    before = F.aggregate(F.slice("months", F.lit(1), F.col("k")), F.lit(0), lambda s, m: s + m.n)
+    rows = each.select(
+        *FITS, "residual_sd", F.col("m.datetime").alias("datetime"), F.slice("members", before + 1, F.col("m.n")).alias("members")
+    )
+    return finish_forecast(ensemble_to_normal(rows), model_id)
 
 
 @register_model("randomForest")
-def fc_random_forest(monthly, drivers, issues, trees: int = TREES, depth: int = DEPTH, folds: int = FOLDS) -> DataFrame:
-    """Random forest; residual spread per site from held-out folds."""
-
-    def run(one):
-        train = _training(monthly, drivers, one)
-        residuals = fit_residual_sd(_held_out(train, folds, _forest(trees, depth)), FITS)
-        return _member_forecast(_forest(trees, depth).fit(train), train, residuals, drivers, one, "randomForest")
-
-    return _each_issue(issues, run)
-
-
-def boosting_rounds(train: DataFrame, folds: int, rounds: int, patience: int, depth: int) -> int:
-    """Rounds after which the mean held-out error stops improving for ``patience`` rounds."""
-    tagged = cv_folds(train, ["site_id", "variable", "datetime"], folds)
-    curves = []
-    for f in range(folds):
-        model = _boosting(rounds, depth).fit(tagged.where(F.col("fold") != f))
-        curves.append(model.evaluateEachIteration(tagged.where(F.col("fold") == f), "squared"))
-    errors = [sum(c[i] for c in curves) / len(curves) for i in range(rounds)]
-    best = 0
-    for i, error in enumerate(errors):
-        if error < errors[best]:
-            best = i
-        elif i - best >= patience:
-            break
-    return best + 1
-
-
-def _boosting(rounds: int, depth: int) -> GBTRegressor:
-    return GBTRegressor(labelCol="observation", maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=SEED)
+def fc_random_forest(monthly, drivers, issues, trees: int = TREES) -> DataFrame:
+    """A forest per series and issue date; residual spread from out-of-bag predictions."""
+    return _forecast(monthly, drivers, issues, forest_solver(trees), "randomForest")
 
 
 @register_model("XGBoost")
-def fc_gbt(
-    monthly, drivers, issues, rounds: int = ROUNDS, folds: int = BOOST_FOLDS, patience: int = PATIENCE, depth: int = BOOST_DEPTH
-) -> DataFrame:
-    """Gradient-boosted trees; rounds by cross-validation with early stopping, in-sample residuals."""
+def fc_gbt(monthly, drivers, issues, rounds: int = ROUNDS, folds: int = FOLDS, patience: int = PATIENCE) -> DataFrame:
+    """Boosted trees per series and issue date; rounds by cross-validation with early stopping, in-sample residuals."""
+    return _forecast(monthly, drivers, issues, boosting_solver(rounds, folds, patience), "XGBoost")
 
-    def run(one):
-        train = _training(monthly, drivers, one)
-        chosen = boosting_rounds(train, folds, rounds, patience, depth)
-        model = _boosting(chosen, depth).fit(train)
-        residuals = fit_residual_sd(model.transform(train), FITS)
-        return _member_forecast(model, train, residuals, drivers, one, "XGBoost")
 
-    return _each_issue(issues, run)
+def driver_importance(monthly, drivers, treatments, trees: int = TREES) -> DataFrame:
+    """Per site and driver the percent rise of out-of-bag squared error when the driver is shuffled (``IncMSE``), and
+    the rise over its standard error between trees (``scaled``).
 
+    One forest per site on all its complete rows; the shuffle is inside each tree's out-of-bag rows.
+    """
+    rows = placed(complete_rows(monthly, drivers))
+    fits = solved(packed_fits(rows, SERIES), SERIES, forest_solver(trees, importance=True))
+    names = F.array(*[F.lit(p) for p in PREDICTORS])
+    each = fits.select(*SERIES, "base", F.explode(F.arrays_zip(names.alias("name"), "rise", "spread")).alias("r")).select(
+        *SERIES, "base", F.col("r.name").alias("driver"), "r.rise", "r.spread"
+    )
+    labelled = join_treatments(each, treatments).where(F.col("CO2Treat") == "Amb")
+    return labelled.select(
+        "site_id",
+        recode(F.col("Veg"), VEGETATION_LABELS).alias("Veg"),
+        temperature_label(F.col("Temp")).alias("Temp"),
+        fold_transect(F.col("Transect")).alias("Transect"),
+        recode(F.col("driver"), DRIVER_LABELS).alias("name"),
+        (F.try_divide("rise", "base") * 100).alias("IncMSE"),
+        F.try_divide("rise", "spread").alias("scaled"),
+    )
 
-def pooled_fit(monthly, drivers, issues) -> DataFrame:
-    """One linear fit across all sites per issue date: prediction for every training row."""
 
-    def run(one):
-        train = _training(monthly, drivers, one)
-        model = LinearRegression(labelCol="observation", standardization=True, regParam=1e-6).fit(train)
-        return model.transform(train).select(*FITS, "datetime", "observation", "prediction")
+# ---- one fit for all sites ----------------------------------------------------------------------
 
-    return _each_issue(issues, run)
 
+def site_profile(train: DataFrame) -> DataFrame:
+    """Level and spread of each series within its training window: what a pooled fit knows of a site."""
+    return train.groupBy(*FITS).agg(
+        F.avg("observation").alias("site_mean"), F.coalesce(F.stddev_samp("observation"), F.lit(0.0)).alias("site_sd")
+    )
 
-def driver_importance(
-    monthly, drivers, treatments, trees: int = TREES, depth: int = DEPTH, folds: int = FOLDS, seed: int = SEED
-) -> DataFrame:
-    """Percent rise in squared error per site when one driver is shuffled within the site.
 
-    Every row is predicted by the forest that did not see it, with its own drivers and with a shuffled one.
+def pooled_fit(monthly, drivers, issues) -> DataFrame:
+    """One linear fit across all sites per issue date: every training row with its prediction and the coefficients.
 
-    The shuffle pairs the rows of a site with themselves in hash order, so it does not depend on
-    partitioning; a site's rows are one bounded series.
+    Sums of products per issue date combine on the map side, so all dates are one job.
     """
-    keys = ["project_id", "site_id", "variable"]
-    rows = complete_rows(monthly, drivers)
-    level = rows.groupBy(*keys).agg(F.avg("observation").alias("site_mean"), F.coalesce(F.stddev_samp("observation"), F.lit(0.0)).alias("site_sd"))
-    rows = staged(cv_folds(rows.join(level, keys), ["site_id", "variable", "datetime"], folds), "complete")
-    models = [_forest(trees, depth).fit(_features(rows.where(F.col("fold") != f))) for f in range(folds)]
-
-    def unseen(df: DataFrame) -> DataFrame:
-        return stack([m.transform(_features(df.where(F.col("fold") == f))) for f, m in enumerate(models)])
-
-    by_date = Window.partitionBy(*keys).orderBy("datetime")
-    numbered = rows.withColumn("_r", F.row_number().over(by_date))
-    variants = numbered.withColumn("name", F.explode(F.array(*[F.lit(p) for p in PREDICTORS])))
-    by_hash = Window.partitionBy(*keys, "name").orderBy(F.xxhash64("datetime", "name", F.lit(seed)), "datetime")
-    value = F.coalesce(*[F.when(F.col("name") == p, F.col(p)) for p in PREDICTORS])
-    donors = variants.select(*keys, "name", F.row_number().over(by_hash).alias("_r"), value.alias("_given"))
-    shuffled = variants.join(donors, [*keys, "name", "_r"]).withColumns(
-        {p: F.when(F.col("name") == p, F.col("_given")).otherwise(F.col(p)) for p in PREDICTORS}
-    )
-    error = F.avg(F.pow(F.col("prediction") - F.col("observation"), 2.0))
-    base = unseen(numbered).groupBy(*keys).agg(error.alias("base"))
-    permuted = unseen(shuffled).groupBy(*keys, "name").agg(error.alias("mse"))
-    rise = F.try_divide(F.col("mse") - F.col("base"), F.col("base")) * 100
-    labelled = join_treatments(permuted.join(base, keys), treatments).where(F.col("CO2Treat") == "Amb")
-    return labelled.select(
-        "site_id",
-        recode(F.col("Veg"), VEGETATION_LABELS).alias("Veg"),
-        temperature_label(F.col("Temp")).alias("Temp"),
-        fold_transect(F.col("Transect")).alias("Transect"),
-        recode(F.col("name"), DRIVER_LABELS).alias("name"),
-        rise.alias("IncMSE"),
+    rows = driver_training(monthly, drivers, issues)
+    rows = rows.join(site_profile(rows), list(FITS)).withColumn("x", F.array(*PREDICTORS, *SITE_COLUMNS))
+    inputs = [F.get("x", F.lit(i)) for i in range(len(PREDICTORS) + len(SITE_COLUMNS))]
+    coefficients = linalg.gram_fit(rows, ["issue"], inputs, F.col("observation")).select("issue", "coef")
+    fitted = rows.withColumn("coef", issue_lookup(coefficients, "coef"))
+    return fitted.select(
+        *FITS, "datetime", "observation", "x", "coef", linalg.dot(F.col("coef"), linalg.with_intercept(F.col("x"))).alias("prediction")
     )

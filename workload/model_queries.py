@@ -10,6 +10,7 @@ from fluxloom.operators import linalg, scoring, skill
 from fluxloom.plans import additive, arima, common, driver_models, edm, ets, runs, trees
 from fluxloom.plans.climatology import fc_climatology
 from fluxloom.plans.library import MODELS
+from fluxloom.session import staged
 from fluxloom.sources import tables
 from workload.ingest_queries import scratch
 from workload.registry import query, rounded, sql_rounded as R
@@ -462,11 +463,11 @@ def _(v):
     return rounds(done.select("site_id", "datetime", "mu", "sigma"), "mu", "sigma", digits=2)
 
 
-def member_sql(model: str) -> str:
+def member_sql(model: str, **others) -> str:
     return with_views(
         f"""SELECT '{model}' AS model_id, site_id, datetime, DATE '2000-07-01' AS reference_datetime, TRUE AS usable
             FROM (SELECT DISTINCT site_id FROM driver_train), (SELECT DISTINCT datetime FROM future WHERE datetime >= DATE '2000-07-01')""",
-        "driver_train", "future",
+        "driver_train", "future", **others,
     )
 
 
@@ -511,18 +512,69 @@ def _(v):
 
 @query("fc_random_forest", member_sql("randomForest"))
 def _(v):
-    return shaped(trees.fc_random_forest(v.monthly, v.drivers, v.issues))
+    return shaped(MODELS["randomForest"](v.monthly, v.drivers, v.issues))
 
 
 @query("fc_gbt", member_sql("XGBoost"))
 def _(v):
-    return shaped(trees.fc_gbt(v.monthly, v.drivers, v.issues))
+    return shaped(MODELS["XGBoost"](v.monthly, v.drivers, v.issues))
 
 
-@query("pooled_fit", with_views(f"SELECT site_id, datetime, {R('observation')} AS observation, TRUE AS predicted FROM driver_train", "driver_train"))
+def supplier_model(name: str, model: str):
+    @query(name, member_sql(model, monthly=SUPPLIER_MONTHLY))
+    def _(v):
+        return shaped(MODELS[model](v.supplier_monthly, v.drivers, v.issues))
+
+
+for _name, _model in (
+    ("fc_random_forest", "randomForest"), ("fc_gbt", "XGBoost"), ("fc_elastic_net", "elasticNet"), ("fc_kernel_ridge", "svm"),
+    ("fc_bayes_net", "brnn"),
+):
+    supplier_model(f"{_name}_suppliers", _model)
+
+
+def tree_rows(better: str) -> str:
+    """Per site the months and spread of a series that follows the first driver, and what the fit has to reach."""
+    return with_views(
+        f"""SELECT site_id, count(*) AS n, {R('stddev_samp(planted)', 2)} AS sd, TRUE AS {better} FROM (
+              SELECT site_id, 100 * Temp_K + observation % 50 AS planted FROM driver_train) GROUP BY site_id""",
+        "driver_train",
+    )
+
+
+def _against_mean(rows, better: str, part: float = 1.0):
+    """Whether predictions are closer to the observations than their mean is, by ``part``; all from raw rows."""
+    error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("observation"), 2.0)))
+    sd = F.stddev_samp("observation")
+    done = rows.groupBy("site_id").agg(F.count("*").alias("n"), sd.alias("sd"), (error < part * sd).alias(better))
+    return rounds(done, "sd", digits=2)
+
+
+@query("forest_out_of_bag", tree_rows("better_than_mean"))
+def _(v):
+    """Out-of-bag error of a series that follows one driver stays below the spread of the series."""
+    return _against_mean(trees.fitted_rows(v.planted_monthly, v.drivers, v.issues), "better_than_mean")
+
+
+@query("boosting_fit", tree_rows("closer_than_half"))
+def _(v):
+    return _against_mean(trees.fitted_rows(v.planted_monthly, v.drivers, v.issues, trees.boosting_solver()), "closer_than_half", 0.5)
+
+
+@query(
+    "pooled_fit",
+    with_views(
+        f"""SELECT issue, sum(n)::BIGINT AS n, count(*) AS sites, TRUE AS normal_equations FROM (
+              SELECT site_id, issue, count(*) AS n FROM driver_rows JOIN ({ALL_ISSUES}) ON datetime < issue GROUP BY ALL HAVING count(*) >= 10)
+            GROUP BY issue""",
+        "driver_rows", train=(("monthly",), "SELECT * FROM monthly"),
+    ),
+)
 def _(v):
-    rows = trees.pooled_fit(v.monthly, v.drivers, v.issues)
-    return rounds(rows.select("site_id", "datetime", "observation", F.col("prediction").isNotNull().alias("predicted")), "observation")
+    """All issue dates in one job; the residuals of the raw rows balance against every input."""
+    rows = staged(trees.pooled_fit(v.monthly, v.drivers, v.backfill_issues), "pooled")
+    checked = balanced(rows, F.col("x"), F.col("observation"), F.col("coef"), ["issue"])
+    return rows.groupBy("issue").agg(F.count("*").alias("n"), F.count_distinct("site_id").alias("sites")).join(checked, "issue")
 
 
 @query(
@@ -535,7 +587,45 @@ def _(v):
 )
 def _(v):
     rows = trees.driver_importance(v.monthly, v.drivers, v.treatments)
-    return rows.select("site_id", "name", F.col("IncMSE").isNotNull().alias("ranked"))
+    return rows.select("site_id", "name", (F.col("IncMSE").isNotNull() & F.col("scaled").isNotNull()).alias("ranked"))
+
+
+@query(
+    "driver_importance_planted",
+    with_views(
+        "SELECT DISTINCT site_id, 'Air temperature' AS name FROM monthly JOIN treatments ON site_id = Plot WHERE CO2Treat = 'Amb'",
+        "monthly", "treatments",
+    ),
+)
+def _(v):
+    """The driver that a series follows is the one whose shuffling costs most, at every site."""
+    rows = trees.driver_importance(v.planted_monthly, v.drivers, v.treatments)
+    return rows.groupBy("site_id").agg(F.max_by("name", "IncMSE").alias("name"))
+
+
+def backfill_members(model: str) -> str:
+    """Months of the latest ensemble from each issue date on, for every site with ten complete rows before it."""
+    return with_views(
+        f"""SELECT '{model}' AS model_id, site_id, datetime, issue AS reference_datetime, TRUE AS usable FROM (
+              SELECT site_id, issue FROM driver_rows JOIN ({ALL_ISSUES}) ON datetime < issue GROUP BY ALL HAVING count(*) >= 10) JOIN (
+              SELECT DISTINCT issue, datetime FROM driver_cells JOIN (
+                SELECT issue, max(reference_datetime) AS latest FROM driver_cells JOIN ({ALL_ISSUES}) ON reference_datetime <= issue GROUP BY issue)
+              ON reference_datetime = latest WHERE datetime >= issue) USING (issue)""",
+        "driver_rows", "driver_cells", train=(("monthly",), "SELECT * FROM monthly"),
+    )
+
+
+def backfill_driver_model(model: str):
+    @query(f"backfill_{model}", backfill_members(model))
+    def _(v):
+        path = scratch(v, f"backfill-{model}")
+        errors = runs.backfill(v.spark, model, v.daily, v.drivers, path, *BACKFILL)
+        assert errors.isEmpty()
+        return shaped(v.spark.read.parquet(path))
+
+
+for _model in ("randomForest", "XGBoost", "elasticNet", "svm", "brnn"):
+    backfill_driver_model(_model)
 
 
 # ---- runs -------------------------------------------------------------------------------------

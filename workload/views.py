@@ -151,6 +151,13 @@ class Views:
         )
         return staged(rows, "suppliers")
 
+    @cached_property
+    def planted_monthly(self) -> DataFrame:
+        """The months of ``monthly`` with values that follow the first driver, and a little of the observation."""
+        known = self.monthly.join(agg.past_driver_mean(self.drivers).select("datetime", "Temp_K"), "datetime")
+        rows = known.withColumn("observation", 100 * F.col("Temp_K") + F.col("observation") % 50)
+        return staged(rows.select(self.monthly.columns), "planted")
+
     @cached_property
     def all_monthly(self) -> DataFrame:
         return agg.all_targets(self.monthly)
