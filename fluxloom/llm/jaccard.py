@@ -154,16 +154,13 @@ def _sketches(docs: DataFrame, similarity: int) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 sets = shingle_sets(part.column(1))
-                sizes = np.array([len(s) for s in sets], np.int64)
-                key = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64) + sizes.astype(np.uint64)
-                key2 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64)
-                key, key2 = mix64(key).view(np.int64), key2.view(np.int64)
+                sizes, key, key2 = set_keys(sets)
                 rows = dict(part=list(key & ((1 << bits) - 1)), kind=[0] * len(sets), doc_id=part.column(0), n=sizes, key=key, key2=key2)
                 yield _columns(rows, types)
                 # Sets that this task has sent before need not go again.
-                known = np.asarray(part.column(0).is_valid()) & (sizes > 0)
-                _, once = np.unique(key, return_index=True)
-                once = once[known[once] & ~np.isin(key[once], seen)]
+                able = np.flatnonzero(np.asarray(part.column(0).is_valid()) & (sizes > 0))
+                once = able[np.unique(key[able], return_index=True)[1]]
+                once = once[~np.isin(key[once], seen)]
                 seen = np.concatenate([seen, key[once]])
                 cut = (sizes - needed(sizes, similarity) + first_match(sizes))[once]
                 flat = np.concatenate([sets[i][:c] for i, c in zip(once, cut, strict=True)] or [np.zeros(0, np.uint64)])
@@ -393,42 +390,93 @@ def _by_rounds(sets: DataFrame, similarity: int) -> DataFrame:
     return groups if groups is not None else sets.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
 
-def near_copies(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two 64-bit keys of each set: equal sets have equal ones."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    key = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64) + sizes.astype(np.uint64)
+    key2 = np.array([mix64(s).sum(dtype=np.uint64) for s in sets], np.uint64)
+    return sizes, mix64(key).view(np.int64), key2.view(np.int64)
+
+
+CLASS = ["key", "key2", "n"]
+
+
+def _grouped(docs: DataFrame, similarity: int) -> DataFrame:
+    """(doc_id, key, key2, n, component, component_id) of each row: its class of equal sets, and the group of classes.
+
+    Classes are nodes by their keys, not by a document's id, so different texts that share an id stay apart.
+    ``component`` is null for classes without links.
+    """
     sketches = _sketches(docs, similarity)
-    rows = sketches.where("kind = 0").select("doc_id", "n", "key", "key2")
-    classes = staged(
-        rows.where("n > 0 and doc_id is not null").groupBy("key", "key2", "n").agg(F.min("doc_id").alias("id")), "classes"
-    )
+    rows = sketches.where("kind = 0").select("doc_id", *CLASS)
+    classes = rows.where("n > 0 and doc_id is not null").groupBy(*CLASS).agg(F.min("doc_id").alias("doc"))
+    classes = staged(classes.withColumn("id", F.xxhash64(*CLASS)), "classes")
     found = sketches.where("kind = 1").groupBy("key").agg(F.sum("n").alias("found"))
     # A partner has needed(n) elements at least, and the smaller of both asks for so many matches.
     least = F.lit(1) + F.floor(F.ceil(F.col("n") * similarity / 100.0) / FIRST_MATCH)
-    open_ids = staged(classes.join(found, "key").where(F.col("found") >= least).select(F.col("id").alias("doc_id")).distinct(), "candidates")
+    candidates = staged(classes.join(found, "key").where(F.col("found") >= least).select(*CLASS, "id", "doc"), "candidates")
+    open_ids = staged(candidates.select(F.col("doc").alias("doc_id")).distinct(), "candidates")
 
     def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                sets = shingle_sets(part.column(1))
-                rows = dict(id=part.column(0), n=[len(s) for s in sets], elements=[s.tobytes() for s in sets])
-                yield _columns(rows, dict(id=pa.int64(), n=pa.int64(), elements=pa.binary()))
-
-    texts = docs.select("doc_id", "text").join(broadcast_if_small(open_ids), "doc_id")
-    whole = texts.mapInArrow(elements, "id long, n long, elements binary").groupBy("id", "n").agg(F.first("elements").alias("elements"))
+                sets = shingle_sets(part.column(0))
+                n, key, key2 = set_keys(sets)
+                rows = dict(key=key, key2=key2, n=n, elements=[s.tobytes() for s in sets])
+                yield _columns(rows, dict(key=pa.int64(), key2=pa.int64(), n=pa.int64(), elements=pa.binary()))
+
+    texts = docs.select("doc_id", "text").join(broadcast_if_small(open_ids), "doc_id").select("text")
+    whole = texts.mapInArrow(elements, "key long, key2 long, n long, elements binary").groupBy(*CLASS).agg(F.first("elements").alias("elements"))
+    whole = whole.join(candidates.select(*CLASS, "id"), CLASS).select("id", "n", "elements")
     sets = staged(_shared_sets(staged(whole, "sets"), similarity), "shared")
-    groups = link_components(sets, similarity)
-    named = classes.join(groups.withColumnRenamed("node", "id"), "id", "left").select(
-        "key", "key2", "n", F.coalesce("component", "id").alias("component_id")
-    )
-    return rows.join(named, ["key", "key2", "n"], "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
+    groups = staged(link_components(sets, similarity), "groups")
+    linked = groups.join(classes.select(F.col("id").alias("node"), *CLASS, "doc"), "node")
+    lowest = linked.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = linked.join(lowest, "component").select(*CLASS, "component", "component_id")
+    alone = classes.join(named.select(*CLASS), CLASS, "left_anti").select(*CLASS, F.lit(None).cast("long").alias("component"), F.col("doc").alias("component_id"))
+    return rows.join(named.union(alone), CLASS, "left").select(
+        "doc_id", *CLASS, "component", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
     )
 
 
+def near_copies(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of ``docs`` (doc_id, text)."""
+    return _grouped(docs, similarity).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
 def keep_one(docs: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
-    """The rows of ``docs`` without near copies: of each group the row of the smallest id stays, once."""
-    ids = near_copies(docs.select("doc_id", "text"), similarity)
-    kept = ids.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    """The rows of ``docs`` without near copies: of each group the row of the smallest id stays, once.
+
+    Where different texts share that id, one of each group stays, the one of the smallest keys. Rows without
+    an id stay.
+    """
+    rows = staged(_grouped(docs.select("doc_id", "text"), similarity).where("doc_id is not null"), "grouped")
+    repeated = staged(rows.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"), "repeated")
+    kept = rows.where("doc_id = component_id")
+    once = kept.join(repeated, "doc_id", "left_anti").select("doc_id")
+    plain = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
+    out = plain.unionByName(docs.where("doc_id is null"))
+    if repeated.isEmpty():
+        return out
+    # Classes without links, empty ones among them, are groups of their own.
+    own = F.when(F.col("component").isNull(), F.struct(*CLASS))
+    empty = F.when(F.col("n") == 0, F.lit(0)).otherwise(F.lit(1))
+    some = kept.join(repeated, "doc_id").select("doc_id", "component", own.alias("own"), empty.alias("filled"), F.struct(*CLASS).alias("class"))
+    chosen = some.groupBy("doc_id", "component", F.when(F.col("filled") == 1, F.col("own")).alias("own"), "filled").agg(F.min("class").alias("class"))
+    keyed = _keyed(docs.join(repeated, "doc_id", "left_semi").select(*docs.columns))
+    one = keyed.join(chosen.select(F.col("doc_id").alias("chosen_id"), F.col("class").alias("chosen")), (F.col("id") == F.col("chosen_id")) & (F.col("class") == F.col("chosen")))
+    return out.unionByName(one.groupBy("id", "class").agg(F.first("row").alias("row")).select("row.*").select(*docs.columns))
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(id, class, row) of each row: its whole columns, and the keys of its set."""
+    rows = docs.select(F.struct("*").alias("row")).select(F.col("row.doc_id").alias("id"), F.col("row.text").alias("text"), "row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                n, key, key2 = set_keys(shingle_sets(part.column(1)))
+                class_ = pa.StructArray.from_arrays([pa.array(key), pa.array(key2), pa.array(n)], CLASS)
+                yield pa.RecordBatch.from_arrays([part.column(0), class_, part.column(2)], names=["id", "class", "row"])
+
+    return rows.mapInArrow(run, f"id long, class struct<key: bigint, key2: bigint, n: bigint>, row {rows.schema['row'].dataType.simpleString()}")
