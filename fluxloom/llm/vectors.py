@@ -19,8 +19,8 @@ from fluxloom.llm.components import components
 BLOCK = 2048
 #: Queries scanned against a block at once.
 QUERY_BLOCK = 256
-#: Largest scaled component; far beyond it a score might not fit a long.
-LARGEST = float(1 << 26)
+#: Scaled components from here on are refused: they, or cells around them, might not fit a long.
+LARGEST = float(1 << 62)
 
 
 def usable(vec: Column) -> Column:
@@ -32,10 +32,9 @@ def usable(vec: Column) -> Column:
 
 
 def scaled(vec: Column, scale: int) -> Column:
-    """floor(scale * x) per component; components beyond +-2^26 are held there."""
-    return F.transform(
-        vec.cast("array<double>"), lambda x: F.floor(F.least(F.greatest(x * scale, F.lit(-LARGEST)), F.lit(LARGEST)))
-    )
+    """floor(scale * x) per component; one that does not fit is an error."""
+    held = lambda y: F.when(F.abs(y) < LARGEST, F.floor(y)).otherwise(F.raise_error(F.lit("a scaled component does not fit a long")).cast("long"))
+    return F.transform(vec.cast("array<double>"), lambda x: held(x * scale))
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -81,7 +80,7 @@ def top_k(
        beat, then all whose bound still reaches it. The k-th result is then certain.
 
     Equal vectors beyond the k + 1 smallest ids cannot appear in a result and are left out first. Ties go
-    to the smaller id. Vectors that are null or hold null, NaN or infinite components take no part; an
+    to the smaller id. Scaled components from 2^62 on, and products and sums beyond a long, are errors. Vectors that are null or hold null, NaN or infinite components take no part; an
     empty vector scores 0; shorter vectors count as filled up with zeros; of rows that share an id the
     least vector counts. No queries or no candidates give no rows.
     """
@@ -119,10 +118,11 @@ def top_k(
                 # Score at the cells' lower ends, and what their width can add or take away. Sums below
                 # 2^52 are exact in doubles; beyond, the slack covers their rounding.
                 base = q.astype(float) @ at.T.astype(float)
-                most = np.abs(q).max() * float(np.abs(at).max() + step.max()) * width
+                most = float(np.abs(q).max()) * (float(np.abs(at).max()) + float(step.max())) * width
                 slack = 0.0 if most < 2.0**52 else most * 2.0**-45
-                lower = base + (np.minimum(q, 0) @ (step - 1)).astype(float)[:, None] - slack
-                upper = base + (np.maximum(q, 0) @ (step - 1)).astype(float)[:, None] + slack
+                room = (step - 1).astype(float)
+                lower = base + (np.minimum(q, 0).astype(float) @ room)[:, None] - slack
+                upper = base + (np.maximum(q, 0).astype(float) @ room)[:, None] + slack
                 lower[query_ids[:, None] == ids] = -np.inf
                 need = np.full(len(q), -np.inf) if len(ids) <= k else np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
                 hit = (upper >= need[:, None]) & (query_ids[:, None] != ids)
