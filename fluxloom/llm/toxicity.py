@@ -51,6 +51,8 @@ STEP = 2048
 BLOCK = 200
 #: A task forgets its scored sentences beyond so many, to bound its memory.
 CACHED = 1 << 20
+#: Triples of letters, and cells of a table of triples by landmarks, that are held at once.
+DIRECT, TABLE = 1 << 22, 1 << 23
 
 #: Letters that digits stand for inside words. Fixed values.
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a"}
@@ -117,18 +119,22 @@ def by_length(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 class expansion:
-    """Landmarks as weights of letter triples, so that a kernel value is one sum over a sentence's triples.
+    """Letter triples of landmarks, so that a kernel value is one sum over a sentence's triples.
 
-    Letters that no landmark has are one letter of weight zero.
+    Only triples that occur in a landmark have a row in a table; row 0 stands for all others. Letters that no
+    landmark has are one letter. Where few letters make few triples, rows are looked up in an array.
     """
 
     def __init__(self, landmarks: list[str]):
-        self.alphabet = np.array(sorted({ord(c) for z in landmarks for c in z}), np.int32)
+        self.landmarks = landmarks
+        self.alphabet = np.array(sorted({ord(c) for z in landmarks for c in z}), np.int64)
         self.base = len(self.alphabet) + 1
-        self.weights = np.zeros((self.base**ORDER, len(landmarks)))
-        for places, codes in by_length(landmarks):
-            for cell, decay in self.triples(self.coded(codes)):
-                np.add.at(self.weights, (cell, places), decay)
+        cells = [np.unique(cell) for _, codes in by_length(landmarks) for cell, _ in self.triples(self.coded(codes))]
+        self.keys = np.unique(np.concatenate(cells)) if cells else np.zeros(0, np.int64)
+        self.place = None
+        if self.base**ORDER <= DIRECT:
+            self.place = np.zeros(self.base**ORDER, np.int32)
+            self.place[self.keys] = np.arange(1, len(self.keys) + 1)
 
     def coded(self, points: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.alphabet, points), len(self.alphabet) - 1)
@@ -138,13 +144,27 @@ class expansion:
         for i, j, k in combinations(range(codes.shape[1]), ORDER):
             yield (codes[:, i] * self.base + codes[:, j]) * self.base + codes[:, k], DECAY ** (k - i + 1)
 
-    def sums(self, texts: list[str], weights: np.ndarray) -> np.ndarray:
+    def rows(self, cell: np.ndarray) -> np.ndarray:
+        if self.place is not None:
+            return self.place[cell]
+        at = np.minimum(np.searchsorted(self.keys, cell), len(self.keys) - 1)
+        return np.where(self.keys[at] == cell, at + 1, 0)
+
+    def table(self, weights: np.ndarray) -> np.ndarray:
+        """Per triple the landmarks' decays times their weights (one row of them per landmark), added up."""
+        out = np.zeros((len(self.keys) + 1, *weights.shape[1:]))
+        for places, codes in by_length(self.landmarks):
+            for cell, decay in self.triples(self.coded(codes)):
+                np.add.at(out, self.rows(cell), decay * weights[places])
+        return out
+
+    def sums(self, texts: list[str], table: np.ndarray) -> np.ndarray:
         """Weighed triples of each sentence over its own length in the kernel's space."""
-        out = np.zeros((len(texts), *weights.shape[1:]))
+        out = np.zeros((len(texts), *table.shape[1:]))
         for places, points in by_length(texts):
-            total = np.zeros((len(places), *weights.shape[1:]))
+            total = np.zeros((len(places), *table.shape[1:]))
             for cell, decay in self.triples(self.coded(points)):
-                total += decay * weights[cell]
+                total += decay * table[self.rows(cell)]
             norm = np.sqrt(self_kernel(points))
             out[places] = total / norm.reshape(-1, *[1] * (total.ndim - 1))
         return out
@@ -166,11 +186,25 @@ def kernel(texts: list[str], others: list[str]) -> np.ndarray:
     """Normalised kernel, between 0 and 1; sentences shorter than ORDER are like nothing."""
     if not texts or not others:
         return np.zeros((len(texts), len(others)))
-    norm = np.ones(len(others))
-    for places, points in by_length(others):
+    out, at = [], 0
+    while at < len(others):
+        # As many others as keep the table of their triples small.
+        size, triples = 0, 0
+        while at + size < len(others) and (not size or (size + 1) * (triples + math.comb(len(others[at + size]), ORDER)) <= TABLE):
+            triples += math.comb(len(others[at + size]), ORDER)
+            size += 1
+        space = expansion(others[at : at + size])
+        out.append(space.sums(texts, space.table(np.diag(1 / lengths(space.landmarks)))))
+        at += size
+    return np.concatenate(out, axis=1)
+
+
+def lengths(texts: list[str]) -> np.ndarray:
+    """Length of each sentence in the kernel's space; 1 below ORDER letters."""
+    norm = np.ones(len(texts))
+    for places, points in by_length(texts):
         norm[places] = np.sqrt(self_kernel(points))
-    space = expansion(others)
-    return space.sums(texts, space.weights / norm)
+    return norm
 
 
 def nearest(texts: list[str], others: list[str]) -> np.ndarray:
@@ -243,11 +277,8 @@ def fit(positive: list[str], negative: list[str]) -> dict | None:
         np.full(len(positive), 0.5 / len(positive)), np.full(len(more), 0.5 / max(len(more), 1)), np.full(len(negative), 1 / len(negative))
     ]
     w = support_vectors(x, y, 20.0 * len(texts) * weights)
-    space, norm = expansion(landmarks), np.ones(len(landmarks))
-    for places, points in by_length(landmarks):
-        norm[places] = np.sqrt(self_kernel(points))
-    table = space.weights @ (whiten @ w[:-1] / norm)
-    space.weights = None  # from here on the one table is all that is needed
+    space = expansion(landmarks)
+    table = space.table(whiten @ w[:-1] / lengths(landmarks))
     return {"space": space, "table": table, "bias": float(w[-1]), "landmarks": landmarks}
 
 
@@ -321,7 +352,8 @@ def unseen() -> dict:
 def train(docs: DataFrame, labels: DataFrame, rows: Column) -> dict:
     """Machine from the documents (doc_id, text) with a label (doc_id, toxic) for which ``rows`` holds.
 
-    At most SAMPLE documents of each label are read, those of the smallest digests of their ids.
+    At most SAMPLE documents of each label are read, those of the smallest digests of their ids; of rows that
+    share an id the one of the least text.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     known = known.where(rows).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -355,7 +387,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column) -> dict:
                 )
 
     # The sample is bounded by SAMPLE, so its ids may be sent everywhere and its sentences kept.
-    sample = docs.join(F.broadcast(chosen), "doc_id").select("text", "doc_id", "toxic")
+    # Of rows that share an id the least text counts, so rows are bounded as ids are.
+    sample = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    spread = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sample = staged(sample.repartition(spread, "doc_id").select("text", "doc_id", "toxic"), "sample")
     said = staged(sample.mapInArrow(unique, "doc_id long, toxic int, sentence string, around long"), "sentences")
     size = dict(chosen.groupBy("toxic").count().collect())
     toxic, clean = max(size.get(1, 0), 1), max(size.get(0, 0), 1)
