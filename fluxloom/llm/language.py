@@ -121,7 +121,8 @@ def train(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang")
         return pd.DataFrame(out, columns=["lang", "centroid", "floor"])
 
     # At most SAMPLE ids per language: small beside the texts, and joined on both so that none is drawn twice.
-    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi")
+    # Of rows that share an id the least text counts, so a group's rows are bounded as its ids are.
+    sample = known.join(F.broadcast(chosen), ["lang", "doc_id"], "left_semi").groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
     got = sample.groupBy("lang").applyInPandas(cluster, "lang string, centroid binary, floor double").collect()
     got = sorted(got, key=lambda r: (r[0], r[1]))
     return {
