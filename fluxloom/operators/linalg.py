@@ -13,7 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-FIT_COLUMNS = "n double, coef array<double>, rss double, residual_sd double, gap double"
+from fluxloom.operators.isolate import isolated
+
+#: Of a fit that failed all is null but the message.
+FIT_COLUMNS = "n double, coef array<double>, rss double, residual_sd double, gap double, error string"
 
 
 #: Most regressors summed as separate aggregate columns; more than these go one cell per row.
@@ -132,7 +135,8 @@ def fit_rows(g: np.ndarray, coef: np.ndarray, ridge: float | np.ndarray = 0.0) -
 def solve_rows(grams: DataFrame, keys: Sequence[str], solver: Callable, columns: str) -> DataFrame:
     """Apply ``solver`` to the matrices of an Arrow batch, all of one size at once.
 
-    ``solver`` takes a stack (m, k, k) and returns one sequence of m values per column.
+    ``solver`` takes a stack (m, k, k) and returns one sequence of m values per column but the last, ``error``: the
+    message of a fit that fails, which costs no other fit.
     """
     carried = list(keys)
     types = dict(grams.dtypes)
@@ -142,8 +146,10 @@ def solve_rows(grams: DataFrame, keys: Sequence[str], solver: Callable, columns:
     def run(batches):
         for pdf in batches:
             for _, some in pdf.groupby(pdf["gram"].map(len), sort=False):
-                solved = solver(unpack(np.stack(some["gram"].to_list())))
-                result = pd.DataFrame({k: pd.Series(list(v), dtype=object) for k, v in zip(names, solved)})
+                packed = some["gram"].to_list()
+                found, errors = isolated(lambda at: list(zip(*solver(unpack(np.stack([packed[i] for i in at]))))), len(packed))
+                values = [(*(r if r is not None else [None] * (len(names) - 1)), e) for r, e in zip(found, errors)]
+                result = pd.DataFrame(values, columns=names, dtype=object)
                 yield pd.concat([some[carried].reset_index(drop=True), result], axis=1)
 
     return grams.select(*carried, "gram").mapInPandas(run, schema)
@@ -161,9 +167,10 @@ def fit_designs(designs: Sequence[np.ndarray], solver: Callable = ridge_rows(0.0
     for i, z in enumerate(designs):
         by_width.setdefault(z.shape[1], []).append(i)
     for at in by_width.values():
-        g = np.stack([designs[i].T @ designs[i] for i in at])
-        for column, values in zip(out.values(), solver(g)):
-            for i, v in zip(at, values):
+        found, errors = isolated(lambda some: list(zip(*solver(np.stack([designs[at[i]].T @ designs[at[i]] for i in some])))), len(at))
+        for i, values, error in zip(at, found, errors):
+            out["error"][i] = error
+            for column, v in zip(out.values(), values or ()):
                 column[i] = v
     return out
 

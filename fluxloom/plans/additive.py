@@ -77,7 +77,7 @@ def fc_additive(monthly: DataFrame, drivers, issues: DataFrame, horizon: int = H
     return finish_forecast(
         rows.select(
             *FITS, "datetime", dot(F.col("coef"), with_intercept(x)).alias("mu"),
-            F.col("residual_sd").alias("sigma"),
+            F.col("residual_sd").alias("sigma"), "error",
         ),
         "prophet",
     )

@@ -24,7 +24,7 @@ MAX_AR, MAX_MA, MAX_SAR, MAX_SMA = 5, 2, 1, 1
 #: Order of the coefficients of every fit; terms outside the chosen order are zero.
 TERMS = ("drift", "ar1", "ar2", "ar3", "ar4", "ar5", "sar1", "ma1", "ma2", "sma1")
 ORDERS = tuple(product(range(MAX_AR + 1), range(MAX_MA + 1), range(MAX_SAR + 1), range(MAX_SMA + 1)))
-ORDER_COLUMNS = "n double, coef array<double>, rss double, aicc double, noise double, p int, q int, sp int, sq int"
+ORDER_COLUMNS = "n double, coef array<double>, rss double, aicc double, noise double, p int, q int, sp int, sq int, error string"
 
 
 def _terms(p: int, q: int, sp: int, sq: int) -> list[int]:
@@ -157,16 +157,16 @@ def fc_arima(monthly: DataFrame, drivers, issues: DataFrame, horizon: int = HORI
     # Newest first: entry h - k of the response belongs to lag k.
     order = lambda xs: F.reverse(F.slice(xs, 1, F.col("h")))
     rows = fits.select(
-        *FITS, "last", "noise",
+        *FITS, "last", "noise", "error",
         order(path).alias("mu"),
         F.reverse(F.slice(response, 2, F.col("h"))).alias("psi"),
     )
-    rows = rows.select(*FITS, "last", "noise", "psi", F.posexplode("mu").alias("k", "mu"))
+    rows = rows.select(*FITS, "last", "noise", "error", "psi", F.posexplode("mu").alias("k", "mu"))
     spread = F.aggregate(F.slice("psi", 1, F.col("k") + 1), F.lit(0.0), lambda s, v: s + v * v)
     return finish_forecast(
         rows.select(
             *FITS, F.add_months("last", F.col("k") + 1).alias("datetime"), "mu",
-            (BAND_68 * F.sqrt(F.col("noise") * spread)).alias("sigma"),
+            (BAND_68 * F.sqrt(F.col("noise") * spread)).alias("sigma"), "error",
         ),
         "auto.arima",
     )

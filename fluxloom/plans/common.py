@@ -89,7 +89,13 @@ def series_arrays(rows: DataFrame, keys: Sequence[str] = FITS, value="observatio
 
 
 def finish_forecast(df: DataFrame, model_id: str) -> DataFrame:
-    """Tag the model and keep months from the issue date on. Expects FITS, datetime, mu and sigma."""
+    """Tag the model and keep months from the issue date on. Expects FITS, datetime, mu and sigma.
+
+    A column ``error``, where a model has one, goes along: it names why a fit has no values.
+    """
+    error = carried(df, "error")
+    if error:
+        df = df.withColumns({c: F.when(F.col("error").isNull(), F.col(c)) for c in ("mu", "sigma")})
     return (
         df.where(F.col("datetime") >= F.col("issue"))
         .withColumns(
@@ -100,10 +106,15 @@ def finish_forecast(df: DataFrame, model_id: str) -> DataFrame:
                 "family": F.lit("normal"),
             }
         )
-        .select(*FORECAST_COLUMNS)
+        .select(*FORECAST_COLUMNS, *error)
     )
 
 
+def carried(df: DataFrame, *columns: str) -> list[str]:
+    """Those of the columns that ``df`` has."""
+    return [c for c in columns if c in df.columns]
+
+
 # fn(monthly targets, long drivers, issue dates) -> wide forecast
 MODELS: dict[str, Callable[[DataFrame, DataFrame | None, DataFrame], DataFrame]] = {}
 

@@ -19,13 +19,14 @@ from pyspark.sql import functions as F
 from fluxloom.functions.values import constant
 from fluxloom.operators.aggregates import PREDICTORS, future_drivers, past_driver_mean
 from fluxloom.operators.cleaning import drop_incomplete, min_rows_per_key
+from fluxloom.operators.isolate import isolated
 from fluxloom.operators.joins import join_drivers
 from fluxloom.operators.linalg import (
     FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, evidence_ridge, fit_designs, fit_rows, gram, ridge_rows, unpack,
     with_intercept,
 )
 from fluxloom.plans.common import (
-    FITS, SERIES, finish_forecast, issue_array, issue_lookup, placed, register_model, training_window,
+    FITS, SERIES, carried, finish_forecast, issue_array, issue_lookup, placed, register_model, training_window,
 )
 
 LEAST_ROWS = 10
@@ -63,7 +64,7 @@ def apply_to_members(fits: DataFrame, future: DataFrame, predict: Callable[[Colu
     """The same fit over every member and lead month: FITS, datetime, ``members`` (predictions)."""
     rows = fits.withColumn("_f", F.explode(issue_lookup(future, "future")))
     return rows.select(
-        *FITS, "residual_sd", F.col("_f.datetime").alias("datetime"),
+        *FITS, "residual_sd", *carried(fits, "error"), F.col("_f.datetime").alias("datetime"),
         F.transform("_f.members", lambda m: predict(m.x)).alias("members"),
     )
 
@@ -162,16 +163,16 @@ def elastic_net_fit(monthly, drivers, issues, folds: int = 5, repeats: int = 5)
 
 def _solve_parts(packed: DataFrame) -> DataFrame:
     types = dict(packed.dtypes)
-    names = ["n", "coef", "rss", "residual_sd", "alpha", "lambda", "gap"]
+    names = ["n", "coef", "rss", "residual_sd", "alpha", "lambda", "gap", "error"]
     schema = ", ".join(f"`{k}` {types[k]}" for k in FITS) + (
-        ", n double, coef array<double>, rss double, residual_sd double, alpha double, lambda double, gap double"
+        ", n double, coef array<double>, rss double, residual_sd double, alpha double, lambda double, gap double, error string"
     )
 
     def run(batches):
         for pdf in batches:
-            fitted = [
-                choose_elastic_net([(p["repeat"], p["fold"], p["g"]) for p in parts]) for parts in pdf["parts"]
-            ]
+            parts = [[(p["repeat"], p["fold"], p["g"]) for p in some] for some in pdf["parts"]]
+            found, errors = isolated(lambda at: [choose_elastic_net(parts[i]) for i in at], len(parts))
+            fitted = [(*(r or [None] * 7), e) for r, e in zip(found, errors)]
             yield pd.concat(
                 [pdf[list(FITS)].reset_index(drop=True), pd.DataFrame(fitted, columns=names, dtype=object)], axis=1
             )
@@ -253,7 +254,7 @@ def _feature_forecast(fits, drivers, issues, stages, model_id) -> DataFrame:
     for stage in stages:
         rows = rows.withColumn("x", _each(stage))
     rows = rows.select(
-        *FITS, "residual_sd", F.col("_f.datetime").alias("datetime"),
+        *FITS, "residual_sd", *carried(rows, "error"), F.col("_f.datetime").alias("datetime"),
         F.transform("x", lambda v: dot(F.col("coef"), with_intercept(v))).alias("members"),
     )
     return finish_forecast(ensemble_to_normal(rows), model_id)

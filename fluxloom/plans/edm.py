@@ -103,8 +103,8 @@ def fc_smap(monthly: DataFrame, drivers, issues: DataFrame, horizon: int = HORIZ
         lambda s, _: F.concat(F.array(dot(F.col("coef"), with_intercept(F.slice(s, 1, F.col("E"))))), s),
     )
     ahead = F.slice(F.reverse(F.slice(path, 1, F.col("h"))), 1, F.col("h"))
-    rows = fits.select(*FITS, "last", "residual_sd", F.posexplode(ahead).alias("k", "mu"))
+    rows = fits.select(*FITS, "last", "residual_sd", "error", F.posexplode(ahead).alias("k", "mu"))
     return finish_forecast(
-        rows.select(*FITS, F.add_months("last", F.col("k") + 1).alias("datetime"), "mu", F.col("residual_sd").alias("sigma")),
+        rows.select(*FITS, F.add_months("last", F.col("k") + 1).alias("datetime"), "mu", F.col("residual_sd").alias("sigma"), "error"),
         "rEDM",
     )

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.dates import steps_to_issue
+from fluxloom.operators.isolate import isolated
 from fluxloom.plans.common import (
     BAND_68, FITS, HORIZON, finish_forecast, register_model, series_arrays, training_series,
 )
@@ -32,7 +33,7 @@ def parameter_grid() -> list[tuple[float, float, float, float, int]]:
 STEP = 2000
 STATES = (
     "aicc double, p struct<a:double,b:double,phi:double,g:double,np:int>, "
-    "end struct<l:double,t:double,s:array<double>,sse:double>"
+    "end struct<l:double,t:double,s:array<double>,sse:double>, error string"
 )
 
 
@@ -83,7 +84,7 @@ def ets_states(fits: DataFrame, grid=None) -> DataFrame:
     """The best parameter point of each series by AICc, with its final level, trend and season.
 
     Start values come from the first one or two years. Seasonal forms need two years. Series without a
-    usable point give no row.
+    usable point give no row; one that fails gives a row with the message in ``error``.
     """
     grid = grid or parameter_grid()
     carried = [c for c in fits.columns if c != "y"]
@@ -93,9 +94,11 @@ def ets_states(fits: DataFrame, grid=None) -> DataFrame:
         for pdf in batches:
             for at in range(0, len(pdf), STEP):
                 part = pdf.iloc[at : at + STEP].reset_index(drop=True)
-                found = pd.Series(fold_grid([np.asarray(v, float) for v in part["y"]], grid), dtype=object)
-                some = found.notna()
-                best = pd.DataFrame(found[some].tolist(), columns=["aicc", "p", "end"], dtype=object)
+                series = list(part["y"])
+                found, errors = isolated(lambda at, s=series: fold_grid([np.asarray(s[i], float) for i in at], grid), len(series))
+                values = pd.Series([(*(f or [None] * 3), e) if f or e else None for f, e in zip(found, errors)], dtype=object)
+                some = values.notna()
+                best = pd.DataFrame(values[some].tolist(), columns=["aicc", "p", "end", "error"], dtype=object)
                 yield pd.concat([part.loc[some, carried].reset_index(drop=True), best], axis=1)
 
     return fits.mapInPandas(run, ", ".join(f"`{c}` {types[c]}" for c in carried) + ", " + STATES)
@@ -113,7 +116,7 @@ def fc_ets(monthly: DataFrame, drivers, issues: DataFrame, horizon: int = HORIZO
     spread = lambda j: F.aggregate(earlier(j), F.lit(1.0), lambda s, i: s + response(i) * response(i))
     noise = F.try_divide(end.sse, F.col("size") - p.np)
     rows = best.select(
-        *FITS, "last", "p", "end", noise.alias("noise"), F.explode(steps).alias("j")
+        *FITS, "last", "p", "end", "error", noise.alias("noise"), F.explode(steps).alias("j")
     )
     j = F.col("j")
     return finish_forecast(
@@ -122,6 +125,7 @@ def fc_ets(monthly: DataFrame, drivers, issues: DataFrame, horizon: int = HORIZO
             F.add_months("last", j).alias("datetime"),
             (end.l + damped(j) * end.t + F.get(end.s, (j - 1) % SEASON)).alias("mu"),
             (BAND_68 * F.sqrt(F.col("noise") * spread(j))).alias("sigma"),
+            "error",
         ),
         "ets",
     )

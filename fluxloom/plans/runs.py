@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators.aggregates import monthly_targets, rep_mean_targets
 from fluxloom.operators.calendar import issue_calendar
+from fluxloom.operators.isolate import isolated
 from fluxloom.operators.joins import missing_issues
 from fluxloom.plans.library import MODELS
 from fluxloom.session import staged
@@ -52,9 +54,16 @@ def issue_forecast(
     variant: str = SEPARATE,
     sites: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Forecasts of one model at all given issue dates as one lazy plan, tagged with the variant."""
+    """Forecasts of one model at all given issue dates as one lazy plan, tagged with the variant.
+
+    Fits that fail give no rows; ``backfill`` reports them.
+    """
     monthly = select_sites(variant_series(daily, variant), sites)
-    return _tagged(model, monthly, drivers, issues, variant)
+    return _sound(_tagged(model, monthly, drivers, issues, variant))
+
+
+def _sound(forecast: DataFrame) -> DataFrame:
+    return forecast.where("error is null").drop("error") if "error" in forecast.columns else forecast
 
 
 def required_issues(spark, model: str, variant: str, start: dt.date, end: dt.date) -> DataFrame:
@@ -86,31 +95,35 @@ def backfill(
 ) -> DataFrame:
     """Forecast and store every issue date that is missing or older than ``cutoff``.
 
-    All dates run as one plan. Should that fail, each date runs alone, so that one bad date costs
-    only itself. Returns one row per date that failed, with the message.
+    All dates run as one plan. A fit that fails inside its model costs itself: its message travels beside the
+    forecasts. Should the plan itself fail, the dates are halved until those at fault stand alone, so the others
+    run some few times at most. Returns one row per failed fit or date (issue, site_id, variable, message);
+    series are null where a whole date failed. A date counts as stored once any of its series is; to run its
+    failed series again, give a ``cutoff``.
     """
     cut = F.lit(cutoff if cutoff is not None else dt.datetime(1970, 1, 1)).cast("timestamp")
     todo = missing_issues(required_issues(spark, model, variant, start, end), stored_catalog(spark, path), cut)
     # At most one date per month of the backfill range.
     dates = [r.reference_datetime for r in todo.select("reference_datetime").distinct().toLocalIterator()]
-    errors: list[tuple[dt.date, str]] = []
-
-    def run(some):
-        write_forecast(_tagged(model, monthly, drivers, issue_dates(spark, some), variant), path)
+    failures: list[DataFrame] = []
+    errors: list[tuple[dt.date, str | None, str | None, str]] = []
+
+    def run(places: list[int]) -> list[int]:
+        forecast = _tagged(model, monthly, drivers, issue_dates(spark, [dates[i] for i in places]), variant)
+        if "error" in forecast.columns:
+            forecast = staged(forecast, "forecast")
+            failed = forecast.where("error is not null")
+            failures.append(failed.select(F.col("reference_datetime").alias("issue"), "site_id", "variable", F.col("error").alias("message")).distinct())
+        write_forecast(_sound(forecast), path)
+        return places
 
     if dates:
         monthly = staged(variant_series(daily, variant), "monthly")
-        try:
-            run(dates)
-        except Exception:
-            for date in dates:
-                try:
-                    run([date])
-                except Exception as error:
-                    errors.append((date, str(error).splitlines()[0]))
-    failed = {date for date, _ in errors}
+        _, messages = isolated(run, len(dates))
+        errors += [(date, None, None, message.splitlines()[0]) for date, message in zip(dates, messages) if message]
+    failed = {date for date, *_ in errors}
     left = missing_issues(required_issues(spark, model, variant, start, end), stored_catalog(spark, path), cut)
     for row in left.select("reference_datetime").toLocalIterator():
         if row.reference_datetime not in failed:
-            errors.append((row.reference_datetime, "no forecast generated"))
-    return spark.createDataFrame(errors, "issue date, message string")
+            errors.append((row.reference_datetime, None, None, "no forecast generated"))
+    return reduce(DataFrame.union, failures, spark.createDataFrame(errors, "issue date, site_id string, variable string, message string"))

@@ -18,6 +18,7 @@ from fluxloom.functions.labels import DRIVER_LABELS, VEGETATION_LABELS, recode,
 from fluxloom.functions.values import fold_transect
 from fluxloom.operators import linalg, treegrow
 from fluxloom.operators.aggregates import PREDICTORS
+from fluxloom.operators.isolate import isolated
 from fluxloom.operators.joins import join_treatments
 from fluxloom.plans.common import FITS, SERIES, finish_forecast, issue_lookup, placed, register_model
 from fluxloom.plans.driver_models import (
@@ -61,11 +62,12 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0), pa.float64()))
 
 
-RESULTS = "fitted array<double>, members array<double>, residual_sd double, rounds int, base double, rise array<double>, spread array<double>"
+RESULTS = "fitted array<double>, members array<double>, residual_sd double, rounds int, base double, rise array<double>, spread array<double>, error string"
 
 
 def solved(packed: DataFrame, keys: Sequence[str], solver: Solver) -> DataFrame:
-    """``packed`` with each fit's results: its rows predicted, its members (column ``future``) predicted, spread."""
+    """``packed`` with each fit's results: its rows predicted, its members (column ``future``) predicted, spread; a
+    fit that fails has the message in ``error`` and no numbers."""
     types = dict(packed.dtypes)
     kept = [*keys, "at", "y"]
     schema = ", ".join(f"`{k}` {types[k]}" for k in kept) + ", " + RESULTS
@@ -78,7 +80,10 @@ def solved(packed: DataFrame, keys: Sequence[str], solver: Solver) -> DataFrame:
             column = lambda name, batch=batch: batch.column(batch.schema.get_field_index(name))
             targets = _doubles(column("y"))
             designs, new = ([x.reshape(-1, width) for x in _doubles(column(c))] for c in ("x", "future"))
-            found = solver(designs, targets, new, column("seed").to_pylist())
+            seeds = column("seed").to_pylist()
+            take = lambda values, at: [values[i] for i in at]
+            found, errors = isolated(lambda at: solver(*(take(v, at) for v in (designs, targets, new, seeds))), len(targets))
+            found = [f or treegrow.Fitted(np.full(len(y), np.nan), np.full(len(m), np.nan)) for f, y, m in zip(found, targets, new, strict=True)]
             gaps = [f.rows - y for f, y in zip(found, targets, strict=True)]
             gaps = [g[~np.isnan(g)] for g in gaps]
             none = np.zeros(0)
@@ -92,6 +97,7 @@ def solved(packed: DataFrame, keys: Sequence[str], solver: Solver) -> DataFrame:
                     pa.array([f.base for f in found], pa.float64()),
                     _lists([f.rise if f.rise is not None else none for f in found]),
                     _lists([f.spread if f.spread is not None else none for f in found]),
+                    pa.array(errors, pa.string()),
                 ],
                 names=[*kept, *[c.split()[0] for c in RESULTS.split(", ")]],
             )
@@ -131,11 +137,11 @@ def _forecast(monthly, drivers, issues, solver: Solver, model_id: str) -> DataFr
     )
     packed = packed_fits(driver_training(monthly, drivers, issues), FITS)
     fits = solved(packed.withColumn("future", issue_lookup(flat, "ahead").x), FITS, solver)
-    months = fits.select(*FITS, "members", "residual_sd", issue_lookup(flat, "ahead").months.alias("months"))
-    each = months.select(*FITS, "members", "residual_sd", "months", F.posexplode("months").alias("k", "m"))
+    months = fits.select(*FITS, "members", "residual_sd", "error", issue_lookup(flat, "ahead").months.alias("months"))
+    each = months.select(*FITS, "members", "residual_sd", "error", "months", F.posexplode("months").alias("k", "m"))
     before = F.aggregate(F.slice("months", F.lit(1), F.col("k")), F.lit(0), lambda s, m: s + m.n)
     rows = each.select(
-        *FITS, "residual_sd", F.col("m.datetime").alias("datetime"), F.slice("members", before + 1, F.col("m.n")).alias("members")
+        *FITS, "residual_sd", "error", F.col("m.datetime").alias("datetime"), F.slice("members", before + 1, F.col("m.n")).alias("members")
     )
     return finish_forecast(ensemble_to_normal(rows), model_id)
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,24 +16,85 @@ from fluxloom.operators.reshape import stack
 EMPTY_GZIP_BYTES = 29
 
 
+#: Bytes of a file that a header probe reads at a time.
+PROBE = 1 << 16
+
+
+def first_line(path: str) -> tuple[str | None, int]:
+    """First line of a file that is not blank, and the bytes read for it: blocks until a line ends.
+
+    Compressed files are told by their names. The path is one that the listing gave, in any store that pyarrow
+    opens; others raise an error.
+    """
+    if path.startswith("file:"):
+        store, at = fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    else:
+        store, at = fs.FileSystem.from_uri(path)
+    held, read = b"", 0
+    with store.open_input_stream(at, compression="detect", buffer_size=PROBE) as stream:
+        while True:
+            block = stream.read(PROBE)
+            read += len(block)
+            held += block
+            *whole, tail = re.split(rb"\r\n|\n|\r", held)
+            for line in whole if block else [*whole, tail]:
+                if line.strip():
+                    return line.decode(errors="replace"), read
+            if not block:
+                return None, read
+            held = tail
+
+
+def file_headers(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(path, header, read, problem) of every matching file below ``path``.
+
+    A listing names the files and tasks open their first block each, so what is read does not grow with the
+    files. ``header`` is null for a file without a line, and where ``problem`` says why it could not be opened.
+    """
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+
+    def probe(batches):
+        for batch in batches:
+            found = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    found.append((*first_line(path), None))
+                except (OSError, ValueError, NotImplementedError) as error:
+                    found.append((None, 0, f"{type(error).__name__}: {error}"))
+            header, read, problem = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(header, pa.string()), pa.array(read, pa.int64()), pa.array(problem, pa.string())],
+                names=["path", "header", "read", "problem"],
+            )
+
+    # Content is not selected, so the listing opens no file.
+    return listing.load(path).select("path").mapInArrow(probe, "path string, header string, read long, problem string")
+
+
 def scan_text_csv(spark: SparkSession, path: str, pattern: str = "*final_CH4_fluxes*") -> DataFrame:
     """Every matching file below ``path``, all columns as text.
 
     One read maps columns by position, so files of different headers must not share it. Files are
     grouped by their header line, each layout is one parallel scan, and the scans stack by name.
-    Only file names and headers reach the driver, as in any file listing.
+    Only file names and headers reach the driver, as in any file listing. Files in a store that only Spark
+    opens are read once for their headers. Without any line in any file the result has no columns.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(path)
-    # One split per file starts at byte 0, so ``first`` sees its lines in file order.
-    headers = (
-        lines.where(F.col("_metadata.file_block_start") == 0)
-        .groupBy(F.col("_metadata.file_path").alias("path"))
-        .agg(F.first("value").alias("header"))
-    )
-    layouts = headers.groupBy("header").agg(F.collect_list("path").alias("paths")).orderBy("header")
-    return stack(
-        [spark.read.csv(row.paths, header=True, nullValue="NA") for row in layouts.toLocalIterator()]
-    )
+    layouts: dict[str, list[str]] = {}
+    unopened: list[str] = []
+    probed = file_headers(spark, path, pattern).where("header is not null or problem is not null")
+    for row in probed.groupBy("header").agg(F.collect_list("path").alias("paths")).toLocalIterator():
+        if row.header is None:
+            unopened = row.paths
+        else:
+            layouts[row.header] = row.paths
+    if unopened:
+        # One split per file starts at byte 0, so ``first`` sees its lines in file order.
+        lines = spark.read.text(unopened).where((F.col("_metadata.file_block_start") == 0) & (F.trim("value") != ""))
+        headers = lines.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.first("value").alias("header"))
+        for row in headers.groupBy("header").agg(F.collect_list("path").alias("paths")).toLocalIterator():
+            layouts.setdefault(row.header, []).extend(row.paths)
+    scans = [spark.read.csv(paths, header=True, nullValue="NA") for _, paths in sorted(layouts.items())]
+    return stack(scans) if scans else spark.createDataFrame([], "")
 
 
 def scan_csv(spark: SparkSession, path, schema: str) -> DataFrame:

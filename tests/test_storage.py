@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxloom import schemas
+from fluxloom.operators.isolate import isolated
 from fluxloom.plans import common, runs
 from fluxloom.session import clear_staged, shared_folder, staged
 from fluxloom.sources import grid, tables
@@ -158,3 +159,71 @@ def test_staged_tables_can_be_cleared(spark, tmp_path):
     assert glob.glob(f"{folder}/fluxloom-clearing-*")
     clear_staged(spark)
     assert not glob.glob(f"{folder}/fluxloom-clearing-*")
+
+
+def bytes_read_by_spark(spark):
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).apply(0).totalInputBytes()
+
+
+def test_headers_cost_a_block_per_file_whatever_its_size(spark, tmp_path):
+    line = "2020-01-01,313,1.25\n"
+    for k in range(3):
+        (tmp_path / f"{k}_final_CH4_fluxes.csv").write_text("\n\nDate,Plot,flux\n" + line * (400_000 * k + 1))
+    with gzip.open(tmp_path / "z_final_CH4_fluxes.csv.gz", "wt") as f:
+        f.write("flux,Plot\r\n" + "1,2\r\n" * 100_000)
+    (tmp_path / "long_final_CH4_fluxes.csv").write_text("Date," + "x" * (3 * tables.PROBE) + "\n1,2\n")
+    (tmp_path / "blank_final_CH4_fluxes.csv").write_text("\n \n")
+    before = bytes_read_by_spark(spark)
+    got = {os.path.basename(r.path): r for r in tables.file_headers(spark, str(tmp_path), "*final_CH4*").collect()}
+    assert bytes_read_by_spark(spark) - before < 1000
+    assert [got[f"{k}_final_CH4_fluxes.csv"].header for k in range(3)] == ["Date,Plot,flux"] * 3
+    assert max(got[f"{k}_final_CH4_fluxes.csv"].read for k in range(3)) <= tables.PROBE < (tmp_path / "1_final_CH4_fluxes.csv").stat().st_size
+    assert got["z_final_CH4_fluxes.csv.gz"].header == "flux,Plot" and got["z_final_CH4_fluxes.csv.gz"].read <= tables.PROBE
+    assert len(got["long_final_CH4_fluxes.csv"].header) == 3 * tables.PROBE + 5
+    assert got["blank_final_CH4_fluxes.csv"].header is None and got["blank_final_CH4_fluxes.csv"].problem is None
+    out = tables.scan_text_csv(spark, str(tmp_path), "[0-9z]_final_CH4*")
+    assert out.count() == 1_200_003 + 100_000 and set(out.columns) == {"Date", "Plot", "flux"}
+
+
+def test_files_that_only_spark_opens_are_scanned_for_headers(spark, tmp_path, monkeypatch):
+    def unopened(path):
+        raise OSError("no such store")
+
+    monkeypatch.setattr(tables, "first_line", unopened)
+    test_layouts_with_swapped_columns_do_not_mix(spark, tmp_path)
+    assert tables.scan_text_csv(spark, str(tmp_path), "nothing*").columns == []
+
+
+def test_one_bad_series_costs_only_itself(spark, daily, tmp_path, monkeypatch):
+    from fluxloom.plans import ets
+
+    solve = ets.fold_grid
+
+    def fragile(series, grid):
+        if any(y[0] == 0.0 for y in series):
+            raise ValueError("bad series")
+        return solve(series, grid)
+
+    monkeypatch.setattr(ets, "fold_grid", fragile)
+    zero = daily.where("site_id = '311'").withColumns({"site_id": F.lit("999"), "observation": F.lit(0.0)})
+    path, whole = str(tmp_path / "store"), str(tmp_path / "whole")
+    errors = runs.backfill(spark, "ets", daily.union(zero), None, path, month(50), month(52)).collect()
+    assert sorted((e.issue, e.site_id, e.message) for e in errors) == [(month(i), "999", "ValueError: bad series") for i in (50, 51, 52)]
+    assert runs.backfill(spark, "ets", daily, None, whole, month(50), month(52)).isEmpty()
+    assert stored(spark, path) == stored(spark, whole)
+
+
+def test_failing_dates_are_found_by_halves():
+    calls = []
+
+    def solve(places):
+        calls.append(len(places))
+        if {3, 17} & set(places):
+            raise RuntimeError("no")
+        return [p * p for p in places]
+
+    found, errors = isolated(solve, 32)
+    assert [i for i, e in enumerate(errors) if e] == [3, 17] and errors[3] == "RuntimeError: no"
+    assert [f for i, f in enumerate(found) if i not in (3, 17)] == [i * i for i in range(32) if i not in (3, 17)]
+    assert len(calls) <= 19
+    assert isolated(solve, 0) == ([], [])
