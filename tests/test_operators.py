@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fluxloom.operators import aggregates as agg
 from fluxloom.operators import calendar as cal
 from fluxloom.operators import cleaning, joins, reshape, scoring, series
+from fluxloom.operators import percentiles
 from fluxloom.operators.percentiles import exact_percentiles
 from tests.helpers import month, monthly, rows
 
@@ -47,8 +48,8 @@ def test_bracketed_percentiles_equal_numpy_under_skew(spark, spread):
     table = [(k, float(v)) for k, xs in data.items() for v in xs] + [("hot", None), ("none", None)]
     df = spark.createDataFrame(table, "k string, v double").repartition(6)
     probs = {"a": 0.25, "b": 0.5, "c": 0.9}
-    large = {"small_input": 0, "accuracy": 200}
-    for options in ({"small_input": 1 << 40}, large, {**large, "hot_rows": 100}, {**large, "hot_rows": 0}):
+    large = {"accuracy": 200}
+    for options in ({}, {**large, "hot_rows": 5000}, {**large, "hot_rows": 100}, {**large, "hot_rows": 0}):
         got = {r.k: r for r in exact_percentiles(df, ["k"], "v", probs, [F.count("*").alias("n")], **options).collect()}
         assert got["none"].a is None and got["hot"].n == 60_001
         for k, xs in data.items():
@@ -56,6 +57,26 @@ def test_bracketed_percentiles_equal_numpy_under_skew(spark, spread):
                 assert got[k][name] == pytest.approx(np.quantile(xs, p), rel=1e-12)
 
 
+def test_brackets_are_narrowed_until_a_task_can_take_them(spark, monkeypatch):
+    """Values over the whole range of doubles, and many ties, in two groups (one of a null key)."""
+    sizes, narrowed = [], percentiles._narrowed
+
+    def watched(df, brackets, *rest):
+        out = narrowed(df, brackets, *rest)
+        sizes.append(out is not None)
+        return out
+
+    monkeypatch.setattr(percentiles, "_narrowed", watched)
+    rng = np.random.default_rng(5)
+    data = {None: rng.choice([-1.0, 1.0], 9000) * 10.0 ** rng.uniform(-300, 308, 9000), "b": np.repeat(rng.normal(size=300), 30)}
+    df = spark.createDataFrame([(k, float(x)) for k, xs in data.items() for x in xs], "k string, v double").repartition(5)
+    got = {r.k: r for r in exact_percentiles(df, ["k"], "v", {"a": 0.1, "b": 0.5, "c": 0.75}, hot_rows=40, accuracy=40).collect()}
+    for k, xs in data.items():
+        for name, p in {"a": 0.1, "b": 0.5, "c": 0.75}.items():
+            assert got[k][name] == pytest.approx(np.quantile(xs, p), rel=1e-12)
+    assert sum(sizes) >= 2 and not sizes[-1]
+
+
 def test_months_complete_within_and_across(spark):
     df = monthly(spark, {"a": [1, None, None, 4], "b": [None, 2, 3]})
     site = cal.complete_site_months(df, ["site_id"])

@@ -157,7 +157,7 @@ def _(v):
 @query("daily_targets_bracketed", with_views(f"SELECT project_id, site_id, datetime, duration, variable, {R('observation')} AS observation, n FROM daily", "daily"))
 def _(v):
     """The large-input way of the same medians: every group of two or more counts as hot."""
-    return rounds(agg.daily_targets(v.long, small_input=0, hot_rows=1, accuracy=100), "observation")
+    return rounds(agg.daily_targets(v.long, hot_rows=1, accuracy=100), "observation")
 
 
 @query(
@@ -169,7 +169,7 @@ def _(v):
     """Three hot groups, bracketed: about a third of all rows each."""
     q = exact_percentiles(
         v.table("lineitem"), ["l_returnflag"], "l_extendedprice", {"p10": 0.1, "p50": 0.5, "p99": 0.99},
-        [F.count("*").alias("n")], small_input=0, hot_rows=1000, accuracy=1000,
+        [F.count("*").alias("n")], hot_rows=1000, accuracy=1000,
     )
     return rounds(q, "p10", "p50", "p99")
 
