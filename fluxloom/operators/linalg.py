@@ -202,28 +202,46 @@ def with_intercept(x: Column) -> Column:
 def elastic_net_path(
     g: np.ndarray, lambdas: np.ndarray, alphas: np.ndarray, tolerance: float = 1e-9, sweeps: int = 10_000
 ) -> np.ndarray:
-    """Coordinate descent for a stack of matrices and a list of penalties, all at once, until nothing moves.
+    """Coordinate descent for a stack of matrices and their penalties, all at once, until nothing moves.
 
-    ``g`` has shape (m, k, k); the result (m, penalties, k - 1) holds raw coefficients, intercept first.
-    ``elastic_net_gap`` tells how far a result is from the optimum.
+    ``g`` has shape (m, k, k); penalties are one list for all, or (m, penalties). The result (m, penalties, k - 1)
+    holds raw coefficients, intercept first. Problems that no longer move leave the stack, and of the others only
+    coordinates that are not at rest at zero are visited between full sweeps. ``elastic_net_gap`` tells how far a
+    result is from the optimum.
     """
     mean, sd, rxx, rxy = _standardized(g)
-    b = np.zeros((len(g), len(lambdas), rxx.shape[1]))
-    soft, hard = lambdas * alphas, 1 + lambdas * (1 - alphas)
-    for _ in range(sweeps):
-        moved = 0.0
-        for j in range(b.shape[2]):
-            partial = rxy[:, j, None] - np.einsum("mk,mlk->ml", rxx[:, j], b) + b[:, :, j]
-            new = np.sign(partial) * np.maximum(np.abs(partial) - soft, 0) / hard
-            moved = max(moved, float(np.abs(new - b[:, :, j]).max(initial=0.0)))
-            b[:, :, j] = new
-        if moved <= tolerance:
+    m, p = rxy.shape
+    soft, hard = (np.broadcast_to(v, (m, np.shape(v)[-1])).ravel() for v in (lambdas * alphas, 1 + lambdas * (1 - alphas)))
+    each = len(soft) // m if m else 0
+    b, own = np.zeros((len(soft), p)), np.repeat(np.arange(m), each)
+    moving = np.arange(len(soft))
+    for sweep in range(sweeps):
+        if not len(moving):
             break
+        now, r, target, s, h = b[moving], rxx[own[moving]], rxy[own[moving]], soft[moving], hard[moving]
+        full = sweep % 8 == 0
+        moved = np.zeros(len(moving))
+        for j in range(p):
+            at = slice(None) if full else np.flatnonzero(now[:, j])
+            partial = target[at, j] - np.einsum("mk,mk->m", r[at, j], now[at]) + now[at, j]
+            new = np.sign(partial) * np.maximum(np.abs(partial) - s[at], 0) / h[at]
+            moved[at] = np.maximum(moved[at], np.abs(new - now[at, j]))
+            now[at, j] = new
+        b[moving] = now
+        # Only a full sweep tells that coordinates at zero stay there.
+        if full:
+            moving = moving[moved > tolerance]
+    b = b.reshape(m, each, p)
     raw = b * (sd[:, None, -1:] / sd[:, None, :-1])
     intercept = mean[:, None, -1] - np.einsum("mlk,mk->ml", raw, mean[:, :-1])
     return np.concatenate([intercept[:, :, None], raw], axis=2)
 
 
+def largest_penalty(g: np.ndarray) -> np.ndarray:
+    """Per matrix the penalty from which on the lasso has no coefficients, on the scale of correlations."""
+    return np.abs(_standardized(g)[3]).max(axis=1)
+
+
 def _standardized(g: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Means and spreads, correlations among regressors and with the target."""
     n = g[:, 0, 0][:, None]

@@ -22,7 +22,7 @@ from fluxloom.operators.cleaning import drop_incomplete, min_rows_per_key
 from fluxloom.operators.isolate import isolated
 from fluxloom.operators.joins import join_drivers
 from fluxloom.operators.linalg import (
-    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, evidence_ridge, fit_designs, fit_rows, gram, ridge_rows, unpack,
+    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, evidence_ridge, fit_designs, fit_rows, gram, largest_penalty, ridge_rows, unpack,
     with_intercept,
 )
 from fluxloom.plans.common import (
@@ -113,30 +113,44 @@ def _scaled(x: Column) -> Column:
 
 # ---- elastic net ------------------------------------------------------------------------------
 
-MIXING = (0.1, 0.4, 0.7, 1.0)
-PENALTIES = tuple(float(v) for v in np.geomspace(1.0, 1e-3, 10))
+#: Pairs of mixing and penalty that a fit's random search draws, and how far below the largest penalty, in powers of two.
+CANDIDATES, OCTAVES = 25, 10.0
+#: Fits solved at once.
+STEP = 200
 
 
-def choose_elastic_net(parts) -> tuple:
-    """Pick mixing and penalty by repeated cross-validation on fold matrices, then fit on all rows.
+def drawn_penalties(seeds: Sequence[int], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Mixing and share of the largest penalty of each candidate, by the fit's own seed."""
+    draws = np.stack([np.random.default_rng(s & (2**63 - 1)).uniform(size=(2, n)) for s in seeds])
+    return draws[:, 0], 2.0 ** (-OCTAVES * draws[:, 1])
 
-    ``parts`` are (repeat, fold, packed matrix); the rows of a repeat sum to the whole.
+
+def choose_elastic_nets(fits: Sequence, seeds: Sequence[int], candidates: int = CANDIDATES) -> list[tuple]:
+    """Mixing and penalty of each fit by random search under repeated cross-validation, then the fit on all its rows.
+
+    A fit is a list of (repeat, fold, packed matrix); the matrices of a repeat sum to the whole. All fits, folds
+    and candidates are one stack.
     """
-    repeats = np.array([p[0] for p in parts])
-    g = unpack(np.stack([p[2] for p in parts]))
-    whole = g[repeats == repeats.min()].sum(axis=0)
-    alphas, lambdas = (a.ravel() for a in np.meshgrid(MIXING, PENALTIES))
-    held_in = whole[None] - g
+    g = [unpack(np.stack([p[2] for p in parts])) for parts in fits]
+    repeats = [np.array([p[0] for p in parts]) for parts in fits]
+    whole = np.stack([m[r == r.min()].sum(axis=0) for m, r in zip(g, repeats)])
+    alphas, shares = drawn_penalties(seeds, candidates)
+    lambdas = shares * largest_penalty(whole)[:, None]
+    own = np.repeat(np.arange(len(fits)), [len(m) for m in g])
+    held_out = np.concatenate(g)
+    held_in = whole[own] - held_out
     usable = held_in[:, 0, 0] >= 3
-    b = elastic_net_path(held_in[usable], lambdas, alphas)
+    own, held_in, held_out = own[usable], held_in[usable], held_out[usable]
+    b = elastic_net_path(held_in, lambdas[own], alphas[own])
     v = np.concatenate([b, -np.ones((*b.shape[:2], 1))], axis=2)
-    error = np.einsum("mlj,mjk,mlk->l", v, g[usable], v)
-    best = int(np.argmin(error))
-    chosen = slice(best, best + 1)
-    coef = elastic_net_path(whole[None], lambdas[chosen], alphas[chosen])[:, 0]
-    gap = elastic_net_gap(whole[None], coef, lambdas[chosen], alphas[chosen])
-    n, coef, rss, sd, _ = (x[0] for x in fit_rows(whole[None], coef))
-    return n, coef, rss, sd, float(alphas[best]), float(lambdas[best]), float(gap[0])
+    error = np.zeros((len(fits), candidates))
+    np.add.at(error, own, np.einsum("mlj,mjk,mlk->ml", v, held_out, v))
+    best = error.argmin(axis=1)[:, None]
+    chosen_a, chosen_l = np.take_along_axis(alphas, best, axis=1), np.take_along_axis(lambdas, best, axis=1)
+    coef = elastic_net_path(whole, chosen_l, chosen_a)[:, 0]
+    gap = elastic_net_gap(whole, coef, chosen_l[:, 0], chosen_a[:, 0])
+    n, coef, rss, sd, _ = fit_rows(whole, coef)
+    return list(zip(n, coef, rss, sd, chosen_a[:, 0].tolist(), chosen_l[:, 0].tolist(), gap.tolist()))
 
 
 def enough_rows(rows: DataFrame, issues: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
@@ -157,7 +171,7 @@ def elastic_net_fit(monthly, drivers, issues, folds: int = 5, repeats: int = 5)
     parts = gram(folded, keys, [F.col(p) for p in PREDICTORS], F.col("observation"), issue_array(issues))
     packed = parts.groupBy(*FITS).agg(
         F.sort_array(F.collect_list(F.struct("repeat", "fold", F.col("gram").alias("g")))).alias("parts")
-    )
+    ).withColumn("seed", F.xxhash64(*[F.col(k).cast("string") for k in FITS], F.lit(SEED)))
     return _solve_parts(packed.join(enough_rows(rows, issues), list(FITS), "left_semi"))
 
 
@@ -169,20 +183,21 @@ def _solve_parts(packed: DataFrame) -> DataFrame:
     )
 
     def run(batches):
-        for pdf in batches:
-            parts = [[(p["repeat"], p["fold"], p["g"]) for p in some] for some in pdf["parts"]]
-            found, errors = isolated(lambda at: [choose_elastic_net(parts[i]) for i in at], len(parts))
-            fitted = [(*(r or [None] * 7), e) for r, e in zip(found, errors)]
-            yield pd.concat(
-                [pdf[list(FITS)].reset_index(drop=True), pd.DataFrame(fitted, columns=names, dtype=object)], axis=1
-            )
+        for batch in batches:
+            for start in range(0, len(batch), STEP):
+                pdf = batch.iloc[start : start + STEP]
+                parts = [[(p["repeat"], p["fold"], p["g"]) for p in some] for some in pdf["parts"]]
+                seeds = pdf["seed"].tolist()
+                found, errors = isolated(lambda at: choose_elastic_nets([parts[i] for i in at], [seeds[i] for i in at]), len(parts))
+                fitted = [(*(r or [None] * 7), e) for r, e in zip(found, errors)]
+                yield pd.concat([pdf[list(FITS)].reset_index(drop=True), pd.DataFrame(fitted, columns=names, dtype=object)], axis=1)
 
-    return packed.select(*FITS, "parts").mapInPandas(run, schema)
+    return packed.select(*FITS, "parts", "seed").mapInPandas(run, schema)
 
 
 @register_model("elasticNet")
 def fc_elastic_net(monthly, drivers, issues) -> DataFrame:
-    """Elastic net on five drivers; penalty and mixing by repeated cross-validation over a grid."""
+    """Elastic net on five drivers; penalty and mixing by random search under repeated cross-validation."""
     predict = lambda x: dot(F.col("coef"), with_intercept(x))
     fits = elastic_net_fit(monthly, drivers, issues)
     out = ensemble_to_normal(apply_to_members(fits, member_arrays(drivers, issues), predict))

@@ -11,6 +11,10 @@ from fluxloom.operators.linalg import gram, solve_rows
 from fluxloom.operators.skill import SKILL_KEYS, rmse_table
 
 
+#: Share of the regressor's squares that the effects must leave.
+LEAST_SHARE = 1e-9
+
+
 def trend_samples(scores: DataFrame) -> DataFrame:
     """Log RMSE per series, model and transect with its indicator vector."""
     table = rmse_table(scores, by=[*SKILL_KEYS, "Transect"]).where(F.col("rmse") > 0)
@@ -24,7 +28,10 @@ def trend_samples(scores: DataFrame) -> DataFrame:
 
 
 def _slope(g: np.ndarray):
-    """Slope of the first regressor, its standard error and t; absent effects drop out by pseudo-inverse."""
+    """Slope of the first regressor, its standard error and t; absent effects drop out by pseudo-inverse.
+
+    There is no slope where the effects explain the regressor, and no error without spare rows.
+    """
     n = float(g[0, 0])
     a, b = g[:-1, :-1], g[:-1, -1]
     inverse = np.linalg.pinv(a, rcond=1e-10, hermitian=True)
@@ -32,6 +39,10 @@ def _slope(g: np.ndarray):
     v = np.append(coef, -1.0)
     spare = n - np.linalg.matrix_rank(a, hermitian=True)
     gap = float(np.max(np.abs(g[:-1] @ v)) / max(np.abs(g[:-1, -1]).max(), 1e-300))
+    others = np.delete(np.arange(len(a)), 1)
+    own = a[1, 1] - a[1, others] @ np.linalg.pinv(a[np.ix_(others, others)], rcond=1e-10, hermitian=True) @ a[others, 1]
+    if own <= LEAST_SHARE * max(a[1, 1], 1e-300):
+        return n, None, None, None, gap
     if spare <= 0:
         return n, float(coef[1]), None, None, gap
     se = float(np.sqrt(max(float(v @ g @ v), 0.0) / spare * max(inverse[1, 1], 0.0)))
@@ -45,4 +56,4 @@ def _slopes(g: np.ndarray) -> tuple:
 def fixed_effect_trend(scores: DataFrame) -> DataFrame:
     """Slope of log RMSE on warming per vegetation, models and transects held fixed."""
     grams = gram(trend_samples(scores), ["Veg"], F.col("x"), F.col("y"))
-    return solve_rows(grams, ["Veg"], _slopes, "n double, slope double, se double, t double, gap double")
+    return solve_rows(grams, ["Veg"], _slopes, "n double, slope double, se double, t double, gap double, error string")

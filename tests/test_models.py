@@ -218,3 +218,33 @@ def test_fourier_features_approach_the_radial_kernel(spark):
     z = np.array([r.z for r in df.select("i", driver_models.fourier_features(F.col("x"), 600).alias("z")).orderBy("i").collect()])
     exact = np.exp(-((points[:, None] - points[None]) ** 2).sum(axis=2) / 31)
     assert np.abs(z @ z.T - exact).max() < 0.2
+
+
+def test_elastic_nets_of_a_batch_equal_single_ones():
+    """Penalties differ per fit; each fit's candidates, folds and coefficients do not depend on its batch."""
+    rng = np.random.default_rng(6)
+    fits = []
+    for k in range(4):
+        x = rng.normal(size=(50, 5)) * [1, 10, 0.1, 3, 1] + 2
+        y = x @ [1.0, 0.0, 4.0, -0.5, 0.0] * (k + 1) + rng.normal(size=50)
+        z = np.column_stack([np.ones(50), x, y])
+        fold = rng.integers(0, 5, 50)
+        pack = lambda m: m[np.triu_indices(7)]
+        fits.append([(1, f, pack(z[fold == f].T @ z[fold == f])) for f in range(5)])
+    together = driver_models.choose_elastic_nets(fits, [1, 2, 3, 4])
+    for k, fit in enumerate(fits):
+        alone = driver_models.choose_elastic_nets([fit], [k + 1])[0]
+        assert together[k][1] == pytest.approx(alone[1], abs=1e-7) and together[k][4:6] == pytest.approx(alone[4:6])
+        assert together[k][6] < 1e-7
+        whole = linalg.unpack(np.stack([p[2] for p in fit])).sum(axis=0)
+        alphas, shares = driver_models.drawn_penalties([k + 1], driver_models.CANDIDATES)
+        errors = []
+        for alpha, lam in zip(alphas[0], shares[0] * linalg.largest_penalty(whole[None])[0], strict=True):
+            error = 0.0
+            for p in fit:
+                out = linalg.unpack(p[2])
+                b = linalg.elastic_net_path((whole - out)[None], np.array([lam]), np.array([alpha]))[0, 0]
+                v = np.append(b, -1.0)
+                error += v @ out @ v
+            errors.append(error)
+        assert together[k][4] == pytest.approx(alphas[0][int(np.argmin(errors))])

@@ -476,22 +476,100 @@ def _(v):
     return shaped(MODELS["elasticNet"](v.monthly, v.drivers, v.issues))
 
 
-@query(
-    "elastic_net_fit",
-    with_views("SELECT site_id, count(*)::DOUBLE AS n, TRUE AS from_grid, TRUE AS intercept_balances FROM driver_train GROUP BY site_id", "driver_train"),
-)
+def tree_rows(better: str) -> str:
+    """Per site the months and spread of a series that follows the first driver, and what the fit has to reach."""
+    return with_views(
+        f"""SELECT site_id, count(*) AS n, {R('stddev_samp(planted)', 2)} AS sd, TRUE AS {better} FROM (
+              SELECT site_id, 100 * Temp_K + observation % 50 AS planted FROM driver_train) GROUP BY site_id""",
+        "driver_train",
+    )
+
+
+def _against_mean(rows, better: str, part: float = 1.0):
+    """Whether predictions are closer to the observations than their mean is, by ``part``; all from raw rows."""
+    error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("observation"), 2.0)))
+    sd = F.stddev_samp("observation")
+    done = rows.groupBy("site_id").agg(F.count("*").alias("n"), sd.alias("sd"), (error < part * sd).alias(better))
+    return rounds(done, "sd", digits=2)
+
+
+def certificate_sql(flag: str, **others) -> str:
+    return with_views(f"SELECT site_id, count(*)::DOUBLE AS n, TRUE AS {flag} FROM driver_train GROUP BY site_id", "driver_train", **others)
+
+
+def optimal(fit, rows, x):
+    """Whether emitted elastic-net coefficients meet the optimality conditions, all recomputed from the raw rows."""
+    z = rows.join(fit.select(*common.FITS, "n", "coef", "alpha", "lambda"), list(common.FITS)).withColumn(
+        "e", F.col("observation") - linalg.dot(F.col("coef"), linalg.with_intercept(x))
+    )
+    cells = z.select(*common.FITS, "n", "coef", "alpha", "lambda", "e", "observation", F.posexplode(x).alias("j", "v"))
+    sums = cells.groupBy(*common.FITS, "n", "alpha", "lambda", "j").agg(
+        F.covar_pop("v", "e").alias("ve"), F.stddev_pop("v").alias("sv"), F.stddev_pop("observation").alias("sy"),
+        F.first(F.get("coef", F.col("j") + 1)).alias("c"), F.avg("e").alias("e"),
+    )
+    b = F.col("c") * F.col("sv") / F.col("sy")
+    slope = F.try_divide(F.col("ve"), F.col("sv") * F.col("sy")) - F.col("lambda") * (1 - F.col("alpha")) * b
+    bound = F.col("lambda") * F.col("alpha")
+    off = F.when(F.col("c") != 0, F.abs(slope - bound * F.signum(b))).otherwise(F.greatest(F.abs(slope) - bound, F.lit(0.0)))
+    level = F.abs(F.col("e")) / F.col("sy")
+    return sums.groupBy("site_id", "n").agg((F.max(F.greatest(off, level)) < GAP).alias("optimal"))
+
+
+def _elastic_net(v, monthly):
+    fit = driver_models.elastic_net_fit(monthly, v.drivers, v.issues)
+    rows = driver_models.driver_training(monthly, v.drivers, v.issues)
+    return optimal(fit, rows, driver_models.predictors())
+
+
+@query("elastic_net_fit", certificate_sql("optimal"))
+def _(v):
+    return _elastic_net(v, v.monthly)
+
+
+@query("elastic_net_fit_suppliers", certificate_sql("optimal", monthly=SUPPLIER_MONTHLY))
 def _(v):
-    """Residuals average to zero, and the chosen penalty is one of the grid."""
-    fit = driver_models.elastic_net_fit(v.monthly, v.drivers, v.issues)
-    grid = F.array(*[F.lit(p) for p in driver_models.PENALTIES])
-    balanced = F.abs(F.col("rss") - F.col("residual_sd") ** 2 * (F.col("n") - 1)) <= 1e-6 * F.col("rss")
-    return fit.select("site_id", "n", F.array_contains(grid, F.col("lambda")).alias("from_grid"), balanced.alias("intercept_balances"))
+    return _elastic_net(v, v.supplier_monthly)
+
+
+@query("elastic_net_planted", tree_rows("closer_than_half"))
+def _(v):
+    """Coefficients of series that follow one driver, applied to the raw rows."""
+    fit = driver_models.elastic_net_fit(v.planted_monthly, v.drivers, v.issues)
+    rows = driver_models.driver_training(v.planted_monthly, v.drivers, v.issues).join(fit.select(*common.FITS, "coef"), list(common.FITS))
+    predicted = linalg.dot(F.col("coef"), linalg.with_intercept(driver_models.predictors()))
+    return _against_mean(rows.withColumn("prediction", predicted), "closer_than_half", 0.5)
+
+
+def penalised(fit, rows):
+    """Whether emitted coefficients on features ``x`` balance one penalty: from the raw rows, the residuals' products
+    with the features are one multiple of the coefficients, and with the constant zero."""
+    z = rows.join(fit.select(*common.FITS, "n", "coef"), list(common.FITS))
+    z = z.withColumn("e", F.col("observation") - linalg.dot(F.col("coef"), linalg.with_intercept(F.col("x"))))
+    cells = z.select(*common.FITS, "n", "coef", "e", "observation", F.posexplode(linalg.with_intercept(F.col("x"))).alias("j", "v"))
+    sums = cells.groupBy(*common.FITS, "n", "j").agg(
+        F.sum(F.col("v") * F.col("e")).alias("s"), F.first(F.get("coef", F.col("j"))).alias("c"),
+        F.sqrt(F.sum(F.col("v") * F.col("v")) * F.sum(F.col("observation") * F.col("observation"))).alias("size"),
+    )
+    held = F.col("j") > 0
+    ratio = F.try_divide(F.sum(F.when(held, F.col("s") * F.col("c"))), F.sum(F.when(held, F.col("c") * F.col("c"))))
+    penalty = sums.groupBy(*common.FITS).agg(ratio.alias("penalty"))
+    gap = F.abs(F.col("s") - F.when(held, F.col("penalty") * F.col("c")).otherwise(0.0)) / F.col("size")
+    checked = sums.join(penalty, list(common.FITS)).groupBy("site_id", "n")
+    return checked.agg(((F.max(gap) < GAP) & (F.min("penalty") > 0)).alias("normal_equations"))
+
+
+def _features(v, stages):
+    rows = driver_models.driver_training(v.monthly, v.drivers, v.issues)
+    samples = driver_models.standardize(rows, common.FITS, driver_models.PREDICTORS).withColumn("x", driver_models.predictors())
+    for stage in stages:
+        samples = samples.withColumn("x", stage(F.col("x")))
+    return samples
 
 
-@query("kernel_ridge_fit", with_views("SELECT site_id, count(*)::DOUBLE AS n, TRUE AS normal_equations FROM driver_train GROUP BY site_id", "driver_train"))
+@query("kernel_ridge_fit", certificate_sql("normal_equations"))
 def _(v):
-    fit = driver_models.kernel_ridge_fit(v.monthly, v.drivers, v.issues)
-    return fit.select("site_id", "n", (F.col("gap") < GAP).alias("normal_equations"))
+    """Residuals recomputed from the raw rows: the coefficients solve a ridge problem, to one part in a million."""
+    return penalised(driver_models.kernel_ridge_fit(v.monthly, v.drivers, v.issues), _features(v, driver_models.kernel_stages()))
 
 
 @query("fc_kernel_ridge", member_sql("svm"))
@@ -499,10 +577,9 @@ def _(v):
     return shaped(MODELS["svm"](v.monthly, v.drivers, v.issues))
 
 
-@query("bayes_net_fit", with_views("SELECT site_id, count(*)::DOUBLE AS n, TRUE AS normal_equations FROM driver_train GROUP BY site_id", "driver_train"))
+@query("bayes_net_fit", certificate_sql("normal_equations"))
 def _(v):
-    fit = driver_models.bayes_net_fit(v.monthly, v.drivers, v.issues)
-    return fit.select("site_id", "n", (F.col("gap") < GAP).alias("normal_equations"))
+    return penalised(driver_models.bayes_net_fit(v.monthly, v.drivers, v.issues), _features(v, driver_models.net_stages()))
 
 
 @query("fc_bayes_net", member_sql("brnn"))
@@ -533,23 +610,6 @@ for _name, _model in (
     supplier_model(f"{_name}_suppliers", _model)
 
 
-def tree_rows(better: str) -> str:
-    """Per site the months and spread of a series that follows the first driver, and what the fit has to reach."""
-    return with_views(
-        f"""SELECT site_id, count(*) AS n, {R('stddev_samp(planted)', 2)} AS sd, TRUE AS {better} FROM (
-              SELECT site_id, 100 * Temp_K + observation % 50 AS planted FROM driver_train) GROUP BY site_id""",
-        "driver_train",
-    )
-
-
-def _against_mean(rows, better: str, part: float = 1.0):
-    """Whether predictions are closer to the observations than their mean is, by ``part``; all from raw rows."""
-    error = F.sqrt(F.avg(F.pow(F.col("prediction") - F.col("observation"), 2.0)))
-    sd = F.stddev_samp("observation")
-    done = rows.groupBy("site_id").agg(F.count("*").alias("n"), sd.alias("sd"), (error < part * sd).alias(better))
-    return rounds(done, "sd", digits=2)
-
-
 @query("forest_out_of_bag", tree_rows("better_than_mean"))
 def _(v):
     """Out-of-bag error of a series that follows one driver stays below the spread of the series."""

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 
+from fluxloom.functions.labels import MODEL_NAMES
 from fluxloom.operators import scoring, skill
 from workload.registry import query, rounded, sql_rounded as R
 from workload.series_queries import rounds
 from workload.views import ISSUE
 from workload.views_sql import with_views
 
+MODELS_AFTER_FIRST = list(MODEL_NAMES.values())[1:]
+#: Rounds of sweeping; each shrinks what is left of the two effects by their overlap.
+SWEEPS = 60
 KEYS = "horizon, site_id, model_id, Temp, year, CO2Treat, Veg"
 SEPARATE = "FROM formatted WHERE horizon = 6 AND CO2Treat = 'Amb' AND Type = 'Separate'"
 OBS, FC = "observation", "mean"
@@ -288,14 +292,28 @@ def _(v):
 @query(
     "fixed_effect_trend",
     with_views(
-        """SELECT Veg, count(*)::DOUBLE AS n, TRUE AS normal_equations, TRUE AS has_error FROM (
-             SELECT horizon, site_id, model_id, Temp, year, CO2Treat, Veg, Transect, sqrt(avg((observation - mean) ** 2)) AS rmse
-             FROM formatted WHERE horizon = 6 AND CO2Treat = 'Amb' AND Type = 'Separate' GROUP BY ALL HAVING rmse > 0) GROUP BY Veg""",
-        "formatted",
+        f""", series AS (
+          SELECT Veg, Temp::DOUBLE AS x, ln(rmse) AS y, CASE WHEN model_id IN ({", ".join(f"'{m}'" for m in MODELS_AFTER_FIRST)}) THEN model_id END AS model,
+                 CASE WHEN Transect BETWEEN 2 AND 6 THEN Transect END AS transect FROM (
+            SELECT horizon, site_id, model_id, Temp, year, CO2Treat, Veg, Transect, sqrt(avg((observation - mean) ** 2)) AS rmse
+            FROM formatted WHERE horizon = 6 AND CO2Treat = 'Amb' AND Type = 'Separate' GROUP BY ALL HAVING rmse > 0)),
+        swept AS (
+          SELECT 0 AS k, *, x * x AS x0 FROM series
+          UNION ALL
+          SELECT k + 1, Veg, x - avg(x) OVER t, y - avg(y) OVER t, model, transect, x0 FROM (
+            SELECT k, Veg, x - avg(x) OVER m AS x, y - avg(y) OVER m AS y, model, transect, x0 FROM swept WHERE k < {SWEEPS} WINDOW m AS (PARTITION BY Veg, model))
+          WINDOW t AS (PARTITION BY Veg, transect)),
+        sums AS (
+          SELECT Veg, count(*)::DOUBLE AS n, sum(x * x) AS xx, sum(x0) AS x0, sum(x * y) AS xy, sum(y * y) AS yy,
+                 count(DISTINCT coalesce(model, '')) + count(DISTINCT coalesce(transect, 0)) AS rank FROM swept WHERE k = {SWEEPS} GROUP BY Veg),
+        fit AS (SELECT Veg, n, CASE WHEN xx > 1e-9 * x0 THEN xy / xx END AS slope,
+                       CASE WHEN xx > 1e-9 * x0 AND n > rank THEN sqrt((yy - xy * xy / xx) / (n - rank) / xx) END AS se FROM sums)
+        SELECT Veg, n, {R('slope', 6)} AS slope, {R('se', 6)} AS se, {R('slope / se', 6)} AS t FROM fit""",
+        "formatted", recursive=True,
     ),
 )
 def _(v):
+    """Slope, standard error and t; the SQL sweeps models and transects out in turn until only warming is left."""
     from fluxloom.plans.trend import fixed_effect_trend
 
-    fit = fixed_effect_trend(v.formatted)
-    return fit.select("Veg", "n", (F.col("gap") < 1e-6).alias("normal_equations"), (F.col("se") > 0).alias("has_error"))
+    return rounds(fixed_effect_trend(v.formatted).select("Veg", "n", "slope", "se", "t"), "slope", "se", "t", digits=6)
