@@ -260,28 +260,3 @@ def elastic_net_gap(g: np.ndarray, coef: np.ndarray, lambdas: np.ndarray, alphas
     bound = (lambdas * alphas)[:, None]
     active = np.abs(slope - bound * np.sign(b))
     return np.where(b != 0, active, np.maximum(np.abs(slope) - bound, 0)).max(axis=1)
-
-
-def evidence_ridge(g: np.ndarray, rounds: int = 1000) -> tuple[np.ndarray, np.ndarray]:
-    """Ridge coefficients of a stack with penalties chosen by evidence maximisation (MacKay 1992).
-
-    Every matrix is iterated until its own penalty no longer moves.
-    """
-    n = g[:, 0, 0]
-    centred = g[:, 1:-1, 1:-1] - g[:, 1:-1, 0, None] * g[:, None, 0, 1:-1] / n[:, None, None]
-    eig = np.clip(np.linalg.eigvalsh(centred), 0, None)
-    penalty, moving = np.ones(len(g)), np.ones(len(g), bool)
-    for _ in range(rounds):
-        at = np.flatnonzero(moving)
-        if not len(at):
-            break
-        coef = ridge_solve(g[at], penalty[at])
-        v = np.concatenate([coef, -np.ones((len(at), 1))], axis=1)
-        rss = np.maximum(np.einsum("mi,mij,mj->m", v, g[at], v), 1e-300)
-        effective = (eig[at] / (eig[at] + penalty[at, None])).sum(axis=1)
-        noise = rss / np.maximum(n[at] - effective - 1, 1.0)
-        weights = np.maximum((coef[:, 1:] ** 2).sum(axis=1), 1e-300)
-        updated = np.clip(effective * noise / weights, 1e-8, 1e8)
-        moving[at] = np.abs(updated - penalty[at]) > 1e-6 * penalty[at]
-        penalty[at] = updated
-    return ridge_solve(g, penalty), penalty

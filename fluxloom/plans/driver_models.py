@@ -1,4 +1,4 @@
-"""Models on weather drivers that are linear in fixed features: elastic net, kernel ridge, Bayesian net.
+"""Models on weather drivers: elastic net, kernel ridge on fixed features, Bayesian net.
 
 Each fits on lead-1 ensemble means and predicts every member of the latest ensemble. Fits need one
 matrix per series and issue date; the members of an issue date travel as one nested array, so
@@ -22,9 +22,10 @@ from fluxloom.operators.cleaning import drop_incomplete, min_rows_per_key
 from fluxloom.operators.isolate import isolated
 from fluxloom.operators.joins import join_drivers
 from fluxloom.operators.linalg import (
-    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, evidence_ridge, fit_designs, fit_rows, gram, largest_penalty, ridge_rows, unpack,
+    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, fit_designs, fit_rows, gram, largest_penalty, ridge_rows, unpack,
     with_intercept,
 )
+from fluxloom.operators.smallnets import chosen_nets, outputs
 from fluxloom.plans.common import (
     FITS, SERIES, carried, finish_forecast, issue_array, issue_lookup, placed, register_model, training_window,
 )
@@ -207,8 +208,8 @@ def fc_elastic_net(monthly, drivers, issues) -> DataFrame:
 # ---- models on fixed random features ----------------------------------------------------------
 
 
-#: Default number of random features of the kernel and of the hidden layer; parameters of the fits.
-KERNEL_FEATURES, NET_FEATURES = 64, 16
+#: Default number of random features of the kernel; a parameter of the fits.
+KERNEL_FEATURES = 64
 
 
 def interactions(x: Column) -> Column:
@@ -232,12 +233,6 @@ def fourier_features(x: Column, size: int = KERNEL_FEATURES, seed: int = SEED) -
     return F.transform(weights, lambda r: F.cos(dot(r.w, x) + r.b) * float(np.sqrt(2 / size)))
 
 
-def hidden_features(x: Column, size: int = NET_FEATURES, seed: int = SEED) -> Column:
-    """Outputs of a fixed tanh layer."""
-    weights = _weights(size, len(PREDICTORS), 1.0, seed)
-    return F.transform(weights, lambda r: F.tanh(dot(r.w, x) + r.b - float(np.pi)))
-
-
 def _feature_fit(monthly, drivers, issues, stages: Sequence[Callable], solver: Callable) -> DataFrame:
     """Fits on features of the standardised drivers. A series is bounded, so its rows travel packed to one solve."""
     rows = driver_training(monthly, drivers, issues)
@@ -279,10 +274,6 @@ def kernel_stages(features: int = KERNEL_FEATURES) -> tuple[Callable, ...]:
     return interactions, lambda x: fourier_features(x, features)
 
 
-def net_stages(features: int = NET_FEATURES) -> tuple[Callable, ...]:
-    return (lambda x: hidden_features(x, features),)
-
-
 def kernel_ridge_fit(monthly, drivers, issues, ridge: float = 1.0, features: int = KERNEL_FEATURES) -> DataFrame:
     return _feature_fit(monthly, drivers, issues, kernel_stages(features), ridge_rows(ridge))
 
@@ -294,16 +285,61 @@ def fc_kernel_ridge(monthly, drivers, issues, ridge: float = 1.0, features: int
     return _feature_forecast(fits, drivers, issues, kernel_stages(features), "svm")
 
 
-def bayes_net_fit(monthly, drivers, issues, features: int = NET_FEATURES) -> DataFrame:
-    def solver(g):
-        coef, penalty = evidence_ridge(g)
-        return fit_rows(g, coef, penalty)
+# ---- Bayesian net -----------------------------------------------------------------------------
+
+#: Numbers of units compared, folds and repeats of the comparison.
+UNITS, NET_FOLDS, NET_REPEATS = (1, 2, 3), 5, 5
+
+
+def bayes_net_fit(monthly, drivers, issues, units: Sequence[int] = UNITS, folds: int = NET_FOLDS, repeats: int = NET_REPEATS) -> DataFrame:
+    """Nets on the standardised drivers: FITS, n, units, net (w, b and v of each unit in turn), middle, half, residual_sd.
+
+    A prediction is middle + half times the sum over units of w tanh(b + v.x). A series is bounded, so its rows
+    travel packed; all nets of an Arrow batch are fitted together.
+    """
+    rows = driver_training(monthly, drivers, issues)
+    samples = standardize(rows, FITS, PREDICTORS).select(*FITS, F.struct("datetime", "observation", predictors().alias("x")).alias("row"))
+    packed = samples.groupBy(*FITS).agg(F.sort_array(F.collect_list("row")).alias("rows"))
+    packed = packed.select(
+        *FITS, F.col("rows.x").alias("x"), F.col("rows.observation").alias("y"),
+        F.xxhash64(*[F.col(k).cast("string") for k in FITS], F.lit(SEED)).alias("seed"),
+    )
+    types = dict(packed.dtypes)
+    names = ["n", "units", "net", "middle", "half", "residual_sd", "error"]
+    schema = ", ".join(f"`{k}` {types[k]}" for k in FITS) + ", n double, units int, net array<double>, middle double, half double, residual_sd double, error string"
+
+    def run(batches):
+        for pdf in batches:
+            xs, ys = [np.stack(list(x)) for x in pdf["x"]], [np.asarray(y, float) for y in pdf["y"]]
+            seeds = pdf["seed"].tolist()
+            take = lambda values, at: [values[i] for i in at]
+            found, errors = isolated(lambda at: chosen_nets(take(xs, at), take(ys, at), take(seeds, at), units, folds, repeats), len(ys))
+            out = []
+            for net, error, x, y in zip(found, errors, xs, ys):
+                if net is None:
+                    out.append((float(len(y)), None, None, None, None, None, error))
+                    continue
+                count, theta, middle, half = net
+                gaps = middle + half * outputs(theta[None], x[None], count)[0][0] - y
+                out.append((float(len(y)), count, theta.tolist(), middle, half, float(gaps.std(ddof=1)), None))
+            yield pd.concat([pdf[list(FITS)].reset_index(drop=True), pd.DataFrame(out, columns=names, dtype=object)], axis=1)
+
+    fits = packed.mapInPandas(run, schema)
+    return fits.join(_scales(rows), list(FITS))
 
-    return _feature_fit(monthly, drivers, issues, net_stages(features), solver)
+
+def net_output(x: Column) -> Column:
+    """Prediction of a row's net (columns units, net, middle, half) at standardised drivers."""
+    width = len(PREDICTORS) + 2
+    unit = lambda k: F.get("net", k * width) * F.tanh(
+        F.get("net", k * width + 1) + dot(F.slice("net", k * width + 3, F.lit(len(PREDICTORS))), x)
+    )
+    total = F.aggregate(F.sequence(F.lit(0), F.coalesce("units", F.lit(1)) - 1), F.lit(0.0), lambda s, k: s + unit(k))
+    return F.col("middle") + F.col("half") * total
 
 
 @register_model("brnn")
-def fc_bayes_net(monthly, drivers, issues, features: int = NET_FEATURES) -> DataFrame:
-    """Fixed hidden layer with output weights regularised by evidence maximisation."""
-    fits = bayes_net_fit(monthly, drivers, issues, features)
-    return _feature_forecast(fits, drivers, issues, net_stages(features), "brnn")
+def fc_bayes_net(monthly, drivers, issues) -> DataFrame:
+    """Two-layer net under Bayesian regularisation, both layers fitted; number of units by repeated cross-validation."""
+    fits = bayes_net_fit(monthly, drivers, issues)
+    return finish_forecast(ensemble_to_normal(apply_to_members(fits, member_arrays(drivers, issues), lambda x: net_output(_scaled(x)))), "brnn")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fluxloom.operators import linalg
+from fluxloom.operators import linalg, smallnets
 from fluxloom.plans import additive, arima, driver_models, edm, ets
 from fluxloom.plans.climatology import fc_climatology
 from fluxloom.plans.common import FITS, SERIES, issue_array, series_arrays, training_series
@@ -248,3 +248,30 @@ def test_elastic_nets_of_a_batch_equal_single_ones():
                 error += v @ out @ v
             errors.append(error)
         assert together[k][4] == pytest.approx(alphas[0][int(np.argmin(errors))])
+
+
+def test_nets_recover_a_curve_and_do_not_depend_on_their_batch():
+    rng = np.random.default_rng(0)
+    xs = [rng.normal(size=(int(k), 5)) for k in rng.integers(30, 60, 4)]
+    ys = [1e5 + 5000 * np.tanh(x[:, 0]) + 2000 * x[:, 1] + 300 * rng.normal(size=len(x)) for x in xs]
+    nets = smallnets.chosen_nets(xs, ys, [1, 2, 3, 4], (1, 2, 3), 5, 2)
+    for (units, theta, middle, half), x, y in zip(nets, xs, ys, strict=True):
+        new = rng.normal(size=(200, 5))
+        truth = 1e5 + 5000 * np.tanh(new[:, 0]) + 2000 * new[:, 1]
+        predicted = middle + half * smallnets.outputs(theta[None], new[None], units)[0][0]
+        assert np.sqrt(np.mean((predicted - truth) ** 2)) < 0.4 * truth.std()
+    alone = smallnets.chosen_nets(xs[2:3], ys[2:3], [3], (1, 2, 3), 5, 2)[0]
+    assert alone[0] == nets[2][0] and alone[1] == pytest.approx(nets[2][1], rel=1e-6, abs=1e-9)
+    flat = smallnets.chosen_nets([np.zeros((12, 5))], [np.full(12, 7.0)], [5], (1, 2), 5, 1)[0]
+    assert flat[2] + flat[3] * smallnets.outputs(flat[1][None], np.zeros((1, 1, 5)), flat[0])[0][0, 0] == pytest.approx(7.0, abs=0.1)
+
+
+def test_slopes_of_a_net():
+    rng = np.random.default_rng(1)
+    theta, x = rng.normal(size=(3, 14)), rng.normal(size=(3, 6, 5))
+    _, slopes = smallnets.outputs(theta, x, 2)
+    for k in range(14):
+        moved = theta.copy()
+        moved[:, k] += 1e-6
+        change = (smallnets.outputs(moved, x, 2)[0] - smallnets.outputs(theta, x, 2)[0]) / 1e-6
+        assert slopes[:, :, k] == pytest.approx(change, abs=1e-4)

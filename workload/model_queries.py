@@ -577,9 +577,24 @@ def _(v):
     return shaped(MODELS["svm"](v.monthly, v.drivers, v.issues))
 
 
-@query("bayes_net_fit", certificate_sql("normal_equations"))
+def _net_rows(v, monthly):
+    """Training rows with the prediction of their fit's emitted net, evaluated in Spark."""
+    fit = driver_models.bayes_net_fit(monthly, v.drivers, v.issues)
+    rows = driver_models.standardize(driver_models.driver_training(monthly, v.drivers, v.issues), common.FITS, driver_models.PREDICTORS)
+    joined = rows.join(fit.select(*common.FITS, "n", "units", "net", "middle", "half", "residual_sd"), list(common.FITS))
+    return joined.withColumn("prediction", driver_models.net_output(driver_models.predictors()))
+
+
+@query("bayes_net_fit", certificate_sql("residuals_recomputed"))
+def _(v):
+    """The reported spread is that of the emitted net's residuals over the raw rows."""
+    rows = _net_rows(v, v.monthly).groupBy("site_id", "n", "residual_sd").agg(F.stddev_samp(F.col("prediction") - F.col("observation")).alias("sd"))
+    return rows.select("site_id", "n", (F.abs(F.col("sd") - F.col("residual_sd")) <= GAP * F.col("sd")).alias("residuals_recomputed"))
+
+
+@query("bayes_net_planted", tree_rows("closer_than_half"))
 def _(v):
-    return penalised(driver_models.bayes_net_fit(v.monthly, v.drivers, v.issues), _features(v, driver_models.net_stages()))
+    return _against_mean(_net_rows(v, v.planted_monthly), "closer_than_half", 0.5)
 
 
 @query("fc_bayes_net", member_sql("brnn"))
