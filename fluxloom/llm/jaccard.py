@@ -282,7 +282,12 @@ def _enough(found: DataFrame) -> DataFrame:
 
 
 def _searched(table: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
-    """(node, component) within one neighbourhood (id, n, l, prefix, shared), for classes that link with another."""
+    """(node, component) within one neighbourhood (id, n, l, prefix, shared), for classes that link with another.
+
+    A class can overlap a partner in elements that another class has as well, so their number bounds the sizes
+    of its partners; classes that no class still waiting can match read no postings. What is left is counted over
+    postings and verified for all candidates of a class at once.
+    """
     order = np.argsort(table.column("id").to_numpy())
     table = table.take(pa.array(order))
     ids, size, asked = (table.column(c).to_numpy() for c in ("id", "n", "l"))
@@ -291,6 +296,12 @@ def _searched(table: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
     own = np.repeat(np.arange(len(ids)), [len(p) for p in prefix])
     _, code = np.unique(np.concatenate(prefix), return_inverse=True)
     codes = np.split(code, np.cumsum([len(p) for p in prefix])[:-1])
+    several = np.array([len(s) for s in shared])
+    begin_of = np.concatenate([[0], np.cumsum(several)])
+    _, element_of = np.unique(np.concatenate(shared), return_inverse=True)
+    marked = np.zeros(element_of.max(initial=-1) + 1, bool)
+    # 100 both >= similarity (x + y - both) with both <= several gives the largest y that x may match.
+    most = (several * (100 + similarity)) // similarity - size
     waiting, listed = np.ones(len(ids), bool), 0
 
     def lists():
@@ -300,6 +311,14 @@ def _searched(table: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
         rank = np.argsort(element, kind="stable")
         return holder[rank], np.searchsorted(element[rank], np.arange(code.max() + 2)), int(waiting.sum())
 
+    def overlaps(x: int, others: np.ndarray) -> np.ndarray:
+        marked[element_of[begin_of[x] : begin_of[x + 1]]] = True
+        width = several[others]
+        at = np.repeat(begin_of[others] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+        both = np.bincount(np.repeat(np.arange(len(others)), width), marked[element_of[at]], len(others))
+        marked[element_of[begin_of[x] : begin_of[x + 1]]] = False
+        return both.astype(np.int64)
+
     holders, begin, listed = lists()
     for seed in range(len(ids)):
         if not waiting[seed]:
@@ -312,15 +331,18 @@ def _searched(table: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
                 holders, begin, listed = lists()
             if not listed:
                 break
-            met = [holders[begin[c] : begin[c + 1]] for c in codes[x].tolist()]
-            matches = np.bincount(np.concatenate(met), minlength=len(ids))
-            near = waiting & (matches >= np.minimum(asked[x], asked)) & (100 * size >= similarity * size[x]) & (100 * size[x] >= similarity * size)
-            for y in np.flatnonzero(near).tolist():
-                both = len(np.intersect1d(shared[x], shared[y], assume_unique=True))
-                if 100 * both >= similarity * (size[x] + size[y] - both):
-                    waiting[y] = False
-                    stack.append(y)
-                    found.append(y)
+            able = waiting & (size <= most[x]) & (most >= size[x]) & (100 * size >= similarity * size[x]) & (100 * size[x] >= similarity * size)
+            if not able.any():
+                continue
+            met = np.concatenate([holders[begin[c] : begin[c + 1]] for c in codes[x].tolist()])
+            matches = np.bincount(met[able[met]], minlength=len(ids))
+            near = np.flatnonzero(able & (matches >= np.minimum(asked[x], asked)))
+            if len(near):
+                both = overlaps(x, near)
+                near = near[100 * both >= similarity * (size[x] + size[near] - both)]
+                waiting[near] = False
+                stack += near.tolist()
+                found += near.tolist()
         for y in [seed, *found] if found else ():
             yield int(ids[y]), int(ids[seed])
 

@@ -99,3 +99,12 @@ def test_a_labelled_id_that_repeats_counts_once(spark):
     rows = [(i % 3, f"wort satz {i} text", "de") for i in range(300)] + [(9, "phrase words here", "en")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert set(language.train(docs, F.lit(True))["langs"]) == {"de", "en"}
+
+
+def test_template_like_sets_are_searched_without_reading_each_other(spark, monkeypatch):
+    """Sets of 20 shingles, 16 of them common to all: no links, and classes that cannot match read no postings."""
+    common = " ".join(f"muster{i}" for i in range(20))
+    rows = [(i, f"{common} {' '.join(f'eigen{i}_{k}' for k in range(4))}") for i in range(1500)]
+    rows += [(5000 + i, f"{common} {' '.join(f'paar{i // 2}_{k}' for k in range(3))} {i}") for i in range(300)]
+    got = jaccard.near_copies(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == cases.near_copies(rows)
