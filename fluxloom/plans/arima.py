@@ -84,13 +84,19 @@ def arima_rows(monthly: DataFrame, issues: DataFrame, least: int = 5) -> DataFra
     )
 
 
+#: Lags behind the terms after the drift: differences one to five and a season back, residuals one, two and a season back.
+LAGS = {f"{c}{k}": (c, k) for c, ks in (("w", (*range(1, MAX_AR + 1), SEASON)), ("e", (*range(1, MAX_MA + 1), SEASON))) for k in ks}
+
+
+def arima_samples(rows: DataFrame) -> DataFrame:
+    """Rows that have every lag, with a column per lag."""
+    w = Window.partitionBy(*FITS).orderBy("datetime")
+    return rows.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in LAGS.items()}).where(_present("w", *LAGS))
+
+
 def arima_orders(rows: DataFrame) -> DataFrame:
     """Chosen order and coefficients per fit, from rows that have every lag; ``n`` counts them."""
-    w = Window.partitionBy(*FITS).orderBy("datetime")
-    terms = [("w", i) for i in (*range(1, MAX_AR + 1), SEASON)] + [("e", i) for i in (*range(1, MAX_MA + 1), SEASON)]
-    names = [f"{c}{k}" for c, k in terms]
-    samples = rows.withColumns({n: F.lag(c, k).over(w) for n, (c, k) in zip(names, terms)}).where(_present("w", *names))
-    g = gram(samples, FITS, [F.col(n) for n in names], F.col("w"))
+    g = gram(arima_samples(rows), FITS, [F.col(n) for n in LAGS], F.col("w"))
     return solve_rows(g, FITS, choose_orders, ORDER_COLUMNS)
 
 

@@ -213,12 +213,14 @@ DRIVER_ROW = ("site_id", "datetime", "observation", "Temp_K", "SoilTemp_K")
     with_views(
         f"""SELECT m.site_id, m.datetime, {R('m.observation')} AS observation, {R('Temp_K')} AS Temp_K, {R('SoilTemp_K')} AS SoilTemp_K
             FROM all_monthly m JOIN past_drivers p USING (datetime)
-            WHERE Temp_K IS NOT NULL AND SoilTemp_K IS NOT NULL AND WindSpeed_ms IS NOT NULL""",
+            WHERE Temp_K IS NOT NULL AND SoilTemp_K IS NOT NULL AND WindSpeed_ms IS NOT NULL AND month(m.datetime) <> 2""",
         "all_monthly", "past_drivers",
     ),
 )
 def _(v):
-    joined = join_drivers(v.all_monthly, agg.past_driver_mean(v.drivers))
+    """One driver, not among those shown, is missing every February: those rows go."""
+    known = v.drivers.where((F.col("variable") != "WindSpeed_ms") | (F.month("datetime") != 2))
+    joined = join_drivers(v.all_monthly, agg.past_driver_mean(known))
     rows = cleaning.drop_incomplete(joined)
     return rows.select("site_id", "datetime", *[rounded(c).alias(c) for c in DRIVER_ROW[2:]])
 

@@ -311,6 +311,20 @@ def _(v):
     return shaped(runs.issue_forecast("ets", v.daily, None, v.backfill_issues, runs.REPLICATES))
 
 
+REP_TRAIN = {"train": (("rep_monthly",), "SELECT site_id, datetime, observation FROM rep_monthly WHERE datetime < DATE '2000-07-01'")}
+
+
+def replicate_model(model: str, sql: str):
+    @query(f"replicate_mode_{model}", sql)
+    def _(v):
+        """The same model on replicate-group series."""
+        return shaped(runs.issue_forecast(model, v.daily, v.drivers, v.issues, runs.REPLICATES))
+
+
+for _model in ("auto.arima", "prophet", "rEDM"):
+    replicate_model(_model, shape_sql(_model, "train_ok", **REP_TRAIN))
+
+
 ARIMA_ROWS = """(SELECT site_id, count(*) AS n FROM (
     SELECT *, list_aggregate([lag(w, 1) OVER s, lag(w, 2) OVER s, lag(w, 3) OVER s, lag(w, 4) OVER s, lag(w, 5) OVER s, lag(w, 12) OVER s,
                               lag(e, 1) OVER s, lag(e, 2) OVER s, lag(e, 12) OVER s], 'count') AS present FROM (
@@ -337,6 +351,17 @@ def _(v):
     )
 
 
+@query("arima_fit", with_views(f"SELECT site_id, n::DOUBLE AS n, TRUE AS normal_equations FROM {ARIMA_ROWS}", "train_complete"))
+def _(v):
+    """Residuals of the emitted coefficients, recomputed from the lagged rows, balance against every term of the order."""
+    rows = staged(arima.arima_rows(v.monthly, v.issues), "arima")
+    fits = arima.arima_orders(rows).where(F.col("p").isNotNull())
+    limits = [*[("p", i) for i in range(1, 6)], ("sp", 1), ("q", 1), ("q", 2), ("sq", 1)]
+    terms = F.array(*[F.when(F.col(c) >= k, F.col(name)).otherwise(0.0) for name, (c, k) in zip(arima.LAGS, limits)])
+    samples = arima.arima_samples(rows).join(fits.select(*common.FITS, "n", "coef", "p", "q", "sp", "sq"), list(common.FITS))
+    return balanced(samples, terms, F.col("w"), F.col("coef"), ["site_id", "n"])
+
+
 @query(
     "arima_coefficients",
     with_views(
@@ -623,6 +648,7 @@ for _name, _model in (
     ("fc_bayes_net", "brnn"),
 ):
     supplier_model(f"{_name}_suppliers", _model)
+    replicate_model(_model, member_sql(_model, **REP_TRAIN))
 
 
 @query("forest_out_of_bag", tree_rows("better_than_mean"))
