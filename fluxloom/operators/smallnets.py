@@ -13,7 +13,7 @@ import numpy as np
 
 #: Steps at most, and relative change of the objective and the prior at which a fit rests: of the net that is kept, and of
 #: those that only compare numbers of units.
-KEPT, COMPARED = (200, 1e-10, 1e-6), (60, 1e-4, 1e-2)
+KEPT, COMPARED = (200, 1e-10, 1e-6), (40, 1e-3, 0.1)
 #: Fits times rows that are held at once.
 ROWS = 1 << 17
 
