@@ -93,20 +93,44 @@ def _once(name: str, column: Column) -> Column:
     return F.explode(F.array(column)).alias(name)
 
 
-def _best_run(ordered: Column, at: Column, t: Column, low: float) -> Column:
-    """The largest coefficient of a run of bigrams that begins and ends at one of the places ``at``; null if there is none."""
+def _by_gram(ordered: Column) -> Column:
+    """(bigram, place) in order of bigrams, then places from 1 on."""
+    return F.array_sort(F.transform(ordered, lambda g, i: F.struct(g.alias("gram"), (i + 1).alias("place"))))
+
+
+def _marked(by_gram: Column, own: Column) -> Column:
+    """Per place of a text: where its bigram stood last before (0 if nowhere), and whether it is one of ``own``."""
+    nothing = F.struct(F.lit("").alias("gram"), F.lit(0).alias("place"))
+    mark = lambda a, b: F.struct(
+        a["place"].alias("place"),
+        F.when(a["gram"] == b["gram"], b["place"]).otherwise(0).alias("before"),
+        F.array_contains(own, a["gram"]).alias("hit"),
+    )
+    both = F.zip_with(by_gram, F.concat(F.array(nothing), by_gram), mark)
+    return F.array_sort(F.slice(both, 1, F.size(by_gram)))
+
+
+def _best_run(marked: Column, at: Column, t: Column, low: float) -> Column:
+    """The largest coefficient of a run of bigrams that begins and ends at one of the places ``at``; null if there is none.
+
+    A run from i has one distinct bigram more at each place whose bigram stood last before i, so one pass over the
+    places from i on counts both sets of all runs from there.
+    """
     least = F.ceil(t["size"] * low).cast("int")
+    start = F.struct(F.lit(0).alias("own"), F.lit(0).alias("common"), F.lit(None).cast("double").alias("best"))
 
-    def dice(i: Column, j: Column) -> Column:
-        run = F.slice(ordered, i, j - i + 1)
-        return 2.0 * F.size(F.array_intersect(run, t["bigrams"])) / (F.size(F.array_distinct(run)) + t["size"])
+    def from_place(i: Column) -> Column:
+        def longer(run: Column, m: Column) -> Column:
+            own = run["own"] + F.when(m["before"] < i, 1).otherwise(0)
+            common = run["common"] + F.when((m["before"] < i) & m["hit"], 1).otherwise(0)
+            best = F.when(m["hit"], F.greatest(run["best"], 2.0 * common / (own + t["size"]))).otherwise(run["best"])
+            return F.struct(own.alias("own"), common.alias("common"), best.alias("best"))
 
-    def from_place(i: Column, k: Column) -> Column:
-        # Each place is one bigram more, so ends before the least-th place are too near and beyond the most-th too far.
-        ends = F.filter(F.slice(at, k + least, t["most"]), lambda j: j - i < t["most"])
-        return F.array_max(F.transform(ends, lambda j: dice(i, j)))
+        return F.aggregate(F.slice(marked, i, t["most"]), start, longer, lambda run: run["best"])
 
-    return F.array_max(F.transform(at, from_place))
+    # A run that scores holds the least common part, so places that so many others do not follow near enough are out.
+    begins = F.filter(at, lambda i, k: F.get(at, k + least - 1) - i < t["most"])
+    return F.array_max(F.transform(begins, from_place))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -114,7 +138,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     sets = {name: template_bigrams(text) for name, text in (templates or TEMPLATES).items()}
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     sizes = [len(s) for s in sets.values()]
-    most = {name: int(high * (len(normalised_words(text)) - 1)) for name, text in (templates or TEMPLATES).items()}
+    most = {name: longest_run(text, threshold) for name, text in (templates or TEMPLATES).items()}
     known = F.array(
         *[
             F.struct(
@@ -146,12 +170,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     compared = met.select("doc_id", "words", "grams", F.explode(kinds).alias("u")).select("doc_id", "words", "grams", "u.inside", "u.t")
     none = F.array().cast("array<string>")
     ordered = compared.select("doc_id", "grams", "inside", "t", _once("ordered", F.when(F.col("inside"), pairs(F.col("words"))).otherwise(none)))
-    places = F.filter(
-        F.transform("ordered", lambda g, i: F.when(F.array_contains(F.col("t.bigrams"), g), i + 1)), lambda i: i.isNotNull()
-    )
-    placed = ordered.select("doc_id", "grams", "inside", "t", "ordered", _once("at", places))
+    sorted_ = ordered.select("doc_id", "grams", "inside", "t", _once("by_gram", _by_gram(F.col("ordered"))))
+    marked = sorted_.select("doc_id", "grams", "inside", "t", _once("marked", _marked(F.col("by_gram"), F.col("t.bigrams"))))
+    places = F.transform(F.filter("marked", lambda m: m["hit"]), lambda m: m["place"])
+    placed = marked.select("doc_id", "grams", "inside", "t", "marked", _once("at", places))
     common = F.size(F.array_intersect(F.col("grams"), F.col("t.bigrams")))
-    dice = F.when(F.col("inside"), _best_run(F.col("ordered"), F.col("at"), F.col("t"), low)).otherwise(
+    dice = F.when(F.col("inside"), _best_run(F.col("marked"), F.col("at"), F.col("t"), low)).otherwise(
         2.0 * common / (F.size("grams") + F.col("t.size"))
     )
     scored = placed.select("doc_id", F.col("t.licence").alias("licence"), "inside", dice.alias("dice")).where(F.col("dice") >= threshold)
@@ -161,19 +185,47 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
     )
 
 
+def longest_run(text: str, threshold: float) -> int:
+    """Bigrams of the longest run of words that is compared with a template."""
+    return int((2 - threshold) / threshold * (len(normalised_words(text)) - 1))
+
+
 def licence_sql(threshold: float = THRESHOLD) -> str:
     rows = ", ".join(
-        "('{}', [{}])".format(name, ", ".join(f"'{g}'" for g in template_bigrams(text))) for name, text in TEMPLATES.items()
+        "('{}', {}, [{}])".format(name, longest_run(text, threshold), ", ".join(f"'{g}'" for g in template_bigrams(text)))
+        for name, text in TEMPLATES.items()
     )
     return rf"""
-WITH templates AS (SELECT * FROM (VALUES {rows}) v(licence, own)),
+WITH templates AS (SELECT * FROM (VALUES {rows}) v(licence, most, own)),
 units AS (SELECT DISTINCT doc_id, unit FROM (
   SELECT doc_id, unnest(list_distinct(list_concat([text], string_split(text, chr(10))))) AS unit FROM documents)),
 words AS (
   SELECT doc_id, unit, string_split(trim(regexp_replace(translate(unit, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+', ' ', 'g')), ' ') AS w
   FROM units),
-grams AS (SELECT doc_id, unit, list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) AS g FROM words),
+pairs AS (SELECT doc_id, unit, [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] AS pairs FROM words),
+grams AS (SELECT doc_id, unit, list_distinct(pairs) AS g FROM pairs),
 scored AS (
-  SELECT doc_id, licence, 2e0 * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM grams, templates WHERE len(g) > 0)
-SELECT doc_id, licence, max(dice) AS dice, count(*) AS units FROM scored WHERE dice >= {threshold:e} GROUP BY ALL
+  SELECT doc_id, licence, 2e0 * len(list_intersect(g, own)) / (len(g) + len(own)) AS dice FROM grams, templates WHERE len(g) > 0),
+texts AS (
+  SELECT row_number() OVER () AS r, p.doc_id, pairs
+  FROM pairs p JOIN (SELECT DISTINCT doc_id, text FROM documents) d ON d.doc_id IS NOT DISTINCT FROM p.doc_id AND d.text = p.unit),
+spread AS (SELECT r, doc_id, unnest(range(1, len(pairs) + 1)) AS place, unnest(pairs) AS gram FROM texts),
+places AS (SELECT *, coalesce(lag(place) OVER (PARTITION BY r, gram ORDER BY place), 0) AS before FROM spread),
+single AS (SELECT licence, most, len(own) AS size, unnest(own) AS gram FROM templates),
+hits AS (SELECT r, place, licence, most, size, gram FROM places JOIN single USING (gram)),
+wanted AS (
+  SELECT r, licence FROM hits GROUP BY r, licence, size
+  HAVING count(DISTINCT gram) >= size * {threshold / (2 - threshold):e}),
+starts AS (SELECT r, licence, most, size, place AS i FROM hits JOIN wanted USING (r, licence)),
+runs AS (
+  SELECT p.doc_id, s.licence, s.size, h.r IS NOT NULL AS hit,
+    sum((p.before < s.i)::INT) OVER w AS own, sum((p.before < s.i AND h.r IS NOT NULL)::INT) OVER w AS common
+  FROM starts s JOIN places p ON p.r = s.r AND p.place BETWEEN s.i AND s.i + s.most - 1
+  LEFT JOIN hits h ON h.r = p.r AND h.place = p.place AND h.licence = s.licence
+  WINDOW w AS (PARTITION BY s.r, s.licence, s.i ORDER BY p.place ROWS UNBOUNDED PRECEDING)),
+found AS (
+  SELECT doc_id, licence, dice AS unit, dice FROM scored
+  UNION ALL SELECT doc_id, licence, NULL, 2e0 * common / (own + size) FROM runs WHERE hit)
+SELECT doc_id, licence, coalesce(max(unit), max(dice)) AS dice, greatest(count(unit), 1) AS units
+FROM found WHERE dice >= {threshold:e} GROUP BY ALL
 """

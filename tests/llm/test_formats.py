@@ -1,7 +1,9 @@
 """Preferences, licences, the pipeline, and every query with SQL against its SQL."""
 
+import random
 import textwrap
 
+import duckdb
 import pytest
 
 import __spark_entry__ as entry
@@ -97,6 +99,56 @@ def test_wrapped_licences_in_longer_texts(spark):
         assert (200 + i, name) not in got
 
 
+def runs_by_brute_force(text: str, threshold: float = licences.THRESHOLD) -> dict[str, float]:
+    """Best coefficient of any run of words, of every begin and end, per licence that some run matches."""
+    words = licences.normalised_words(text)
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    out = {}
+    for name, template in licences.TEMPLATES.items():
+        own, best = set(licences.template_bigrams(template)), 0.0
+        for i in range(len(grams)):
+            for j in range(i, min(len(grams), i + licences.longest_run(template, threshold))):
+                run = set(grams[i : j + 1])
+                best = max(best, 2.0 * len(run & own) / (len(run) + len(own)))
+        if best >= threshold:
+            out[name] = best
+    return out
+
+
+def test_runs_of_words_by_brute_force_and_sql(spark, tmp_path):
+    draw = random.Random(5)
+    rows = []
+    for i, name in enumerate([*licences.TEMPLATES, "BSD (grant)", "ISC"]):
+        words = licences.TEMPLATES[name].split()
+        for _ in range(draw.randrange(0, max(2, len(words) // 12))):
+            at = draw.randrange(len(words))
+            words[at : at + 1] = draw.choice([[], ["inserted", words[at]], [words[at]] * 2, words[:3], ["other"]])
+        around = [" ".join(draw.choice(["the", "software", "is", "License", "permission", "notice"]) for _ in range(25)) for _ in range(2)]
+        rows.append((i, f"{around[0]} {' '.join(words[: len(words) // 2])}\n{' '.join(words[len(words) // 2 :])} {around[1]}"))
+    rows += [(90, None), (91, ""), (92, "MIT\nLicense"), (93, rows[3][1]), (93, rows[5][1]), (None, rows[7][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {(r.doc_id, r.licence): r.dice for r in licences.scan(docs).collect()}
+    least = {}
+    for doc_id, text in rows:
+        for name, dice in runs_by_brute_force(text or "").items():
+            least[doc_id, name] = max(dice, least.get((doc_id, name), 0.0))
+    # A licence that a whole text or line matches has that unit's coefficient, which a run may exceed.
+    assert set(got) == set(least) and len(got) > 10
+    assert sum(got[k] == v for k, v in least.items()) > 8 and all(got[k] <= v for k, v in least.items())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS FROM '{tmp_path}/documents.parquet/*.parquet'")
+    problem, n = difference(licences.scan(docs), con, licences.licence_sql())
+    assert problem is None and n == len(got), problem
+
+
+def test_a_long_text_of_notices(spark):
+    head = "\n".join(textwrap.wrap(licences.TEMPLATES["MIT"], 60))
+    code = "\n".join(f"value{i} = compute(value{i - 1}, {i})" for i in range(300))
+    docs = spark.createDataFrame([(1, f"{head}\n" * 60 + code)], "doc_id long, text string")
+    assert {r.licence: r.dice for r in licences.scan(docs).collect()} == {"MIT": 1.0}
+
+
 def test_stages_keep_the_columns(spark):
     docs = cases.edge_docs(spark).select("doc_id", "text", "lang", "source", "n_chars")
     names = [name for name, _ in corpus_pipeline.STAGES]
