@@ -19,6 +19,10 @@ from fluxloom.llm.components import components
 BLOCK = 2048
 #: Queries scanned against a block at once.
 QUERY_BLOCK = 256
+#: One block in so many is scanned first, for the bounds that the whole scan starts from.
+FIRST_BLOCKS = 4
+#: Blocks of queries whose best bounds a task remembers; beyond them it starts again from the bounds of the first scan.
+REMEMBERED = 4096
 #: Scaled components from here on are refused: they, or cells around them, might not fit a long.
 LARGEST = float(1 << 62)
 
@@ -74,8 +78,9 @@ def top_k(
     """The k highest integer inner products of each query row with all other rows: (query_id, rank, vec_id, score).
 
     1. Approximations: blocks of one-byte cells, read without the exact vectors. Every block of queries
-       meets every block of cells, and a cell's two ends bound the score from both sides. A pair is kept
-       when its upper bound reaches the k-th best lower bound of its block, then of all blocks.
+       meets every block of cells, and a cell's two ends bound the score from both sides. A first scan of one
+       block in FIRST_BLOCKS gives each query a k-th best lower bound to start from, which a task raises as it
+       goes. A pair is kept when its upper bound reaches that, then the k-th best lower bound of all blocks.
     2. Exact vectors in order of the bound: those of the k best bounds first, which gives the score to
        beat, then all whose bound still reaches it. The k-th result is then certain.
 
@@ -97,45 +102,82 @@ def top_k(
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in _blocks(batches, QUERY_BLOCK):
-            fields = [block.column(0).to_numpy().astype("<i8").tobytes(), _matrix(block.column(1), width).tobytes()]
-            yield pa.RecordBatch.from_arrays([pa.array([f], pa.binary()) for f in fields], names=["query_ids", "queries"])
+            need = block.column(2).to_numpy(zero_copy_only=False).astype(float)
+            fields = [block.column(0).to_numpy().astype("<i8").tobytes(), _matrix(block.column(1), width).tobytes(), need.tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array([f], pa.binary()) for f in fields], names=["query_ids", "queries", "need"])
 
     asked = ready.where("is_query").select("vec_id", "v")
-    queries = asked.repartition(-(-asked.count() // QUERY_BLOCK) or 1).mapInArrow(pack, "query_ids binary, queries binary")
-    queries = queries.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    query_blocks = -(-asked.count() // QUERY_BLOCK) or 1
+
+    def packed(needs: DataFrame) -> DataFrame:
+        out = needs.select("vec_id", "v", "need").repartition(query_blocks).mapInArrow(pack, "query_ids binary, queries binary, need binary")
+        return out.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+
     cells = staged(approximation_file(rows, width), "cells").withColumn(
         "lane", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")
     )
 
+    def scored(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of queries and of vectors, and the two bounds of each pair; a query's own lower bound is minus infinity."""
+        ids = np.frombuffer(row["ids"], "<i8")
+        query_ids = np.frombuffer(row["query_ids"], "<i8")
+        q = np.frombuffer(row["queries"], np.int64).reshape(-1, width)
+        low, step = np.frombuffer(row["low"], np.int64), np.frombuffer(row["step"], np.int64)
+        at = np.frombuffer(row["codes"], np.uint8).reshape(-1, width) * step + low
+        # Score at the cells' lower ends, and what their width can add or take away. Sums below
+        # 2^52 are exact in doubles; beyond, the slack covers their rounding.
+        base = q.astype(float) @ at.T.astype(float)
+        most = float(np.abs(q).max()) * (float(np.abs(at).max()) + float(step.max())) * width
+        slack = 0.0 if most < 2.0**52 else most * 2.0**-45
+        room = (step - 1).astype(float)
+        lower = base + (np.minimum(q, 0).astype(float) @ room)[:, None] - slack
+        upper = base + (np.maximum(q, 0).astype(float) @ room)[:, None] + slack
+        lower[query_ids[:, None] == ids] = -np.inf
+        return query_ids, ids, lower, upper
+
+    def raised(best: np.ndarray, lower: np.ndarray) -> np.ndarray:
+        """The k highest bounds of each query, its lowest first, after those of another block."""
+        return np.partition(np.concatenate([best, lower], axis=1), best.shape[1] + lower.shape[1] - k, axis=1)[:, -k:]
+
+    def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                query_ids, _, lower, _ = scored(row)
+                best = raised(np.full((len(query_ids), k), -np.inf), lower)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(query_ids), pa.array(list(best), pa.list_(pa.float64()))], names=["query_id", "best"]
+                )
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.frombuffer(row["ids"], "<i8")
-                query_ids = np.frombuffer(row["query_ids"], "<i8")
-                q = np.frombuffer(row["queries"], np.int64).reshape(-1, width)
-                low, step = np.frombuffer(row["low"], np.int64), np.frombuffer(row["step"], np.int64)
-                at = np.frombuffer(row["codes"], np.uint8).reshape(-1, width) * step + low
-                # Score at the cells' lower ends, and what their width can add or take away. Sums below
-                # 2^52 are exact in doubles; beyond, the slack covers their rounding.
-                base = q.astype(float) @ at.T.astype(float)
-                most = float(np.abs(q).max()) * (float(np.abs(at).max()) + float(step.max())) * width
-                slack = 0.0 if most < 2.0**52 else most * 2.0**-45
-                room = (step - 1).astype(float)
-                lower = base + (np.minimum(q, 0).astype(float) @ room)[:, None] - slack
-                upper = base + (np.maximum(q, 0).astype(float) @ room)[:, None] + slack
-                lower[query_ids[:, None] == ids] = -np.inf
-                need = np.full(len(q), -np.inf) if len(ids) <= k else np.partition(lower, len(ids) - k, axis=1)[:, len(ids) - k]
-                hit = (upper >= need[:, None]) & (query_ids[:, None] != ids)
-                i, j = np.nonzero(hit)
+                query_ids, ids, lower, upper = scored(row)
+                best = held.pop(row["query_ids"], None)
+                best = raised(np.full((len(query_ids), k), -np.inf) if best is None else best, lower)
+                if len(held) >= REMEMBERED:
+                    del held[next(iter(held))]
+                held[row["query_ids"]] = best
+                need = np.maximum(best.min(axis=1), np.frombuffer(row["need"], float))
+                i, j = np.nonzero((upper >= need[:, None]) & (query_ids[:, None] != ids))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(query_ids[i]), pa.array(ids[j]), pa.array(lower[i, j]), pa.array(upper[i, j])],
                     names=["query_id", "vec_id", "lower", "upper"],
                 )
 
-    bounds = "query_id long, vec_id long, lower double, upper double"
-    found = staged(cells.join(queries, "lane").drop("lane").mapInArrow(scan, bounds), "bounds")
+    # k bounds per query and block of the first scan; the limit on ranks cuts them per lane before they are shuffled.
+    open_ = asked.withColumn("need", F.lit(float("-inf")))
+    some = cells.where(F.pmod(F.xxhash64("ids", F.lit(1)), F.lit(FIRST_BLOCKS)) == 0)
+    lists = some.join(packed(open_), "lane").drop("lane").mapInArrow(first_scan, "query_id long, best array<double>")
     of_query = Window.partitionBy("query_id")
     best = lambda *order: F.row_number().over(of_query.orderBy(*order))
+    start = lists.select("query_id", F.explode("best").alias("bound")).withColumn("nth", best(F.desc("bound"))).where(F.col("nth") <= k)
+    start = start.groupBy("query_id").agg(F.min("bound").alias("need"))
+    needs = asked.join(start.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").fillna(float("-inf"), ["need"])
+    queries = packed(staged(needs, "needs"))
+
+    bounds = "query_id long, vec_id long, lower double, upper double"
+    found = staged(cells.join(queries, "lane").drop("lane").mapInArrow(scan, bounds), "bounds")
     kth_lower = (
         found.withColumn("nth", best(F.desc("lower"))).where(F.col("nth") <= k).groupBy("query_id").agg(F.min("lower").alias("need"), F.count("*").alias("n"))
     )
@@ -147,13 +189,8 @@ def top_k(
     read = lambda pairs: pairs.join(exact, "vec_id").join(asked, "query_id").select("query_id", "vec_id", product.alias("score"))
     first = staged(read(candidates.withColumn("nth", best(F.desc("upper"), "vec_id")).where(F.col("nth") <= k)), "scores")
     beat = first.groupBy("query_id").agg(F.min("score").alias("beat"), F.count("*").alias("n"))
-    rest = (
-        candidates.withColumn("nth", best(F.desc("upper"), "vec_id"))
-        .where(F.col("nth") > k)
-        .join(beat, "query_id")
-        .where("upper >= beat")
-        .select("query_id", "vec_id")
-    )
+    done = first.select("query_id", "vec_id")
+    rest = candidates.join(beat, "query_id").where("upper >= beat").join(done, ["query_id", "vec_id"], "left_anti").select("query_id", "vec_id")
     return (
         first.union(read(rest))
         .withColumn("rank", best(F.desc("score"), "vec_id"))

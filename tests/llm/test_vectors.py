@@ -25,8 +25,12 @@ def awkward():
     ]
 
 
-def test_top_k_is_exact(spark, monkeypatch):
+@pytest.mark.parametrize("remembered, first_blocks", [(4096, 4), (1, 1), (1, 1000)])
+def test_top_k_is_exact(spark, monkeypatch, remembered, first_blocks):
     monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    monkeypatch.setattr(vectors, "REMEMBERED", remembered)
+    monkeypatch.setattr(vectors, "FIRST_BLOCKS", first_blocks)
     rows = awkward()
     got = vectors.top_k(table(spark, rows), F.col("vec_id") % 100 == 0).collect()
     known = [(i, [math.floor(1024 * float(np.float32(x))) for x in v]) for i, v in rows if i is not None and v is not None and None not in v and all(map(math.isfinite, v))]
