@@ -16,6 +16,8 @@ import numpy as np
 KEPT, COMPARED = (200, 1e-10, 1e-6), (40, 1e-3, 0.1)
 #: Fits times rows that are held at once.
 ROWS = 1 << 17
+#: Nets that take steps together.
+HELD = 256
 
 
 def outputs(theta: np.ndarray, x: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
@@ -28,45 +30,84 @@ def outputs(theta: np.ndarray, x: np.ndarray, units: int) -> tuple[np.ndarray, n
     return np.einsum("mnu,mu->mn", h, t[:, :, 0]), slopes.reshape(m, n, -1)
 
 
+def _hidden(theta: np.ndarray, z: np.ndarray, y: np.ndarray, units: int) -> tuple[np.ndarray, np.ndarray]:
+    """Units' outputs (m, units, n) and errors (m, n) on inputs (m, 1 + p, n) that begin with a one; a column of zeros counts for nothing."""
+    t = theta.reshape(len(theta), units, z.shape[1] + 1)
+    h = np.tanh(t[:, :, 1:] @ z)
+    return h, y - (t[:, None, :, 0] @ h)[:, 0]
+
+
+def _products(theta: np.ndarray, z: np.ndarray, h: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Products of the slopes among each other (m, P, P) and with the errors (m, P)."""
+    m, units, n = h.shape
+    width = z.shape[1] + 1
+    w = theta.reshape(m, units, width)[:, :, :1]
+    slopes = np.empty((m, units, width, n))
+    slopes[:, :, 0] = h
+    np.multiply((w * (1 - h * h))[:, :, None], z[:, None], out=slopes[:, :, 1:])
+    j = slopes.reshape(m, units * width, n)
+    return j @ j.transpose(0, 2, 1), (j @ e[:, :, None])[..., 0]
+
+
 def fit_nets(x: np.ndarray, y: np.ndarray, used: np.ndarray, units: int, seeds: Sequence[int], until: tuple = KEPT) -> np.ndarray:
-    """Parameters of each fit of a stack (m, n, p); rows with ``used`` false do not count."""
-    m, n, p = x.shape
-    size = units * (p + 2)
-    theta = np.stack([np.random.default_rng(s & (2**63 - 1)).normal(scale=0.5, size=size) for s in seeds]) if m else np.zeros((0, size))
-    rows = used.sum(axis=1)
-    prior, noise, damping = np.full(m, 0.01), np.ones(m), np.full(m, 0.005)
-    moving, eye = np.arange(m), np.eye(size)
+    """Parameters of each fit of a stack (m, n, p); rows with ``used`` false do not count.
+
+    Fits go through in parts of ``HELD``, whose slopes stay in the processor's cache.
+    """
+    size = units * (x.shape[2] + 2)
+    theta = np.zeros((len(x), size))
+    for start in range(0, len(x), HELD):
+        at = slice(start, start + HELD)
+        first = np.stack([np.random.default_rng(s & (2**63 - 1)).normal(scale=0.5, size=size) for s in seeds[at]])
+        z = np.concatenate([used[at, :, None], x[at] * used[at, :, None]], axis=2).transpose(0, 2, 1)
+        theta[at] = _fit_part(first, np.ascontiguousarray(z), y[at] * used[at], used[at].sum(axis=1), units, until)
+    return theta
 
-    def errors(at, params):
-        f, j = outputs(params, x[at], units)
-        return np.where(used[at], y[at] - f, 0.0), j * used[at][:, :, None]
 
+def _fit_part(theta: np.ndarray, z: np.ndarray, y: np.ndarray, rows: np.ndarray, units: int, until: tuple) -> np.ndarray:
+    """Steps from ``theta`` until each fit rests. Slopes are taken once a step, and only where the last trial was better."""
+    m, size = theta.shape
+    out, place, diagonal = theta.copy(), np.arange(m), np.arange(size)
+    prior, noise, damping = np.full(m, 0.01), np.ones(m), np.full(m, 0.005)
+    h, e = _hidden(theta, z, y, units)
+    (curve, slope), square = _products(theta, z, h, e), (e * e).sum(1)
     steps, least, steady = until
     for _ in range(steps):
-        if not len(moving):
-            break
-        at = moving
-        e, j = errors(at, theta[at])
-        a, b = prior[at], noise[at]
-        before = b * (e * e).sum(1) + a * (theta[at] ** 2).sum(1)
-        curve = b[:, None, None] * np.einsum("mni,mnk->mik", j, j)
-        slope = b[:, None] * np.einsum("mni,mn->mi", j, e) - a[:, None] * theta[at]
-        step = np.linalg.solve(curve + (a + damping[at])[:, None, None] * eye, slope[..., None])[..., 0]
-        new = theta[at] + step
-        e_new, _ = errors(at, new)
-        after = b * (e_new * e_new).sum(1) + a * (new**2).sum(1)
+        a, b = prior, noise
+        before = b * square + a * (theta**2).sum(1)
+        damped = b[:, None, None] * curve
+        damped[:, diagonal, diagonal] += (a + damping)[:, None]
+        step = np.linalg.solve(damped, (b[:, None] * slope - a[:, None] * theta)[..., None])[..., 0]
+        new = theta + step
+        h, e = _hidden(new, z, y, units)
+        new_square, new_size = (e * e).sum(1), (new**2).sum(1)
+        after = b * new_square + a * new_size
         better = after < before
-        damping[at] = np.where(better, np.maximum(damping[at] / 10, 1e-12), damping[at] * 10)
-        theta[at[better]] = new[better]
-        known = size - a * np.trace(np.linalg.inv(curve + a[:, None, None] * eye), axis1=1, axis2=2)
+        at = np.flatnonzero(better)
+        damping = np.where(better, np.maximum(damping / 10, 1e-12), damping * 10)
+        held = b[at, None, None] * curve[at]
+        held[:, diagonal, diagonal] += a[at, None]
+        known = size - a[at] * np.trace(np.linalg.inv(held), axis1=1, axis2=2)
         known = np.clip(known, 1e-6, np.maximum(rows[at] - 1e-3, 1e-3))
-        new_prior = known / np.maximum(2 * (theta[at] ** 2).sum(1), 1e-12)
-        kept = np.where(better[:, None], e_new, e)
-        new_noise = (rows[at] - known) / np.maximum(2 * (kept * kept).sum(1), 1e-12)
-        prior[at], noise[at] = np.where(better, new_prior, a), np.where(better, new_noise, b)
-        rest = (better & (before - after <= least * before) & (np.abs(new_prior - a) <= steady * a)) | (damping[at] > 1e10)
-        moving = at[~rest]
-    return theta
+        prior, noise = a.copy(), b.copy()
+        prior[at] = known / np.maximum(2 * new_size[at], 1e-12)
+        noise[at] = (rows[at] - known) / np.maximum(2 * new_square[at], 1e-12)
+        rest = (better & (before - after <= least * before) & (np.abs(prior - a) <= steady * a)) | (damping > 1e10)
+        theta = np.where(better[:, None], new, theta)
+        out[place[rest]] = theta[rest]
+        go = np.flatnonzero(~rest)
+        if not len(go):
+            return out
+        # Slopes at the new place, of those that moved and go on.
+        moved = np.flatnonzero(better & ~rest)
+        curve[moved], slope[moved] = _products(theta[moved], z[moved], h[moved], e[moved])
+        square[moved] = new_square[moved]
+        if len(go) < len(rest):
+            place, theta, z, y, rows, prior, noise, damping, curve, slope, square = (
+                v[go] for v in (place, theta, z, y, rows, prior, noise, damping, curve, slope, square)
+            )
+    out[place] = theta
+    return out
 
 
 def _scaled(ys: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
