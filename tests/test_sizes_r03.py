@@ -1,8 +1,15 @@
 """Work of a fit that grows with the number of series, counted, and results against a plain form."""
 
 import numpy as np
+from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from fluxloom.operators import smallnets
+from fluxloom.operators.aggregates import DRIVER_VARIABLES
+from fluxloom.plans.driver_models import complete_rows
+from tests.helpers import month, monthly, rows
+
+SF = "/root/testdata/sf0.001"
 
 
 def net_stack(m: int, n: int = 40):
@@ -42,3 +49,23 @@ def test_a_net_does_not_depend_on_its_stack():
         alone = smallnets.fit_nets(x[i : i + 1, used[i]], y[i : i + 1, used[i]], used[i : i + 1, used[i]], 2, [i])
         a, b = (smallnets.outputs(t[None], x[i][None], 2)[0][0] for t in (stack[i], alone[0]))
         assert np.abs(a - b).max() < 1e-6
+
+
+def test_incomplete_rows_query_keeps_every_month(spark):
+    months = {r.datetime.month for r in entry.queries()["drop_incomplete"](spark, SF).select("datetime").distinct().collect()}
+    assert months == set(range(1, 13))
+
+
+def test_a_missing_driver_drops_its_month(spark):
+    """Of three months, the second lacks one driver in every member: only its row goes."""
+    series = monthly(spark, {"a": [1.0, 2.0, 3.0]})
+    cells = [
+        (month(i), month(i), 1, "m", name, 1.0)
+        for i in range(3)
+        for name in DRIVER_VARIABLES
+        if not (i == 1 and name == "WindSpeed_ms")
+    ]
+    drivers = spark.createDataFrame(cells, "reference_datetime date, datetime date, parameter int, model_id string, variable string, prediction double")
+    drivers = drivers.withColumn("horizon", F.lit(1))
+    kept = rows(complete_rows(series, drivers), "datetime")
+    assert kept == [(month(0),), (month(2),)]
