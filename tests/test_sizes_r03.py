@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from fluxloom.operators import smallnets
 from fluxloom.operators.aggregates import DRIVER_VARIABLES
+from fluxloom.operators.joins import full_calendar_join
 from fluxloom.plans.driver_models import complete_rows
 from tests.helpers import month, monthly, rows
+from workload.views import Views
 
 SF = "/root/testdata/sf0.001"
 
@@ -69,3 +71,18 @@ def test_a_missing_driver_drops_its_month(spark):
     drivers = drivers.withColumn("horizon", F.lit(1))
     kept = rows(complete_rows(series, drivers), "datetime")
     assert kept == [(month(0),), (month(2),)]
+
+
+def test_calendar_query_uses_all_years(spark):
+    """A month of a site has statistics if any year of the training series has that month."""
+    train = Views(spark, SF).until_issue().where("observation IS NOT NULL")
+    known = rows(train.select("site_id", F.month("datetime").alias("month")).distinct(), "site_id", "month")
+    found = entry.queries()["full_calendar_join"](spark, SF).where("clim_mean IS NOT NULL")
+    assert known and rows(found, "site_id", "month") == known
+
+
+def test_calendar_join_adds_the_months_that_are_missing(spark):
+    known = spark.createDataFrame([("a", 1, 5.0), ("a", 3, 7.0)], "site_id string, month int, clim_mean double")
+    months = spark.createDataFrame([("a", k) for k in (1, 2, 3)], "site_id string, month int")
+    found = full_calendar_join(known, months).orderBy("month").collect()
+    assert [(r.month, r.clim_mean) for r in found] == [(1, 5.0), (2, None), (3, 7.0)]

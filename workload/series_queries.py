@@ -72,15 +72,12 @@ def _all_months(v):
     with_views(
         f"""SELECT site_id, month, {R('clim_mean')} AS clim_mean, {R('clim_sd')} AS clim_sd FROM
               (SELECT site_id, unnest(range(1, 13))::INTEGER AS month FROM (SELECT DISTINCT site_id FROM train)) a
-              LEFT JOIN (SELECT site_id, month(datetime)::INTEGER AS month, avg(observation) AS clim_mean, stddev_samp(observation) AS clim_sd
-                         FROM train WHERE datetime >= DATE '1999-12-01' GROUP BY ALL) b USING (site_id, month)""",
+              LEFT JOIN ({CLIM_SQL}) b USING (site_id, month)""",
         "train",
     ),
 )
 def _(v):
-    """Statistics of the last seven months only: the other months of the calendar come from the join, without values."""
-    late = agg.climatology_stats(v.until_issue().where(F.col("datetime") >= "1999-12-01"))
-    return rounds(joins.full_calendar_join(late, _all_months(v)), "clim_mean", "clim_sd")
+    return rounds(joins.full_calendar_join(_clim(v), _all_months(v)), "clim_mean", "clim_sd")
 
 
 @query(
