@@ -61,6 +61,29 @@ def member_arrays(drivers: DataFrame, issues: DataFrame) -> DataFrame:
     return months.groupBy("issue").agg(F.collect_list(F.struct("datetime", "members")).alias("future"))
 
 
+def flat_members(drivers: DataFrame, issues: DataFrame) -> DataFrame:
+    """One row per issue date: ``ahead`` with all members' predictors end to end (x) and each month's number of members (months)."""
+    future = member_arrays(drivers, issues)
+    sizes = F.transform("future", lambda m: F.size(m.members))
+    return future.select(
+        "issue",
+        F.struct(
+            F.flatten(F.flatten(F.transform("future", lambda m: F.transform(m.members, lambda q: q.x)))).alias("x"),
+            F.zip_with("future", sizes, lambda m, n: F.struct(m.datetime.alias("datetime"), n.alias("n"))).alias("months"),
+        ).alias("ahead"),
+    )
+
+
+def by_month(fits: DataFrame, flat: DataFrame) -> DataFrame:
+    """Predictions of all members end to end (``members``) as one row per month."""
+    months = fits.select(*FITS, "members", "residual_sd", "error", issue_lookup(flat, "ahead").months.alias("months"))
+    each = months.select(*FITS, "members", "residual_sd", "error", "months", F.posexplode("months").alias("k", "m"))
+    before = F.aggregate(F.slice("months", F.lit(1), F.col("k")), F.lit(0), lambda s, m: s + m.n)
+    return each.select(
+        *FITS, "residual_sd", "error", F.col("m.datetime").alias("datetime"), F.slice("members", before + 1, F.col("m.n")).alias("members")
+    )
+
+
 def apply_to_members(fits: DataFrame, future: DataFrame, predict: Callable[[Column], Column]) -> DataFrame:
     """The same fit over every member and lead month: FITS, datetime, ``members`` (predictions)."""
     rows = fits.withColumn("_f", F.explode(issue_lookup(future, "future")))
@@ -214,75 +237,99 @@ KERNEL_FEATURES = 64
 
 def interactions(x: Column) -> Column:
     """All products of one to five drivers: 31 columns."""
+    return F.array(*[prod((F.get(x, F.lit(i)) for i in s), start=F.lit(1.0)) for s in driver_sets()])
+
+
+def driver_sets() -> list[tuple[int, ...]]:
+    """Places of the drivers in each product of one to five of them."""
     n = len(PREDICTORS)
-    sets = [s for r in range(1, n + 1) for s in combinations(range(n), r)]
-    return F.array(*[prod((F.get(x, F.lit(i)) for i in s), start=F.lit(1.0)) for s in sets])
+    return [s for r in range(1, n + 1) for s in combinations(range(n), r)]
 
 
-def _weights(rows: int, columns: int, spread: float, seed: int) -> Column:
-    """Seeded normal weights with a uniform phase, as a constant."""
+def _weights(rows: int, columns: int, spread: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Seeded normal weights with a uniform phase."""
     rng = np.random.default_rng(seed)
-    w, phase = rng.normal(0, spread, (rows, columns)), rng.uniform(0, 2 * np.pi, rows)
-    return constant([{"w": [float(v) for v in w[i]], "b": float(phase[i])} for i in range(rows)])
+    return rng.normal(0, spread, (rows, columns)), rng.uniform(0, 2 * np.pi, rows)
 
 
 def fourier_features(x: Column, size: int = KERNEL_FEATURES, seed: int = SEED) -> Column:
     """Random Fourier features of a radial kernel of width one over the columns (Rahimi and Recht 2007)."""
     columns = 2 ** len(PREDICTORS) - 1
-    weights = _weights(size, columns, float(np.sqrt(2 / columns)), seed)
+    w, phase = _weights(size, columns, float(np.sqrt(2 / columns)), seed)
+    weights = constant([{"w": [float(v) for v in w[i]], "b": float(phase[i])} for i in range(size)])
     return F.transform(weights, lambda r: F.cos(dot(r.w, x) + r.b) * float(np.sqrt(2 / size)))
 
 
-def _feature_fit(monthly, drivers, issues, stages: Sequence[Callable], solver: Callable) -> DataFrame:
-    """Fits on features of the standardised drivers. A series is bounded, so its rows travel packed to one solve."""
-    rows = driver_training(monthly, drivers, issues)
-    samples = standardize(rows, FITS, PREDICTORS).withColumn("x", predictors())
-    for stage in stages:
-        samples = samples.withColumn("x", stage(F.col("x")))
-    packed = samples.groupBy(*FITS).agg(F.collect_list(F.struct("x", "observation")).alias("rows"))
-    packed = packed.select(*FITS, F.col("rows.x").alias("x"), F.col("rows.observation").alias("y"))
-    types = dict(packed.dtypes)
+def kernel_stages(features: int = KERNEL_FEATURES) -> tuple[Callable, ...]:
+    return interactions, lambda x: fourier_features(x, features)
 
-    def run(batches):
-        for pdf in batches:
-            designs = [np.column_stack([np.ones(len(y)), np.stack(list(x)), y]) for x, y in zip(pdf["x"], pdf["y"])]
-            yield pd.concat([pdf[list(FITS)].reset_index(drop=True), pd.DataFrame(fit_designs(designs, solver), dtype=object)], axis=1)
 
-    fits = packed.mapInPandas(run, ", ".join(f"`{k}` {types[k]}" for k in FITS) + ", " + FIT_COLUMNS)
-    return fits.join(_scales(rows), list(FITS))
+def kernel_rows(features: int = KERNEL_FEATURES, seed: int = SEED) -> Callable[[np.ndarray], np.ndarray]:
+    """``kernel_stages`` on rows of standardised drivers: one matrix product for all rows."""
+    columns = 2 ** len(PREDICTORS) - 1
+    w, phase = _weights(features, columns, float(np.sqrt(2 / columns)), seed)
+    sets = driver_sets()
 
+    def run(x: np.ndarray) -> np.ndarray:
+        products = np.stack([x[:, s].prod(axis=1) for s in sets], axis=1)
+        return np.cos(products @ w.T + phase) * np.sqrt(2 / features)
 
-def _each(stage: Callable[[Column], Column]) -> Column:
-    return F.transform("x", lambda member: stage(member))
+    return run
 
 
-def _feature_forecast(fits, drivers, issues, stages, model_id) -> DataFrame:
-    future = member_arrays(drivers, issues)
-    rows = fits.withColumn("_f", F.explode(issue_lookup(future, "future")))
-    x = F.transform("_f.members", lambda m: _scaled(m.x))
-    rows = rows.withColumn("x", x)
-    for stage in stages:
-        rows = rows.withColumn("x", _each(stage))
-    rows = rows.select(
-        *FITS, "residual_sd", *carried(rows, "error"), F.col("_f.datetime").alias("datetime"),
-        F.transform("x", lambda v: dot(F.col("coef"), with_intercept(v))).alias("members"),
-    )
-    return finish_forecast(ensemble_to_normal(rows), model_id)
+def scaled_rows(x: np.ndarray, centre: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Rows less their centre, by scale; a constant column becomes zero."""
+    return np.where(scale > 0, (x - centre) / np.where(scale > 0, scale, 1.0), 0.0)
 
 
-def kernel_stages(features: int = KERNEL_FEATURES) -> tuple[Callable, ...]:
-    return interactions, lambda x: fourier_features(x, features)
+def kernel_ridge_fit(monthly, drivers, issues, ridge: float = 1.0, features: int = KERNEL_FEATURES) -> DataFrame:
+    """Fits on features of the standardised drivers. A series is bounded, so its rows travel packed to one solve; scales
+    and features are taken there, as Spark's functions on arrays go element by element."""
+    row = F.struct("datetime", "observation", predictors().alias("x"))
+    packed = driver_training(monthly, drivers, issues).groupBy(*FITS).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    packed = packed.select(*FITS, F.flatten("rows.x").alias("x"), F.col("rows.observation").alias("y"))
+    types, width = dict(packed.dtypes), len(PREDICTORS)
+    expand, solver = kernel_rows(features), ridge_rows(ridge)
 
+    def run(batches):
+        for batch in batches:
+            for start in range(0, len(batch), STEP):
+                pdf = batch.iloc[start : start + STEP]
+                designs, centres, scales = [], [], []
+                for x, y in zip(pdf["x"], pdf["y"]):
+                    x = np.asarray(x, float).reshape(-1, width)
+                    centre, scale = x.mean(axis=0), np.where(x.max(axis=0) > x.min(axis=0), x.std(axis=0, ddof=1), 0.0)
+                    designs.append(np.column_stack([np.ones(len(y)), expand(scaled_rows(x, centre, scale)), y]))
+                    centres.append(centre.tolist())
+                    scales.append(scale.tolist())
+                fits = pd.DataFrame({**fit_designs(designs, solver), "centre": centres, "scale": scales}, dtype=object)
+                yield pd.concat([pdf[list(FITS)].reset_index(drop=True), fits], axis=1)
 
-def kernel_ridge_fit(monthly, drivers, issues, ridge: float = 1.0, features: int = KERNEL_FEATURES) -> DataFrame:
-    return _feature_fit(monthly, drivers, issues, kernel_stages(features), ridge_rows(ridge))
+    schema = ", ".join(f"`{k}` {types[k]}" for k in FITS) + ", " + FIT_COLUMNS + ", centre array<double>, scale array<double>"
+    return packed.mapInPandas(run, schema)
 
 
 @register_model("svm")
 def fc_kernel_ridge(monthly, drivers, issues, ridge: float = 1.0, features: int = KERNEL_FEATURES) -> DataFrame:
     """Kernel ridge on the full interaction design: squared loss, approximate radial kernel."""
-    fits = kernel_ridge_fit(monthly, drivers, issues, ridge, features)
-    return _feature_forecast(fits, drivers, issues, kernel_stages(features), "svm")
+    flat = flat_members(drivers, issues)
+    fits = kernel_ridge_fit(monthly, drivers, issues, ridge, features).withColumn("future", issue_lookup(flat, "ahead").x)
+    types, width, expand = dict(fits.dtypes), len(PREDICTORS), kernel_rows(features)
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for future, coef, centre, scale in zip(pdf["future"], pdf["coef"], pdf["centre"], pdf["scale"]):
+                x = np.zeros((0, width)) if future is None else np.asarray(future, float).reshape(-1, width)
+                if coef is None:
+                    out.append([None] * len(x))
+                else:
+                    out.append((coef[0] + expand(scaled_rows(x, centre, scale)) @ coef[1:]).tolist())
+            yield pdf[[*FITS, "residual_sd", "error"]].assign(members=out)
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in (*FITS, "residual_sd", "error")) + ", members array<double>"
+    rows = by_month(fits.select(*FITS, "residual_sd", "error", "future", "coef", "centre", "scale").mapInPandas(run, schema), flat)
+    return finish_forecast(ensemble_to_normal(rows), "svm")
 
 
 # ---- Bayesian net -----------------------------------------------------------------------------

@@ -22,7 +22,7 @@ from fluxloom.operators.isolate import isolated
 from fluxloom.operators.joins import join_treatments
 from fluxloom.plans.common import FITS, SERIES, finish_forecast, issue_lookup, placed, register_model
 from fluxloom.plans.driver_models import (
-    SEED, complete_rows, driver_training, ensemble_to_normal, member_arrays, predictors,
+    SEED, by_month, complete_rows, driver_training, ensemble_to_normal, flat_members, predictors,
 )
 
 #: Trees, predictors tried per cut, and rows that a node needs more of to be cut.
@@ -126,24 +126,10 @@ def fitted_rows(monthly, drivers, issues, solver: Solver | None = None) -> DataF
 
 def _forecast(monthly, drivers, issues, solver: Solver, model_id: str) -> DataFrame:
     """Every member of the latest ensemble predicted by each fit; spread adds members and residuals."""
-    future = member_arrays(drivers, issues)
-    sizes = F.transform("future", lambda m: F.size(m.members))
-    flat = future.select(
-        "issue",
-        F.struct(
-            F.flatten(F.flatten(F.transform("future", lambda m: F.transform(m.members, lambda q: q.x)))).alias("x"),
-            F.zip_with("future", sizes, lambda m, n: F.struct(m.datetime.alias("datetime"), n.alias("n"))).alias("months"),
-        ).alias("ahead"),
-    )
+    flat = flat_members(drivers, issues)
     packed = packed_fits(driver_training(monthly, drivers, issues), FITS)
     fits = solved(packed.withColumn("future", issue_lookup(flat, "ahead").x), FITS, solver)
-    months = fits.select(*FITS, "members", "residual_sd", "error", issue_lookup(flat, "ahead").months.alias("months"))
-    each = months.select(*FITS, "members", "residual_sd", "error", "months", F.posexplode("months").alias("k", "m"))
-    before = F.aggregate(F.slice("months", F.lit(1), F.col("k")), F.lit(0), lambda s, m: s + m.n)
-    rows = each.select(
-        *FITS, "residual_sd", "error", F.col("m.datetime").alias("datetime"), F.slice("members", before + 1, F.col("m.n")).alias("members")
-    )
-    return finish_forecast(ensemble_to_normal(rows), model_id)
+    return finish_forecast(ensemble_to_normal(by_month(fits, flat)), model_id)
 
 
 @register_model("randomForest")

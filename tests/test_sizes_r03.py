@@ -7,7 +7,9 @@ import __spark_entry__ as entry
 from fluxloom.operators import smallnets
 from fluxloom.operators.aggregates import DRIVER_VARIABLES
 from fluxloom.operators.joins import full_calendar_join
+from fluxloom.plans import driver_models
 from fluxloom.plans.driver_models import complete_rows
+from fluxloom.plans.library import MODELS
 from tests.helpers import month, monthly, rows
 from workload.views import Views
 
@@ -86,3 +88,18 @@ def test_calendar_join_adds_the_months_that_are_missing(spark):
     months = spark.createDataFrame([("a", k) for k in (1, 2, 3)], "site_id string, month int")
     found = full_calendar_join(known, months).orderBy("month").collect()
     assert [(r.month, r.clim_mean) for r in found] == [(1, 5.0), (2, None), (3, 7.0)]
+
+
+def test_kernel_features_are_taken_in_batches(spark):
+    """No cosine is left to Spark's array functions, and rows in a batch equal those functions."""
+    views = Views(spark, SF)
+    plan = MODELS["svm"](views.monthly, views.drivers, views.issues)._jdf.queryExecution().optimizedPlan().toString()
+    assert "cos(" not in plan.lower()
+    x = np.random.default_rng(5).normal(size=(20, 5))
+    given = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i int, x array<double>")
+    for stage in driver_models.kernel_stages(16):
+        given = given.withColumn("x", stage(F.col("x")))
+    plain = np.array([r.x for r in given.orderBy("i").collect()])
+    assert np.abs(driver_models.kernel_rows(16)(x) - plain).max() < 1e-12
+    constant = driver_models.scaled_rows(np.ones((3, 1)), np.ones(1), np.zeros(1))
+    assert (constant == 0).all()
