@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Entries of a stack; larger ones are grown in parts of whole fits.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 18
 #: Targets are held in steps of this part of their largest value.
 STEPS = float(1 << 30)
 
@@ -142,6 +142,81 @@ def grow(
     return Trees(*map(np.concatenate, (feature, cut, left, value)))
 
 
+def grow_by_one(
+    stack: Stack, ranks: np.ndarray, tree: np.ndarray, row: np.ndarray, weight: np.ndarray, target: np.ndarray, seeds: np.ndarray,
+    depth: int, least: int, ridge: float,
+) -> Trees:
+    """``grow`` for one predictor drawn per node, entries in order of trees.
+
+    A level's one sort by node and value leaves each node's entries in order of its cut, so its children are the
+    parts before and after it: weights and sums of children are the running sums at the cut.
+    """
+    n, p = len(seeds), ranks.shape[1]
+    span = int(ranks.max(initial=0)) + 1
+    flat_ranks, flat_x = ranks.ravel(), stack.x.ravel()
+    feature, cut, left, value = [], [], [], []
+    total, path, first = weight * target, seeds.astype(np.uint64), row * p
+    size = np.bincount(tree, minlength=n)
+    sums = lambda v: np.diff(np.concatenate([[0], np.cumsum(v)])[np.concatenate([[0], np.cumsum(size)])])
+    w, s = sums(weight), sums(total)
+    score = lambda a, b: a.astype(float) ** 2 / (b + ridge)
+    base, count = 0, n
+    for level in range(depth + 1):
+        value.append(s / np.maximum(w + ridge, 1e-300))
+        chosen, where, child = np.full(count, -1), np.zeros(count), np.full(count, -1)
+        feature.append(chosen)
+        cut.append(where)
+        left.append(child)
+        drawn = mixed(path[:, None] * np.uint64(p) + np.arange(p, dtype=np.uint64)).argmin(axis=1)
+        inside = (w > least) & (level < depth)
+        if not inside.all():
+            stay = np.flatnonzero(np.repeat(inside, size))
+            first, weight, total = first[stay], weight[stay], total[stay]
+        node = np.flatnonzero(inside)
+        if not len(node):
+            break
+        size, w, s, f = size[node], w[node], s[node], drawn[node]
+        ends = np.cumsum(size)
+        at = np.repeat(np.arange(len(node)), size)
+        rank = flat_ranks.take(first + np.repeat(f, size))
+        bits = int(len(at)).bit_length()
+        key = ((at * span + rank) << bits) | np.arange(len(at))
+        key.sort()
+        by = key & ((1 << bits) - 1)
+        first, weight, total, key = first[by], weight[by], total[by], key >> bits
+        apart = key[1:] != key[:-1]
+        apart[ends[:-1] - 1] = False
+        i = np.flatnonzero(apart)
+        if not len(i):
+            break
+        cw, cs, own = np.cumsum(weight), np.cumsum(total), at[i]
+        lw, ls = cw[i] - (cw[ends - 1] - w)[own], cs[i] - (cs[ends - 1] - s)[own]
+        gain = score(ls, lw) + score(s[own] - ls, w[own] - lw) - score(s, w)[own]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        top = np.repeat(np.maximum.reduceat(gain, starts), np.diff(np.append(starts, len(i))))
+        hit = np.flatnonzero((gain == top) & (gain > 1e-9 * STEPS * STEPS))
+        if not len(hit):
+            break
+        hit = hit[np.concatenate([[True], own[hit][1:] != own[hit][:-1]])]
+        split, place = own[hit], i[hit]
+        low, high = flat_x.take(first[place] + f[split]), flat_x.take(first[place + 1] + f[split])
+        middle = low + (high - low) / 2
+        parent = node[split]
+        chosen[parent], where[parent] = f[split], np.where(middle < high, middle, low)
+        child[parent] = base + count + 2 * np.arange(len(split))
+        if len(split) < len(node):
+            cutting = np.zeros(len(node), bool)
+            cutting[split] = True
+            stay = np.flatnonzero(np.repeat(cutting, size))
+            first, weight, total = first[stay], weight[stay], total[stay]
+        before = place - (ends - size)[split] + 1
+        pairs = lambda a, b: np.stack([a, b], axis=1).ravel()
+        size, w, s = pairs(before, size[split] - before), pairs(lw[hit], w[split] - lw[hit]), pairs(ls[hit], s[split] - ls[hit])
+        path = mixed(np.repeat(path[parent], 2) * np.uint64(2) + np.tile(np.arange(2, dtype=np.uint64), len(split)))
+        base, count = base + count, 2 * len(split)
+    return Trees(*map(np.concatenate, (feature, cut, left, value)))
+
+
 def _parts(sizes: Sequence[int], trees: int) -> list[list[int]]:
     """Fits in order, in parts of about ENTRIES entries."""
     parts, held = [[]], 0
@@ -200,19 +275,22 @@ def _forests(designs, targets, new, seeds, trees, tried, least, depth, importanc
     row = np.concatenate([np.tile(np.arange(stack.start[k], stack.start[k + 1]), trees) for k in range(fits)])
     weight = np.concatenate([w.ravel() for w in draws])
     roots = mixed(np.repeat(np.array([s & (2**64 - 1) for s in seeds], np.uint64), trees) + np.tile(np.arange(trees, dtype=np.uint64), fits))
-    drawn = weight > 0
-    grown = grow(stack, stack.ranks(), tree[drawn], row[drawn], weight[drawn], target[row[drawn]], roots, tried, depth, least, 0.0)
+    drawn, others = np.flatnonzero(weight), np.flatnonzero(weight == 0)
+    entries = (stack, stack.ranks(), tree.take(drawn), row.take(drawn), weight.take(drawn), target.take(row.take(drawn)), roots)
+    grown = grow_by_one(*entries, depth, least, 0.0) if tried == 1 else grow(*entries, tried, depth, least, 0.0)
     scale = np.repeat(step, trees)
-    left_out, own = row[~drawn], tree[~drawn]
-    votes = grown.value[grown.leaves(own, lambda e, f: stack.x[left_out[e], f])] * scale[own]
+    left_out, own = row.take(others), tree.take(others)
+    flat, width = stack.x.ravel(), stack.x.shape[1]
+    first = left_out * width
+    votes = grown.value[grown.leaves(own, lambda e, f: flat.take(first[e] + f))] * scale[own]
     seen = np.bincount(left_out, minlength=len(y))
     with np.errstate(invalid="ignore"):
         outside = np.bincount(left_out, votes, len(y)) / np.where(seen > 0, seen, np.nan)
     fitted = [Fitted(outside[a:b] + m, np.zeros(0)) for a, b, m in zip(stack.start[:-1], stack.start[1:], mean, strict=True)]
     for k, rows in enumerate(new):
         if len(rows):
-            asked = np.tile(np.arange(len(rows)), trees)
-            leaf = grown.leaves(np.repeat(np.arange(k * trees, (k + 1) * trees), len(rows)), lambda e, f, asked=asked, rows=rows: rows[asked[e], f])
+            asked, wanted = np.tile(np.arange(len(rows)) * width, trees), np.ravel(rows)
+            leaf = grown.leaves(np.repeat(np.arange(k * trees, (k + 1) * trees), len(rows)), lambda e, f, asked=asked, wanted=wanted: wanted.take(asked[e] + f))
             fitted[k].new = (grown.value[leaf] * step[k]).reshape(trees, -1).mean(axis=0) + mean[k]
     if importance:
         _importance(fitted, stack, grown, left_out, own, y, votes, scale, roots, trees)

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fluxloom.operators import smallnets
+from fluxloom.operators import smallnets, treegrow
 from fluxloom.operators.aggregates import DRIVER_VARIABLES
 from fluxloom.operators.joins import full_calendar_join
 from fluxloom.plans import driver_models
@@ -103,3 +103,20 @@ def test_kernel_features_are_taken_in_batches(spark):
     assert np.abs(driver_models.kernel_rows(16)(x) - plain).max() < 1e-12
     constant = driver_models.scaled_rows(np.ones((3, 1)), np.ones(1), np.zeros(1))
     assert (constant == 0).all()
+
+
+def test_forest_sorts_each_level_once_and_equals_the_general_growth(monkeypatch):
+    rng = np.random.default_rng(8)
+    designs = [np.round(rng.normal(size=(n, 5)), 1) for n in (30, 41, 12)]
+    targets = [d[:, 0] + 0.1 * rng.normal(size=len(d)) for d in designs]
+    seeds, new = [3, 4, 5], [rng.normal(size=(6, 5))] * 3
+    args = (designs, targets, new, seeds, 40, 1, 5, 60)
+    calls = []
+    general = treegrow.grow
+    monkeypatch.setattr(treegrow, "grow", lambda *a: calls.append(1) or general(*a))
+    fast = treegrow.forests(*args, importance=True)
+    assert not calls
+    monkeypatch.setattr(treegrow, "grow_by_one", lambda *a: general(*a[:7], 1, *a[7:]))
+    for a, b in zip(fast, treegrow.forests(*args, importance=True), strict=True):
+        for name in ("rows", "new", "rise", "spread"):
+            assert np.array_equal(getattr(a, name), getattr(b, name), equal_nan=True)
