@@ -22,7 +22,7 @@ from fluxloom.operators.cleaning import drop_incomplete, min_rows_per_key
 from fluxloom.operators.isolate import isolated
 from fluxloom.operators.joins import join_drivers
 from fluxloom.operators.linalg import (
-    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, fit_designs, fit_rows, gram, largest_penalty, ridge_rows, unpack,
+    FIT_COLUMNS, dot, elastic_net_gap, elastic_net_path, fit_designs, fit_rows, largest_penalty, ridge_rows, unpack,
     with_intercept,
 )
 from fluxloom.operators.smallnets import chosen_nets, outputs
@@ -177,46 +177,61 @@ def choose_elastic_nets(fits: Sequence, seeds: Sequence[int], candidates: int =
     return list(zip(n, coef, rss, sd, chosen_a[:, 0].tolist(), chosen_l[:, 0].tolist(), gap.tolist()))
 
 
-def enough_rows(rows: DataFrame, issues: DataFrame, least: int = LEAST_ROWS) -> DataFrame:
-    """Series and issue dates with at least ``least`` rows before the date, from a running count."""
-    w = Window.partitionBy(*SERIES).orderBy("datetime")
-    counted = placed(rows).withColumns(
-        {"_n": F.row_number().over(w), "_next": F.lead("datetime").over(w), "_issues": issue_array(issues)}
-    )
-    d, following = F.col("datetime"), F.col("_next")
-    holds = F.filter("_issues", lambda i: (i > d) & (following.isNull() | (i <= following)))
-    return counted.where(F.col("_n") >= least).select(*SERIES, F.explode(holds).alias("issue"))
+def fold_grams(z: np.ndarray, folds: np.ndarray, k: int) -> list[tuple]:
+    """(repeat, fold, packed matrix) of every fold that holds rows; ``z`` are rows (1, x, y), ``folds`` one column per repeat."""
+    i, j = np.triu_indices(z.shape[1])
+    products = z[:, i] * z[:, j]
+    out = []
+    for repeat in range(folds.shape[1]):
+        inside = folds[:, repeat] == np.arange(k)[:, None]
+        sums = inside.astype(float) @ products
+        out += [(repeat + 1, fold, sums[fold]) for fold in np.flatnonzero(inside.any(axis=1)).tolist()]
+    return out
 
 
 def elastic_net_fit(monthly, drivers, issues, folds: int = 5, repeats: int = 5) -> DataFrame:
-    rows = complete_rows(monthly, drivers)
-    folded = placed(cv_folds(rows, ["site_id", "variable", "datetime"], folds, repeats))
-    keys = [*SERIES, "repeat", "fold"]
-    parts = gram(folded, keys, [F.col(p) for p in PREDICTORS], F.col("observation"), issue_array(issues))
-    packed = parts.groupBy(*FITS).agg(
-        F.sort_array(F.collect_list(F.struct("repeat", "fold", F.col("gram").alias("g")))).alias("parts")
-    ).withColumn("seed", F.xxhash64(*[F.col(k).cast("string") for k in FITS], F.lit(SEED)))
-    return _solve_parts(packed.join(enough_rows(rows, issues), list(FITS), "left_semi"))
-
-
-def _solve_parts(packed: DataFrame) -> DataFrame:
-    types = dict(packed.dtypes)
+    """A series is bounded, so its rows travel packed, once for all issue dates; the matrices of folds are summed beside the solve."""
+    rows = placed(complete_rows(monthly, drivers))
+    number = lambda r: F.pmod(F.xxhash64("site_id", "variable", "datetime", r, F.lit(SEED)), F.lit(folds)).cast("int")
+    row = F.struct(
+        "datetime", F.concat(F.array(F.lit(1.0)), predictors(), F.array("observation")).alias("z"),
+        F.transform(F.sequence(F.lit(1), F.lit(repeats)), number).alias("folds"),
+    )
+    packed = rows.groupBy(*SERIES).agg(F.sort_array(F.collect_list(row)).alias("rows")).withColumn("issues", issue_array(issues))
+    named = lambda i: F.xxhash64(*[F.col(k).cast("string") for k in SERIES], i.cast("string"), F.lit(SEED))
+    # Rows are in order of dates: those before an issue date are the first so many.
+    before = lambda i: F.size(F.filter("rows", lambda r: r.datetime < i))
+    packed = packed.select(
+        *SERIES, F.flatten("rows.z").alias("z"), F.flatten("rows.folds").alias("folds"),
+        F.filter(F.transform("issues", lambda i: F.struct(i.alias("issue"), before(i).alias("n"), named(i).alias("seed"))), lambda d: d.n >= LEAST_ROWS).alias("dates"),
+    )
+    types = dict(monthly.dtypes) | dict(issues.dtypes)
     names = ["n", "coef", "rss", "residual_sd", "alpha", "lambda", "gap", "error"]
     schema = ", ".join(f"`{k}` {types[k]}" for k in FITS) + (
         ", n double, coef array<double>, rss double, residual_sd double, alpha double, lambda double, gap double, error string"
     )
 
+    def solved(held):
+        keys, parts, seeds = zip(*held)
+        found, errors = isolated(lambda at: choose_elastic_nets([parts[i] for i in at], [seeds[i] for i in at]), len(parts))
+        fitted = [(*k, *(r or [None] * 7), e) for k, r, e in zip(keys, found, errors)]
+        return pd.DataFrame(fitted, columns=[*FITS, *names], dtype=object)
+
     def run(batches):
-        for batch in batches:
-            for start in range(0, len(batch), STEP):
-                pdf = batch.iloc[start : start + STEP]
-                parts = [[(p["repeat"], p["fold"], p["g"]) for p in some] for some in pdf["parts"]]
-                seeds = pdf["seed"].tolist()
-                found, errors = isolated(lambda at: choose_elastic_nets([parts[i] for i in at], [seeds[i] for i in at]), len(parts))
-                fitted = [(*(r or [None] * 7), e) for r, e in zip(found, errors)]
-                yield pd.concat([pdf[list(FITS)].reset_index(drop=True), pd.DataFrame(fitted, columns=names, dtype=object)], axis=1)
+        held = []
+        for pdf in batches:
+            for *series, z, numbers, dates in pdf[[*SERIES, "z", "folds", "dates"]].itertuples(index=False, name=None):
+                z = np.asarray(z, float).reshape(-1, len(PREDICTORS) + 2)
+                numbers = np.asarray(numbers).reshape(-1, repeats)
+                for d in dates:
+                    held.append(((*series, d["issue"]), fold_grams(z[: d["n"]], numbers[: d["n"]], folds), d["seed"]))
+                    if len(held) == STEP:
+                        yield solved(held)
+                        held = []
+        if held:
+            yield solved(held)
 
-    return packed.select(*FITS, "parts", "seed").mapInPandas(run, schema)
+    return packed.mapInPandas(run, schema)
 
 
 @register_model("elasticNet")

@@ -4,13 +4,13 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from fluxloom.operators import smallnets, treegrow
+from fluxloom.operators import linalg, smallnets, treegrow
 from fluxloom.operators.aggregates import DRIVER_VARIABLES
 from fluxloom.operators.joins import full_calendar_join
 from fluxloom.plans import driver_models
 from fluxloom.plans.driver_models import complete_rows
 from fluxloom.plans.library import MODELS
-from tests.helpers import month, monthly, rows
+from tests.helpers import issues, month, monthly, rows, seasonal
 from workload.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -120,3 +120,19 @@ def test_forest_sorts_each_level_once_and_equals_the_general_growth(monkeypatch)
     for a, b in zip(fast, treegrow.forests(*args, importance=True), strict=True):
         for name in ("rows", "new", "rise", "spread"):
             assert np.array_equal(getattr(a, name), getattr(b, name), equal_nan=True)
+
+
+def test_elastic_net_rows_are_not_repeated_for_folds(spark):
+    """Series leave Spark packed: no row per repeat and no aggregate per fold; short series and dates have no fit."""
+    series = monthly(spark, {"a": seasonal(30), "b": seasonal(9)})
+    cells = [(month(i), month(i), 1, 1, name, float(np.sin(i * (k + 1)))) for i in range(30) for k, name in enumerate(DRIVER_VARIABLES)]
+    drivers = spark.createDataFrame(cells, "reference_datetime date, datetime date, parameter int, horizon int, variable string, prediction double")
+    fits = driver_models.elastic_net_fit(series, drivers, issues(spark, month(5), month(20), month(30)))
+    assert "repeat" not in fits._jdf.queryExecution().optimizedPlan().toString().lower().replace("repartition", "")
+    assert sorted((r.site_id, r.issue, r.n) for r in fits.collect()) == [("a", month(20), 20.0), ("a", month(30), 30.0)]
+    z, numbers = np.random.default_rng(2).normal(size=(12, 4)), np.arange(24).reshape(12, 2) % 3
+    parts = driver_models.fold_grams(z, numbers, 3)
+    for repeat, fold, packed in parts:
+        some = z[numbers[:, repeat - 1] == fold]
+        assert np.allclose(linalg.unpack(packed), some.T @ some)
+    assert len(parts) == len({(r, f) for r in (1, 2) for f in numbers[:, r - 1].tolist()})
