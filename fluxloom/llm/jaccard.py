@@ -15,8 +15,9 @@ share at least t times the larger one, so if both are put in one global order an
    needs no test. First every list of postings is tied to its first class, which parts the classes into
    neighbourhoods that no candidate pair crosses. A neighbourhood that fits a task is searched there, from
    each class to all classes not yet reached. In a larger one every list meets one leader at a time, all
-   over the cluster, until the open pairs are few or leaders bring nothing more; then those are tested. So
-   a group of thousands of near copies costs a few tests per member, and no pair that could connect two
+   over the cluster, until the open pairs are few, which are then tested, or leaders bring little more: then
+   its classes are dealt into blocks, and every two blocks meet in a task that looks for links between groups.
+   So a group of thousands of near copies costs a few tests per member, and no pair that could connect two
    components is left out.
 
 Defined results: null and empty texts have an empty set and link with nothing; a text of fewer words than a
@@ -53,10 +54,17 @@ STAND_INS = np.array([-1, -2])
 RANGE = 1 << 20
 #: Elements of a neighbourhood that one task searches; larger ones are searched all over the cluster.
 NEIGHBOURHOOD = 1 << 22
-#: There all open pairs are tested when they are at most so many times the postings, or after so many rounds of leaders
-#: without a new link.
+#: There all open pairs are tested when they are at most so many times the postings. After so many rounds of leaders that
+#: brought fewer links than this share of the classes, blocks of about so many elements meet in pairs.
 OPEN_PAIRS = 2
 VAIN_ROUNDS = 2
+WORTH = 0.25
+BLOCK = 1 << 20
+#: Times that a class's bound is taken again over the classes that are left, where more than MANY are searched together.
+PRUNINGS = 3
+MANY = 64
+#: Words of bits that cost as much as a posting.
+READS = 3
 
 
 def shingle_sets(column: pa.Array, width: int = SHINGLE) -> list[np.ndarray]:
@@ -281,46 +289,118 @@ def _enough(found: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.count("*").alias("matches"), F.min("l").alias("l")).where("matches >= l").select("a", "b")
 
 
+class _Classes:
+    """Classes (id, n, l, prefix, shared) of a table that are searched together.
+
+    A class can overlap a partner in elements that another class has as well, so their number bounds the sizes of
+    its partners. Only elements of a class of such a size count, which tightens the bound again.
+    """
+
+    def __init__(self, table: pa.Table, similarity: int):
+        self.similarity = similarity
+        self.ids, self.size, self.asked = (table.column(c).to_numpy() for c in ("id", "n", "l"))
+        flat = lambda c: (np.concatenate([x.flatten().to_numpy() for x in table.column(c).chunks]), pa.compute.list_value_length(table.column(c)).to_numpy())
+        code, lengths = flat("prefix")
+        code = np.unique(code, return_inverse=True)[1].astype(np.int32)
+        self.codes, self.code, self.own = np.split(code, np.cumsum(lengths)[:-1]), code, np.repeat(np.arange(len(self.ids), dtype=np.int32), lengths)
+        element, several = flat("shared")
+        self.element = np.unique(element, return_inverse=True)[1].astype(np.int32)
+        self.several, self.begin = several, np.concatenate([[0], np.cumsum(several)])
+        self.marked = np.zeros(self.element.max(initial=-1) + 1, bool)
+        # 100 both >= similarity (x + y - both) with both <= several gives the largest y that x may match.
+        self.most = self._largest(several)
+        self.alive, self.bits = np.ones(len(self.ids), bool), None
+        for _ in range(PRUNINGS if len(self.ids) > MANY else 0):
+            before = int(self.alive.sum())
+            self._prune()
+            if self.alive.sum() > 0.95 * before:
+                break
+        if self.alive.sum() > MANY:
+            self._mark_common()
+
+    def _largest(self, common: np.ndarray) -> np.ndarray:
+        return np.minimum((common * (100 + self.similarity)) // self.similarity - self.size, self.size * 100 // self.similarity)
+
+    def _prune(self) -> None:
+        least = needed(self.size, self.similarity)
+        self.alive &= self.most >= least
+        holder = np.repeat(np.arange(len(self.ids), dtype=np.int32), self.several)
+        some = self.alive[holder]
+        holder, place = holder[some], self.element[some].astype(np.int64) * (int(self.size.max(initial=0)) + 1)
+        sizes, most = self.size[holder], np.minimum(self.most, self.size.max(initial=0))[holder]
+        key = np.sort(place + sizes)
+        others = np.searchsorted(key, place + most, "right") - np.searchsorted(key, place + least[holder]) - (sizes <= most)
+        common = np.bincount(holder[others > 0], minlength=len(self.ids))
+        self.most = np.minimum(self.most, self._largest(common))
+        self.alive &= (common >= least) & (self.most >= least)
+
+    def _mark_common(self) -> None:
+        """A row of bits per class for the elements that one class in MANY has and more, and the number of its others."""
+        often = np.bincount(self.element)
+        common = MANY * often >= len(self.ids)
+        place = np.cumsum(common, dtype=np.int64) - 1
+        held = common[self.element]
+        owner = np.repeat(np.arange(len(self.ids)), self.several)[held]
+        at = place[self.element[held]]
+        self.bits = np.zeros((len(self.ids), -(-int(common.sum()) // 64)), np.uint64)
+        np.add.at(self.bits, (owner, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+        self.others = self.several - np.bincount(owner, minlength=len(self.ids))
+
+    def _similar(self, x: int, near: np.ndarray, both: np.ndarray) -> np.ndarray:
+        return near[100 * both >= self.similarity * (self.size[x] + self.size[near] - both)]
+
+    def postings(self, some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Holders of each prefix element among ``some`` classes, and where each element's begin."""
+        of = some[self.own]
+        element, holder = self.code[of], self.own[of]
+        rank = np.argsort(element, kind="stable")
+        return holder[rank], np.searchsorted(element[rank], np.arange(self.code.max(initial=-1) + 2))
+
+    def able(self, x: int) -> np.ndarray:
+        """Classes of a size that x and they can match."""
+        size, most = self.size, self.most
+        return self.alive & (size <= most[x]) & (most >= size[x]) & (100 * size >= self.similarity * size[x]) & (100 * size[x] >= self.similarity * size)
+
+    def near(self, x: int, able: np.ndarray, holders: np.ndarray, begin: np.ndarray) -> np.ndarray:
+        """The classes among ``able`` that are similar to x."""
+        near, codes = np.flatnonzero(able), self.codes[x]
+
+        def matching(near: np.ndarray) -> np.ndarray:
+            met = np.concatenate([holders[begin[c] : begin[c + 1]] for c in codes.tolist()])
+            matches = np.bincount(met, minlength=len(self.ids))[near]
+            return near[matches >= np.minimum(self.asked[x], self.asked[near])]
+
+        if self.bits is None:
+            near = matching(near)
+        else:
+            # Both tests lose nothing; the one that reads less goes first.
+            listed = READS * int((begin[codes + 1] - begin[codes]).sum()) < self.bits.shape[1] * len(near)
+            near = matching(near) if listed else near
+            both = np.bitwise_count(self.bits[near] & self.bits[x]).sum(axis=1, dtype=np.int64)
+            near = self._similar(x, near, both + np.minimum(self.others[near], self.others[x]))
+            near = matching(near) if len(near) > MANY and not listed else near
+        if not len(near):
+            return near
+        own = self.element[self.begin[x] : self.begin[x + 1]]
+        self.marked[own] = True
+        width = self.several[near]
+        at = np.repeat(self.begin[near] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
+        both = np.bincount(np.repeat(np.arange(len(near)), width), self.marked[self.element[at]], len(near)).astype(np.int64)
+        self.marked[own] = False
+        return self._similar(x, near, both)
+
+
 def _searched(table: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
     """(node, component) within one neighbourhood (id, n, l, prefix, shared), for classes that link with another.
 
-    A class can overlap a partner in elements that another class has as well, so their number bounds the sizes
-    of its partners; classes that no class still waiting can match read no postings. What is left is counted over
-    postings and verified for all candidates of a class at once.
+    Classes that no class still waiting can match read no postings. What is left is counted over postings and
+    verified for all candidates of a class at once.
     """
-    order = np.argsort(table.column("id").to_numpy())
-    table = table.take(pa.array(order))
-    ids, size, asked = (table.column(c).to_numpy() for c in ("id", "n", "l"))
-    prefix = [x.values.to_numpy() for x in table.column("prefix")]
-    shared = [x.values.to_numpy() for x in table.column("shared")]
-    own = np.repeat(np.arange(len(ids)), [len(p) for p in prefix])
-    _, code = np.unique(np.concatenate(prefix), return_inverse=True)
-    codes = np.split(code, np.cumsum([len(p) for p in prefix])[:-1])
-    several = np.array([len(s) for s in shared])
-    begin_of = np.concatenate([[0], np.cumsum(several)])
-    _, element_of = np.unique(np.concatenate(shared), return_inverse=True)
-    marked = np.zeros(element_of.max(initial=-1) + 1, bool)
-    # 100 both >= similarity (x + y - both) with both <= several gives the largest y that x may match.
-    most = (several * (100 + similarity)) // similarity - size
-    waiting, listed = np.ones(len(ids), bool), 0
-
-    def lists():
-        """Postings of the classes still waiting."""
-        some = waiting[own]
-        element, holder = code[some], own[some]
-        rank = np.argsort(element, kind="stable")
-        return holder[rank], np.searchsorted(element[rank], np.arange(code.max() + 2)), int(waiting.sum())
-
-    def overlaps(x: int, others: np.ndarray) -> np.ndarray:
-        marked[element_of[begin_of[x] : begin_of[x + 1]]] = True
-        width = several[others]
-        at = np.repeat(begin_of[others] - np.concatenate([[0], np.cumsum(width)[:-1]]), width) + np.arange(width.sum())
-        both = np.bincount(np.repeat(np.arange(len(others)), width), marked[element_of[at]], len(others))
-        marked[element_of[begin_of[x] : begin_of[x + 1]]] = False
-        return both.astype(np.int64)
-
-    holders, begin, listed = lists()
-    for seed in range(len(ids)):
+    c = _Classes(table.take(pa.array(np.argsort(table.column("id").to_numpy()))), similarity)
+    waiting = c.alive.copy()
+    holders, begin = c.postings(waiting)
+    listed = int(waiting.sum())
+    for seed in np.flatnonzero(waiting).tolist():
         if not waiting[seed]:
             continue
         waiting[seed] = False
@@ -328,23 +408,48 @@ def _searched(table: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
         while stack:
             x = stack.pop()
             if 2 * waiting.sum() < listed:
-                holders, begin, listed = lists()
+                holders, begin = c.postings(waiting)
+                listed = int(waiting.sum())
             if not listed:
                 break
-            able = waiting & (size <= most[x]) & (most >= size[x]) & (100 * size >= similarity * size[x]) & (100 * size[x] >= similarity * size)
+            able = waiting & c.able(x)
             if not able.any():
                 continue
-            met = np.concatenate([holders[begin[c] : begin[c + 1]] for c in codes[x].tolist()])
-            matches = np.bincount(met[able[met]], minlength=len(ids))
-            near = np.flatnonzero(able & (matches >= np.minimum(asked[x], asked)))
-            if len(near):
-                both = overlaps(x, near)
-                near = near[100 * both >= similarity * (size[x] + size[near] - both)]
-                waiting[near] = False
-                stack += near.tolist()
-                found += near.tolist()
+            near = c.near(x, able, holders, begin).tolist()
+            waiting[near] = False
+            stack += near
+            found += near
         for y in [seed, *found] if found else ():
-            yield int(ids[y]), int(ids[seed])
+            yield int(c.ids[y]), int(c.ids[seed])
+
+
+def _joined(table: pa.Table, similarity: int) -> Iterator[tuple[int, int]]:
+    """Links (a, b) that connect the groups of two blocks (id, n, l, prefix, shared, group, own), or of one block.
+
+    Members of the largest group are not searched from: what they link with finds them, and what joins them
+    later is connected by then.
+    """
+    c = _Classes(table, similarity)
+    group, side = table.column("group").to_numpy(), table.column("own").to_numpy()
+    _, label = np.unique(group, return_inverse=True)
+    sides = [side == s for s in np.unique(side).tolist()]
+    lists = [c.postings(c.alive & s) for s in sides]
+    members = np.bincount(label[c.alive], minlength=label.max(initial=0) + 1)
+    largest = int(np.argmax(members))
+    for x in np.flatnonzero(c.alive).tolist():
+        if label[x] == largest:
+            continue
+        other = len(sides) - 1 if sides[0][x] else 0
+        able = c.able(x) & sides[other] & (label != label[x])
+        if not able.any():
+            continue
+        near = c.near(x, able, *lists[other])
+        for g in np.unique(label[near]).tolist():
+            y = int(near[label[near] == g][0])
+            yield int(c.ids[x]), int(c.ids[y])
+        if len(near):
+            met = np.append(label[near], label[x])
+            label[np.isin(label, met)] = largest if (met == largest).any() else label[x]
 
 
 def link_components(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
@@ -367,11 +472,12 @@ def link_components(sets: DataFrame, similarity: int = SIMILARITY) -> DataFrame:
     groups = small.mapInArrow(search, "node long, component long")
     if large.isEmpty():
         return groups
-    return groups.union(_by_rounds(placed.join(large, "area", "left_semi").drop("area"), similarity))
+    return groups.union(_by_rounds(placed.join(large, "area", "left_semi"), similarity))
 
 
 def _by_rounds(sets: DataFrame, similarity: int) -> DataFrame:
-    """(node, component) of neighbourhoods too large for one task."""
+    """(node, component) of neighbourhoods (area, id, n, l, prefix, shared) too large for one task."""
+    n_classes = sets.count()
     postings = staged(sets.select(F.explode("prefix").alias("element"), "id", "n", "l"), "postings")
     links, groups, vain, turn = None, None, 0, 0
     while True:
@@ -386,7 +492,12 @@ def _by_rounds(sets: DataFrame, similarity: int) -> DataFrame:
         if not size[0]:
             break
         open_ = open_.join(lists.select("element"), "element")
-        last = size[0] <= OPEN_PAIRS * size[1] or vain >= VAIN_ROUNDS
+        last = size[0] <= OPEN_PAIRS * size[1]
+        if not last and vain >= VAIN_ROUNDS:
+            found = staged(_by_blocks(sets, groups, similarity), "links")
+            links = found if links is None else links.union(found)
+            groups = staged(components(links), "groups")
+            break
         if last:
             left = open_.select("element", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "l", "group")])
             right = open_.select("element", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "l", "group")])
@@ -407,11 +518,31 @@ def _by_rounds(sets: DataFrame, similarity: int) -> DataFrame:
             groups = staged(components(links), "groups")
         if last:
             break
-        vain = 0 if new else vain + 1
+        vain = 0 if new > WORTH * n_classes else vain + 1
         turn += 1
     return groups if groups is not None else sets.select(F.col("id").alias("node"), F.col("id").alias("component")).limit(0)
 
 
+def _by_blocks(sets: DataFrame, groups: DataFrame | None, similarity: int) -> DataFrame:
+    """Links (a, b) that connect what ``groups`` (node, component) leave apart: each two blocks of a neighbourhood meet in a task."""
+    cuts = sets.groupBy("area").agg(F.ceil(F.sum(F.size("shared")) / F.lit(BLOCK)).cast("int").alias("cut"))
+    known = sets if groups is None else sets.join(groups.withColumnRenamed("node", "id"), "id", "left")
+    known = known.withColumn("group", F.col("id") if groups is None else F.coalesce("component", "id"))
+    dealt = known.join(cuts, "area").withColumn("own", F.pmod(F.xxhash64("id"), F.greatest("cut", F.lit(1))).cast("int"))
+    place = ["area", "i", "j"]
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest("cut", F.lit(1)) - 1))).select(
+        "area", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "n", "l", "prefix", "shared", "group"
+    )
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in regrouped(batches, place):
+            if table.num_rows > 1:
+                got = list(_joined(table, similarity))
+                yield _columns({"a": [a for a, _ in got], "b": [b for _, b in got]}, dict(a=pa.int64(), b=pa.int64()))
+
+    return met.repartition(*place).sortWithinPartitions(*place).mapInArrow(search, "a long, b long")
+
+
 def set_keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Size and two 64-bit keys of each set: equal sets have equal ones."""
     sizes = np.array([len(s) for s in sets], np.int64)
