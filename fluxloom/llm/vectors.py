@@ -21,8 +21,9 @@ BLOCK = 2048
 QUERY_BLOCK = 256
 #: One block in so many is scanned first, for the bounds that the whole scan starts from.
 FIRST_BLOCKS = 4
-#: Blocks of queries whose best bounds a task remembers; beyond them it starts again from the bounds of the first scan.
+#: Blocks of queries, and bytes of them, that a lane of the scans holds; beyond either there are more lanes.
 REMEMBERED = 4096
+HELD = 32 << 20
 #: Scaled components from here on are refused: they, or cells around them, might not fit a long.
 LARGEST = float(1 << 62)
 
@@ -78,7 +79,9 @@ def top_k(
     """The k highest integer inner products of each query row with all other rows: (query_id, rank, vec_id, score).
 
     1. Approximations: blocks of one-byte cells, read without the exact vectors. Every block of queries
-       meets every block of cells, and a cell's two ends bound the score from both sides. A first scan of one
+       meets every block of cells on a grid of lanes: a lane holds some blocks of queries, at most HELD bytes,
+       and reads some blocks of cells, so neither is multiplied by the other before it reaches its task.
+       A cell's two ends bound the score from both sides. A first scan of one
        block in FIRST_BLOCKS gives each query a k-th best lower bound to start from, which a task raises as it
        goes. A pair is kept when its upper bound reaches that, then the k-th best lower bound of all blocks.
     2. Exact vectors in order of the bound: those of the k best bounds first, which gives the score to
@@ -109,75 +112,96 @@ def top_k(
     asked = ready.where("is_query").select("vec_id", "v")
     query_blocks = -(-asked.count() // QUERY_BLOCK) or 1
 
-    def packed(needs: DataFrame) -> DataFrame:
-        out = needs.select("vec_id", "v", "need").repartition(query_blocks).mapInArrow(pack, "query_ids binary, queries binary, need binary")
-        return out.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-
-    cells = staged(approximation_file(rows, width), "cells").withColumn(
-        "lane", F.pmod(F.xxhash64("ids"), F.lit(spread)).cast("int")
-    )
-
-    def scored(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of queries and of vectors, and the two bounds of each pair; a query's own lower bound is minus infinity."""
-        ids = np.frombuffer(row["ids"], "<i8")
-        query_ids = np.frombuffer(row["query_ids"], "<i8")
-        q = np.frombuffer(row["queries"], np.int64).reshape(-1, width)
-        low, step = np.frombuffer(row["low"], np.int64), np.frombuffer(row["step"], np.int64)
-        at = np.frombuffer(row["codes"], np.uint8).reshape(-1, width) * step + low
+    across = -(-query_blocks // max(1, min(REMEMBERED, HELD // (QUERY_BLOCK * width * 8))))
+    down = max(1, -(-spread // across))
+    cells = staged(approximation_file(rows, width), "cells")
+
+    def lanes(some: DataFrame, needs: DataFrame) -> DataFrame:
+        """(lane, kind, a, b, c, d): per lane its blocks of queries, then its blocks of cells."""
+        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda ids, n: F.pmod(F.xxhash64(ids), F.lit(n)).cast("int")
+        asking = needs.select("vec_id", "v", "need").repartition(query_blocks).mapInArrow(pack, "query_ids binary, queries binary, need binary")
+        asking = asking.withColumn("x", dealt("query_ids", across)).withColumn("y", number(down))
+        asking = asking.select((F.col("y") * across + F.col("x")).alias("lane"), F.lit(0).alias("kind"), "query_ids", "queries", "need", F.lit(None).cast("binary"))
+        read = some.withColumn("y", dealt("ids", down)).withColumn("x", number(across))
+        read = read.select((F.col("y") * across + F.col("x")).alias("lane"), F.lit(1).alias("kind"), "ids", "low", "step", "codes")
+        return asking.union(read).toDF("lane", "kind", "a", "b", "c", "d").repartition(spread, "lane").sortWithinPartitions("lane", "kind")
+
+    def asked_of(row: dict) -> dict:
+        q = np.frombuffer(row["b"], np.int64).reshape(-1, width)
+        best = np.full((len(q), k), -np.inf)
+        parts = {"down": np.minimum(q, 0).astype(float), "up": np.maximum(q, 0).astype(float), "most": float(np.abs(q).max())}
+        return parts | {"ids": np.frombuffer(row["a"], "<i8"), "q": q.astype(float), "need": np.frombuffer(row["c"], float), "best": best}
+
+    def scored(asks: dict, ids: np.ndarray, at: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores at the lower ends of the cells, and what lies below and above; the best lower bounds are raised.
+
+        A query's own score is minus infinity.
+        """
         # Score at the cells' lower ends, and what their width can add or take away. Sums below
         # 2^52 are exact in doubles; beyond, the slack covers their rounding.
-        base = q.astype(float) @ at.T.astype(float)
-        most = float(np.abs(q).max()) * (float(np.abs(at).max()) + float(step.max())) * width
+        base = asks["q"] @ at.T
+        most = asks["most"] * (float(np.abs(at).max()) + float(step.max())) * width
         slack = 0.0 if most < 2.0**52 else most * 2.0**-45
         room = (step - 1).astype(float)
-        lower = base + (np.minimum(q, 0).astype(float) @ room)[:, None] - slack
-        upper = base + (np.maximum(q, 0).astype(float) @ room)[:, None] + slack
-        lower[query_ids[:, None] == ids] = -np.inf
-        return query_ids, ids, lower, upper
-
-    def raised(best: np.ndarray, lower: np.ndarray) -> np.ndarray:
-        """The k highest bounds of each query, its lowest first, after those of another block."""
-        return np.partition(np.concatenate([best, lower], axis=1), best.shape[1] + lower.shape[1] - k, axis=1)[:, -k:]
-
-    def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base[asks["ids"][:, None] == ids] = -np.inf
+        below, above = (asks["down"] @ room - slack)[:, None], (asks["up"] @ room + slack)[:, None]
+        best = asks["best"]
+        higher = np.flatnonzero(base.max(axis=1) + below[:, 0] > best.min(axis=1))
+        both = np.concatenate([best[higher], base[higher] + below[higher]], axis=1)
+        best[higher] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        return base, below, above
+
+    def met(batches: Iterator[pa.RecordBatch], each, end) -> Iterator[pa.RecordBatch]:
+        """``each`` of every block of queries and block of cells of a lane, ``end`` of each block of queries."""
+        lane, held = None, []
         for batch in batches:
             for row in batch.to_pylist():
-                query_ids, _, lower, _ = scored(row)
-                best = raised(np.full((len(query_ids), k), -np.inf), lower)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(query_ids), pa.array(list(best), pa.list_(pa.float64()))], names=["query_id", "best"]
-                )
+                if row["lane"] != lane:
+                    for asks in held:
+                        yield from end(asks)
+                    lane, held = row["lane"], []
+                if row["kind"] == 0:
+                    held.append(asked_of(row))
+                    continue
+                ids, low, step = np.frombuffer(row["a"], "<i8"), np.frombuffer(row["b"], np.int64), np.frombuffer(row["c"], np.int64)
+                at = (np.frombuffer(row["d"], np.uint8).reshape(-1, width) * step + low).astype(float)
+                for asks in held:
+                    yield from each(asks, ids, *scored(asks, ids, at, step))
+        for asks in held:
+            yield from end(asks)
+
+    def first_scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def end(asks: dict) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array(asks["ids"]), pa.array(list(asks["best"]), pa.list_(pa.float64()))], names=["query_id", "best"])
+
+        return met(batches, lambda *_: (), end)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, np.ndarray] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                query_ids, ids, lower, upper = scored(row)
-                best = held.pop(row["query_ids"], None)
-                best = raised(np.full((len(query_ids), k), -np.inf) if best is None else best, lower)
-                if len(held) >= REMEMBERED:
-                    del held[next(iter(held))]
-                held[row["query_ids"]] = best
-                need = np.maximum(best.min(axis=1), np.frombuffer(row["need"], float))
-                i, j = np.nonzero((upper >= need[:, None]) & (query_ids[:, None] != ids))
+        def each(asks: dict, ids: np.ndarray, base: np.ndarray, below: np.ndarray, above: np.ndarray) -> Iterator[pa.RecordBatch]:
+            need = np.maximum(asks["best"].min(axis=1), asks["need"])
+            i, j = np.nonzero((base + above >= need[:, None]) & (base > -np.inf))
+            if len(i):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(query_ids[i]), pa.array(ids[j]), pa.array(lower[i, j]), pa.array(upper[i, j])],
+                    [pa.array(asks["ids"][i]), pa.array(ids[j]), pa.array(base[i, j] + below[i, 0]), pa.array(base[i, j] + above[i, 0])],
                     names=["query_id", "vec_id", "lower", "upper"],
                 )
 
-    # k bounds per query and block of the first scan; the limit on ranks cuts them per lane before they are shuffled.
+        return met(batches, each, lambda _: ())
+
+    # k bounds per query and lane of the first scan; the limit on ranks cuts them before they are shuffled.
     open_ = asked.withColumn("need", F.lit(float("-inf")))
     some = cells.where(F.pmod(F.xxhash64("ids", F.lit(1)), F.lit(FIRST_BLOCKS)) == 0)
-    lists = some.join(packed(open_), "lane").drop("lane").mapInArrow(first_scan, "query_id long, best array<double>")
+    lists = lanes(some, open_).mapInArrow(first_scan, "query_id long, best array<double>")
     of_query = Window.partitionBy("query_id")
     best = lambda *order: F.row_number().over(of_query.orderBy(*order))
     start = lists.select("query_id", F.explode("best").alias("bound")).withColumn("nth", best(F.desc("bound"))).where(F.col("nth") <= k)
     start = start.groupBy("query_id").agg(F.min("bound").alias("need"))
     needs = asked.join(start.withColumnRenamed("query_id", "vec_id"), "vec_id", "left").fillna(float("-inf"), ["need"])
-    queries = packed(staged(needs, "needs"))
+    needs = staged(needs, "needs")
 
     bounds = "query_id long, vec_id long, lower double, upper double"
-    found = staged(cells.join(queries, "lane").drop("lane").mapInArrow(scan, bounds), "bounds")
+    found = staged(lanes(cells, needs).mapInArrow(scan, bounds), "bounds")
     kth_lower = (
         found.withColumn("nth", best(F.desc("lower"))).where(F.col("nth") <= k).groupBy("query_id").agg(F.min("lower").alias("need"), F.count("*").alias("n"))
     )

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from fluxloom.llm import jaccard
+from fluxloom.llm import jaccard, vectors
 from tests.llm import cases
 
 DOCS = "doc_id long, text string"
@@ -68,3 +70,30 @@ def test_search_by_bits_finds_what_postings_find(monkeypatch):
         for a, b in found.items():
             lowest[b] = min(a, lowest.get(b, a))
         assert {a: lowest[b] for a, b in found.items()} == expected
+
+
+@pytest.mark.parametrize("held", [1 << 25, 1])
+def test_queries_never_reach_the_driver_once_per_lane(spark, monkeypatch, held):
+    """Before, the blocks of queries times all lanes were broadcast wherever the queries alone were small."""
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 16)
+    monkeypatch.setattr(vectors, "BLOCK", 32)
+    monkeypatch.setattr(vectors, "HELD", held, raising=False)
+    plans, staged = [], vectors.staged
+
+    def seen(df, name="stage"):
+        if name == "bounds":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, name)
+
+    monkeypatch.setattr(vectors, "staged", seen)
+    x = np.round(np.random.default_rng(2).standard_normal((400, 8)), 3)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in vectors.top_k(table, F.col("vec_id") % 5 == 0, k=3).collect()}
+    whole = np.floor(x * 1024).astype(np.int64)
+    expected = {}
+    for q in range(0, 400, 5):
+        score = whole @ whole[q]
+        best = sorted((i for i in range(400) if i != q), key=lambda i: (-score[i], i))[:3]
+        expected |= {(q, n + 1): (i, int(score[i])) for n, i in enumerate(best)}
+    assert got == expected
+    assert plans and "Broadcast" not in plans[0]
